@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import packing, warc
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_warc": warc.op5_warc,
 }
 ORACLE_SQL: dict[str, str] = {
