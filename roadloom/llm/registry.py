@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, warc
+from . import packing, quality, warc
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_warc": warc.op5_warc,
 }
