@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, warc
+from . import packing, quality, substrings, suffixes, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_warc": warc.op5_warc,
+    "op6_suffix_array_dedup": suffixes.op6_suffix_array_dedup,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
