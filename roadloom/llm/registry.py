@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, substrings, suffixes, warc
+from . import near, packing, quality, substrings, suffixes, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_suffix_array_dedup": suffixes.op6_suffix_array_dedup,
     "op8_substring_dedup": substrings.op8_substring_dedup,
+    "op10_near_dedup": near.op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.OP5_SQL,
