@@ -16,6 +16,8 @@ and kept by `judge`, whatever their names, for its own columns have names of the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,44 +41,62 @@ CLASSES = {
 }
 N_CLASSES, N_WORDS = len(CLASSES) + 1, 17
 SYMBOLS = "#*$%&|<>"
-CLASS_LIMIT, WORD_LIMIT = 0.2, 0.45
+CLASS_LIMIT, WORD_LIMIT = 0.32, 0.32
 MIN_CHARS, MIN_WORDS = 200, 60
 MIN_REFERENCE = 20  # times the minimum length of a document
 BASE_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 
-def _class_counts(text: Column) -> list[Column]:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, as a lambda variable."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _computed(df: DataFrame, row: Column, names: list[str]) -> DataFrame:
+    """Add the fields of a struct; a generator, which the optimizer neither merges nor repeats."""
+    return df.select("*", F.explode(F.array(row)).alias("_row")).select(*df.columns, *(F.col(f"_row.{n}").alias(n) for n in names))
+
+
+def _class_counts(text: Column) -> Column:
     """Characters of each class, the rest last."""
-    out, left = [], text
-    for pattern in CLASSES.values():
-        after = F.regexp_replace(left, pattern, "")
-        out.append(F.length(left) - F.length(after))
-        left = after
-    return [*out, F.length(left)]
+
+    def go(left: Column, patterns: list[str], counts: list[Column]) -> Column:
+        if not patterns:
+            return F.array(*[c.cast("long") for c in [*counts, F.length(left)]])
+        after = F.regexp_replace(left, patterns[0], "")
+        return _let(after, lambda x: go(x, patterns[1:], [*counts, F.length(left) - F.length(x)]))
+
+    return go(text, list(CLASSES.values()), [])
 
 
 def _language(lang: Column) -> Column:
     return F.when(lang.isin(*COMMON_WORDS), lang).otherwise(F.lit(""))
 
 
+def _split(text: Column) -> Column:
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, common.SPACES))
+
+
 def _histograms(docs: DataFrame) -> DataFrame:
-    """_text, _words, _lang, then _classes and _common: whole numbers for each document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    """_text, _lang, then _words, _classes and _common: whole numbers for each document."""
     every = sorted({w for v in COMMON_WORDS.values() for w in v})
-    measured = docs.withColumns({"_text": text, "_lang": _language(F.col("lang"))})
-    measured = measured.withColumn("_words", common.words_of(F.col("_text")))
-    # words in any list, folded; a few tenths of the words, which are then counted word by word
-    plain = F.transform("_words", lambda w: F.translate(F.lower(w), ".,", ""))
-    measured = measured.withColumn("_known", F.filter(plain, lambda w: w.isin(*every)))
+    lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     own = F.coalesce(lists[F.col("_lang")], F.array(*map(F.lit, COMMON_WORDS["en"])))
-    counts = F.transform(own, lambda c: F.size(F.filter("_known", lambda w: w == c)).cast("long"))
-    measured = measured.withColumn("_counts", counts)
-    found = F.aggregate("_counts", F.lit(0).cast("long"), lambda a, b: a + b)
-    classes = F.array(*[c.cast("long") for c in _class_counts(F.col("_text"))])
-    return measured.withColumns(
-        {"_common": F.concat("_counts", F.array(F.size("_words").cast("long") - found)), "_classes": classes}
+    # words in any list, folded and without points
+    known = F.filter(_split(F.translate(F.lower("_text"), ".,", "")), lambda w: w.isin(*every))
+    counts = _let(known, lambda k: _let(own, lambda o: F.array(*[(F.size(k) - F.size(F.array_remove(k, o[j]))).cast("long") for j in range(N_WORDS - 1)])))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+    row = _let(
+        _split(F.col("_text")),
+        lambda w: F.struct(
+            w.alias("_words"),
+            _class_counts(F.col("_text")).alias("_classes"),
+            _let(counts, lambda c: F.concat(c, F.array(F.size(w).cast("long") - total(c)))).alias("_common"),
+        ),
     )
+    measured = docs.withColumns({"_text": F.coalesce(F.col("text"), F.lit("")), "_lang": _language(F.col("lang"))})
+    return _computed(measured, row, ["_words", "_classes", "_common"])
 
 
 def references(docs: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
@@ -90,88 +110,73 @@ def references(docs: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
     return {lang: found.get(lang, ([0] * N_CLASSES, [0] * N_WORDS)) for lang in [*COMMON_WORDS, ""]}
 
 
-def distance(counts: Column, reference: list[float], n: int) -> Column:
-    """The Jensen-Shannon distance of a histogram of n whole numbers to one of shares."""
-    total = sum((counts[k] for k in range(1, n)), counts[0])
+def distance(counts: Column, shares: Column) -> Column:
+    """The Jensen-Shannon distance of a histogram of whole numbers to one of shares."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
 
     def term(a, both):
         return F.when(a > 0, a * F.log2(a / both)).otherwise(F.lit(0.0))
 
-    parts = []
-    for k in range(n):
-        p, q = counts[k] / total, F.lit(float(reference[k]))
-        parts.append((term(p, (p + q) / 2) + term(q, (p + q) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), sum(parts[1:], parts[0])))
+    def part(p, q):
+        return (term(p, (p + q) / 2) + term(q, (p + q) / 2)) / 2
 
+    # totals and shares are lambda variables, so that each is computed once
+    parts = F.transform(F.array(total), lambda t: F.zip_with(F.transform(counts, lambda c: c / t), shares, part))[0]
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
 
-def _by_language(refs, which: int, counts: Column, n: int, enough: Column, least: int) -> Column:
+
+def _by_language(refs, which: int, counts: Column, enough: Column, least: int) -> Column:
     """The distance to the reference of the row's language; null where it gives no verdict."""
-    out = F.lit(None).cast("double")
-    for lang, histograms in refs.items():
-        total = sum(histograms[which])
-        if total >= least * MIN_REFERENCE:
-            shares = [x / total for x in histograms[which]]
-            out = F.when(enough & (F.col("_lang") == lang), distance(counts, shares, n)).otherwise(out)
-    return out
-
-
-def _repeat_words(words: Column, hashes: Column) -> Column:
-    """Words in windows found twice or more, from the windows' hashes in order. Only a text with equal
-    windows sorts them; covered words are then counted from one repeated window to the next."""
-    sorted_ = F.array_sort(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
-    twice = F.transform(
-        F.array(sorted_),  # a lambda's variable, so that it is sorted once
-        lambda s: F.array_sort(
-            F.transform(
-                F.filter(
-                    s,
-                    lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False))
-                    | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)),
-                ),
-                lambda x: x["k"],
-            )
-        ),
-    )[0]
-    covered = F.transform(
-        F.array(twice),
-        lambda at: F.aggregate(
-            F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW)))),
-            F.lit(0).cast("long"),
-            lambda a, b: a + b,
-        ),
-    )[0]
-    return F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(0).cast("long")).otherwise(covered)
+    known = {lang: h[which] for lang, h in refs.items() if sum(h[which]) >= least * MIN_REFERENCE}
+    if not known:
+        return F.lit(None).cast("double")
+    shares = F.create_map(
+        *[x for lang, h in known.items() for x in (F.lit(lang), F.array(*[F.lit(float(c / sum(h))) for c in h]))]
+    )[F.col("_lang")]
+    return F.when(enough & F.col("_lang").isin(*known), distance(counts, shares))
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in windows found twice or more. Only a text with equal windows sorts their hashes; covered words
+    are then counted from one repeated window to the next."""
+    zero = F.lit(0).cast("long")
+
+    def covered(hashes: Column) -> Column:
+        ordered = F.array_sort(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("k"))))
+        same = lambda s, j, x: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+        twice = _let(ordered, lambda s: F.filter(s, lambda x, k: same(s, k - 1, x) | same(s, k + 1, x)))
+        return _let(
+            F.array_sort(F.transform(twice, lambda x: x["k"])),
+            lambda at: F.aggregate(
+                F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW)))), zero, lambda a, b: a + b
+            ),
+        )
+
+    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
+    hashes = F.transform(starts, lambda k: F.xxhash64(F.slice(words, k, WINDOW)))
+    counted = _let(hashes, lambda h: F.when(F.size(h) == F.size(F.array_distinct(h)), zero).otherwise(covered(h)))
+    return F.when(F.size(words) > WINDOW, counted).otherwise(zero)
+
+
+MEASURES = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_class_distance", "_word_distance"]
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """Add the base measures (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)
     and the two distances (class_distance, word_distance), under names that begin with an underscore."""
     refs = references(docs)
-    h = _histograms(docs)
     n_words = F.size("_words").cast("long")
-    windows = F.transform(
-        F.when(F.size("_words") >= WINDOW, F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1))).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda k: F.xxhash64(*[F.get("_words", k + (j - 1)) for j in range(WINDOW)]),
-    )
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    h = h.withColumns({"_hashes": windows, "_lines": lines, "_n_words": n_words})
-    h = h.withColumns(
-        {
-            "_word_chars": (F.length("_text") - (F.col("_classes")[list(CLASSES).index("space")])).cast("long"),
-            "_n_symbols": F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long"),
-            "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_n_repeat_words": _repeat_words(F.col("_words"), F.col("_hashes")),
-            "_class_distance": _by_language(
-                refs, 0, F.col("_classes"), N_CLASSES, F.length("_text") >= MIN_CHARS, MIN_CHARS
-            ),
-            "_word_distance": _by_language(
-                refs, 1, F.col("_common"), N_WORDS, F.col("_n_words") >= MIN_WORDS, MIN_WORDS
-            ),
-        }
+    row = F.struct(
+        n_words.alias("_n_words"),
+        (F.length("_text") - F.col("_classes")[list(CLASSES).index("space")]).cast("long").alias("_word_chars"),
+        F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long").alias("_n_symbols"),
+        _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("_n_dup_lines"),
+        _let(F.col("_words"), _repeat_words).cast("long").alias("_n_repeat_words"),
+        _by_language(refs, 0, F.col("_classes"), F.length("_text") >= MIN_CHARS, MIN_CHARS).alias("_class_distance"),
+        _by_language(refs, 1, F.col("_common"), n_words >= MIN_WORDS, MIN_WORDS).alias("_word_distance"),
     )
-    return h.withColumn(
+    return _computed(_histograms(docs), row, MEASURES).withColumn(
         "_base_failed",
         (F.col("_n_words") < BASE_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words")),
     )
