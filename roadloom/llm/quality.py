@@ -4,8 +4,7 @@ Native: DataFrame functions only. Two histograms describe a document, one of cha
 its language's common words (each word, and all other words together). The reference of a language is
 the same histogram summed over all its documents that are long enough; documents of languages that are
 not named, or null, are held against the sum over all languages. The sums are a few hundred whole
-numbers whatever the corpus, so they are read by the driver and become literals of the scoring pass,
-which needs no join and no shuffle. A document is rejected if a Jensen-Shannon distance (square root of
+numbers whatever the corpus, so they are read by the driver and become literals of the scoring pass. A document is rejected if a Jensen-Shannon distance (square root of
 the divergence to base 2, from 0 to 1) exceeds its limit; a histogram of too few characters or words,
 or a reference of too few, gives no verdict.
 
@@ -78,34 +77,44 @@ def _split(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, common.SPACES))
 
 
-def _histograms(docs: DataFrame) -> DataFrame:
-    """_text, _lang, then _words, _classes and _common: whole numbers for each document."""
-    every = sorted({w for v in COMMON_WORDS.values() for w in v})
+def _counted(docs: DataFrame) -> DataFrame:
+    """Add _lang, the histograms _classes and _common (whole numbers) and the base measures."""
+    variants = sorted({x for v in COMMON_WORDS.values() for w in v for y in (w, w.capitalize(), w.upper()) for x in (y, y + ",", y + ".")})
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     own = F.coalesce(lists[F.col("_lang")], F.array(*map(F.lit, COMMON_WORDS["en"])))
-    # words in any list, folded and without points
-    known = F.filter(_split(F.translate(F.lower("_text"), ".,", "")), lambda w: w.isin(*every))
-    counts = _let(known, lambda k: _let(own, lambda o: F.array(*[(F.size(k) - F.size(F.array_remove(k, o[j]))).cast("long") for j in range(N_WORDS - 1)])))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+
+    def common_counts(words: Column) -> Column:
+        known = F.transform(F.filter(words, lambda w: w.isin(*variants)), lambda w: F.translate(F.lower(w), ".,", ""))
+        counts = _let(known, lambda k: _let(own, lambda o: F.array(*[(F.size(k) - F.size(F.array_remove(k, o[j]))).cast("long") for j in range(N_WORDS - 1)])))
+        return _let(counts, lambda c: F.concat(c, F.array(F.size(words).cast("long") - total(c))))
+
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     row = _let(
         _split(F.col("_text")),
         lambda w: F.struct(
-            w.alias("_words"),
             _class_counts(F.col("_text")).alias("_classes"),
-            _let(counts, lambda c: F.concat(c, F.array(F.size(w).cast("long") - total(c)))).alias("_common"),
+            common_counts(w).alias("_common"),
+            F.size(w).cast("long").alias("_n_words"),
+            F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long").alias("_n_symbols"),
+            _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("_n_dup_lines"),
+            _repeat_words(w).cast("long").alias("_n_repeat_words"),
         ),
     )
-    measured = docs.withColumns({"_text": F.coalesce(F.col("text"), F.lit("")), "_lang": _language(F.col("lang"))})
-    return _computed(measured, row, ["_words", "_classes", "_common"])
+    prepared = docs.withColumns({"_text": F.coalesce(F.col("text"), F.lit("")), "_lang": _language(F.col("lang"))})
+    return _computed(prepared, row, COUNTS).drop("_text")
+
 
+def _length(classes: Column) -> Column:
+    return sum((classes[k] for k in range(1, N_CLASSES)), classes[0])
 
-def references(docs: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
+
+def references(counted: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
     """Summed histograms (classes, common words) of each named language over all documents that are long
     enough, and under "" over those of other languages."""
-    h = _histograms(docs.select("text", "lang"))
-    long_enough = (F.length("_text") >= MIN_CHARS) & (F.size("_words") >= MIN_WORDS)
+    long_enough = (_length(F.col("_classes")) >= MIN_CHARS) & (F.col("_n_words") >= MIN_WORDS)
     sums = [F.sum(F.col("_classes")[k]) for k in range(N_CLASSES)] + [F.sum(F.col("_common")[k]) for k in range(N_WORDS)]
-    rows = h.where(long_enough).groupBy("_lang").agg(*sums).collect()  # a row per named language
+    rows = counted.where(long_enough).groupBy("_lang").agg(*sums).collect()  # a row per named language
     found = {r[0]: ([*r[1 : 1 + N_CLASSES]], [*r[1 + N_CLASSES :]]) for r in rows}
     return {lang: found.get(lang, ([0] * N_CLASSES, [0] * N_WORDS)) for lang in [*COMMON_WORDS, ""]}
 
@@ -158,27 +167,23 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, counted).otherwise(zero)
 
 
-MEASURES = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_class_distance", "_word_distance"]
+COUNTS = ["_classes", "_common", "_n_words", "_n_symbols", "_n_dup_lines", "_n_repeat_words"]
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Add the base measures (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)
-    and the two distances (class_distance, word_distance), under names that begin with an underscore."""
-    refs = references(docs)
-    n_words = F.size("_words").cast("long")
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    row = F.struct(
-        n_words.alias("_n_words"),
-        (F.length("_text") - F.col("_classes")[list(CLASSES).index("space")]).cast("long").alias("_word_chars"),
-        F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long").alias("_n_symbols"),
-        _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("_n_dup_lines"),
-        _let(F.col("_words"), _repeat_words).cast("long").alias("_n_repeat_words"),
-        _by_language(refs, 0, F.col("_classes"), F.length("_text") >= MIN_CHARS, MIN_CHARS).alias("_class_distance"),
-        _by_language(refs, 1, F.col("_common"), n_words >= MIN_WORDS, MIN_WORDS).alias("_word_distance"),
-    )
-    return _computed(_histograms(docs), row, MEASURES).withColumn(
-        "_base_failed",
-        (F.col("_n_words") < BASE_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words")),
+def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep with the base measures (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed) and the two distances (class_distance, word_distance), under names that begin with an
+    underscore. Texts are read once: their counts are stored, and the references are sums of them."""
+    counted = common.store(_counted(docs).select(*keep, "_lang", *COUNTS))
+    refs = references(counted)
+    length = _length(F.col("_classes"))
+    return counted.withColumns(
+        {
+            "_word_chars": length - F.col("_classes")[list(CLASSES).index("space")],
+            "_class_distance": _by_language(refs, 0, F.col("_classes"), length >= MIN_CHARS, MIN_CHARS),
+            "_word_distance": _by_language(refs, 1, F.col("_common"), F.col("_n_words") >= MIN_WORDS, MIN_WORDS),
+            "_base_failed": (F.col("_n_words") < BASE_WORDS) | (100 * F.col("_n_repeat_words") > REPEAT_PERCENT * F.col("_n_words")),
+        }
     )
 
 
@@ -193,13 +198,13 @@ def accepted() -> Column:
 
 def judge(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns as they came."""
-    return measure(docs).where(accepted()).select(*docs.columns)
+    return measure(docs, docs.columns).where(accepted()).select(*docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return measure(docs).select(
+    return measure(docs, ["doc_id"]).select(
         "doc_id",
         *(F.col(f"_{n}").alias(n) for n in names),
         accepted().alias("kept"),
