@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import html_text, metric, near, packing, quality, substrings, suffixes, warc
+from . import html_text, metric, mixing, near, packing, quality, substrings, suffixes, tools, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_html_extraction": html_text.op2_html_extraction,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.op5_warc,
     "op6_suffix_array_dedup": suffixes.op6_suffix_array_dedup,
+    "op7_tool_call_linking": tools.op7_tool_call_linking,
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_exact_top_k": metric.op9_exact_top_k,
     "op10_near_dedup": near.op10_near_dedup,
