@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import network, relational
 
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+QUERIES: dict = {**relational.QUERIES, **network.QUERIES}
+ORACLE_SQL: dict = {**relational.SQL, **network.SQL}
+flagship = network.flagship
