@@ -16,7 +16,10 @@ NULL_ID = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir."""
+    """A new folder below the one that the cluster names in spark.checkpoint.dir.
+
+    Operators start here, so this is also where Arrow batches are bounded: a task holds a few MB of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{8 << 20}b")
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file:///tmp/checkpoints"

@@ -33,7 +33,7 @@ MAX_LABELLED = 8000
 FEATURES = 1 << 15
 RIDGE = 1e-3
 STEPS, TOLERANCE = 60, 1e-4
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,8 +93,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = hashing.text_bytes(batch.column(1))
         row, feature, _ = features(data, offsets)
         cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["domain", "features"])
+        packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts * 4), pa.py_buffer(feature.astype(np.int32))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["domain", "features"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
@@ -109,12 +109,12 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model | None:
-    found = labelled(docs, labels, bound).mapInArrow(_hashed, "domain int, features array<int>").collect()
+    found = labelled(docs, labels, bound).mapInArrow(_hashed, "domain int, features binary").collect()
     if len({r["domain"] for r in found}) < 2:
         return None
     found.sort(key=lambda r: (r["domain"], r["features"]))  # the same sums for any order of arrival
-    sizes = np.array([len(r["features"]) for r in found])
-    cols = np.concatenate([np.array(r["features"], dtype=np.int64) for r in found])
+    sizes = np.array([len(r["features"]) // 4 for r in found])
+    cols = np.frombuffer(b"".join(r["features"] for r in found), dtype=np.int32)
     return fit(np.repeat(np.arange(len(found)), sizes), cols, np.array([r["domain"] for r in found]), len(DOMAINS))
 
 

@@ -32,7 +32,7 @@ PERCENT = 85
 #: Standard deviations by which an estimate may fall short of the threshold and still be verified.
 MARGIN = 4.5
 BLOCK = 1024
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 SETS = "_id long, _hash long, n long, cls binary, registers binary"
 
 

@@ -26,7 +26,7 @@ from .suffixes import KEYS, keyed
 
 WINDOW = 13
 BASE = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 RUN = "key long, around long, _id long, _hash long, first int, n int"
 
 

@@ -25,8 +25,8 @@ from . import common, hashing, induced
 
 LENGTH = 400
 CORE = 64
-CHUNK_BYTES = 1 << 20
-SHARD_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 18
+SHARD_BYTES = 3 << 19
 KEYS = ["_id", "_hash"]
 RECORD = "core long, around long, _id long, _hash long, first int, last int"
 
