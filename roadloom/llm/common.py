@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return.
@@ -38,9 +38,16 @@ def store(df: DataFrame, name: str = "table", root: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text as an array; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+def folded(docs: DataFrame, *own: str) -> DataFrame:
+    """The own columns, and all others in one named _rest, so that no name can clash with an operator's."""
+    rest = [c for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(0)).alias("_rest"))
+
+
+def unfolded(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from rows that were folded."""
+    own = set(df.columns)
+    return df.select(*(F.col(c) if c in ("doc_id", "text", "lang") and c in own else F.col("_rest").getField(c).alias(c) for c in docs.columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

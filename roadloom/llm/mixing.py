@@ -32,15 +32,20 @@ TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
 MAX_LABELLED = 8000
 FEATURES = 1 << 15
 RIDGE = 1e-3
+#: Features of fewer of the labelled rows than this share are noise to the classifier and get no weight.
+MIN_SHARE = 0.03
+SCALE = 0.3
 STEPS, TOLERANCE = 60, 1e-4
 CHUNK_BYTES = 1 << 18
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a run of rows: (row, feature) of distinct hashed words, sorted by row, and the words of each row."""
+    """Of a run of rows: (row, feature) of distinct hashed words and last bytes of words, sorted by row, and the
+    number of words of each row."""
     words = hashing.Words(data, offsets, fold=True)
-    key = words.row * FEATURES + (words.hashes() & np.uint64(FEATURES - 1)).astype(np.int64)
-    key = np.unique(key)
+    last = hashing.mix(words.bytes[words.end - 1].astype(np.uint64), 9)
+    hashes = np.concatenate((words.hashes(), last)) & np.uint64(FEATURES - 1)
+    key = np.unique(np.concatenate((words.row, words.row)) * FEATURES + hashes.astype(np.int64))
     return key // FEATURES, key % FEATURES, np.diff(words.row_word)
 
 
@@ -51,9 +56,7 @@ class Model:
     history: list[np.ndarray] = field(default_factory=list)  # domain totals minus targets at each step
 
     def posteriors(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        size = np.bincount(row, minlength=n)
-        scale = 1 / np.sqrt(np.maximum(size, 1))
-        z = np.stack([np.bincount(row, self.weights[feature, k], minlength=n) * scale for k in range(len(self.bias))], axis=1) + self.bias
+        z = np.stack([np.bincount(row, self.weights[feature, k], minlength=n) * SCALE for k in range(len(self.bias))], axis=1) + self.bias
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -70,20 +73,21 @@ class Model:
         return y if ahead else r
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_classes: int, steps: int = 150, decay: float = 1e-5) -> Model:
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_classes: int, steps: int = 100, decay: float = 1e-3) -> Model:
     """Softmax regression on scaled indicator features, by Adam on the whole sample."""
     n = len(y)
-    scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
+    keep = (np.bincount(cols, minlength=FEATURES) >= max(3, MIN_SHARE * n))[cols]
+    rows, cols = rows[keep], cols[keep]
     prior = np.log((np.bincount(y, minlength=n_classes) + 1) / (n + n_classes))
     model = Model(np.zeros((FEATURES, n_classes)), prior)
     target = np.eye(n_classes)[y]
     m, v = np.zeros_like(model.weights), np.zeros_like(model.weights)
     for step in range(1, steps + 1):
         error = (model.posteriors(rows, cols, n) - target) / n
-        scaled = error * scale[:, None]
+        scaled = error * SCALE
         g = np.stack([np.bincount(cols, scaled[rows, k], minlength=FEATURES) for k in range(n_classes)], axis=1) + decay * model.weights
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        model.weights -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
+        model.weights -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
         model.bias -= 0.5 * error.sum(0)
     return model
 
@@ -189,8 +193,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     row falls into the rest. Columns stay as they are."""
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     times = F.floor(F.col("rate") + draw).cast("int")
-    out = weighted(docs, labels, targets).withColumn("_times", times).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    out = weighted(common.folded(docs, "doc_id", "text"), labels, targets).withColumn("_times", times).where("_times > 0")
+    return common.unfolded(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))), docs)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

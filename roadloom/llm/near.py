@@ -245,9 +245,9 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, root: str | None = Non
     of repeated rows with words one stays."""
     found = components_of(docs, percent, root=root)
     keep = found.where("n = 0 or (_id = head_id and _hash = head_hash)").select(*KEYS, "n").distinct()
-    joined = keyed(docs).join(keep, KEYS)
-    empty = joined.where("n = 0").select(*docs.columns)
-    return joined.where("n > 0").dropDuplicates(KEYS).select(*docs.columns).unionByName(empty)
+    joined = keyed(common.folded(docs, "doc_id", "text")).join(keep, KEYS)
+    out = joined.where("n > 0").dropDuplicates(KEYS).unionByName(joined.where("n = 0"))
+    return common.unfolded(out, docs)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,11 +196,7 @@ class Encoder:
     libraries are tested to agree, go through tiktoken, which takes a quarter of the time."""
 
     def __init__(self, path: str, ranks_path: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.fast = None
+        self.path, self.tokenizer, self.fast = path, None, None
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -214,6 +210,11 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         if self.fast and PLAIN.fullmatch(text):
             return self.fast(text)
+        if self.tokenizer is None:  # only when a text needs it, for its size
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 

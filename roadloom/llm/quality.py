@@ -198,7 +198,8 @@ def accepted() -> Column:
 
 def judge(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns as they came."""
-    return measure(docs, docs.columns).where(accepted()).select(*docs.columns)
+    rows = common.folded(docs, "doc_id", "text", "lang")
+    return common.unfolded(measure(rows, rows.columns).where(accepted()), docs)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,7 +191,7 @@ def kept_bytes(text: str | None, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _remover(length: int):
+def _remover(length: int, decoded: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
@@ -201,7 +201,7 @@ def _remover(length: int):
             made = {
                 "n_bytes": pa.array([len(k) + sum(b - a for a, b in s) for k, s in zip(kept, spans, strict=True)], pa.int64()),
                 "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                "kept": pa.array(kept, pa.binary()),
+                "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary()),
             }
             columns = [c for c, k in zip(batch.columns, names, strict=True) if k not in ("text", "runs")]
             kept_names = [k for k in names if k not in ("text", "runs")]
@@ -210,28 +210,28 @@ def _remover(length: int):
     return remove
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, root: str | None = None, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, root: str | None = None, decoded: bool = False, **options) -> DataFrame:
     """The documents' other columns with n_bytes, spans (array of start, end) and kept (the remaining bytes).
 
-    A column named n_bytes, spans or kept is dropped for the new one."""
+    Decoded, kept is text without the characters of which a byte is gone. A column named n_bytes, spans or
+    kept is dropped for the new one."""
     names = [c for c in docs.columns if c.lower() not in ("n_bytes", "spans", "kept", "text", "runs", "wanted", "_id", "_hash")]
     docs = docs.select(*names, "text")
     runs = repeated(docs, length, root=root, **options)
     joined = keyed(docs).join(runs, KEYS, "left").select(*names, "text", "runs")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in names]
-    kinds = ", ".join([*fields, "n_bytes long", "spans array<struct<start: long, end: long>>", "kept binary"])
-    return joined.mapInArrow(_remover(length), kinds)
+    kinds = ", ".join([*fields, "n_bytes long, spans array<struct<start: long, end: long>>", "kept string" if decoded else "kept binary"])
+    return joined.mapInArrow(_remover(length, decoded), kinds)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents without repeated bytes, with their columns: n_chars follows the text, a character of
     which a byte is gone is dropped, and documents without text left go."""
-    out = remove_repeats(docs, length)
-    text = F.udf(lambda b: bytes(b).decode("utf-8", "ignore"))("kept")
-    out = out.withColumn("text", text).where(F.length("text") > 0)
+    out = remove_repeats(common.folded(docs, "doc_id", "text"), length, decoded=True)
+    out = common.unfolded(out.withColumnRenamed("kept", "text").where(F.length("text") > 0), docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
