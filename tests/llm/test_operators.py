@@ -136,6 +136,22 @@ def test_near_dedup_links_by_brute_force(spark, sample):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root(r.doc_id))
 
 
+def test_near_dedup_stage_links_from_80_percent(spark):
+    rows = []
+    for k in range(40):  # pairs of 200 shingles each; every changed word, far from the others, changes five of them
+        words = [f"d{k}w{i}" for i in range(204)]
+        rows.append((2 * k, " ".join(words)))
+        for i in range(3 + k % 3):
+            words[10 + 20 * i] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.8 <= x < 0.85 for x in share) >= 13 and sum(x < 0.8 for x in share) >= 13
+    wanted = sorted([*range(0, 80, 2), *(2 * k + 1 for k, x in enumerate(share) if x < 0.8)])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, DATA).collect()) == wanted
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)
