@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft memberships.
 
 Domains are the classes of a labelled table: clean, low quality and toxic. A softmax classifier on hashed
-words is fitted on labelled rows (at most MAX_LABELLED of them, chosen by a hash of the id; everything else
+words (without the punctuation at their edges) is fitted on labelled rows (at most MAX_LABELLED of them, chosen by a hash of the id; everything else
 covers all rows) and gives every document posteriors p over the domains. Document rates r >= 0 then solve
 
     minimise  1/2 sum_k (sum_d w_d p_dk r_d / W - t_k)^2 + RIDGE / 2 * sum_d w_d / W * (r_d - 1)^2
@@ -30,20 +30,30 @@ from . import common, hashing
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
 MAX_LABELLED = 8000
-FEATURES = 1 << 15
+FEATURES = 1 << 18
 RIDGE = 1e-3
-#: Features of fewer of the labelled rows than this share are noise to the classifier and get no weight.
-MIN_SHARE = 0.03
-SCALE = 0.3
+#: Features get a weight from this number of labelled rows on, whatever their share, if the likelihood-ratio test of
+#: presence against some domain reaches MIN_G (a chance of 1e-4 for one feature).
+MIN_ROWS, MIN_G = 3, 15.0
 STEPS, TOLERANCE = 60, 1e-4
 CHUNK_BYTES = 1 << 18
 
 
+#: Letters and digits; bytes beyond ASCII belong to letters.
+INNER = np.array([k >= 128 or chr(k).isalnum() for k in range(256)])
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a run of rows: (row, feature) of distinct hashed words and last bytes of words, sorted by row, and the
     number of words of each row."""
     words = hashing.Words(data, offsets, fold=True)
     last = hashing.mix(words.bytes[words.end - 1].astype(np.uint64), 9)
+    # edges without punctuation; words of punctuation alone stay
+    place, inner = np.arange(len(words.bytes)), INNER[words.bytes]
+    first = np.minimum.accumulate(np.where(inner, place, len(place))[::-1])[::-1][words.start]
+    end = np.maximum.accumulate(np.where(inner, place, -1))[words.end - 1] + 1
+    some = first < words.end
+    words.start, words.end = np.where(some, first, words.start), np.where(some, end, words.end)
     hashes = np.concatenate((words.hashes(), last)) & np.uint64(FEATURES - 1)
     key = np.unique(np.concatenate((words.row, words.row)) * FEATURES + hashes.astype(np.int64))
     return key // FEATURES, key % FEATURES, np.diff(words.row_word)
@@ -51,12 +61,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    weights: np.ndarray  # features x domains
+    weights: np.ndarray  # kept features x domains
     bias: np.ndarray
+    kept: np.ndarray  # the features that have weights, sorted
     history: list[np.ndarray] = field(default_factory=list)  # domain totals minus targets at each step
 
     def posteriors(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        z = np.stack([np.bincount(row, self.weights[feature, k], minlength=n) * SCALE for k in range(len(self.bias))], axis=1) + self.bias
+        at = np.searchsorted(self.kept, feature)
+        known = at < len(self.kept)
+        known[known] = self.kept[at[known]] == feature[known]
+        row, at = row[known], at[known]
+        z = np.stack([np.bincount(row, self.weights[at, k], minlength=n) for k in range(len(self.bias))], axis=1) + self.bias
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -73,19 +88,37 @@ class Model:
         return y if ahead else r
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_classes: int, steps: int = 100, decay: float = 1e-3) -> Model:
-    """Softmax regression on scaled indicator features, by Adam on the whole sample."""
+def association(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_classes: int) -> np.ndarray:
+    """Of every feature the largest likelihood-ratio statistic of its presence against one class."""
+    n, total = len(y), np.bincount(cols, minlength=FEATURES).astype(float)
+    best = np.zeros(FEATURES)
+    for k in range(n_classes):
+        size = float(np.sum(y == k))
+        both = np.bincount(cols, y[rows] == k, minlength=FEATURES)
+        g = np.zeros(FEATURES)
+        for seen, a, b in (
+            (both, total, size), (total - both, total, n - size), (size - both, n - total, size), (n - total - size + both, n - total, n - size)
+        ):
+            some = seen > 0
+            g[some] += 2 * seen[some] * np.log(seen[some] * n / (a[some] * b))
+        best = np.maximum(best, g)
+    return best
+
+
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_classes: int, steps: int = 100, decay: float = 1e-4) -> Model:
+    """Softmax regression on indicators of the features that tell classes apart, by Adam on the whole sample."""
     n = len(y)
-    keep = (np.bincount(cols, minlength=FEATURES) >= max(3, MIN_SHARE * n))[cols]
+    kept = np.flatnonzero((np.bincount(cols, minlength=FEATURES) >= MIN_ROWS) & (association(rows, cols, y, n_classes) >= MIN_G))
+    keep = np.isin(cols, kept)
     rows, cols = rows[keep], cols[keep]
+    at = np.searchsorted(kept, cols)
     prior = np.log((np.bincount(y, minlength=n_classes) + 1) / (n + n_classes))
-    model = Model(np.zeros((FEATURES, n_classes)), prior)
+    model = Model(np.zeros((len(kept), n_classes)), prior, kept)
     target = np.eye(n_classes)[y]
     m, v = np.zeros_like(model.weights), np.zeros_like(model.weights)
     for step in range(1, steps + 1):
         error = (model.posteriors(rows, cols, n) - target) / n
-        scaled = error * SCALE
-        g = np.stack([np.bincount(cols, scaled[rows, k], minlength=FEATURES) for k in range(n_classes)], axis=1) + decay * model.weights
+        g = np.stack([np.bincount(at, error[rows, k], minlength=len(kept)) for k in range(n_classes)], axis=1) + decay * model.weights
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         model.weights -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
         model.bias -= 0.5 * error.sum(0)
@@ -178,7 +211,7 @@ def weighted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("n_tokens", "rate", *(f"p_{k}" for k in DOMAINS))]
     docs = docs.select(*names)
-    model = train(docs, labels, bound) or Model(np.zeros((FEATURES, len(DOMAINS))), np.zeros(len(DOMAINS)))
+    model = train(docs, labels, bound) or Model(np.zeros((0, len(DOMAINS))), np.zeros(len(DOMAINS)), np.zeros(0, int))
     kinds = "n_tokens long, rate double, " + ", ".join(f"p_{k} double" for k in DOMAINS)
     if np.any(model.weights):
         shared = spark.sparkContext.broadcast(model)

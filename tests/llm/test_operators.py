@@ -262,6 +262,24 @@ def test_mixing_classifier_on_held_out_rows(spark):
     assert np.mean(p.argmax(1) == [r.domain for r in rows]) > 0.85
 
 
+def test_mixing_classifier_finds_rare_toxic_words(spark):
+    labels, docs = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("labels", "documents"))
+    rows = docs.join(labels.where("quality is not null and toxic is not null"), "doc_id").select("doc_id", "text", "lang", "toxic").collect()
+    model = mixing.train(docs, labels.where("doc_id % 2 = 0"))
+    found = defaultdict(list)
+    for r in rows:
+        if r.doc_id % 2 and r.toxic == 1:
+            data = (r.text or "").encode()
+            row, feature, _ = mixing.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            found["en" if r.lang == "en" else "other"].append(model.posteriors(row, feature, 1)[0].argmax() == 2)
+    assert np.mean(found["en"]) > 0.8 and np.mean(found["other"]) > 0.5
+
+
+def test_mixing_words_lose_edge_punctuation():
+    of = lambda t: set(mixing.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1])
+    assert len(of(b"(Word),") & of(b"word")) == 1 and len(of(b"-- word")) == 4
+
+
 def test_tools(spark):
     schemas = {"add": {"type": "object", "properties": {"a": {"type": "integer", "minimum": 0}, "b": {}}, "required": ["a"], "additionalProperties": False}}
     calls = [
