@@ -7,7 +7,10 @@ records of a few numbers; records whose core occurs once are done. The texts aro
 distinct one once and with its number of occurrences, go to shards by core, and each shard is sorted by
 external induced sorting (`induced`), which tells which starts have an equal string elsewhere.
 
-Copies are counted before the sort, so a group of any size is one text of its shard. Defined results: a null
+Copies are counted before the sort, so a group of any size is one text of its shard. A core whose distinct texts
+fill more than a shard (a common line in many contexts) is split until none does: a string's core lies `p` bytes
+in; strings whose p is in one range share all bytes that every string of the range covers, so range and hash of
+those bytes are a finer key. Ranges are halved round by round; at the last, of one p, a key is a whole string. Defined results: a null
 text is empty; repeated rows and equal ids are documents like any others (equal rows get equal answers); a null
 id is kept; an empty table gives an empty one; documents shorter than ``length`` keep every byte.
 """
@@ -28,7 +31,8 @@ CORE = 64
 CHUNK_BYTES = 1 << 18
 SHARD_BYTES = 3 << 19
 KEYS = ["_id", "_hash"]
-RECORD = "core long, around long, _id long, _hash long, first int, last int"
+RECORD = "core long, around long, _id long, _hash long, first int, last int, place int"
+PIECE = "core0 long, around0 long, first0 int, n long, " + RECORD
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -66,13 +70,89 @@ def _emitter(length: int, core: int):
                         pa.array(keys[own]),
                         pa.array((first + shift).astype(np.int32)),
                         pa.array((last + shift).astype(np.int32)),
+                        pa.array((chosen[first] + shift).astype(np.int32)),
                     ],
-                    ["core", "around", "_id", "_hash", "first", "last"],
+                    ["core", "around", "_id", "_hash", "first", "last", "place"],
                 )
 
     return emit
 
 
+def _splitter(length: int, core: int, width: int):
+    """Pieces by ranges of `width` of the core's place within a string."""
+
+    def parts_of(rows: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
+        table = np.array(rows, dtype=np.int64).reshape(len(rows), 9)
+        core0, around0, first0, n, own, first, last, place, key = table.T
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        begin = np.concatenate(([0], np.cumsum([len(x) for x in texts], dtype=np.int64)))[:-1]
+        low, high = (place - last) // width, (place - first) // width
+        k = np.repeat(np.arange(len(rows)), high - low + 1)
+        cell = np.arange(len(k)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[k]
+        a, b = cell * width, np.minimum(cell * width + width - 1, length - core)
+        lo, hi = np.maximum(first[k], place[k] - b), np.minimum(last[k], place[k] - a)
+        sums, at = hashing.prefix_sums(hashing.BYTE_VALUES[data]), begin[k] - first[k]
+        shared = hashing.windows(sums, at + place[k] - a, at + place[k] - b + length)
+        fine = hashing.mix(hashing.mix(key[k].view(np.uint64) ^ shared, 5) ^ cell.astype(np.uint64), 7)
+        around = hashing.windows(sums, at + lo, at + hi + length) ^ (place[k] - lo).astype(np.uint64)
+        columns = [core0[k], around0[k], first0[k].astype(np.int32), n[k], hashing.signed(fine), hashing.signed(around), own[k]]
+        columns += [x.astype(np.int32) for x in (lo, hi, place[k])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in columns], ["core0", "around0", "first0", "n", "core", "around", "own", "first", "last", "place"]
+        )
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = hashing.text_bytes(batch.column(2))
+            keys = [batch.column(k).to_pylist() for k in (0, 1)]
+
+            def flush(rows: list[tuple], texts: list[bytes], keys=keys) -> pa.RecordBatch:
+                made = parts_of(rows, texts)
+                own = made.column(6).to_pylist()
+                columns = [made.column(k) for k in range(6)] + [pa.array([c[x] for x in own], pa.int64()) for c in keys]
+                columns += [made.column(k) for k in (7, 8, 9)]
+                return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECE.split(", ")])
+
+            rows, texts, size = [], [], 0
+            for k, wanted in enumerate(batch.column(3).to_pylist()):
+                for w in wanted:
+                    rows.append((w["core0"], w["around0"], w["first0"], w["n"], k, w["first"], w["last"], w["place"], w["core"]))
+                    texts.append(data[int(offsets[k]) + w["first"] : int(offsets[k]) + w["last"] + length].tobytes())
+                    size += len(texts[-1])
+                    if size > CHUNK_BYTES:
+                        yield flush(rows, texts)
+                        rows, texts, size = [], [], 0
+            if rows:
+                yield flush(rows, texts)
+
+    return split
+
+
+def pieces_of(texts: DataFrame, distinct: DataFrame, length: int, core: int, shard_bytes: int, root: str) -> tuple[DataFrame, DataFrame, int, bool]:
+    """Pieces of the distinct texts around cores; each distinct piece once, with n and at; the bytes of those; and
+    whether a core was split. No core has more than shard_bytes of distinct pieces."""
+    size = lambda at: F.col(f"{at}last") - F.col(f"{at}first") + length
+    pieces = distinct.select(F.col("core").alias("core0"), F.col("around").alias("around0"), F.col("at.first").alias("first0"), "n", "core", "around", "at.*")
+    width, split = length - core + 1, False
+    while True:
+        by_core = distinct.groupBy("core").agg(F.sum(size("at.")).alias("bytes"))
+        total, hot = by_core.agg(F.sum("bytes"), F.count_if(F.col("bytes") > shard_bytes)).head()
+        if not hot or width == 1:
+            return pieces, distinct, total or 0, split
+        width, split = -(-width // 2), True
+        hot = common.store(by_core.where(F.col("bytes") > shard_bytes).select("core"), f"hot{width}", root)
+        own = ["core0", "around0", "first0", "n", "core", "first", "last", "place"]
+        # a piece that several texts share goes on with each of them
+        wanted = pieces.join(hot, "core", "left_semi").groupBy(*KEYS).agg(F.collect_list(F.struct(*own)).alias("wanted"))
+        parts = texts.join(wanted, KEYS).select(*KEYS, "text", "wanted").mapInArrow(_splitter(length, core, width), PIECE).distinct()
+        parts = common.store(parts, f"parts{width}", root)
+        often = parts.groupBy("core").agg(F.sum("n").alias("m")).where("m > 1").select("core")
+        rest = pieces.join(hot, "core", "left_anti").select(*parts.columns)
+        pieces = common.store(rest.unionByName(parts.join(often, "core", "left_semi")), f"pieces{width}", root)
+        distinct = pieces.groupBy("core", "around").agg(F.sum("n").alias("n"), F.min(F.struct(*KEYS, "first", "last", "place")).alias("at"))
+        distinct = common.store(distinct, f"distinct{width}", root)
+
+
 def _cutter(length: int):
     """The text around every wanted record of a document, as bytes."""
 
@@ -154,10 +234,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE, shard_byte
     often = records.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
     found = common.store(records.join(often, "core", "left_semi"), "found", root)
     distinct = found.groupBy("core", "around").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_hash", "first", "last")).alias("at")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_hash", "first", "last", "place")).alias("at")
     )
     distinct = common.store(distinct, "distinct", root)
-    total = distinct.agg(F.sum(F.col("at.last") - F.col("at.first") + length)).head()[0] or 0
+    pieces, distinct, total, split = pieces_of(texts, distinct, length, core, shard_bytes, root)
     wanted = distinct.groupBy(F.col("at._id").alias("_id"), F.col("at._hash").alias("_hash")).agg(
         F.collect_list(F.struct("core", "around", "n", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("wanted")
     )
@@ -166,6 +246,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE, shard_byte
     snippets = one_each.mapInArrow(_cutter(length), "core long, around long, n long, bytes binary")
     shards = snippets.repartition(max(1, -(-int(total) // shard_bytes)), "core")
     runs = shards.mapInArrow(_sorter(length, induced.MEMORY_BYTES), "core long, around long, lo int, hi int")
+    if split:
+        moved = (F.col("first") - F.col("first0")).alias("moved")
+        back = pieces.select("core", "around", "core0", "around0", moved).join(runs.dropDuplicates(), ["core", "around"])
+        lo, hi = ((F.col(k) + F.col("moved")).alias(k) for k in ("lo", "hi"))
+        runs = back.select(F.col("core0").alias("core"), F.col("around0").alias("around"), lo, hi)
     hits = found.join(runs.dropDuplicates(), ["core", "around"]).select(
         *KEYS, F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")).alias("run")
     )

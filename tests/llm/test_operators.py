@@ -84,6 +84,32 @@ def test_suffix_dedup(docs):
     assert sorted(found) == sorted(removed_by_brute_force([r[1] for r in ODD], 400))
 
 
+def test_suffix_dedup_splits_hot_cores(spark):
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh ijkl"), n))
+    line, passage, whole = "this very common line stands in many of the documents, wherever one looks for it, as", noise(390), noise(500)
+    texts = [noise(450) + line + noise(450) for _ in range(60)] + [noise(int(rng.integers(0, 300))) + passage + noise(90) for _ in range(60)]
+    texts += [noise(70) + whole[:300] + line + whole[300:] + noise(40) for _ in range(3)] + [texts[0], texts[70]] + [texts[1][200:800]]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1, texts[1]), (None, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted(removed_by_brute_force([t for _, t in rows], 400))
+    for shard in (3000, 1 << 20):
+        out = suffixes.remove_repeats(df, 400, shard_bytes=shard)
+        found = [(r.n_bytes, sum(x.end - x.start for x in r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()]
+        assert sorted(found) == wanted
+    seen = []
+
+    def kept(*args, inner=suffixes.pieces_of):
+        seen.append(inner(*args))
+        return seen[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffixes, "pieces_of", kept)
+        suffixes.remove_repeats(df, 400, shard_bytes=3000)
+    sizes = seen[0][1].selectExpr("core", "at.last - at.first + 400 AS size").groupBy("core").sum("size").collect()
+    assert seen[0][3] and max(r[1] for r in sizes) <= 3000
+
+
 def test_substring_dedup(docs):
     texts = [(r[0] if r[0] is not None else 2**63 - 1, (r[1] or "").encode().split()) for r in ODD]
     first = {}
