@@ -2,7 +2,9 @@
 
 A page becomes a tree (unclosed paragraphs, list items and cells end where the next begins). Parts that are
 never article text (navigation, page headers, footers, asides, forms, scripts, adverts, notices, reader
-comments) are cut off by element, role or class word. In what is left every paragraph passes points for its
+comments) are cut off by element, role or class word. A wrapper, an element that class, role or being a form would
+cut though it holds the article (on pages without one, over two thirds of the text), stays and only its controls go;
+reader comments go all the same unless the page's title lies within. In what is left every paragraph passes points for its
 length and its commas to its ancestors, the nearer the more; a container's points are discounted by the share
 of its text that lies in links. The best container is kept, and of its siblings those that score well or read
 like text. Blocks come out in page order, one line each.
@@ -54,6 +56,11 @@ CUT_WORDS = set(
     "cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share "
     "sharing social related recommended recommendations pagination pager widget masthead skip toolbar tags outbrain taboola".split()
 )
+#: A class word after one of these says what an element lacks or holds beside its text.
+QUALIFIERS = {"has", "have", "with", "no", "without", "hide", "not"}
+DISCUSSION = set("comment comments commentlist reply replies respond disqus discussion".split())
+#: Cut by element, yet a page's wrapper may be one.
+WRAPPERS = {"form"}
 WHOLE = {"article", "main", "body", "html", "#root"}
 SCORED = {"p", "pre", "td", "blockquote", "li", "dd", "figcaption"}
 BASE_POINTS = {"article": 10.0, "main": 10.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0}
@@ -62,12 +69,13 @@ MIN_PARAGRAPH = 25
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "size", "links")
+    __slots__ = ("tag", "attributes", "parent", "children", "points", "size", "links", "reads", "holds", "titled")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
+        self.reads, self.holds, self.titled = 0, False, False
 
 
 def parse(page: str) -> Node:
@@ -120,9 +128,25 @@ def _ended(node: Node, tags: set[str], fences: set[str]) -> Node:
     return node
 
 
+def _hidden(node: Node, values: dict[str, str]) -> bool:
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true":
+        return True
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I))
+
+
+def _cut_words(names: str) -> set[str]:
+    """The words by which a class or id names a part that is cut; names are split at hyphens, underscores and
+    changes of case."""
+    found = set()
+    for name in names.split():
+        words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        found |= {w for k, w in enumerate(words) if w in CUT_WORDS and (k == 0 or words[k - 1] not in QUALIFIERS)}
+    return found
+
+
 def _is_cut(node: Node) -> bool:
     tag = node.tag
-    if tag in CUT:
+    if tag in CUT - WRAPPERS:
         return True
     if tag in WHOLE:
         return False
@@ -131,18 +155,13 @@ def _is_cut(node: Node) -> bool:
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         return up is None
-    if not node.attributes.strip():
-        return False
-    values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attributes)}
-    if "hidden" in values or values.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
+    values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attributes)} if node.attributes.strip() else {}
+    if _hidden(node, values):
         return True
-    if values.get("role", "").lower() in CUT_ROLES:
-        return True
-    # names are split at hyphens, underscores and changes of case
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}")
-    return not CUT_WORDS.isdisjoint(re.split(r"[^a-z]+", named.lower()))
+    words = _cut_words(f"{values.get('class', '')} {values.get('id', '')}")
+    if node.holds and (node.titled or DISCUSSION.isdisjoint(words)):
+        return False
+    return tag in WRAPPERS or values.get("role", "").lower() in CUT_ROLES or bool(words)
 
 
 def _walk(root: Node) -> Iterator[Node]:
@@ -155,6 +174,25 @@ def _walk(root: Node) -> Iterator[Node]:
 
 
 def _prune(root: Node) -> None:
+    # first what is cut wherever it lies, so that its text counts for no wrapper
+    for node in _walk(root):
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in CUT - WRAPPERS]
+    nodes = list(_walk(root))
+    for node in reversed(nodes):
+        if _scores(node) and len(text := _own_text(node)) >= MIN_PARAGRAPH:
+            node.reads += len(text)
+        if node.parent is not None:
+            node.parent.reads += node.reads
+            node.parent.titled |= node.titled or node.tag == "h1"
+    # the article: teasers and comments may be article elements as well
+    whole = [x for x in nodes if x.tag == "main"]
+    if articles := [x for x in nodes if x.tag == "article"]:
+        longest = max(articles, key=lambda x: x.reads)
+        whole += [longest] if longest.titled or 3 * longest.reads >= root.reads else []
+    for node in whole or [x for x in nodes if 3 * x.reads > 2 * root.reads]:
+        up = node if not whole else node.parent
+        while up is not None:
+            up.holds, up = True, up.parent
     for node in _walk(root):
         node.children = [c for c in node.children if isinstance(c, str) or not _is_cut(c)]
 
@@ -182,6 +220,10 @@ def _own_text(node: Node) -> str:
     return SPACE.sub(" ", "".join(out)).strip()
 
 
+def _scores(node: Node) -> bool:
+    return node.tag in SCORED or node.tag in BLOCK and any(isinstance(c, str) and len(c.strip()) >= MIN_PARAGRAPH for c in node.children)
+
+
 def _density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
@@ -192,7 +234,7 @@ def best_containers(root: Node) -> list[Node]:
     _measure(nodes)
     scored: dict[int, Node] = {}
     for node in nodes:
-        if node.tag not in SCORED and not (node.tag in BLOCK and any(isinstance(c, str) and len(c.strip()) >= MIN_PARAGRAPH for c in node.children)):
+        if not _scores(node):
             continue
         text = _own_text(node)
         if len(text) < MIN_PARAGRAPH:

@@ -257,6 +257,28 @@ def test_html(page, text):
     assert html_text.main_text(page) == text
 
 
+PARAGRAPHS = "<p>First paragraph, long enough, with some commas, to read as text.</p><p>Second one, long enough as well, and with commas, too.</p>"
+READ = "First paragraph, long enough, with some commas, to read as text.\nSecond one, long enough as well, and with commas, too."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content no-sidebar'>{PARAGRAPHS}</div></body>",
+        f"<body><div class='has-sidebar'>{PARAGRAPHS}<div class=sidebar><p>Short side, text that is cut.</p></div></div></body>",
+        f"<body><div class='post has-comments'>{PARAGRAPHS}<div class=comments><p>Nice, very nice, really, thanks.</p></div></div></body>",
+        f"<body><div class='modal-open'><article>{PARAGRAPHS}</article></div></body>",
+        f"<body><div class='modal-open'>{PARAGRAPHS}</div><p>Imprint, address, phone and so on.</p></body>",
+        f"<body><form id=aspnetForm><input name=q><button>Go</button><div>{PARAGRAPHS}</div><select><option>One</select></form></body>",
+        f"<body><form action=x><p>Write to us, please, in this form.</p></form><article>{PARAGRAPHS}</article></body>",
+        f"<body><article>{PARAGRAPHS}</article><div class=related><article><p>Another article, a teaser, cut short.</p></article></div></body>",
+        f"<body><article>{PARAGRAPHS}</article><div class=comments>" + "<article><p>Long comment, longer than all that stands above, many words, many.</p></article>" * 9 + "</div></body>",
+    ],
+)
+def test_html_wrappers(page):
+    assert html_text.main_text(page).removesuffix("\nImprint, address, phone and so on.") == READ
+
+
 def test_top_k_by_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(900)]
