@@ -62,17 +62,20 @@ def near_cells(x, y, size: float, reach: int = 1):
     return F.flatten(F.transform(span(x), lambda a: F.transform(span(y), lambda b: F.struct(a.alias("i"), b.alias("j")))))
 
 
-@query("GE6_snap_pairs", f"WITH {POINTS}, c AS (SELECT * FROM p WHERE id <= 1500) SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM c a JOIN c b ON a.id < b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02::DOUBLE")
-def ge6(spark, d):
+def _snapped(p):
     """Close pairs by an equi-join on grid cells: a point's own cell against the neighbours' cells."""
     size = 0.02
-    p = _points(spark, d).where("id <= 1500")
     own = p.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")).alias("cell"))
     near = p.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(near_cells(F.col("x"), F.col("y"), size)).alias("cell"))
     gap = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
     return own.join(near, "cell").where((F.col("a") < F.col("b")) & (gap <= size)).select("a", "b", r(gap).alias("distance"))
 
 
+@query("GE6_snap_pairs", f"WITH {POINTS}, c AS (SELECT * FROM p WHERE id <= 1500) SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM c a JOIN c b ON a.id < b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02::DOUBLE")
+def ge6(spark, d):
+    return _snapped(_points(spark, d).where("id <= 1500"))
+
+
 @query("J9_nearest_zone", f"{N.with_sql('zones')}, {POINTS} SELECT id, min_by(zone, {{'d': round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9), 'z': zone}}) AS zone FROM p, zones GROUP BY id")
 def j9(spark, d):
     """The nearest of a fixed set of 25 zones, held as one array of known size: no pairs of rows are made."""
@@ -321,20 +324,22 @@ def _removed_sql(rounds: int = 5) -> str:
 REMOVED = SCENARIOS + _removed_sql()
 
 
-def _scenarios(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Weights between nodes as they are, and for each removed link: (o, node, c) and (link, o, node, c).
+def _scenarios(spark, d, every: bool) -> tuple[DataFrame, DataFrame]:
+    """Weights between nodes as they are, and for each removed link (the five of the SQL, or every road):
+    (o, node, c) and (link, o, node, c).
 
     All scenarios are searched at once; state is dealt by scenario, origin and node."""
     e = N.edges(spark, d)
-    links = N.roads(spark, d).where("u % 6 = 0 and v = (u + 1) % 25").select(F.col("code").alias("link"))
+    roads = N.roads(spark, d)
+    links = (roads if every else roads.where("u % 6 = 0 and v = (u + 1) % 25")).select(F.col("code").alias("link"))
     nodes = e.select(F.col("u").alias("node")).distinct()
     seeds = nodes.crossJoin(F.broadcast(links)).select("link", F.col("node").alias("o"), "node", F.lit(0.0).alias("c"))
     return _skim(spark, d), G.shortest(e, seeds, group=["link", "o"], banned="link")
 
 
-def _changes(spark, d) -> DataFrame:
+def _changes(spark, d, every: bool = False) -> DataFrame:
     """link, o, d, before, after for every pair that is connected at first; after is null if it isn't any more."""
-    before, after = _scenarios(spark, d)
+    before, after = _scenarios(spark, d, every)
     links = after.select("link").distinct()
     pairs = before.select("o", F.col("node").alias("d"), F.col("c").alias("before")).crossJoin(F.broadcast(links))
     return cut(pairs.join(after.select("link", "o", F.col("node").alias("d"), F.col("c").alias("after")), ["link", "o", "d"], "left"))
@@ -343,42 +348,87 @@ def _changes(spark, d) -> DataFrame:
 CHANGES = REMOVED + ", ch AS (SELECT l.link, s.o, s.d, s.c AS before, x.c AS after FROM skim s CROSS JOIN l LEFT JOIN removed x ON x.link = l.link AND x.o = s.o AND x.d = s.d)"
 
 
-@query("C1_physical_loss", CHANGES + " SELECT link, round(sum(q * (coalesce(after, before + greatest(24, 5 * before)) - before)), 4) AS loss FROM ch JOIN demand USING (o, d) GROUP BY link")
-def c1(spark, d):
+def _physical(spark, d, changes):
     """Demand times added hours; a pair that is cut off costs a day or five times its hours."""
     after = F.coalesce("after", F.col("before") + F.greatest(F.lit(24.0), 5 * F.col("before")))
-    return _changes(spark, d).join(N.demand(spark, d), ["o", "d"]).groupBy("link").agg(r(F.sum(F.col("q") * (after - F.col("before"))), 4).alias("loss"))
+    return changes.join(N.demand(spark, d), ["o", "d"]).groupBy("link").agg(r(F.sum(F.col("q") * (after - F.col("before"))), 4).alias("loss"))
 
 
-@query("C2_social_loss", CHANGES + ", h AS (SELECT link, o, min(before) AS b, min(after) AS a FROM ch WHERE d % 4 = 0 AND d < 25 GROUP BY 1, 2) SELECT link, round(sum(population * greatest(0, coalesce(a, b + 24) - b)) / sum(population), 6) AS loss FROM h JOIN zones ON o = zone GROUP BY link")
-def c2(spark, d):
+@query("C1_physical_loss", CHANGES + " SELECT link, round(sum(q * (coalesce(after, before + greatest(24, 5 * before)) - before)), 4) AS loss FROM ch JOIN demand USING (o, d) GROUP BY link")
+def c1(spark, d):
+    return _physical(spark, d, _changes(spark, d))
+
+
+@query("C1_physical_loss_all_links")
+def c1_all(spark, d):
+    return _physical(spark, d, _changes(spark, d, every=True))
+
+
+def _social(spark, d, changes):
     """Mean added hours to the nearest health facility, weighted by population."""
-    h = _changes(spark, d).where("d % 4 = 0 and d < 25").groupBy("link", F.col("o").alias("zone")).agg(F.min("before").alias("b"), F.min("after").alias("a"))
+    h = changes.where("d % 4 = 0 and d < 25").groupBy("link", F.col("o").alias("zone")).agg(F.min("before").alias("b"), F.min("after").alias("a"))
     added = F.greatest(F.lit(0.0), F.coalesce("a", F.col("b") + 24) - F.col("b"))
     return h.join(N.zones(spark, d), "zone").groupBy("link").agg(r(F.sum(F.col("population") * added) / F.sum("population")).alias("loss"))
 
 
-@query("C3_economic_loss", CHANGES + ", h AS (SELECT link, o, sum(exp(-before / 2)) AS b, sum(coalesce(exp(-after / 2), 0)) AS a FROM ch WHERE d % 5 = 0 AND d < 25 GROUP BY 1, 2) SELECT link, round(sum(activity * greatest(0, b - a)) / sum(activity), 6) AS loss FROM h JOIN zones ON o = zone GROUP BY link")
-def c3(spark, d):
+@query("C2_social_loss", CHANGES + ", h AS (SELECT link, o, min(before) AS b, min(after) AS a FROM ch WHERE d % 4 = 0 AND d < 25 GROUP BY 1, 2) SELECT link, round(sum(population * greatest(0, coalesce(a, b + 24) - b)) / sum(population), 6) AS loss FROM h JOIN zones ON o = zone GROUP BY link")
+def c2(spark, d):
+    return _social(spark, d, _changes(spark, d))
+
+
+@query("C2_social_loss_all_links")
+def c2_all(spark, d):
+    return _social(spark, d, _changes(spark, d, every=True))
+
+
+def _economic(spark, d, changes):
     """Loss of exponential access to gateways, weighted by activity; one that is cut off gives none."""
     access = lambda c: F.sum(F.coalesce(F.exp(-F.col(c) / 2), F.lit(0.0)))
-    h = _changes(spark, d).where("d % 5 = 0 and d < 25").groupBy("link", F.col("o").alias("zone")).agg(access("before").alias("b"), access("after").alias("a"))
+    h = changes.where("d % 5 = 0 and d < 25").groupBy("link", F.col("o").alias("zone")).agg(access("before").alias("b"), access("after").alias("a"))
     return h.join(N.zones(spark, d), "zone").groupBy("link").agg(r(F.sum(F.col("activity") * F.greatest(F.lit(0.0), F.col("b") - F.col("a"))) / F.sum("activity")).alias("loss"))
 
 
-@query("C4_airport_cutoff", CHANGES + ", h AS (SELECT link, o, min(before) AS b, min(after) AS a FROM ch WHERE d % 6 = 0 AND d < 25 GROUP BY 1, 2) SELECT link, round(sum(CASE WHEN a IS NULL THEN population ELSE 0 END) / CAST(sum(population) AS DOUBLE), 6) AS cut_off, round(sum(population * (coalesce(a, b + 24) - b)) / sum(population), 6) AS added FROM h JOIN zones ON o = zone GROUP BY link")
-def c4(spark, d):
-    h = _changes(spark, d).where(f"d % {FACILITY} = 0 and d < 25").groupBy("link", F.col("o").alias("zone")).agg(F.min("before").alias("b"), F.min("after").alias("a"))
+@query("C3_economic_loss", CHANGES + ", h AS (SELECT link, o, sum(exp(-before / 2)) AS b, sum(coalesce(exp(-after / 2), 0)) AS a FROM ch WHERE d % 5 = 0 AND d < 25 GROUP BY 1, 2) SELECT link, round(sum(activity * greatest(0, b - a)) / sum(activity), 6) AS loss FROM h JOIN zones ON o = zone GROUP BY link")
+def c3(spark, d):
+    return _economic(spark, d, _changes(spark, d))
+
+
+@query("C3_economic_loss_all_links")
+def c3_all(spark, d):
+    return _economic(spark, d, _changes(spark, d, every=True))
+
+
+def _airport(spark, d, changes):
+    h = changes.where(f"d % {FACILITY} = 0 and d < 25").groupBy("link", F.col("o").alias("zone")).agg(F.min("before").alias("b"), F.min("after").alias("a"))
     people = F.col("population")
     return h.join(N.zones(spark, d), "zone").groupBy("link").agg(
         r(F.sum(F.when(F.col("a").isNull(), people).otherwise(0)) / F.sum(people)).alias("cut_off"), r(F.sum(people * (F.coalesce("a", F.col("b") + 24) - F.col("b"))) / F.sum(people)).alias("added")
     )
 
 
+@query("C4_airport_cutoff", CHANGES + ", h AS (SELECT link, o, min(before) AS b, min(after) AS a FROM ch WHERE d % 6 = 0 AND d < 25 GROUP BY 1, 2) SELECT link, round(sum(CASE WHEN a IS NULL THEN population ELSE 0 END) / CAST(sum(population) AS DOUBLE), 6) AS cut_off, round(sum(population * (coalesce(a, b + 24) - b)) / sum(population), 6) AS added FROM h JOIN zones ON o = zone GROUP BY link")
+def c4(spark, d):
+    return _airport(spark, d, _changes(spark, d))
+
+
+@query("C4_airport_cutoff_all_links")
+def c4_all(spark, d):
+    return _airport(spark, d, _changes(spark, d, every=True))
+
+
+def _isolated(spark, d, changes):
+    left = changes.groupBy("link", F.col("o").alias("zone")).agg((F.count("after") - 1).alias("n"))
+    return left.join(N.zones(spark, d), "zone").groupBy("link").agg(F.sum(F.when(F.col("n") == 0, F.col("population")).otherwise(0)).alias("isolated"))
+
+
 @query("A5_isolated_population", CHANGES + " SELECT link, CAST(sum(CASE WHEN n = 0 THEN population ELSE 0 END) AS BIGINT) AS isolated FROM (SELECT link, o, count(after) - 1 AS n FROM ch GROUP BY 1, 2) JOIN zones ON o = zone GROUP BY link")
 def a5(spark, d):
-    left = _changes(spark, d).groupBy("link", F.col("o").alias("zone")).agg((F.count("after") - 1).alias("n"))
-    return left.join(N.zones(spark, d), "zone").groupBy("link").agg(F.sum(F.when(F.col("n") == 0, F.col("population")).otherwise(0)).alias("isolated"))
+    return _isolated(spark, d, _changes(spark, d))
+
+
+@query("A5_isolated_population_all_links")
+def a5_all(spark, d):
+    return _isolated(spark, d, _changes(spark, d, every=True))
 
 
 COMPOSITE = N.with_sql("demand", "counts", "zones") + """, s AS (SELECT zone AS link, coalesce((SELECT sum(q) FROM demand WHERE o = zone), 0) AS p, population AS s, activity AS e, coalesce((SELECT max(q) FROM demand WHERE o = zone), 0) AS i FROM zones),

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest tables; the rest by their properties."""
 
+import heapq
 import math
 import os
 
@@ -7,6 +8,7 @@ import duckdb
 import pytest
 
 from roadloom.plans import catalog
+from roadloom.sources import network as N
 
 DATA = "/root/testdata/sf0.001"
 
@@ -58,3 +60,69 @@ def test_skim_obeys_the_triangle_inequality(spark):
         for c in nodes:
             if (b, c) in skim:
                 assert skim[a, c] <= skim[a, b] + skim[b, c] + 1e-5
+
+
+@pytest.fixture(scope="module")
+def removals(duck):
+    """The facts of the network, and for every road the hours between all nodes without it, by Dijkstra."""
+    edges = duck.sql(N.with_sql("edges") + " SELECT u, v, t, code FROM edges").fetchall()
+    zones = {z: (p, a) for z, p, a in duck.sql(N.with_sql("zones") + " SELECT zone, population, activity FROM zones").fetchall()}
+    demand = {(o, d): q for o, d, q in duck.sql(N.with_sql("demand") + " SELECT o, d, q FROM demand").fetchall()}
+
+    def hours(banned):
+        out = {}
+        for o in {e[0] for e in edges}:
+            queue = [(0.0, o)]
+            while queue:
+                c, x = heapq.heappop(queue)
+                if (o, x) not in out:
+                    out[o, x] = c
+                    for u, v, t, code in edges:
+                        if u == x and code != banned:
+                            heapq.heappush(queue, (c + t, v))
+        return out
+
+    return zones, demand, hours(None), {link: hours(link) for link in {e[3] for e in edges}}
+
+
+def scored(removals):
+    """C1 to C4 and A5 by link."""
+    zones, demand, before, without = removals
+    people, worth = sum(p for p, _ in zones.values()), sum(a for _, a in zones.values())
+    out = {}
+    for link, after in without.items():
+        def least(o, every, h):
+            return min((h[o, d] for d in range(0, 25, every) if (o, d) in h), default=None)
+
+        def added(every):
+            gaps = {o: (least(o, every, before), least(o, every, after)) for o in zones}
+            return {o: (b + 24 if a is None else a) - b for o, (b, a) in gaps.items()}, [o for o, (_, a) in gaps.items() if a is None]
+
+        reach = lambda o, h: sum(math.exp(-h[o, d] / 2) for d in range(0, 25, 5) if (o, d) in h)  # noqa: B023, E731
+        (health, _), (air, lost) = added(4), added(6)
+        out[link] = {
+            "C1": sum(q * (after.get(k, before[k] + max(24, 5 * before[k])) - before[k]) for k, q in demand.items()),
+            "C2": sum(zones[o][0] * health[o] for o in zones) / people,
+            "C3": sum(zones[o][1] * max(0.0, reach(o, before) - reach(o, after)) for o in zones) / worth,
+            "C4": (sum(zones[o][0] for o in lost) / people, sum(zones[o][0] * air[o] for o in zones) / people),
+            "A5": sum(zones[o][0] for o in zones if not any((o, d) in after for d in [*range(25), 25, 26, 27, 28] if d != o)),
+        }
+    return out
+
+
+def test_every_link_is_removed(spark, removals):
+    wanted = scored(removals)
+    assert len(wanted) == 37
+    for name, key in (("C1_physical_loss", "loss"), ("C2_social_loss", "loss"), ("C3_economic_loss", "loss"), ("A5_isolated_population", "isolated")):
+        found = {r.link: r[key] for r in catalog.QUERIES[f"{name}_all_links"](spark, DATA).collect()}
+        assert found == pytest.approx({k: x[name[:2]] for k, x in wanted.items()}, abs=2e-4)
+    for row in catalog.QUERIES["C4_airport_cutoff_all_links"](spark, DATA).collect():
+        assert (row.cut_off, row.added) == pytest.approx(wanted[row.link]["C4"], abs=2e-6)
+
+
+def test_fitting_converges(spark, duck):
+    goal = dict(duck.sql(N.with_sql("zones") + " SELECT zone, activity FROM zones").fetchall())
+    rows = catalog.QUERIES["M4_ipf_converged"](spark, DATA).collect()
+    for key in ("o", "d"):
+        sums = {z: sum(r.q for r in rows if r[key] == z) for z in goal}
+        assert sums == pytest.approx(goal, rel=1e-7, abs=0.02)
