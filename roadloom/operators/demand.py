@@ -26,7 +26,7 @@ def balanced(matrix: DataFrame, rows: DataFrame, columns: DataFrame, rounds: int
             matrix = matrix.join(factor, key).select("o", "d", (F.col("q") * F.col("f")).alias("q"))
         matrix = cut(matrix)
         if tolerance > 0:
-            off = matrix.groupBy("o").agg(F.sum("q").alias("s")).join(rows.toDF("o", "p"), "o")
+            off = matrix.groupBy("o").agg(F.sum("q").alias("s")).join(rows.toDF("o", "p").where("p > 0"), "o")
             if (off.agg(F.max(F.abs(F.col("s") / F.col("p") - 1))).head()[0] or 0.0) <= tolerance:
                 break
     return matrix

@@ -76,6 +76,11 @@ def ge6(spark, d):
     return _snapped(_points(spark, d).where("id <= 1500"))
 
 
+@query("GE6_snap_pairs_all")
+def ge6_all(spark, d):
+    return _snapped(_points(spark, d))
+
+
 @query("J9_nearest_zone", f"{N.with_sql('zones')}, {POINTS} SELECT id, min_by(zone, {{'d': round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9), 'z': zone}}) AS zone FROM p, zones GROUP BY id")
 def j9(spark, d):
     """The nearest of a fixed set of 25 zones, held as one array of known size: no pairs of rows are made."""
@@ -260,6 +265,13 @@ def m4(spark, d):
     return D.balanced(_gravity(spark, d), z, z, rounds=8, tolerance=0.0).select("o", "d", r("q", 3).alias("q"))
 
 
+@query("M4_ipf_converged")
+def m4_converged(spark, d):
+    """Fitted until the totals are met within 1e-8, or for 200 rounds."""
+    z = N.zones(spark, d).select("zone", F.col("activity").alias("p"))
+    return D.balanced(_gravity(spark, d), z, z).select("o", "d", r("q", 3).alias("q"))
+
+
 @query("M5_symmetrise", N.with_sql("demand") + " SELECT o, d, q FROM demand")
 def m5(spark, d):
     return N.demand(spark, d)

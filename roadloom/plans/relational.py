@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
 from roadloom.sources import network as N
-from roadloom.sources.stored import table
+from roadloom.sources.stored import cut, table
 
 QUERIES, SQL = {}, {}
 
@@ -113,11 +113,23 @@ def p2(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in names]).alias("label"))
 
 
+def _unpivoted(od, columns):
+    """A wide matrix, with the named columns, read back into long form."""
+    if not columns:
+        return od.where("q > 0").select("o", "d", "q")
+    wide = od.groupBy("o").pivot("d", columns).agg(F.sum("q"))
+    return wide.unpivot("o", [str(k) for k in columns], "d", "q").where("q > 0").select("o", F.col("d").cast("long").alias("d"), "q")
+
+
 @query("S5_matrix_unpivot", N.with_sql("od") + " SELECT o, d, q FROM od WHERE d IN (0, 1, 2, 3) AND q > 0")
 def s5(spark, d):
-    """A wide matrix read back into long form."""
-    wide = N.od(spark, d).groupBy("o").pivot("d", [0, 1, 2, 3]).agg(F.sum("q"))
-    return wide.unpivot("o", ["0", "1", "2", "3"], "d", "q").where("q > 0").select("o", F.col("d").cast("long").alias("d"), "q")
+    return _unpivoted(N.od(spark, d), [0, 1, 2, 3])
+
+
+@query("S5_matrix_unpivot_all")
+def s5_all(spark, d):
+    od = cut(N.od(spark, d))
+    return _unpivoted(od, [x.d for x in od.select("d").distinct().orderBy("d").collect()])
 
 
 @query("S17_positive_edges", N.with_sql("edges") + " SELECT u || '->' || v AS edge_key, t FROM edges WHERE t > 0 AND u IS NOT NULL")
@@ -140,9 +152,18 @@ def j4(spark, d):
 
 @query("J5_alignment", "WITH m AS (SELECT c_custkey AS label, c_mktsegment AS k FROM customer WHERE c_custkey % 50 = 1), z AS (SELECT DISTINCT o_orderpriority AS name, c_mktsegment AS k FROM orders JOIN customer ON o_custkey = c_custkey) SELECT name, z.k, count(label) AS matches, CASE WHEN count(label) = 0 THEN 'missing' WHEN count(label) = 1 THEN 'matched' ELSE 'ambiguous' END AS status, min(label) AS label FROM z LEFT JOIN m ON z.k = m.k GROUP BY 1, 2")
 def j5(spark, d):
+    return _aligned(spark, d, table(spark, d, "customer").where("c_custkey % 50 = 1"))
+
+
+@query("J5_alignment_all")
+def j5_all(spark, d):
+    return _aligned(spark, d, table(spark, d, "customer"))
+
+
+def _aligned(spark, d, labelled):
     """Every zone's labels counted by a shared key: matched, ambiguous or missing."""
     c = table(spark, d, "customer")
-    labels = c.where("c_custkey % 50 = 1").groupBy(F.col("c_mktsegment").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min("c_custkey").alias("label"))
+    labels = labelled.groupBy(F.col("c_mktsegment").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min("c_custkey").alias("label"))
     named = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderpriority").alias("name"), F.col("c_mktsegment").alias("k")).distinct()
     m = F.coalesce("m", F.lit(0))
     status = F.when(m == 0, "missing").when(m == 1, "matched").otherwise("ambiguous")
@@ -181,8 +202,17 @@ def st1(spark, d):
 
 @query("ST2_set_overlap", "WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 97 AS p FROM lineitem WHERE l_suppkey <= 10), n AS (SELECT s, count(*) AS n FROM s GROUP BY 1) SELECT a.s AS a, b.s AS b, count(*) AS shared, round(count(*) / CAST(max(na.n) + max(nb.n) - count(*) AS DOUBLE), 6) AS jaccard FROM s a JOIN s b ON a.p = b.p AND a.s < b.s JOIN n na ON na.s = a.s JOIN n nb ON nb.s = b.s GROUP BY 1, 2")
 def st2(spark, d):
+    return _overlaps(table(spark, d, "lineitem").where("l_suppkey <= 10").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 97).alias("p")).distinct())
+
+
+@query("ST2_set_overlap_all")
+def st2_all(spark, d):
+    """All suppliers, by their parts' own keys."""
+    return _overlaps(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct())
+
+
+def _overlaps(s):
     """Jaccard of pairs that share support, from an equi-join on the elements."""
-    s = table(spark, d, "lineitem").where("l_suppkey <= 10").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 97).alias("p")).distinct()
     n = s.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     own = s.join(n, "s")
     a, b = own.select(F.col("s").alias("a"), "p", F.col("n").alias("na")), own.select(F.col("s").alias("b"), "p", F.col("n").alias("nb"))
