@@ -6,4 +6,4 @@ from . import network, relational
 
 QUERIES: dict = {**relational.QUERIES, **network.QUERIES}
 ORACLE_SQL: dict = {**relational.SQL, **network.SQL}
-flagship = network.flagship
+flagship = network.link_rank

@@ -464,3 +464,38 @@ def flagship(spark, d):
 @query("T3_top_links", COMPOSITE + " SELECT link, round(score, 6) AS score FROM t ORDER BY round(score, 9) DESC, link LIMIT 10")
 def t3(spark, d):
     return flagship(spark, d).orderBy("rank").limit(10).select("link", "score")
+
+
+DIMENSIONS = {"physical": 0.35, "social": 0.25, "economic": 0.25, "interconnected": 0.15}
+#: Weights of the measures within a dimension (`mlpi.py:197-206`): people isolated and added hours to a health facility;
+#: added hours to an airport and people cut off from all.
+MEASURES = {"physical": {"p1": 1.0}, "social": {"s1": 0.4, "s2": 0.6}, "economic": {"e1": 1.0}, "interconnected": {"i1": 0.35, "i2": 0.65}}
+
+
+@query("W1_link_rank")
+def link_rank(spark, d):
+    """Every road by its removal: each measure scaled to 0..1 over all links, those of a dimension weighted, the four
+    dimensions weighted, summed and ranked."""
+    changes = _changes(spark, d, every=True)
+    s = _physical(spark, d, changes).withColumnRenamed("loss", "p1")
+    s = s.join(_isolated(spark, d, changes).withColumnRenamed("isolated", "s1"), "link", "full")
+    s = s.join(_social(spark, d, changes).withColumnRenamed("loss", "s2"), "link", "full")
+    s = s.join(_economic(spark, d, changes).withColumnRenamed("loss", "e1"), "link", "full")
+    s = s.join(_airport(spark, d, changes).toDF("link", "i2", "i1"), "link", "full")
+    every = [m for own in MEASURES.values() for m in own]
+    s = s.select("link", *(F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in every))
+    ends = s.agg(*[f(m).alias(f"{n}_{m}") for m in every for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = lambda m: E.min_max(F.col(m), F.col(f"lo_{m}"), F.col(f"hi_{m}"))
+    s = s.crossJoin(F.broadcast(ends)).select("link", *(sum((w * scaled(m) for m, w in own.items()), F.lit(0.0)).alias(k) for k, own in MEASURES.items()))
+    s = cut(s.withColumn("score", sum((w * F.col(k) for k, w in DIMENSIONS.items()), F.lit(0.0))))
+    place = F.row_number().over(Window.orderBy(F.desc(r("score", 9)), "link"))
+    return s.select("link", *(r(k).alias(k) for k in DIMENSIONS), r("score").alias("score"), place.alias("rank"))
+
+
+@query("T3_top_links_by_dimension")
+def link_tops(spark, d):
+    """The ten links that score highest in each dimension."""
+    s = link_rank(spark, d)
+    s = s.select("link", F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), F.col(k).alias("value")) for k in DIMENSIONS))).alias("x")).select("x.dimension", "link", "x.value")
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("value"), "link"))
+    return s.withColumn("place", place).where("place <= 10")

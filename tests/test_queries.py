@@ -120,6 +120,28 @@ def test_every_link_is_removed(spark, removals):
         assert (row.cut_off, row.added) == pytest.approx(wanted[row.link]["C4"], abs=2e-6)
 
 
+def test_links_are_ranked_over_four_dimensions(spark, removals):
+    wanted = scored(removals)
+
+    def scaled(values):
+        lo, hi = min(values.values()), max(values.values())
+        return {k: (x - lo) / (hi - lo) if hi - lo > 1e-12 else 0.0 for k, x in values.items()}
+
+    c1, c2, c3, a5 = (scaled({k: x[m] for k, x in wanted.items()}) for m in ("C1", "C2", "C3", "A5"))
+    cut_off, added = (scaled({k: x["C4"][i] for k, x in wanted.items()}) for i in (0, 1))
+    parts = {k: (c1[k], 0.4 * a5[k] + 0.6 * c2[k], c3[k], 0.35 * added[k] + 0.65 * cut_off[k]) for k in wanted}
+    rows = catalog.flagship(spark, DATA).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 38))
+    for row in rows:
+        assert (row.physical, row.social, row.economic, row.interconnected) == pytest.approx(parts[row.link], abs=1e-4)
+        assert row.score == pytest.approx(sum(w * x for w, x in zip((0.35, 0.25, 0.25, 0.15), parts[row.link], strict=True)), abs=1e-4)
+    assert [r.score for r in sorted(rows, key=lambda r: r["rank"])] == sorted((r.score for r in rows), reverse=True)
+    tops = catalog.QUERIES["T3_top_links_by_dimension"](spark, DATA).collect()
+    for k in ("physical", "social", "economic", "interconnected"):
+        own = sorted((-r[k], r.link) for r in rows)[:10]
+        assert [(-r.value, r.link) for r in sorted(tops, key=lambda r: r.place) if r.dimension == k] == own
+
+
 def test_whole_tables(spark, duck):
     def same(name, sql):
         df = catalog.QUERIES[name](spark, DATA)
