@@ -7,7 +7,8 @@ once. Places within a conversation are numbered over a range-partitioned sort, s
 size is split among tasks. Each linked call is serialised as canonical JSON: sorted keys, no spaces, shortest numbers.
 
 Defined results: rows without conversation or identifier, and results without a call, are reported as
-`orphan`; of calls (or results) that share an identifier the smallest row counts, other calls are `repeated`;
+`orphan`; of calls (or results) that share an identifier the smallest row counts, others are `repeated` (results without a turn);
+turns without a role are `roleless`;
 a call without a result is `unanswered`; one that refers to a missing call is `dangling`, one in or behind a
 circle `cyclic` (both have no level and come last); null or unparsable arguments are not valid; an empty
 table gives an empty one; other columns are ignored.
@@ -171,7 +172,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], root: s
     results = results.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("call_id").cast("string").alias("call_id"), "content")
     named = "conv_id is not null and call_id is not null"
     own = calls.where(named).groupBy(*KEY).agg(F.min(F.struct("turn", "name", "arguments")).alias("c"), F.count(F.lit(1)).alias("n"))
-    answers = results.where(named).groupBy(*KEY).agg(F.min("content").alias("result"), F.lit(True).alias("answered"))
+    answers = results.where(named).groupBy(*KEY).agg(F.min("content").alias("result"), F.lit(True).alias("answered"), F.count(F.lit(1)).alias("m"))
     joined = own.join(answers.hint("shuffle_hash"), KEY, "left").select(*KEY, "c.*", "n", "result", "answered")
     kinds = "conv_id long, call_id string, turn long, name string, n long, answered boolean, error string, after array<string>, json string"
     checked = joined.select(*KEY, "turn", "name", "n", "answered", "arguments", "result").mapInArrow(_checker(schemas), kinds)
@@ -193,8 +194,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], root: s
     empty = [none("long").alias("position"), none("int").alias("level")]
     again = linked.where("n > 1").select(*KEY, "turn", F.explode(F.sequence(F.lit(2).cast("long"), "n")), *empty, F.lit("repeated").alias("status"), none("string").alias("error"), none("string").alias("json")).drop("col")
     nameless = calls.where(f"not ({named})").select(*KEY, "turn", *empty, F.lit("orphan").alias("status"), none("string").alias("error"), none("string").alias("json"))
-    stray = results.where(f"not ({named})").select(*KEY).unionAll(answers.join(own, KEY, "left_anti").select(*KEY))
+    stray = results.where(f"not ({named})").select(*KEY).unionAll(results.where(named).join(own, KEY, "left_anti").select(*KEY))
     stray = stray.select(*KEY, none("long").alias("turn"), *empty, F.lit("orphan").alias("status"), none("string").alias("error"), none("string").alias("json"))
+    # surplus results of a call; of those without one every row is an orphan
+    surplus = answers.where("m > 1").join(own.select(*KEY), KEY, "left_semi")
+    surplus = surplus.select(*KEY, none("long").alias("turn"), F.explode(F.sequence(F.lit(2).cast("long"), "m")), *empty, F.lit("repeated").alias("status"), none("string").alias("error"), none("string").alias("json")).drop("col")
+    again = again.unionAll(surplus)
     return linked.select(*columns).unionAll(again.select(*columns)).unionAll(nameless.select(*columns)).unionAll(stray.select(*columns))
 
 
@@ -222,5 +227,16 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def roleless(conversations: DataFrame) -> DataFrame:
+    """A row of the columns of `link` for every turn without a role, which is neither call nor result."""
+    none = lambda kind: F.lit(None).cast(kind)
+    turn = F.col("turn").cast("long")
+    own = [F.col("conv_id").cast("long").alias("conv_id"), F.format_string("%d:%d", "conv_id", "turn").alias("call_id"), turn.alias("turn")]
+    return conversations.where("role is null").select(
+        *own, none("long").alias("position"), none("int").alias("level"), F.lit("roleless").alias("status"), none("string").alias("error"), none("string").alias("json")
+    )
+
+
 def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(*calls_of(common.table(spark, sf_dir, "conversations")), SCHEMAS)
+    conversations = common.table(spark, sf_dir, "conversations")
+    return link(*calls_of(conversations), SCHEMAS).unionAll(roleless(conversations))

@@ -357,6 +357,14 @@ def test_tools(spark):
     assert json.loads(by[1, "c2", "answered"].json)["arguments"] == {"a": {"$ref": "c1"}}
 
 
+def test_tools_report_surplus_results_and_missing_roles(spark, tmp_path):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "assistant", "y"), (1, 2, None, "z"), (2, 5, "assistant", "p"), (2, 5, "assistant", "q")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = tools.op7_tool_call_linking(spark, str(tmp_path)).collect()
+    found = sorted((r.call_id, r.status) for r in rows)
+    assert found == [("1:0", "answered"), ("1:0", "repeated"), ("1:2", "roleless"), ("2:4", "orphan"), ("2:4", "orphan")]
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_on_odd_and_empty_tables(spark, docs, k):
     rows = docs.selectExpr("*", "cast(length(text) AS long) AS n_chars")
