@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, as it is written there: a path without scheme
+    belongs to the cluster's default file system. Only a session on one machine gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        base = "file:///tmp/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the folder that the cluster names in spark.checkpoint.dir and read back: the lineage of a
-    loop is cut and survives lost executors."""
+    """Write to the shared folder and read back: the lineage of a loop is cut and survives lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/roadloom-loop-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/roadloom-loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Stored states of a loop; a round's predecessor goes once the round is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, f"{shared_base(spark)}/roadloom-loop-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.root}/{self.n}")
+        if self.n > 1:
+            discard(self.spark, f"{self.root}/{self.n - 1}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
