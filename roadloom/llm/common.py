@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.sources.stored import discard, shared_base
+
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -20,13 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Operators start here, so this is also where Arrow batches are bounded: a task holds a few MB of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{8 << 20}b")
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base:
-        base = f"file://{base}" if base.startswith("/") else base
-    return f"{base.rstrip('/')}/roadloom-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/roadloom-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, name: str = "table", root: str | None = None) -> DataFrame:
@@ -38,6 +34,12 @@ def store(df: DataFrame, name: str = "table", root: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, root: str, *names: str) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for name in names:
+        discard(spark, f"{root}/{name}")
+
+
 def folded(docs: DataFrame, *own: str) -> DataFrame:
     """The own columns, and all others in one named _rest, so that no name can clash with an operator's."""
     rest = [c for c in docs.columns if c not in own]

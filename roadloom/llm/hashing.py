@@ -14,6 +14,8 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of a text whose prefix sums are held at once.
+PART_BYTES = 1 << 22
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -108,7 +110,26 @@ class Words:
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.row_word))
 
     def hashes(self) -> np.ndarray:
-        return windows(prefix_sums(BYTE_VALUES[self.bytes]), self.start, self.end)
+        """Hashes of all words; the sums of a few MB of bytes are held at once, whatever the text."""
+        out, lo = np.empty(len(self.start), dtype=U), 0
+        while lo < len(out):
+            a = int(self.start[lo])
+            if self.end[lo] - a > PART_BYTES:
+                out[lo] = _long_word(self.bytes[a : self.end[lo]])
+                lo += 1
+                continue
+            hi = int(np.searchsorted(self.end, a + PART_BYTES, side="right"))
+            sums = prefix_sums(BYTE_VALUES[self.bytes[a : self.end[hi - 1]]])
+            out[lo:hi] = windows(sums, self.start[lo:hi] - a, self.end[lo:hi] - a)
+            lo = hi
+        return out
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    total = 0
+    for at in range(0, len(data), PART_BYTES):
+        total += int(prefix_sums(BYTE_VALUES[data[at : at + PART_BYTES]])[-1]) * pow(BASE, at, 1 << 64)
+    return mix(np.array([total % (1 << 64)], dtype=U))[0]
 
 
 def row_runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
