@@ -5,8 +5,11 @@ shingles. Documents of one set are a class from then on, so exact copies cost no
 put classes into buckets. Within a bucket no table of all pairs is made: every class is first paired with the
 bucket's most popular one (whose buckets hold the most classes), pairs are estimated jointly by likelihood,
 those that may reach the threshold are verified on the full sets of whole texts, and links become components.
-Only buckets that still hold more than one component are then compared in full, in blocks of a bounded size
-and on registers alone, skipping classes that are already together; what may reach the threshold is verified.
+In buckets that still hold more than one component, the classes outside the largest one visit all of the bucket's classes, in
+blocks of a bounded number of bytes. Blocks carry the full sets, so a task verifies there and then, and hands on only
+links that join components: rows grow with the classes of a bucket, not with its pairs.
+
+A component's node is the smallest (id, hash of text) of each class, so the least node of a component is its head.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; a null id counts as larger
 than every other id and comes back as null; repeated rows are members of one class; an empty table gives an
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, hashing, sketches
@@ -29,13 +32,27 @@ BANDS, ROWS = 26, 5
 M = BANDS * ROWS
 #: A similarity as whole percents: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Standard deviations by which an estimate may fall short of the threshold and still be verified.
-MARGIN = 4.5
-BLOCK = 1024
+#: Standard deviations by which an estimate may fall short of the threshold and still be verified (a chance of 1e-9 to
+#: miss a pair); None verifies every pair that meets in a bucket.
+MARGIN = 6.0
+#: Bytes of sets in a block of a bucket.
+BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 18
 SETS = "_id long, _hash long, n long, cls binary, registers binary"
 
 
+def node_of(id_: Column, hash_: Column) -> Column:
+    """16 bytes that sort as the two numbers do."""
+    part = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), 63))), 16, "0")
+    return F.unhex(F.concat(part(id_), part(hash_)))
+
+
+def number_in(node: Column, which: int) -> Column:
+    """The id (0) or the hash (1) of a node."""
+    value = F.conv(F.hex(F.substring(node, 8 * which + 1, 8)), 16, 10).cast("decimal(20,0)")
+    return (value - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")
+
+
 def _sketcher(shingle: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,68 +87,128 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
-def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, margin: float | None = MARGIN) -> np.ndarray:
     """Whether sets with these registers and sizes may have the similarity."""
     j = percent / 100
     out = np.minimum(n_a, n_b) >= j * np.maximum(n_a, n_b) - 1e-9
     rows = np.flatnonzero(out)
-    if len(rows):
+    if len(rows) and margin is not None:
         a, b = np.broadcast_to(a, b.shape)[rows], b[rows]
         larger, smaller = (a > b).sum(1), (a < b).sum(1)
         found = sketches.similarity(larger, smaller, a.shape[1] - larger - smaller, n_a[rows].astype(float), n_b[rows].astype(float))
-        out[rows] = found >= j - MARGIN * np.sqrt(j * (1 - j) / a.shape[1])
+        out[rows] = found >= j - margin * np.sqrt(j * (1 - j) / a.shape[1])
     return out
 
 
-def _estimator(percent: int):
+def _estimator(percent: int, margin: float | None):
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
-                ok = may_reach(_matrix(batch.column(4)), _matrix(batch.column(5)), n_a, n_b, percent)
+                ok = may_reach(_matrix(batch.column(4)), _matrix(batch.column(5)), n_a, n_b, percent, margin)
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
 
     return estimate
 
 
-def _comparer(percent: int):
-    """Pairs of different components within (band, key, block pair) groups; the rows come sorted by group."""
+def _hasher(shingle: int):
+    """The full set of a text: its distinct shingles' hashes, sorted, as bytes."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            data, offsets = hashing.text_bytes(batch.column(names.index("text")))
+            for lo, hi in hashing.row_runs(offsets, CHUNK_BYTES):
+                hashes, bounds = sketches.shingle_sets(data, offsets[lo : hi + 1], shingle)
+                part = batch.slice(lo, hi - lo)
+                sets = pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(k)) for k in ("node", "n", "registers")), sets], ["node", "n", "registers", "hashes"])
+
+    return full
+
 
-    def pairs_of(group: dict) -> Iterator[tuple]:
-        if group["i"] == group["j"]:
-            sides = [(k, np.arange(k + 1, len(group["cls"]))) for k in range(len(group["cls"]) - 1)]
-        else:
-            right = np.flatnonzero(group["block"] == group["j"])
-            sides = [(k, right) for k in np.flatnonzero(group["block"] == group["i"])]
-        for k, others in sides:
-            others = others[group["label"][others] != group["label"][k]]
-            if not len(others):
+def _verifier(percent: int):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    return verify
+
+
+def _shared(own: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with the sets of the rows."""
+    size = bounds[rows + 1] - bounds[rows]
+    begin = np.cumsum(size) - size
+    part = hashes[np.repeat(bounds[rows] - begin, size) + np.arange(int(size.sum()))]
+    hit = own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part
+    return np.add.reduceat(hit.astype(np.int64), begin)
+
+
+class _Block:
+    """Residents and visitors of one pair of blocks of a bucket."""
+
+    def __init__(self, band: int, rows: list[dict]):
+        self.band, self.node = band, [r["node"] for r in rows]
+        names: dict[bytes, int] = {}
+        self.label = np.array([names.setdefault(r["label"], len(names)) for r in rows])
+        self.parent = list(range(len(names)))
+        self.outside = np.array([r["outside"] for r in rows])
+        self.visits = np.array([r["visits"] for r in rows])
+        self.n = np.array([r["n"] for r in rows])
+        self.order = np.argsort(np.argsort(np.array(self.node, dtype=object)))  # places of the nodes in order
+        self.registers = np.frombuffer(b"".join(r["registers"] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+        self.hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), dtype=np.uint64)
+        self.bounds = np.concatenate(([0], np.cumsum([len(r["hashes"]) // 8 for r in rows])))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            x = self.parent[x]
+        return x
+
+    def links(self, percent: int, margin: float | None) -> Iterator[tuple[bytes, bytes]]:
+        """Links that join components, each pair being seen in the first band that it shares."""
+        residents = np.flatnonzero(~self.visits)
+        for x in np.flatnonzero(self.visits).tolist():
+            roots = np.array([self.root(k) for k in range(len(self.parent))])
+            own = roots[self.label[x]]
+            # two classes outside the largest component visit each other: once is enough
+            rows = residents[(roots[self.label[residents]] != own) & (~self.outside[residents] | (self.order[residents] > self.order[x]))]
+            if not len(rows):
+                continue
+            same = (self.registers[rows] == self.registers[x]).reshape(len(rows), BANDS, ROWS).all(2)
+            rows = rows[same.argmax(1) == self.band]
+            if len(rows):
+                rows = rows[may_reach(self.registers[x], self.registers[rows], np.full(len(rows), self.n[x]), self.n[rows], percent, margin)]
+            if not len(rows):
                 continue
-            a, b = group["registers"][k], group["registers"][others]
-            first = (b == a).reshape(len(others), BANDS, ROWS).all(2).argmax(1) == group["band"]
-            others, b = others[first], b[first]
-            n = np.full(len(others), group["n"][k])
-            for x in others[may_reach(a, b, n, group["n"][others], percent)]:
-                yield group["cls"][k], group["cls"][x]
+            mine = self.hashes[self.bounds[x] : self.bounds[x + 1]]
+            both = _shared(mine, self.hashes, self.bounds, rows)
+            for y in rows[100 * both >= percent * (self.n[x] + self.n[rows] - both)].tolist():
+                a, b = self.root(self.label[x]), self.root(self.label[y])
+                if a != b:
+                    self.parent[a] = b
+                    yield self.node[x], self.node[y]
+
+
+def _comparer(percent: int, margin: float | None):
+    """Links within (band, bucket, i, j) groups; the rows come sorted by group."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         key = None
 
         def flush() -> pa.RecordBatch:
-            group = {"band": key[0], "i": key[2], "j": key[3]}
-            for c in ("cls", "n", "label", "block"):
-                group[c] = np.array([r[c] for r in held])
-            group["cls"], group["label"] = ([r[c] for r in held] for c in ("cls", "label"))
-            names = {x: k for k, x in enumerate(dict.fromkeys(group["label"]))}
-            group["label"] = np.array([names[x] for x in group["label"]])
-            group["registers"] = np.frombuffer(b"".join(r["registers"] for r in held), dtype=np.uint8).reshape(len(held), -1)
-            found = list(pairs_of(group))
-            return pa.RecordBatch.from_arrays([pa.array([sorted(f)[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            found = list(_Block(key[0], held).links(percent, margin))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for row in batch.to_pylist():
-                own = (row["band"], row["key"], row["i"], row["j"])
+                own = (row["band"], row["bucket"], row["i"], row["j"])
                 if own != key and held:
                     yield flush()
                     held = []
@@ -143,100 +220,104 @@ def _comparer(percent: int):
     return compare
 
 
-def _verifier(shingle: int, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
-
-        def set_of(cls: bytes, text: str) -> np.ndarray:
-            if cls not in known:
-                if len(known) >= 256:
-                    known.pop(next(iter(known)))
-                data = text.encode()
-                known[cls] = sketches.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]), shingle)[0]
-            return known[cls]
-
-        for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (0, 1))
-            ok = []
-            for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                p, q = set_of(x, batch.column(2)[k].as_py()), set_of(y, batch.column(3)[k].as_py())
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
-
-    return verify
-
-
 def connected(links: DataFrame, root: str) -> DataFrame:
-    """(v, label): the smallest node of every linked node's component, by alternating large and small stars."""
-    both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    edges = common.store(links.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u != v").distinct(), "edges0", root)
-    before, step = None, 0
+    """(u, label): the smallest node of every linked node's component, by alternating large and small stars.
+
+    Rounds end when the edges are stars: every node has one edge up, and no centre has any."""
+    spark = links.sparkSession
+    edges = common.store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges0", root)
+    step = 0
     while True:
-        step += 1
-        near = both(edges)
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.store(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"edges{step}", root)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).head()
-        if now == before:
+        end = lambda c, up: F.struct(F.col(c).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+        ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             return edges.select("u", F.col("v").alias("label"))
-        before = now
-
-
-def components_of(docs: DataFrame, percent: int = PERCENT, shingle: int = sketches.SHINGLE, root: str | None = None) -> DataFrame:
+        step += 1
+        way = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+        near = edges.select(F.explode(F.array(way("u", "v"), way("v", "u"))).alias("e")).select("e.*")
+        # stored, so that Spark can split a node with very many neighbours in the joins
+        least = common.store(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"least{step}", root)
+        down = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = common.store(down, f"down{step}", root)
+        least_down = common.store(down.groupBy("u").agg(F.min("v").alias("m")), f"small{step}", root)
+        small = down.join(least_down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = common.store(small.unionByName(least_down.select("u", F.col("m").alias("v"))).distinct(), f"edges{step}", root)
+        common.forget(spark, root, f"edges{step - 1}", f"least{step}", f"down{step}", f"small{step}")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """A row per class and band: node, n, band, bucket."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("registers", k * ROWS + 1, F.lit(ROWS))))
+    return classes.select("node", "n", F.posexplode(keys).alias("band", "bucket"))
+
+
+def _visits(told: DataFrame, full: DataFrame, block_bytes: int, root: str) -> DataFrame:
+    """Rows of the buckets with several components, dealt to pairs of blocks (i of residents, j of visitors)."""
+    bucket = ["band", "bucket"]
+    by_label = told.groupBy(*bucket, "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    mixed = by_label.groupBy(*bucket).agg(F.max(F.struct("c", "label", "n")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    blocks = lambda n: F.greatest(F.ceil(8 * n / F.lit(block_bytes)), F.lit(1)).cast("long")
+    mixed = mixed.select(*bucket, F.col("main.label").alias("main"), blocks(F.col("all")).alias("n_i"), blocks(F.col("all") - F.col("main.n")).alias("n_j"))
+    rows = told.join(common.store(mixed, "mixed", root), bucket).withColumn("outside", F.col("label") != F.col("main"))
+    i, j = F.pmod(F.xxhash64("node"), F.col("n_i")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_j"))
+    zero = F.lit(0).cast("long")
+    at_home = F.transform(F.sequence(zero, F.col("n_j") - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(False).alias("visits")))
+    away = F.when(F.col("outside"), F.transform(F.sequence(zero, F.col("n_i") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(True).alias("visits"))))
+    rows = rows.select(*bucket, "node", "label", "outside", F.explode(F.concat(at_home, F.coalesce(away, F.slice(at_home, 1, 0)))).alias("e"))
+    return rows.select(*bucket, "e.*", "node", "label", "outside").join(full, "node")
+
+
+def components_of(
+    docs: DataFrame,
+    percent: int = PERCENT,
+    shingle: int = sketches.SHINGLE,
+    root: str | None = None,
+    margin: float | None = MARGIN,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """A row per document: _id, _hash, n (size of its set), head_id, head_hash (its component's smallest key)."""
-    root = root or common.shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    root = root or common.shared_dir(spark)
     texts = keyed(docs.select("doc_id", "text")).select(*KEYS, "text")
     sets = common.store(texts.mapInArrow(_sketcher(shingle), SETS), "sets", root)
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min(F.struct(*KEYS, "n", "registers")).alias("at"))
-    classes = common.store(classes.select("cls", "at.*"), "classes", root)
-    bands = classes.select(
-        "cls",
-        F.posexplode(
-            F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("registers", k * ROWS + 1, F.lit(ROWS))))
-        ).alias("band", "key"),
-    )
-    sizes = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = common.store(bands.join(sizes, ["band", "key"]), "members", root)
-    popular = members.groupBy("cls").agg(F.sum("size").alias("pop"))
-    some = classes.join(popular.select("cls"), "cls", "left_semi")
-    some_texts = common.store(texts.join(some.select(*KEYS, "cls"), KEYS).dropDuplicates(["cls"]).select("cls", "text"), "texts", root)
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda k: some_texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}"))
-        rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-        return common.store(rows.mapInArrow(_verifier(shingle, percent), "a binary, b binary"), name, root)
-
-    centre = members.join(popular, "cls").groupBy("band", "key").agg(F.max(F.struct("pop", "cls")).alias("c"))
-    star = members.join(centre, ["band", "key"]).where("cls != c.cls")
-    star = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
-    star = common.store(star, "star", root)
-    side = lambda k: some.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}"))
+    classes = sets.where("n > 0").groupBy("cls").agg(F.min(F.struct(*KEYS, "n", "registers")).alias("at")).select("cls", "at.*")
+    classes = common.store(classes.withColumn("node", node_of(F.col("_id"), F.col("_hash"))), "classes", root)
+    bucket = ["band", "bucket"]
+    bands = _buckets(classes)
+    sizes = bands.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = common.store(bands.join(sizes, bucket), "members", root)
+    popular = members.groupBy("node").agg(F.sum("size").alias("pop"))
+    some = classes.join(popular.select("node"), "node", "left_semi").select(*KEYS, "node", "n", "registers")
+    full = texts.join(some, KEYS).dropDuplicates(KEYS).select("node", "n", "registers", "text")
+    full = common.store(full.mapInArrow(_hasher(shingle), "node binary, n long, registers binary, hashes binary"), "full", root)
+
+    centre = members.join(popular, "node").groupBy(*bucket).agg(F.max(F.struct("pop", "node")).alias("c"))
+    centre = common.store(centre.select(*bucket, F.col("c.node").alias("c")), "centre", root)
+    star = members.join(centre, bucket).where("node != c")
+    star = star.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    side = lambda k: full.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}"))
     rows = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-    links = verified(rows.mapInArrow(_estimator(percent), "a binary, b binary"), "links_star")
+    likely = rows.mapInArrow(_estimator(percent, margin), "a binary, b binary")
+    side = lambda k: full.select(F.col("node").alias(k), F.col("hashes").alias(f"h_{k}"))
+    rows = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b")
+    links = common.store(rows.mapInArrow(_verifier(percent), "a binary, b binary"), "links_star", root)
     labels = connected(links, f"{root}/star")
+
     # the rest: buckets that still hold different components
-    told = members.where("size > 2").join(labels.withColumnRenamed("u", "cls"), "cls", "left")
-    told = common.store(told.withColumn("label", F.coalesce("label", "cls")), "told", root)
-    mixed = told.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rest = told.join(mixed.select("band", "key"), ["band", "key"]).join(some.select("cls", "n", "registers"), "cls")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), blocks))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = rest.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label", "n", "registers")
-    group = ["band", "key", "i", "j"]
-    pairs = rest.repartition(*group).sortWithinPartitions(*group).mapInArrow(_comparer(percent), "a binary, b binary").distinct()
-    more = verified(pairs.join(star, ["a", "b"], "left_anti"), "links_rest")
-    labels = connected(links.union(more), f"{root}/all")
-    every = sets.join(labels.withColumnRenamed("u", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    heads = every.where("label is not null").groupBy("label").agg(F.min(F.struct(*KEYS)).alias("head"))
-    every = every.join(heads, "label", "left")
+    told = members.where("size > 2").join(labels.withColumnRenamed("u", "node"), "node", "left")
+    told = common.store(told.select(*bucket, "node", "n", F.coalesce("label", "node").alias("label")), "told", root)
+    group = [*bucket, "i", "j"]
+    rows = _visits(told, full, block_bytes, root).select(*group, "visits", "node", "label", "outside", "n", "registers", "hashes")
+    more = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_comparer(percent, margin), "a binary, b binary")
+    more = common.store(more.distinct(), "links_rest", root)
+    common.forget(spark, root, "members", "full", "centre", "told", "mixed")
+    # a component of the first round is a star already
+    labels = connected(labels.select(F.col("u").alias("a"), F.col("label").alias("b")).unionByName(more), f"{root}/all")
+    head = classes.select("cls", "node").join(labels.withColumnRenamed("u", "node"), "node", "left")
+    head = common.store(head.select("cls", F.coalesce("label", "node").alias("head")), "heads", root)
+    every = sets.join(head, "cls", "left")
     return every.select(
-        *KEYS, "n", F.coalesce("head._id", "_id").alias("head_id"), F.coalesce("head._hash", "_hash").alias("head_hash")
+        *KEYS, "n", F.coalesce(number_in(F.col("head"), 0), "_id").alias("head_id"), F.coalesce(number_in(F.col("head"), 1), "_hash").alias("head_hash")
     )
 
 
