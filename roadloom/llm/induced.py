@@ -34,6 +34,33 @@ def scratch(n: int, dtype, memory_bytes: int) -> np.ndarray:
         return np.memmap(f, dtype=dtype, shape=(n,), mode="w+")
 
 
+class Spool:
+    """Bytes as they arrive: in memory up to a bound, in an unnamed file of the task beyond it."""
+
+    def __init__(self, memory_bytes: int):
+        self.limit, self.parts, self.held, self.size, self.file = memory_bytes, [], 0, 0, None
+
+    def add(self, part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.held += len(part)
+        self.size += len(part)
+        if self.held > self.limit:
+            self.file = self.file or tempfile.TemporaryFile()
+            self._flush()
+
+    def _flush(self) -> None:
+        for x in self.parts:
+            self.file.write(x.tobytes())
+        self.parts, self.held = [], 0
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate(self.parts) if self.parts else np.empty(0, np.uint8)
+        self._flush()
+        self.file.flush()
+        return np.memmap(self.file, dtype=np.uint8, mode="r+", shape=(self.size,))
+
+
 class Minima:
     """A growing array of numbers with minima over any range of it."""
 

@@ -3,9 +3,12 @@
 A string of ``length`` bytes holds exactly one chosen core: of its substrings of CORE bytes the one with the
 smallest hash, the leftmost of equal ones. Equal strings choose equal cores at equal places, so the starts
 that share a core form a record, and starts of different cores never match. One pass over the texts emits
-records of a few numbers; records whose core occurs once are done. The texts around the others, each
+records of a few numbers; records whose core occurs once are done, and so are those of a core that always has the same
+text around it: all its starts are repeated. The texts around the others, each
 distinct one once and with its number of occurrences, go to shards by core, and each shard is sorted by
-external induced sorting (`induced`), which tells which starts have an equal string elsewhere.
+external induced sorting (`induced`), which tells which starts have an equal string elsewhere. A longer string
+that is repeated has a repeated prefix, so the same sort answers for a second, larger length (``longest``): the texts
+around cores only have to reach that far.
 
 Copies are counted before the sort, so a group of any size is one text of its shard. A core whose distinct texts
 fill more than a shard (a common line in many contexts) is split until none does: a string's core lies `p` bytes
@@ -27,11 +30,14 @@ from pyspark.sql import functions as F
 from . import common, hashing, induced
 
 LENGTH = 400
+#: Bytes from which a repeated string counts as a passage: 50 words have 263 at least in the documents of sf0.1.
+PASSAGE = 240
 CORE = 64
 CHUNK_BYTES = 1 << 18
 SHARD_BYTES = 3 << 19
 KEYS = ["_id", "_hash"]
-RECORD = "core long, around long, _id long, _hash long, first int, last int, place int"
+PLACES = ["first", "last", "place", "stop"]
+RECORD = "core long, around long, _id long, _hash long, first int, last int, place int, stop int"
 PIECE = "core0 long, around0 long, first0 int, n long, " + RECORD
 
 
@@ -40,7 +46,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)), "_hash": F.xxhash64("text")})
 
 
-def _emitter(length: int, core: int):
+def _emitter(length: int, longest: int, core: int):
+    """Records: starts first to last of strings around the core at place; the text around ends at stop, where the longest
+    string of the last start or the document ends."""
     width = length - core + 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,42 +56,35 @@ def _emitter(length: int, core: int):
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offsets = hashing.text_bytes(batch.column(2))
             for start in range(int(offsets[0]), int(offsets[-1]) - length + 1, CHUNK_BYTES):
-                part = data[start : min(start + CHUNK_BYTES + length - 1, int(offsets[-1]))]
+                part = data[start : min(start + CHUNK_BYTES + longest - 1, int(offsets[-1]))]
+                n = min(CHUNK_BYTES, len(part) - length + 1)
                 sums = hashing.prefix_sums(hashing.BYTE_VALUES[part])
-                cores = hashing.windows(sums, np.arange(len(part) - core + 1), np.arange(core, len(part) + 1))
+                cores = hashing.windows(sums, np.arange(n + width - 1), np.arange(core, n + width - 1 + core))
                 chosen = hashing.leftmost_minima(cores, width)
-                row = np.searchsorted(offsets, start + np.arange(len(chosen)), side="right") - 1
-                fits = start + np.arange(len(chosen)) + length <= offsets[row + 1]
-                new = np.ones(len(chosen), dtype=bool)
+                row = np.searchsorted(offsets, start + np.arange(n), side="right") - 1
+                fits = start + np.arange(n) + length <= offsets[row + 1]
+                new = np.ones(n, dtype=bool)
                 new[1:] = (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1]) | (fits[1:] != fits[:-1])
                 first = np.flatnonzero(new)
-                last = np.append(first[1:], len(chosen)) - 1
+                last = np.append(first[1:], n) - 1
                 first, last = first[fits[first]], last[fits[first]]
                 own = row[first]
-                around = hashing.windows(sums, first, last + length) ^ (chosen[first] - first).astype(np.uint64)
+                stop = np.minimum(last + longest, offsets[own + 1] - start)
+                around = hashing.windows(sums, first, stop) ^ (chosen[first] - first).astype(np.uint64)
                 shift = start - offsets[own]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashing.signed(cores[chosen[first]])),
-                        pa.array(hashing.signed(around)),
-                        pa.array(ids[own]),
-                        pa.array(keys[own]),
-                        pa.array((first + shift).astype(np.int32)),
-                        pa.array((last + shift).astype(np.int32)),
-                        pa.array((chosen[first] + shift).astype(np.int32)),
-                    ],
-                    ["core", "around", "_id", "_hash", "first", "last", "place"],
-                )
+                columns = [hashing.signed(cores[chosen[first]]), hashing.signed(around), ids[own], keys[own]]
+                columns += [(x + shift).astype(np.int32) for x in (first, last, chosen[first], stop)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "around", *KEYS, *PLACES])
 
     return emit
 
 
-def _splitter(length: int, core: int, width: int):
+def _splitter(length: int, longest: int, core: int, width: int):
     """Pieces by ranges of `width` of the core's place within a string."""
 
     def parts_of(rows: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
-        table = np.array(rows, dtype=np.int64).reshape(len(rows), 9)
-        core0, around0, first0, n, own, first, last, place, key = table.T
+        table = np.array(rows, dtype=np.int64).reshape(len(rows), 10)
+        core0, around0, first0, n, own, first, last, place, stop, key = table.T
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         begin = np.concatenate(([0], np.cumsum([len(x) for x in texts], dtype=np.int64)))[:-1]
         low, high = (place - last) // width, (place - first) // width
@@ -91,15 +92,14 @@ def _splitter(length: int, core: int, width: int):
         cell = np.arange(len(k)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[k]
         a, b = cell * width, np.minimum(cell * width + width - 1, length - core)
         lo, hi = np.maximum(first[k], place[k] - b), np.minimum(last[k], place[k] - a)
+        end = np.minimum(hi + longest, stop[k])
         sums, at = hashing.prefix_sums(hashing.BYTE_VALUES[data]), begin[k] - first[k]
         shared = hashing.windows(sums, at + place[k] - a, at + place[k] - b + length)
         fine = hashing.mix(hashing.mix(key[k].view(np.uint64) ^ shared, 5) ^ cell.astype(np.uint64), 7)
-        around = hashing.windows(sums, at + lo, at + hi + length) ^ (place[k] - lo).astype(np.uint64)
+        around = hashing.windows(sums, at + lo, at + end) ^ (place[k] - lo).astype(np.uint64)
         columns = [core0[k], around0[k], first0[k].astype(np.int32), n[k], hashing.signed(fine), hashing.signed(around), own[k]]
-        columns += [x.astype(np.int32) for x in (lo, hi, place[k])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in columns], ["core0", "around0", "first0", "n", "core", "around", "own", "first", "last", "place"]
-        )
+        columns += [x.astype(np.int32) for x in (lo, hi, place[k], end)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core0", "around0", "first0", "n", "core", "around", "own", *PLACES])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,14 +110,14 @@ def _splitter(length: int, core: int, width: int):
                 made = parts_of(rows, texts)
                 own = made.column(6).to_pylist()
                 columns = [made.column(k) for k in range(6)] + [pa.array([c[x] for x in own], pa.int64()) for c in keys]
-                columns += [made.column(k) for k in (7, 8, 9)]
+                columns += [made.column(k) for k in range(7, 11)]
                 return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECE.split(", ")])
 
             rows, texts, size = [], [], 0
             for k, wanted in enumerate(batch.column(3).to_pylist()):
                 for w in wanted:
-                    rows.append((w["core0"], w["around0"], w["first0"], w["n"], k, w["first"], w["last"], w["place"], w["core"]))
-                    texts.append(data[int(offsets[k]) + w["first"] : int(offsets[k]) + w["last"] + length].tobytes())
+                    rows.append((w["core0"], w["around0"], w["first0"], w["n"], k, w["first"], w["last"], w["place"], w["stop"], w["core"]))
+                    texts.append(data[int(offsets[k]) + w["first"] : int(offsets[k]) + w["stop"]].tobytes())
                     size += len(texts[-1])
                     if size > CHUNK_BYTES:
                         yield flush(rows, texts)
@@ -128,139 +128,161 @@ def _splitter(length: int, core: int, width: int):
     return split
 
 
-def pieces_of(texts: DataFrame, distinct: DataFrame, length: int, core: int, shard_bytes: int, root: str) -> tuple[DataFrame, DataFrame, int, bool]:
+def _distinct(rows: DataFrame, n) -> DataFrame:
+    """Each text around a core once: how often it occurs and where it can be read."""
+    return rows.groupBy("core", "around").agg(n.alias("n"), F.min(F.struct(*KEYS, *PLACES)).alias("at"))
+
+
+def pieces_of(
+    texts: DataFrame, distinct: DataFrame, length: int, longest: int, core: int, shard_bytes: int, root: str
+) -> tuple[DataFrame, DataFrame, int, bool]:
     """Pieces of the distinct texts around cores; each distinct piece once, with n and at; the bytes of those; and
     whether a core was split. No core has more than shard_bytes of distinct pieces."""
-    size = lambda at: F.col(f"{at}last") - F.col(f"{at}first") + length
     pieces = distinct.select(F.col("core").alias("core0"), F.col("around").alias("around0"), F.col("at.first").alias("first0"), "n", "core", "around", "at.*")
     width, split = length - core + 1, False
     while True:
-        by_core = distinct.groupBy("core").agg(F.sum(size("at.")).alias("bytes"))
+        by_core = distinct.groupBy("core").agg(F.sum(F.expr("at.stop - at.first")).alias("bytes"))
         total, hot = by_core.agg(F.sum("bytes"), F.count_if(F.col("bytes") > shard_bytes)).head()
         if not hot or width == 1:
             return pieces, distinct, total or 0, split
         width, split = -(-width // 2), True
         hot = common.store(by_core.where(F.col("bytes") > shard_bytes).select("core"), f"hot{width}", root)
-        own = ["core0", "around0", "first0", "n", "core", "first", "last", "place"]
+        own = ["core0", "around0", "first0", "n", "core", *PLACES]
         # a piece that several texts share goes on with each of them
         wanted = pieces.join(hot, "core", "left_semi").groupBy(*KEYS).agg(F.collect_list(F.struct(*own)).alias("wanted"))
-        parts = texts.join(wanted, KEYS).select(*KEYS, "text", "wanted").mapInArrow(_splitter(length, core, width), PIECE).distinct()
+        parts = texts.join(wanted, KEYS).select(*KEYS, "text", "wanted").mapInArrow(_splitter(length, longest, core, width), PIECE).distinct()
         parts = common.store(parts, f"parts{width}", root)
-        often = parts.groupBy("core").agg(F.sum("n").alias("m")).where("m > 1").select("core")
+        often = common.store(parts.groupBy("core").agg(F.sum("n").alias("m")).where("m > 1").select("core"), f"often{width}", root)
         rest = pieces.join(hot, "core", "left_anti").select(*parts.columns)
         pieces = common.store(rest.unionByName(parts.join(often, "core", "left_semi")), f"pieces{width}", root)
-        distinct = pieces.groupBy("core", "around").agg(F.sum("n").alias("n"), F.min(F.struct(*KEYS, "first", "last", "place")).alias("at"))
-        distinct = common.store(distinct, f"distinct{width}", root)
+        distinct = common.store(_distinct(pieces, F.sum("n")), f"distinct{width}", root)
 
 
-def _cutter(length: int):
+def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text around every wanted record of a document, as bytes."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = hashing.text_bytes(batch.column(0))
-            rows, size = [], 0
-            for k, wanted in enumerate(batch.column(1).to_pylist()):
-                for w in wanted:
-                    lo = int(offsets[k]) + w["first"]
-                    around = data[lo : int(offsets[k]) + w["last"] + length].tobytes()
-                    rows.append((w["core"], w["around"], w["n"], around))
-                    size += len(around)
+    for batch in batches:
+        data, offsets = hashing.text_bytes(batch.column(0))
+        rows, size = [], 0
+        for k, wanted in enumerate(batch.column(1).to_pylist()):
+            for w in wanted:
+                around = data[int(offsets[k]) + w["first"] : int(offsets[k]) + w["stop"]].tobytes()
+                rows.append((w["core"], w["around"], w["n"], w["last"] - w["first"], around))
+                size += len(around)
                 if size > 8 << 20:
                     yield _snippets(rows)
                     rows, size = [], 0
-            yield _snippets(rows)
+        yield _snippets(rows)
 
-    return cut
+
+SNIPPET = "core long, around long, n long, most int, bytes binary"
 
 
 def _snippets(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "around", "n", "bytes"]
-    )
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "around", "n", "most", "bytes"])
 
 
-def repeated_starts(snippets: list[bytes], n: np.ndarray, length: int, memory_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(snippet, start) of every start whose string of that length occurs twice or more, sorted."""
-    sizes = np.array([len(x) + 1 for x in snippets], dtype=np.int64)
+def repeated_starts(
+    text: np.ndarray, sizes: np.ndarray, most: np.ndarray, n: np.ndarray, lengths: tuple[int, ...], memory_bytes: int
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length (snippet, start) of every start, `most` at the latest, whose string of that length occurs twice
+    or more, sorted. text: the snippets, each followed by a 0; sizes: theirs, with that."""
     begins = np.concatenate(([0], np.cumsum(sizes)))
-    text = induced.scratch(int(begins[-1]), np.uint8, memory_bytes)
-    for at, x in zip(begins, snippets, strict=False):
-        text[at : at + len(x)] = np.frombuffer(x, dtype=np.uint8) + 1  # UTF-8 stays below 255
-        text[at + len(x)] = 0
-    order, lcp = induced.suffix_order(text, length, memory_bytes)
-    group = np.cumsum(lcp < length) - 1
-    owner = np.repeat(np.arange(len(snippets), dtype=np.int32), sizes)[order]
+    order, lcp = induced.suffix_order(text, max(lengths), memory_bytes)
+    owner = np.searchsorted(begins, order, side="right").astype(np.int32) - 1
     start = order - begins[owner]
-    mine = start <= sizes[owner] - 1 - length
-    group, owner, start = group[mine], owner[mine], start[mine]
-    twice = np.bincount(group, weights=n[owner]) > 1 if len(group) else np.empty(0, bool)
-    hit = twice[group] if len(group) else np.empty(0, bool)
-    owner, start = owner[hit], start[hit]
-    order = np.lexsort((start, owner))
-    return owner[order], start[order]
+    out = []
+    for length in lengths:
+        mine = start <= np.minimum(most[owner], sizes[owner] - 1 - length)
+        group, own, at = (np.cumsum(lcp < length) - 1)[mine], owner[mine], start[mine]
+        twice = np.bincount(group, weights=n[own]) > 1 if len(group) else np.empty(0, bool)
+        hit = twice[group] if len(group) else np.empty(0, bool)
+        own, at = own[hit], at[hit]
+        by_snippet = np.lexsort((at, own))
+        out.append((own[by_snippet], at[by_snippet]))
+    return out
+
 
+RUN = "core long, around long, lo int, hi int, far boolean"
 
-def _sorter(length: int, memory_bytes: int):
+
+def _sorter(lengths: tuple[int, ...], memory_bytes: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        spool, numbers = induced.Spool(memory_bytes), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(4).cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+            part, size = np.zeros(len(data) + len(column), dtype=np.uint8), np.diff(offsets)
+            part[np.arange(len(data)) + np.repeat(np.arange(len(column)), size)] = data + 1  # UTF-8 stays below 255
+            spool.add(part)
+            numbers.append([*(batch.column(k).to_numpy() for k in range(4)), size + 1])
+        if not numbers:
             return
-        core, around, n = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in range(3))
-        snippets = [x.as_py() for b in parts for x in b.column(3)]
-        del parts
-        owner, start = repeated_starts(snippets, n, length, memory_bytes)
-        new = np.ones(len(owner), dtype=bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(owner)) - 1
-        own = owner[first]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(core[own]), pa.array(around[own]), pa.array(start[first].astype(np.int32)), pa.array(start[last].astype(np.int32))],
-            ["core", "around", "lo", "hi"],
-        )
+        core, around, n, most, sizes = (np.concatenate(x) for x in zip(*numbers, strict=True))
+        for far, (owner, start) in enumerate(repeated_starts(spool.array(), sizes, most, n, lengths, memory_bytes)):
+            new = np.ones(len(owner), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(owner)) - 1
+            own = owner[first]
+            columns = [core[own], around[own], start[first].astype(np.int32), start[last].astype(np.int32), np.full(len(own), bool(far))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "around", "lo", "hi", "far"])
 
     return sort
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE, shard_bytes: int = SHARD_BYTES, root: str | None = None) -> DataFrame:
-    """Runs of starts of repeated strings by document: _id, _hash, runs (array of lo, hi: first and last start)."""
+def _alike(distinct: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Runs of texts around cores that occur twice or more, from end to end."""
+    ends = [(F.expr("at.last - at.first"), False)] + [(F.expr(f"least(at.last, at.stop - {x}) - at.first"), True) for x in lengths[1:]]
+    runs = F.array(*(F.struct(F.lit(0).alias("lo"), hi.cast("int").alias("hi"), F.lit(far).alias("far")) for hi, far in ends))
+    return distinct.select("core", "around", F.explode(runs).alias("r")).select("core", "around", "r.*").where("hi >= 0")
+
+
+def repeated(
+    docs: DataFrame, length: int = LENGTH, core: int = CORE, shard_bytes: int = SHARD_BYTES, root: str | None = None, longest: int | None = None,
+    memory_bytes: int = induced.MEMORY_BYTES,
+) -> DataFrame:
+    """Runs of starts of repeated strings by document: _id, _hash, runs (array of lo, hi: first and last start; far: of
+    strings of the longest length, else of `length`)."""
     spark = docs.sparkSession
-    root = root or common.shared_dir(spark)
+    root, longest = root or common.shared_dir(spark), max(longest or length, length)
+    lengths = (length, longest) if longest > length else (length,)
     texts = keyed(docs)
-    records = common.store(texts.select(*KEYS, "text").mapInArrow(_emitter(length, core), RECORD), "records", root)
-    often = records.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
+    records = common.store(texts.select(*KEYS, "text").mapInArrow(_emitter(length, longest, core), RECORD), "records", root)
+    # what is joined is stored first, so that Spark can split a core with very many rows
+    often = common.store(records.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core"), "often", root)
     found = common.store(records.join(often, "core", "left_semi"), "found", root)
-    distinct = found.groupBy("core", "around").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_hash", "first", "last", "place")).alias("at")
-    )
-    distinct = common.store(distinct, "distinct", root)
-    pieces, distinct, total, split = pieces_of(texts, distinct, length, core, shard_bytes, root)
-    wanted = distinct.groupBy(F.col("at._id").alias("_id"), F.col("at._hash").alias("_hash")).agg(
-        F.collect_list(F.struct("core", "around", "n", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("wanted")
-    )
+    distinct = common.store(_distinct(found, F.count(F.lit(1))), "distinct", root)
+    several = common.store(distinct.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), "several", root)
+    mixed = common.store(distinct.join(several, "core", "left_semi"), "mixed", root)
+    pieces, parts, total, split = pieces_of(texts, mixed, length, longest, core, shard_bytes, root)
+    place = [F.col(f"at.{k}").alias(k) for k in PLACES]
+    wanted = parts.groupBy(*(F.col(f"at.{k}").alias(k) for k in KEYS)).agg(F.collect_list(F.struct("core", "around", "n", *place)).alias("wanted"))
     # the same columns as where the texts are cut, so that they are shuffled once for both
     one_each = texts.join(wanted, KEYS).select("text", "wanted", *(c for c in docs.columns if c != "text"))
-    snippets = one_each.mapInArrow(_cutter(length), "core long, around long, n long, bytes binary")
-    shards = snippets.repartition(max(1, -(-int(total) // shard_bytes)), "core")
-    runs = shards.mapInArrow(_sorter(length, induced.MEMORY_BYTES), "core long, around long, lo int, hi int")
+    shards = one_each.mapInArrow(_cutter, SNIPPET).repartition(max(1, -(-int(total) // shard_bytes)), "core")
+    runs = shards.mapInArrow(_sorter(lengths, memory_bytes), RUN)
     if split:
         moved = (F.col("first") - F.col("first0")).alias("moved")
-        back = pieces.select("core", "around", "core0", "around0", moved).join(runs.dropDuplicates(), ["core", "around"])
+        back = pieces.select("core", "around", "core0", "around0", moved).join(common.store(runs.dropDuplicates(), "sorted", root), ["core", "around"])
         lo, hi = ((F.col(k) + F.col("moved")).alias(k) for k in ("lo", "hi"))
-        runs = back.select(F.col("core0").alias("core"), F.col("around0").alias("around"), lo, hi)
-    hits = found.join(runs.dropDuplicates(), ["core", "around"]).select(
-        *KEYS, F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi")).alias("run")
+        runs = back.select(F.col("core0").alias("core"), F.col("around0").alias("around"), lo, hi, "far")
+    alone = distinct.join(several, "core", "left_anti")
+    runs = common.store(runs.unionByName(_alike(alone, lengths)).dropDuplicates(), "runs", root)
+    hits = found.join(runs, ["core", "around"]).select(
+        *KEYS, F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"), "far").alias("run")
     )
     return hits.groupBy(*KEYS).agg(F.collect_set("run").alias("runs"))
 
 
-def spans_of(runs: list[dict], length: int) -> list[tuple[int, int]]:
+def spans_of(runs: list[dict], length: int, far: bool = False) -> list[tuple[int, int]]:
     """Maximal covered byte ranges of runs of starts."""
     out: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in runs or ()):
+    for lo, hi in sorted((r["lo"], r["hi"]) for r in runs or () if r["far"] == far):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi + length)
         else:
@@ -276,18 +298,24 @@ def kept_bytes(text: str | None, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _remover(length: int, decoded: bool):
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _remover(length: int, short: int | None, decoded: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             text, runs = (batch.column(names.index(k)) for k in ("text", "runs"))
-            spans = [spans_of(r.as_py(), length) for r in runs]
+            runs = runs.to_pylist()
+            spans = [spans_of(r, length, short is not None) for r in runs]
             kept = [kept_bytes(t.as_py(), s) for t, s in zip(text, spans, strict=True)]
             made = {
                 "n_bytes": pa.array([len(k) + sum(b - a for a, b in s) for k, s in zip(kept, spans, strict=True)], pa.int64()),
-                "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPANS),
                 "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary()),
             }
+            if short is not None:
+                made["rest"] = pa.array([kept_bytes(t.as_py(), spans_of(r, short)).decode("utf-8", "ignore") for t, r in zip(text, runs, strict=True)], pa.string())
             columns = [c for c, k in zip(batch.columns, names, strict=True) if k not in ("text", "runs")]
             kept_names = [k for k in names if k not in ("text", "runs")]
             yield pa.RecordBatch.from_arrays([*columns, *made.values()], [*kept_names, *made])
@@ -295,21 +323,22 @@ def _remover(length: int, decoded: bool):
     return remove
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, root: str | None = None, decoded: bool = False, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, root: str | None = None, decoded: bool = False, short: int | None = None, **options) -> DataFrame:
     """The documents' other columns with n_bytes, spans (array of start, end) and kept (the remaining bytes).
 
-    Decoded, kept is text without the characters of which a byte is gone. A column named n_bytes, spans or
-    kept is dropped for the new one."""
-    names = [c for c in docs.columns if c.lower() not in ("n_bytes", "spans", "kept", "text", "runs", "wanted", "_id", "_hash")]
+    Decoded, kept is text without the characters of which a byte is gone. With a shorter length as well, `rest` is the
+    text that is left, decoded, without strings of that length. A column named n_bytes, spans, kept or rest is dropped for
+    the new one."""
+    names = [c for c in docs.columns if c.lower() not in ("n_bytes", "spans", "kept", "rest", "text", "runs", "wanted", "_id", "_hash")]
     docs = docs.select(*names, "text")
-    runs = repeated(docs, length, root=root, **options)
+    runs = repeated(docs, short or length, root=root, longest=length, **options)
     joined = keyed(docs).join(runs, KEYS, "left").select(*names, "text", "runs")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in names]
-    kinds = ", ".join([*fields, "n_bytes long, spans array<struct<start: long, end: long>>", "kept string" if decoded else "kept binary"])
-    return joined.mapInArrow(_remover(length, decoded), kinds)
+    kinds = [*fields, "n_bytes long, spans array<struct<start: long, end: long>>", "kept string" if decoded else "kept binary", *(["rest string"] if short else [])]
+    return joined.mapInArrow(_remover(length, short, decoded), ", ".join(kinds))
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     """The documents without repeated bytes, with their columns: n_chars follows the text, a character of
     which a byte is gone is dropped, and documents without text left go."""
     out = remove_repeats(common.folded(docs, "doc_id", "text"), length, decoded=True)
@@ -320,8 +349,11 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Strings of 400 bytes; and in `text` what is left of a document without passages from PASSAGE bytes on.
+
+    Null texts have no bytes; null ids and repeated rows are documents like others; an empty table gives an empty one."""
+    out = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"), short=PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("rest").alias("text")
     )
