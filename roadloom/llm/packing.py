@@ -12,12 +12,15 @@ sequence by their rank among the pieces of their length.
 from __future__ import annotations
 
 import base64
+import json
+import math
 import os
 import re
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,26 @@ CAPACITY = 2048
 END_ID = 0
 #: Texts of these characters alone have the same ids by a tokenizer file and by its ranks.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\u00a0-\u024f\u2010-\u2027]*")
-#: Bounds of the search (of effort, not of rows): nodes; fillings kept and steps taken per node.
-NODES, FILLINGS, STEPS = 3000, 24, 400
 
+
+@dataclass(frozen=True)
+class Effort:
+    """Bounds of the search (of effort, not of rows; whatever they are, every piece is packed): nodes; of each node the
+    fillings kept, the steps taken, the lengths tried at one place, and the fillings that do once one is full."""
+
+    nodes: float = 3000
+    fillings: float = 24
+    steps: float = 400
+    tried: float = 12
+    enough: float = 4
+
+
+#: Searches until the number of sequences is proven to be the least.
+EXACT = Effort(*[math.inf] * 5)
 Pattern = tuple[tuple[int, ...], int]  # the lengths of one sequence, the number of such sequences
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[int, tuple[int, ...]]]:
+def fillings(lengths: list[int], counts: dict[int, int], room: int, effort: Effort = Effort()) -> list[tuple[int, tuple[int, ...]]]:
     """Undominated fillings of a room as (waste, lengths), least waste first. An item as large as the
     room dominates every other filling; a filling to which some item could be added is dominated by the
     larger one; and a filling is dominated by one that replaces one of its items with a larger one."""
@@ -51,7 +67,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int) -> list[tupl
         steps += 1
         tried = 0
         k = bisect_right(lengths, min(left, most)) - 1
-        while k >= 0 and steps < STEPS and len(found) < FILLINGS:
+        while k >= 0 and steps < effort.steps and len(found) < effort.fillings:
             x = lengths[k]
             k -= 1
             if counts[x] - chosen.count(x) <= 0:
@@ -62,7 +78,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int) -> list[tupl
                 found[tuple(sorted((*chosen, x, rest) if rest else (*chosen, x), reverse=True))] = 0
             else:
                 extend(rest, (*chosen, x), x)
-            if tried > 12 or 0 in found.values() and len(found) > 4:
+            if tried > effort.tried or 0 in found.values() and len(found) > effort.enough:
                 break
         if not tried and chosen:
             found.setdefault(tuple(sorted(chosen, reverse=True)), left)
@@ -121,8 +137,11 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(lengths), n) for groups in open_.values() for lengths, n in groups]
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns that use up the histogram (length: number of pieces, none longer than the capacity)."""
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, effort: Effort = Effort()) -> list[Pattern]:
+    """Patterns that use up the histogram (length: number of pieces, none longer than the capacity).
+
+    The search dives once along the fillings of least waste, whatever best-fit gave, and prefers what it finds there to a
+    best-fit solution of as many sequences; it goes on while the incumbent is above the bound."""
     counts = {x: int(c) for x, c in histogram.items() if c > 0 and x < capacity}
     whole = [((capacity,), int(histogram[capacity]))] if histogram.get(capacity) else []
     total = sum(x * c for x, c in counts.items())
@@ -131,38 +150,39 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[P
     least = -(-total // capacity)
     best = best_fit(counts, capacity)
     best_n = sum(n for _, n in best)
-    nodes = 0
+    nodes, dived = 0, False
     # depth first: (counts left, patterns so far, sequences used, tokens left)
     stack = [(counts, None, 0, total)]
-    while stack and best_n > least and nodes < NODES:
+    while stack and nodes < effort.nodes and (best_n > least or not dived):
         left, path, used, tokens = stack.pop()
-        if used - (-tokens // capacity) >= best_n:  # the space wasted so far rules a better end out
+        if used - (-tokens // capacity) >= best_n + (not dived):  # the space wasted so far rules a better end out
+            dived = True
             continue
         nodes += 1
         if not left:
-            best, best_n = _unrolled(path), used
+            best, best_n, dived = _unrolled(path), used, True
             continue
-        if nodes % 16 == 1:
+        if nodes % 16 == 1 and best_n > least:
             rest = best_fit(left, capacity)
             if used + sum(n for _, n in rest) < best_n:
                 best, best_n = _unrolled(path) + rest, used + sum(n for _, n in rest)
-                if best_n <= least:
-                    break
         lengths = sorted(left)
         top = lengths[-1]
         without = dict(left)
         without[top] -= 1
         branches = []
-        for _, filling in fillings(lengths, without, capacity - top):
+        for _, filling in fillings(lengths, without, capacity - top, effort):
             pattern = (top, *filling)
             uses = Counter(pattern)
-            times = min(left[x] // k for x, k in uses.items())
-            after = dict(left)
-            for x, k in uses.items():
-                after[x] -= k * times
-                if not after[x]:
-                    del after[x]
-            branches.append((after, (path, (pattern, times)), used + times, tokens - times * sum(pattern)))
+            most = min(left[x] // k for x, k in uses.items())
+            # as often as it goes; an exact search may also use it once and choose anew
+            for times in {1, most} if effort is EXACT else {most}:
+                after = dict(left)
+                for x, k in uses.items():
+                    after[x] -= k * times
+                    if not after[x]:
+                        del after[x]
+                branches.append((after, (path, (pattern, times)), used + times, tokens - times * sum(pattern)))
         stack += branches[::-1]  # least waste on top
     return whole + best
 
@@ -190,9 +210,9 @@ def slots(patterns: list[Pattern]) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of a text by a file of the tokenizers library.
+    """Ids of a text by a file of the tokenizers library; strings of its special tokens get those tokens' ids.
 
-    With a rank file of the same vocabulary, texts of Latin letters and common punctuation, where both
+    With a rank file of the same vocabulary, texts of Latin letters and common punctuation without such strings, where both
     libraries are tested to agree, go through tiktoken, which takes a quarter of the time."""
 
     def __init__(self, path: str, ranks_path: str | None = None):
@@ -201,6 +221,8 @@ class Encoder:
             import public_tokenizers
             import tiktoken
 
+            with open(path, encoding="utf-8") as f:
+                self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding(
@@ -208,13 +230,12 @@ class Encoder:
             ).encode_ordinary
 
     def ids(self, text: str) -> list[int]:
-        if self.fast and PLAIN.fullmatch(text):
+        if self.fast and PLAIN.fullmatch(text) and not any(x in text for x in self.special):
             return self.fast(text)
         if self.tokenizer is None:  # only when a text needs it, for its size
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
@@ -284,6 +305,7 @@ def pack(
     tokenizer_path: str | None = None,
     with_ids: bool = False,
     root: str | None = None,
+    effort: Effort = Effort(),
 ) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on request).
 
@@ -302,7 +324,7 @@ def pack(
     per_shard = pieces.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
     # at most `capacity` rows, whatever the corpus
     histogram = {r["length"]: r["n"] for r in per_shard.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = spark.sparkContext.broadcast(slots(complete_bins(histogram, capacity)))
+    table = spark.sparkContext.broadcast(slots(complete_bins(histogram, capacity, effort)))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = per_shard.select("shard", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = pieces.join(first, ["shard", "length"]).withColumn("rank", F.col("first") + F.col("local"))
@@ -312,4 +334,5 @@ def pack(
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are the end id alone; null ids and repeated rows are pieces like others."""
     return pack(common.table(spark, sf_dir, "documents"))
