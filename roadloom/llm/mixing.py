@@ -8,7 +8,12 @@ covers all rows) and gives every document posteriors p over the domains. Documen
 
 (w: tokens of a document, W: all tokens, t: target weights) by projected gradient steps with momentum. A step needs only
 the current domain totals; the rate of a document follows from its posterior and the totals of the steps so
-far, so a step is one distributed sum of a few numbers over a stored table, and no rates are ever kept.
+far, so a step is one distributed sum of a few numbers over a stored table, and no rates are ever kept. The ridge holds
+totals off the targets; what is missing is added to the targets every few steps, until they are met. Targets that no rates
+reach (every document's posterior of a domain above its share, say) are reported by a warning and by `mixture`.
+
+Posteriors are taken to the power SHARPNESS: a calibrated classifier gives every clean text some two percent of toxic, as
+many as have toxic labels without a telling word, and no rates could bring a mixture below that.
 
 Defined results: null and empty texts have no tokens and the rate their posterior (the class shares) gives; null ids and
 repeated rows are rows like others; labels of unknown or null ids are ignored; without labels of two domains or
@@ -18,6 +23,7 @@ without tokens every rate is 1; an empty table gives an empty one; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +41,10 @@ RIDGE = 1e-3
 #: Features get a weight from this number of labelled rows on, whatever their share, if the likelihood-ratio test of
 #: presence against some domain reaches MIN_G (a chance of 1e-4 for one feature).
 MIN_ROWS, MIN_G = 3, 15.0
-STEPS, TOLERANCE = 60, 1e-4
+STEPS, TOLERANCE = 200, 1e-4
+#: Steps between two corrections of the targets for what the ridge holds back.
+PERIOD = 10
+SHARPNESS = 2.0
 CHUNK_BYTES = 1 << 18
 
 
@@ -60,20 +69,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 @dataclass
-class Model:
-    weights: np.ndarray  # kept features x domains
-    bias: np.ndarray
-    kept: np.ndarray  # the features that have weights, sorted
-    history: list[np.ndarray] = field(default_factory=list)  # domain totals minus targets at each step
+class Steps:
+    """The steps of the solver, from which the rate of any document follows."""
 
-    def posteriors(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        at = np.searchsorted(self.kept, feature)
-        known = at < len(self.kept)
-        known[known] = self.kept[at[known]] == feature[known]
-        row, at = row[known], at[known]
-        z = np.stack([np.bincount(row, self.weights[at, k], minlength=n) for k in range(len(self.bias))], axis=1) + self.bias
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+    history: list[np.ndarray] = field(default_factory=list)  # domain totals minus targets at each step
 
     def rates(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
         """Rates after the steps so far, or the point ahead of them where the next gradient is taken."""
@@ -88,6 +87,26 @@ class Model:
         return y if ahead else r
 
 
+@dataclass
+class Model(Steps):
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, len(DOMAINS))))  # kept features x domains
+    bias: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
+    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, int))  # the features that have weights, sorted
+
+    def posteriors(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        at = np.searchsorted(self.kept, feature)
+        known = at < len(self.kept)
+        known[known] = self.kept[at[known]] == feature[known]
+        row, at = row[known], at[known]
+        z = np.stack([np.bincount(row, self.weights[at, k], minlength=n) for k in range(len(self.bias))], axis=1) + self.bias
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
+
+    def sharpened(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        p = self.posteriors(row, feature, n) ** SHARPNESS
+        return p / p.sum(1, keepdims=True)
+
+
 def association(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_classes: int) -> np.ndarray:
     """Of every feature the largest likelihood-ratio statistic of its presence against one class."""
     n, total = len(y), np.bincount(cols, minlength=FEATURES).astype(float)
@@ -113,7 +132,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_classes: int, steps
     rows, cols = rows[keep], cols[keep]
     at = np.searchsorted(kept, cols)
     prior = np.log((np.bincount(y, minlength=n_classes) + 1) / (n + n_classes))
-    model = Model(np.zeros((len(kept), n_classes)), prior, kept)
+    model = Model([], np.zeros((len(kept), n_classes)), prior, kept)
     target = np.eye(n_classes)[y]
     m, v = np.zeros_like(model.weights), np.zeros_like(model.weights)
     for step in range(1, steps + 1):
@@ -142,7 +161,8 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> D
     rows = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").select("doc_id")
     # ids alone are ordered; then their texts are fetched
     chosen = known.join(rows.distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("domain", "text")
+    # of rows that repeat one is taken: the bound on ids is one on rows
+    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.first("domain").alias("domain"), F.min("text").alias("text")).select("domain", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Model | None:
@@ -165,7 +185,7 @@ def _scorer(shared, other: list[str]):
             data, offsets = hashing.text_bytes(batch.column(names.index("text")))
             for lo, hi in hashing.row_runs(offsets, CHUNK_BYTES):
                 row, feature, n = features(data, offsets[lo : hi + 1])
-                p = model.posteriors(row, feature, hi - lo)
+                p = model.sharpened(row, feature, hi - lo)
                 part = batch.slice(lo, hi - lo)
                 columns = {k: part.column(names.index(k)) for k in other}
                 columns |= {"n_tokens": pa.array(n, pa.int64()), "rate": pa.array(model.rates(p))}
@@ -188,22 +208,36 @@ def _totals(shared):
     return sums
 
 
-def solve(model: Model, scores: DataFrame, targets: dict[str, float], steps: int = STEPS) -> None:
-    """Projected gradient over the stored n_tokens and posteriors; adds the steps to the model."""
+def solve(model: Model, scores: DataFrame, targets: dict[str, float], steps: int = STEPS) -> dict[str, float]:
+    """Projected gradient over the stored n_tokens and posteriors; adds the steps to the model. Returns the domains'
+    totals at the end, as shares of all tokens; a warning tells if they aren't the targets."""
     context = scores.sparkSession.sparkContext
     total = scores.agg(F.sum("n_tokens")).head()[0] or 0
     if not total:
-        return
+        return {}
     goal = np.array([targets[k] for k in DOMAINS])
     columns = scores.select("n_tokens", *(f"p_{k}" for k in DOMAINS))
-    for _ in range(steps):
-        shared = context.broadcast(model)
+    missing, now = np.zeros(len(goal)), goal
+    for step in range(1, steps + 1):
+        shared = context.broadcast(Steps(list(model.history)))
         parts = columns.mapInArrow(_totals(shared), ", ".join(f"t{k} double" for k in range(len(DOMAINS))))
         now = np.array(parts.agg(*(F.sum(f"t{k}") for k in range(len(DOMAINS)))).head(), dtype=float) / total
-        model.history.append(np.round(now - goal, 12))
         shared.unpersist()
         if np.abs(now - goal).max() < TOLERANCE:
             break
+        if step % PERIOD == 0:
+            missing += now - goal
+        model.history.append(np.round(now - goal + missing, 12))
+    if np.abs(now - goal).max() > 10 * TOLERANCE:
+        warnings.warn(f"targets {targets} are not met: {dict(zip(DOMAINS, now.round(4).tolist(), strict=True))}", stacklevel=2)
+    return dict(zip(DOMAINS, now.tolist(), strict=True))
+
+
+def mixture(weighted_: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """domain, target, share: what the rates of `weighted` make of each domain, of all tokens of the documents."""
+    sums = weighted_.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{k}")).alias(k) for k in DOMAINS), F.sum("n_tokens").alias("all"))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("domain"), F.lit(float((targets or TARGETS)[k])).alias("target"), (F.col(k) / F.col("all")).alias("share")) for k in DOMAINS)))
+    return sums.select(rows.alias("r")).select("r.*")
 
 
 def weighted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = MAX_LABELLED) -> DataFrame:
@@ -211,7 +245,7 @@ def weighted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in ("n_tokens", "rate", *(f"p_{k}" for k in DOMAINS))]
     docs = docs.select(*names)
-    model = train(docs, labels, bound) or Model(np.zeros((0, len(DOMAINS))), np.zeros(len(DOMAINS)), np.zeros(0, int))
+    model = train(docs, labels, bound) or Model()
     kinds = "n_tokens long, rate double, " + ", ".join(f"p_{k} double" for k in DOMAINS)
     if np.any(model.weights):
         shared = spark.sparkContext.broadcast(model)
@@ -231,6 +265,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no tokens; null ids and repeated rows are rows like others."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = weighted(docs, common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_tokens", *(F.round(f"p_{k}", 6).alias(f"p_{k}") for k in DOMAINS), F.round("rate", 6).alias("rate"))

@@ -106,7 +106,7 @@ def test_suffix_dedup_splits_hot_cores(spark):
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(suffixes, "pieces_of", kept)
         suffixes.remove_repeats(df, 400, shard_bytes=3000)
-    sizes = seen[0][1].selectExpr("core", "at.last - at.first + 400 AS size").groupBy("core").sum("size").collect()
+    sizes = seen[0][1].selectExpr("core", "at.stop - at.first AS size").groupBy("core").sum("size").collect()
     assert seen[0][3] and max(r[1] for r in sizes) <= 3000
 
 
@@ -124,8 +124,10 @@ def test_substring_dedup(docs):
             if first[tuple(w[k : k + 13])] < i:
                 cover[k : k + 13] = [1] * 13
         wanted.append((len(w), sum(cover), b" ".join(x for x, c in zip(w, cover) if not c).decode()))
-    found = [(r.n_words, r.n_removed, r.kept) for r in substrings.remove_copied(docs).collect()]
-    assert sorted(found) == sorted(wanted)
+    for bound in (substrings.FILTER_BYTES, 0):  # by the filter, and by the join beyond its bound
+        for base in (3, 7):
+            found = [(r.n_words, r.n_removed, r.kept) for r in substrings.remove_copied(docs, base=base, filter_bytes=bound).collect()]
+            assert sorted(found) == sorted(wanted)
     assert substrings.levels(13, 5) == [10, 13] and substrings.levels(3, 5) == [3]
 
 
