@@ -34,7 +34,7 @@ LENGTH = 400
 PASSAGE = 240
 CORE = 64
 CHUNK_BYTES = 1 << 18
-SHARD_BYTES = 3 << 19
+SHARD_BYTES = 1 << 20
 KEYS = ["_id", "_hash"]
 PLACES = ["first", "last", "place", "stop"]
 RECORD = "core long, around long, _id long, _hash long, first int, last int, place int, stop int"
