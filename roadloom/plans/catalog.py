@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import network, relational
+from . import network, relational, routing
 
-QUERIES: dict = {**relational.QUERIES, **network.QUERIES}
-ORACLE_SQL: dict = {**relational.SQL, **network.SQL}
-flagship = network.link_rank
+QUERIES: dict = {**relational.QUERIES, **network.QUERIES, **routing.QUERIES}
+ORACLE_SQL: dict = {**relational.SQL, **network.SQL, **routing.SQL}
+flagship = routing.c5

@@ -467,7 +467,7 @@ def t3(spark, d):
 
 
 DIMENSIONS = {"physical": 0.35, "social": 0.25, "economic": 0.25, "interconnected": 0.15}
-#: Weights of the measures within a dimension (`mlpi.py:197-206`): people isolated and added hours to a health facility;
+#: Weights of the measures within a dimension: people isolated and added hours to a health facility;
 #: added hours to an airport and people cut off from all.
 MEASURES = {"physical": {"p1": 1.0}, "social": {"s1": 0.4, "s2": 0.6}, "economic": {"e1": 1.0}, "interconnected": {"i1": 0.35, "i2": 0.65}}
 

@@ -53,9 +53,9 @@ def with_sql(*names: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in order)
 
 
-def skim_sql(rounds: int = 5, weight: str = "t") -> str:
+def skim_sql(rounds: int = 5, weight: str = "t", table: str = "edges") -> str:
     """Least weights between all nodes by min-plus squaring; the last table is `skim` (o, d, c)."""
-    out = [f"d0 AS (SELECT u AS o, v AS d, min({weight}) AS c FROM edges GROUP BY 1, 2 UNION ALL SELECT node, node, 0 FROM nodes)"]
+    out = [f"d0 AS (SELECT u AS o, v AS d, min({weight}) AS c FROM {table} GROUP BY 1, 2 UNION ALL SELECT node, node, 0 FROM nodes)"]
     for k in range(1, rounds + 1):
         name = "skim" if k == rounds else f"d{k}"
         out.append(f"{name} AS (SELECT a.o, b.d, min(a.c + b.c) AS c FROM d{k - 1} a JOIN d{k - 1} b ON a.d = b.o GROUP BY 1, 2)")
