@@ -6,8 +6,9 @@ comments) are cut off by element, role or class word. A wrapper, an element that
 cut though it holds the article (on pages without one, over two thirds of the text), stays and only its controls go;
 reader comments go all the same unless the page's title lies within. In what is left every paragraph passes points for its
 length and its commas to its ancestors, the nearer the more; a container's points are discounted by the share
-of its text that lies in links. The best container is kept, and of its siblings those that score well or read
-like text. Blocks come out in page order, one line each.
+of its text that lies in links. The best container is kept; where an article or main element holds it, that as a whole,
+else of its siblings those that score well, read like text, are headings, lists, tables, quotes or code, or lie between kept ones. Blocks
+come out in page order, one line each.
 
 Defined results: null, empty and unparsable pages give an empty text; a page without scoring paragraphs gives
 what its article, main or body element has left after the cut; repeated rows and null ids are rows like others.
@@ -25,11 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+INNER = re.compile("[<>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 SPACE = re.compile(r"\s+")
 #: Elements by what they do in HTML.
@@ -59,6 +57,8 @@ CUT_WORDS = set(
 #: A class word after one of these says what an element lacks or holds beside its text.
 QUALIFIERS = {"has", "have", "with", "no", "without", "hide", "not"}
 DISCUSSION = set("comment comments commentlist reply replies respond disqus discussion".split())
+#: Words that say nothing of what a part holds: with them alone a class word names the whole part.
+PLAIN_WORDS = set("list box block wrap wrapper container section area bar unit slot item items inner outer".split())
 #: Cut by element, yet a page's wrapper may be one.
 WRAPPERS = {"form"}
 WHOLE = {"article", "main", "body", "html", "#root"}
@@ -66,57 +66,119 @@ SCORED = {"p", "pre", "td", "blockquote", "li", "dd", "figcaption"}
 BASE_POINTS = {"article": 10.0, "main": 10.0, "section": 5.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0}
 BASE_POINTS |= {"li": -3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "h1": -5.0, "h2": -5.0, "th": -5.0}
 MIN_PARAGRAPH = 25
+#: Ancestors that a paragraph's points reach: beyond, less than a hundredth would arrive.
+REACH = 34
+#: Siblings that belong to an article by what they are, unless they are mostly links.
+STAYS = {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "pre", "blockquote", "figure", "hgroup", "details"}
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "size", "links", "reads", "holds", "titled")
+    __slots__ = ("tag", "attributes", "parent", "children", "points", "size", "links", "reads", "holds", "titled", "within")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
-        self.reads, self.holds, self.titled = 0, False, False
+        self.reads, self.holds, self.titled, self.within = 0, False, False, False
+
+
+class _Open:
+    """How many elements of each name are open, so that an end tag that ends nothing costs nothing however deep the page."""
+
+    def __init__(self):
+        self.counts: dict[str, int] = {}
+
+    def add(self, tag: str, n: int) -> None:
+        self.counts[tag] = self.counts.get(tag, 0) + n
+
+    def has(self, tags) -> bool:
+        return any(self.counts.get(t) for t in tags)
+
+    def leave(self, node: Node, to: Node) -> Node:
+        """Close the elements from node up to (not with) one of its ancestors."""
+        while node is not to:
+            self.add(node.tag, -1)
+            node = node.parent
+        return to
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose name ends at a place; -1 if another begins first or it has no end. last: the last place of
+    each quote and of the end of a tag in the page."""
+    while at <= last[">"]:
+        m = INNER.search(page, at)
+        if m is None or m[0] == "<":
+            return -1
+        at = m.end()
+        if m[0] == ">":
+            return at
+        if at <= last[m[0]]:
+            at = page.index(m[0], at) + 1
+    return -1
 
 
 def parse(page: str) -> Node:
+    """The page's tree; every character is looked at a bounded number of times."""
     root = node = Node("#root", "", None)
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            node.children.append(html.unescape(page[at:]))
-            break
-        if m.start() > at:
-            node.children.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+    open_, at, text, n = _Open(), 0, 0, len(page)
+    last = {c: page.rfind(c) for c in "<>\"'"}
+
+    def flush(to: int) -> None:
+        if to > text:
+            node.children.append(html.unescape(page[text:to]))
+
+    while at <= last["<"]:
+        begin = page.index("<", at)
+        if page.startswith(("<!--", "<![CDATA["), begin):
+            mark = "-->" if page.startswith("<!--", begin) else "]]>"
+            end = page.find(mark, begin)
+            flush(begin)
+            at = text = end + 3 if end >= 0 else n
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            end = page.find(">", begin) + 1 if begin < last[">"] else 0
+            if end:
+                flush(begin)
+                text = end
+            at = end or begin + 2
             continue
+        m = NAME.match(page, begin)
+        end = _tag_end(page, m.end(), last) if m else -1
+        if end < 0:
+            at = begin + 1
+            continue
+        flush(begin)
+        at = text = end
         tag = m[2].lower()
         if m[1]:
-            node = _closed(node, tag)
+            node = _closed(node, tag, open_)
             continue
-        if tag in CLOSES_P:
-            node = _ended(node, {"p"}, {"table", "td", "th", "button", "object"})
-        if tag in ENDS:
-            node = _ended(node, *ENDS[tag])
-        child = Node(tag, m[3], node)
+        if tag in CLOSES_P and open_.has("p"):
+            node = open_.leave(node, _ended(node, {"p"}, {"table", "td", "th", "button", "object"}))
+        if tag in ENDS and open_.has(ENDS[tag][0]):
+            node = open_.leave(node, _ended(node, *ENDS[tag]))
+        child = Node(tag, page[m.end() : end - 1], node)
         node.children.append(child)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = text = close.end() if close else n
         elif tag not in VOID:
             node = child
+            open_.add(tag, 1)
+    flush(n)
     return root
 
 
-def _closed(node: Node, tag: str) -> Node:
+def _closed(node: Node, tag: str, open_: _Open) -> Node:
     """The node that is open after an end tag; one that ends nothing is ignored."""
+    if not open_.has((tag,)):
+        return node
     top = node
     while top.parent is not None and top.tag != tag:
         if tag not in BLOCK and top.tag in ("td", "th", "table", "article", "body"):
             return node
         top = top.parent
-    return top.parent if top.parent is not None else node
+    return open_.leave(node, top.parent) if top.parent is not None else node
 
 
 def _ended(node: Node, tags: set[str], fences: set[str]) -> Node:
@@ -134,12 +196,14 @@ def _hidden(node: Node, values: dict[str, str]) -> bool:
     return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I))
 
 
-def _cut_words(names: str) -> set[str]:
+def _cut_words(names: str, within: bool) -> set[str]:
     """The words by which a class or id names a part that is cut; names are split at hyphens, underscores and
-    changes of case."""
+    changes of case. Within an article a name counts only if it says nothing else: related, share-bar, but not related-work."""
     found = set()
     for name in names.split():
         words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if within and any(w and w not in CUT_WORDS and w not in PLAIN_WORDS for w in words):
+            continue
         found |= {w for k, w in enumerate(words) if w in CUT_WORDS and (k == 0 or words[k - 1] not in QUALIFIERS)}
     return found
 
@@ -158,7 +222,7 @@ def _is_cut(node: Node) -> bool:
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attributes)} if node.attributes.strip() else {}
     if _hidden(node, values):
         return True
-    words = _cut_words(f"{values.get('class', '')} {values.get('id', '')}")
+    words = _cut_words(f"{values.get('class', '')} {values.get('id', '')}", node.within)
     if node.holds and (node.titled or DISCUSSION.isdisjoint(words)):
         return False
     return tag in WRAPPERS or values.get("role", "").lower() in CUT_ROLES or bool(words)
@@ -191,9 +255,14 @@ def _prune(root: Node) -> None:
         whole += [longest] if longest.titled or 3 * longest.reads >= root.reads else []
     for node in whole or [x for x in nodes if 3 * x.reads > 2 * root.reads]:
         up = node if not whole else node.parent
-        while up is not None:
+        while up is not None and not up.holds:
             up.holds, up = True, up.parent
+    for node in whole:
+        node.within = True
     for node in _walk(root):
+        for c in node.children:
+            if isinstance(c, Node):
+                c.within |= node.within
         node.children = [c for c in node.children if isinstance(c, str) or not _is_cut(c)]
 
 
@@ -241,11 +310,11 @@ def best_containers(root: Node) -> list[Node]:
             continue
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
         up, level = (node.parent if node.tag in SCORED else node), 0
-        while up is not None and level < 5:
+        while up is not None and level < REACH:
             if id(up) not in scored:
                 scored[id(up)] = up
                 up.points += BASE_POINTS.get(up.tag, 0.0)
-            up.points += points / (1, 2, 6, 9, 12)[level]
+            up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
     if not scored:
         for tag in ("article", "main", "body"):
@@ -254,18 +323,23 @@ def best_containers(root: Node) -> list[Node]:
         return [root]
     score = {k: x.points * (1 - _density(x)) for k, x in scored.items()}
     best = scored[max(score, key=lambda k: score[k])]
+    # an article that holds the best container is kept as it is: what isn't of it has been cut
+    up = best
+    while up is not None:
+        if up.tag in ("article", "main"):
+            return [up]
+        up = up.parent
     least = max(10.0, 0.2 * score[id(best)])
     if best.parent is None:
         return [best]
+    siblings = [c for c in best.parent.children if isinstance(c, Node)]
     kept = []
-    for c in best.parent.children:
-        if not isinstance(c, Node):
-            continue
+    for c in siblings:
         text = _own_text(c) if c.tag == "p" else ""
         reads = c.tag == "p" and (len(text) > 80 and _density(c) < 0.25 or 0 < len(text) <= 80 and not c.links and re.search(r"[.!?](\s|$)", text))
-        if c is best or score.get(id(c), 0.0) >= least or reads:
-            kept.append(c)
-    return kept
+        kept.append(c is best or score.get(id(c), 0.0) >= least or reads or c.tag in STAYS and c.size > 0 and _density(c) < 0.3)
+    first, last = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+    return [c for k, c in enumerate(siblings) if kept[k] or first < k < last and _density(c) < 0.3]
 
 
 def blocks_of(nodes: list[Node]) -> list[str]:
@@ -321,4 +395,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty pages have an empty text; null ids and repeated rows are rows like others."""
     return extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.col("n_chars"))
