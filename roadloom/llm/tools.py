@@ -42,13 +42,18 @@ def canonical(value) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _sound(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _sound(text: str) -> str:
+    """Text that UTF-8 can hold: lone surrogates as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def _is(value, kind: str) -> bool:
     if kind in ("integer", "number"):
         number = isinstance(value, int | float) and not isinstance(value, bool)
-        return number and (kind == "number" or float(value).is_integer())
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, TYPES[kind])
 
 
@@ -111,7 +116,7 @@ def _checker(schemas: dict[str, dict]):
                 except (ValueError, RecursionError):
                     value, error = None, "not JSON"
                     line = canonical({"arguments": None, "id": call_id, "name": name, "result": result})
-                rows.append((error, references(value), line))
+                rows.append((error and _sound(error), [_sound(x) for x in references(value)], line))
             columns = list(zip(*rows, strict=True)) or [()] * 3
             kinds = {"error": pa.string(), "after": pa.list_(pa.string()), "json": pa.string()}
             keep = [c for c in batch.schema.names if c not in ("arguments", "result")]
@@ -128,21 +133,24 @@ def _levels(calls: DataFrame, root: str) -> DataFrame:
     target = calls.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("there"))
     missing = edges.join(target, ["conv_id", "needs"], "left").where("there is null").select(*KEY).distinct()
     needs = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("needed"))
-    open_ = calls.select(*KEY).join(needs, KEY, "left").join(missing.withColumn("dangling", F.lit(True)), KEY, "left")
-    open_ = common.store(open_, "open", root)
-    done = common.store(open_.where("needed is null").select(*KEY, F.lit(0).alias("level")), "level0", root)
-    step, n = 0, done.count()
-    while True:
+    every = calls.select(*KEY).join(needs, KEY, "left").join(missing.withColumn("dangling", F.lit(True)), KEY, "left")
+    every = common.store(every, "every", root)
+    spark = calls.sparkSession
+    fresh = common.store(every.where("needed is null").select(*KEY, F.lit(0).alias("level")), "levels/0", root)
+    left = every.where("needed is not null and dangling is null").select(*KEY, F.col("needed").alias("left"), F.lit(0).alias("top"))
+    left, step = common.store(left, "left0", root), 0
+    while not fresh.isEmpty():
         step += 1
-        ready = done.withColumnRenamed("call_id", "needs").join(edges, ["conv_id", "needs"])
-        ready = ready.groupBy(*KEY).agg(F.count(F.lit(1)).alias("met"), F.max("level").alias("top"))
-        new = open_.where("needed is not null and dangling is null").join(ready, KEY).where("met = needed")
-        done = common.store(done.where("level = 0").unionByName(new.select(*KEY, (F.col("top") + 1).alias("level"))), f"level{step}", root)
-        before, n = n, done.count()
-        if n == before:
-            break
+        # only calls of the last round, and only those that still wait
+        met = fresh.withColumnRenamed("call_id", "needs").join(edges, ["conv_id", "needs"]).groupBy(*KEY).agg(F.count(F.lit(1)).alias("met"), F.max("level").alias("level"))
+        told = left.join(met, KEY, "left").select(*KEY, (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"), F.greatest("top", F.coalesce("level", F.lit(0))).alias("top"))
+        told = common.store(told, f"told{step}", root)
+        fresh = common.store(told.where("left = 0").select(*KEY, (F.col("top") + 1).alias("level")), f"levels/{step}", root)
+        left = common.store(told.where("left > 0"), f"left{step}", root)
+        common.forget(spark, root, f"told{step}", f"left{step - 1}")
+    done = spark.read.schema("conv_id long, call_id string, level int").parquet(*(f"{root}/levels/{k}" for k in range(step + 1)))
     state = F.when(F.col("level").isNotNull(), F.lit("ordered")).when(F.col("dangling"), F.lit("dangling")).otherwise(F.lit("cyclic"))
-    return open_.join(done, KEY, "left").select(*KEY, "level", state.alias("state"))
+    return every.join(done, KEY, "left").select(*KEY, "level", state.alias("state"))
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,5 +246,6 @@ def roleless(conversations: DataFrame) -> DataFrame:
 
 
 def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as calls and results (`calls_of`); every turn has a row, whatever is null in it."""
     conversations = common.table(spark, sf_dir, "conversations")
     return link(*calls_of(conversations), SCHEMAS).unionAll(roleless(conversations))
