@@ -13,7 +13,8 @@ around cores only have to reach that far.
 Copies are counted before the sort, so a group of any size is one text of its shard. A core whose distinct texts
 fill more than a shard (a common line in many contexts) is split until none does: a string's core lies `p` bytes
 in; strings whose p is in one range share all bytes that every string of the range covers, so range and hash of
-those bytes are a finer key. Ranges are halved round by round; at the last, of one p, a key is a whole string. Defined results: a null
+those bytes are a finer key. Ranges are quartered round by round, for the cores that need it alone; at the last, of one p, a key is a
+whole string. Defined results: a null
 text is empty; repeated rows and equal ids are documents like any others (equal rows get equal answers); a null
 id is kept; an empty table gives an empty one; documents shorter than ``length`` keep every byte.
 """
@@ -34,7 +35,8 @@ LENGTH = 400
 PASSAGE = 240
 CORE = 64
 CHUNK_BYTES = 1 << 18
-SHARD_BYTES = 1 << 20
+#: Bytes of texts that a shard is aimed at, and those that one core may have there before it is split.
+SHARD_BYTES, HOT_BYTES = 1 << 20, 6 << 20
 KEYS = ["_id", "_hash"]
 PLACES = ["first", "last", "place", "stop"]
 RECORD = "core long, around long, _id long, _hash long, first int, last int, place int, stop int"
@@ -134,28 +136,36 @@ def _distinct(rows: DataFrame, n) -> DataFrame:
 
 
 def pieces_of(
-    texts: DataFrame, distinct: DataFrame, length: int, longest: int, core: int, shard_bytes: int, root: str
+    texts: DataFrame, distinct: DataFrame, length: int, longest: int, core: int, hot_bytes: int, root: str
 ) -> tuple[DataFrame, DataFrame, int, bool]:
     """Pieces of the distinct texts around cores; each distinct piece once, with n and at; the bytes of those; and
-    whether a core was split. No core has more than shard_bytes of distinct pieces."""
+    whether a core was split. No core has more than hot_bytes of distinct pieces."""
     pieces = distinct.select(F.col("core").alias("core0"), F.col("around").alias("around0"), F.col("at.first").alias("first0"), "n", "core", "around", "at.*")
-    width, split = length - core + 1, False
+    width, total, done = length - core + 1, 0, []
     while True:
         by_core = distinct.groupBy("core").agg(F.sum(F.expr("at.stop - at.first")).alias("bytes"))
-        total, hot = by_core.agg(F.sum("bytes"), F.count_if(F.col("bytes") > shard_bytes)).head()
+        all_, much, hot = by_core.agg(F.sum("bytes"), F.sum(F.when(F.col("bytes") > hot_bytes, F.col("bytes"))), F.count_if(F.col("bytes") > hot_bytes)).head()
         if not hot or width == 1:
-            return pieces, distinct, total or 0, split
-        width, split = -(-width // 2), True
-        hot = common.store(by_core.where(F.col("bytes") > shard_bytes).select("core"), f"hot{width}", root)
+            done.append((pieces, distinct))
+            total += all_ or 0
+            break
+        total += (all_ or 0) - (much or 0)
+        width = -(-width // 4)
+        hot = common.store(by_core.where(F.col("bytes") > hot_bytes).select("core"), f"hot{width}", root)
+        done.append(tuple(x.join(hot, "core", "left_anti") for x in (pieces, distinct)))
         own = ["core0", "around0", "first0", "n", "core", *PLACES]
         # a piece that several texts share goes on with each of them
         wanted = pieces.join(hot, "core", "left_semi").groupBy(*KEYS).agg(F.collect_list(F.struct(*own)).alias("wanted"))
         parts = texts.join(wanted, KEYS).select(*KEYS, "text", "wanted").mapInArrow(_splitter(length, longest, core, width), PIECE).distinct()
         parts = common.store(parts, f"parts{width}", root)
         often = common.store(parts.groupBy("core").agg(F.sum("n").alias("m")).where("m > 1").select("core"), f"often{width}", root)
-        rest = pieces.join(hot, "core", "left_anti").select(*parts.columns)
-        pieces = common.store(rest.unionByName(parts.join(often, "core", "left_semi")), f"pieces{width}", root)
+        pieces = common.store(parts.join(often, "core", "left_semi"), f"pieces{width}", root)
+        common.forget(texts.sparkSession, root, f"parts{width}", f"often{width}")
         distinct = common.store(_distinct(pieces, F.sum("n")), f"distinct{width}", root)
+    every, each = done[0]
+    for more, one in done[1:]:
+        every, each = every.unionByName(more.select(*every.columns)), each.unionByName(one)
+    return every, each, total, len(done) > 1
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +198,14 @@ def repeated_starts(
 ) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length (snippet, start) of every start, `most` at the latest, whose string of that length occurs twice
     or more, sorted. text: the snippets, each followed by a 0; sizes: theirs, with that."""
-    begins = np.concatenate(([0], np.cumsum(sizes)))
+    begins = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
     order, lcp = induced.suffix_order(text, max(lengths), memory_bytes)
     owner = np.searchsorted(begins, order, side="right").astype(np.int32) - 1
     start = order - begins[owner]
     out = []
     for length in lengths:
         mine = start <= np.minimum(most[owner], sizes[owner] - 1 - length)
-        group, own, at = (np.cumsum(lcp < length) - 1)[mine], owner[mine], start[mine]
+        group, own, at = (np.cumsum(lcp < length, dtype=np.int32) - 1)[mine], owner[mine], start[mine]
         twice = np.bincount(group, weights=n[own]) > 1 if len(group) else np.empty(0, bool)
         hit = twice[group] if len(group) else np.empty(0, bool)
         own, at = own[hit], at[hit]
@@ -244,7 +254,7 @@ def _alike(distinct: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
 
 def repeated(
     docs: DataFrame, length: int = LENGTH, core: int = CORE, shard_bytes: int = SHARD_BYTES, root: str | None = None, longest: int | None = None,
-    memory_bytes: int = induced.MEMORY_BYTES,
+    memory_bytes: int = induced.MEMORY_BYTES, hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
     """Runs of starts of repeated strings by document: _id, _hash, runs (array of lo, hi: first and last start; far: of
     strings of the longest length, else of `length`)."""
@@ -259,7 +269,7 @@ def repeated(
     distinct = common.store(_distinct(found, F.count(F.lit(1))), "distinct", root)
     several = common.store(distinct.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), "several", root)
     mixed = common.store(distinct.join(several, "core", "left_semi"), "mixed", root)
-    pieces, parts, total, split = pieces_of(texts, mixed, length, longest, core, shard_bytes, root)
+    pieces, parts, total, split = pieces_of(texts, mixed, length, longest, core, hot_bytes, root)
     place = [F.col(f"at.{k}").alias(k) for k in PLACES]
     wanted = parts.groupBy(*(F.col(f"at.{k}").alias(k) for k in KEYS)).agg(F.collect_list(F.struct("core", "around", "n", *place)).alias("wanted"))
     # the same columns as where the texts are cut, so that they are shuffled once for both
@@ -279,23 +289,37 @@ def repeated(
     return hits.groupBy(*KEYS).agg(F.collect_set("run").alias("runs"))
 
 
-def spans_of(runs: list[dict], length: int, far: bool = False) -> list[tuple[int, int]]:
-    """Maximal covered byte ranges of runs of starts."""
-    out: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in runs or () if r["far"] == far):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + length)
-        else:
-            out.append([lo, hi + length])
-    return [(a, b) for a, b in out]
+def spans_of(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal covered byte ranges (row, start, end) of the runs of starts of a batch of rows."""
+    order = np.lexsort((lo, row))
+    row, lo, end = row[order], lo[order], hi[order] + length
+    far = np.int64(1) << 40  # beyond any place in a text
+    reach = np.maximum.accumulate(end + row * far) - row * far if len(row) else end
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (lo[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    return row[first], lo[first], reach[np.append(first[1:], len(row)) - 1] if len(row) else reach
 
 
-def kept_bytes(text: str | None, spans: list[tuple[int, int]]) -> bytes:
-    data, out, at = (text or "").encode(), [], 0
-    for a, b in spans:
-        out.append(data[at:a])
-        at = b
-    return b"".join([*out, data[at:]])
+def _kept(data: np.ndarray, offsets: np.ndarray, spans: tuple, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of a batch's bytes, and its offsets; whole: without characters of which a byte is gone."""
+    row, start, end = spans
+    base = int(offsets[0])
+    edge = np.zeros(int(offsets[-1]) - base + 1, dtype=np.int8)
+    edge[offsets[row] - base + start] += 1  # spans of a row don't touch
+    edge[offsets[row] - base + end] -= 1
+    gone = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    part = data[base : int(offsets[-1])]
+    if whole and gone.any():
+        head = np.flatnonzero((part & 0xC0) != 0x80)  # first bytes of characters
+        gone = np.repeat(np.logical_or.reduceat(gone, head), np.diff(np.append(head, len(part))))
+    return part[~gone], np.concatenate(([0], np.cumsum(~gone, dtype=np.int64)))[offsets - base]
+
+
+def _column(kept: tuple[np.ndarray, np.ndarray], kind: pa.DataType) -> pa.Array:
+    data, offsets = kept
+    large = pa.large_string() if kind == pa.string() else pa.large_binary()
+    return pa.Array.from_buffers(large, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(kind)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -305,20 +329,24 @@ def _remover(length: int, short: int | None, decoded: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            text, runs = (batch.column(names.index(k)) for k in ("text", "runs"))
-            runs = runs.to_pylist()
-            spans = [spans_of(r, length, short is not None) for r in runs]
-            kept = [kept_bytes(t.as_py(), s) for t, s in zip(text, spans, strict=True)]
+            data, offsets = hashing.text_bytes(batch.column(names.index("text")))
+            runs = batch.column(names.index("runs"))
+            run, row = runs.flatten(), np.repeat(np.arange(len(runs)), pa.compute.fill_null(pa.compute.list_value_length(runs), 0).to_numpy())
+            lo, hi = (run.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "hi"))
+            far = run.field("far").to_numpy(zero_copy_only=False).astype(bool)
+            own = far == (short is not None)
+            spans = spans_of(row[own], lo[own], hi[own], length)
+            cuts = np.searchsorted(spans[0], np.arange(len(runs) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(spans[1], pa.int64()), pa.array(spans[2], pa.int64())], ["start", "end"])
             made = {
-                "n_bytes": pa.array([len(k) + sum(b - a for a, b in s) for k, s in zip(kept, spans, strict=True)], pa.int64()),
-                "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPANS),
-                "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if decoded else pa.array(kept, pa.binary()),
+                "n_bytes": pa.array(np.diff(offsets), pa.int64()),
+                "spans": pa.ListArray.from_arrays(pa.array(cuts), pairs).cast(SPANS),
+                "kept": _column(_kept(data, offsets, spans, decoded), pa.string() if decoded else pa.binary()),
             }
             if short is not None:
-                made["rest"] = pa.array([kept_bytes(t.as_py(), spans_of(r, short)).decode("utf-8", "ignore") for t, r in zip(text, runs, strict=True)], pa.string())
-            columns = [c for c, k in zip(batch.columns, names, strict=True) if k not in ("text", "runs")]
-            kept_names = [k for k in names if k not in ("text", "runs")]
-            yield pa.RecordBatch.from_arrays([*columns, *made.values()], [*kept_names, *made])
+                made["rest"] = _column(_kept(data, offsets, spans_of(row[~far], lo[~far], hi[~far], short), True), pa.string())
+            columns = {k: c for k, c in zip(names, batch.columns, strict=True) if k not in ("text", "runs")} | made
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     return remove
 
@@ -349,11 +377,12 @@ def cleaned(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes; and in `text` what is left of a document without passages from PASSAGE bytes on.
+    """Strings of 400 bytes; and what is left of a document as `text` (a character of which a byte is gone is U+FFFD).
 
     Null texts have no bytes; null ids and repeated rows are documents like others; an empty table gives an empty one."""
-    out = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"), short=PASSAGE)
+    out = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
     return out.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("rest").alias("text")
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text.alias("text")
     )
