@@ -1,0 +1,330 @@
+"""Geometry over polylines: lines are arrays of points, all work stays in column expressions and equi-joins on grid cells."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from roadloom.functions import exprs as E
+from roadloom.operators import graph as G
+from roadloom.plans.network import POINTS, _points, near_cells
+from roadloom.sources import network as N
+from roadloom.sources.stored import cut, table
+
+QUERIES, SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+r6 = lambda c: F.round(c, 6)
+
+# every road between zones as a line of three points: its ends, and a bend beside the middle
+BENDS = N.with_sql("zones", "roads") + """, g AS (SELECT code, len, a.lon AS x1, a.lat AS y1, (a.lon + b.lon) / 2 + 0.1::DOUBLE AS x2, (a.lat + b.lat) / 2 + 0.07::DOUBLE AS y2, b.lon AS x3, b.lat AS y3
+ FROM roads JOIN zones a ON u = a.zone JOIN zones b ON v = b.zone)"""
+
+
+def lines(spark, d) -> DataFrame:
+    """code, len, pts (array of x, y)."""
+    z = N.zones(spark, d).select("zone", "lon", "lat")
+    a, b = z.toDF("u", "x1", "y1"), z.toDF("v", "x3", "y3")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    middle = point((F.col("x1") + F.col("x3")) / 2 + 0.1, (F.col("y1") + F.col("y3")) / 2 + 0.07)
+    return N.roads(spark, d).join(a, "u").join(b, "v").select("code", "len", F.array(point(F.col("x1"), F.col("y1")), middle, point(F.col("x3"), F.col("y3"))).alias("pts"))
+
+
+def segments(pts: Column) -> Column:
+    """Pairs (a, b) of neighbouring points."""
+    n = F.size(pts) - 1
+    return F.zip_with(F.slice(pts, 1, n), F.slice(pts, 2, n), lambda a, b: F.named_struct(F.lit("a"), a, F.lit("b"), b))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def length_km(pts: Column) -> Column:
+    return total(F.transform(segments(pts), lambda s: E.distance_km(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
+
+
+def _km(a: str, b: str) -> str:
+    return f"111.0::DOUBLE * sqrt(pow((x{a} - x{b}) * cos(radians((y{a} + y{b}) / 2)), 2) + pow(y{a} - y{b}, 2))"
+
+
+@query("GE4_polyline_km", BENDS + f" SELECT code, round({_km('1', '2')} + {_km('2', '3')}, 6) AS km FROM g")
+def ge4(spark, d):
+    return lines(spark, d).select("code", r6(length_km(F.col("pts"))).alias("km"))
+
+
+@query("GE16_midpoint", BENDS + " SELECT code, round(x2, 6) AS x, round(y2, 6) AS y FROM g")
+def ge16(spark, d):
+    """The middle vertex."""
+    p = F.element_at("pts", (F.floor(F.size("pts") / 2) + 1).cast("int"))
+    return lines(spark, d).select("code", r6(p["x"]).alias("x"), r6(p["y"]).alias("y"))
+
+
+def _seg_sql(px: str, py: str, a: str, b: str) -> str:
+    dx, dy = f"(x{b} - x{a})", f"(y{b} - y{a})"
+    t = f"greatest(0, least(1, (({px} - x{a}) * {dx} + ({py} - y{a}) * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
+    return f"sqrt(pow({px} - x{a} - {t} * {dx}, 2) + pow({py} - y{a} - {t} * {dy}, 2))"
+
+
+def line_distance(px: Column, py: Column, pts: Column) -> Column:
+    """From a point to the nearest segment of a line."""
+    return F.array_min(F.transform(segments(pts), lambda s: E.segment_distance(px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
+
+
+@query("GE5_point_polyline", BENDS + f" SELECT code, round(least({_seg_sql('84.0', '27.5', '1', '2')}, {_seg_sql('84.0', '27.5', '2', '3')}), 6) AS distance FROM g")
+def ge5(spark, d):
+    return lines(spark, d).select("code", r6(line_distance(F.lit(84.0), F.lit(27.5), F.col("pts"))).alias("distance"))
+
+
+@query("GE2_line_parts", BENDS + " SELECT code, 0 AS part, 2 AS points FROM g UNION ALL SELECT code, 1, 3 FROM g WHERE len > 40")
+def ge2(spark, d):
+    """Multi-part lines as one row a part; parts of fewer than two points go."""
+    pts = F.col("pts")
+    parts = F.array(F.slice(pts, 1, 2), F.when(F.col("len") > 40, pts).otherwise(F.slice(pts, 1, 1)))
+    rows = lines(spark, d).select("code", F.posexplode(parts).alias("part", "p")).where(F.size("p") >= 2)
+    return rows.select("code", "part", F.size("p").alias("points"))
+
+
+@query("GE1_clean_lines", BENDS + " SELECT min(code) AS code, count(*) AS copies FROM (SELECT code, x1, y1, x2, y2, x3, y3 FROM g UNION ALL SELECT code || 'b', x1, y1, x2, y2, x3, y3 FROM g WHERE len > 40) GROUP BY x1, y1, x2, y2, x3, y3")
+def ge1(spark, d):
+    """Rows without geometry go, and of equal geometries the first stays."""
+    g = lines(spark, d)
+    again = g.where("len > 40").withColumn("code", F.concat("code", F.lit("b")))
+    none = g.withColumn("pts", F.when(F.col("len") < 0, F.col("pts")))
+    every = g.unionByName(again).unionByName(none).where("pts is not null and size(pts) > 1")
+    return every.groupBy("pts").agg(F.min("code").alias("code"), F.count(F.lit(1)).alias("copies")).select("code", "copies")
+
+
+@query("GE3_centroid", BENDS + f" SELECT code, round(({_km('1', '2')} * (x1 + x2) / 2 + {_km('2', '3')} * (x2 + x3) / 2) / ({_km('1', '2')} + {_km('2', '3')}), 6) AS x, round(({_km('1', '2')} * (y1 + y2) / 2 + {_km('2', '3')} * (y2 + y3) / 2) / ({_km('1', '2')} + {_km('2', '3')}), 6) AS y FROM g")
+def ge3(spark, d):
+    """The centre of a line, its segments weighted by their lengths."""
+    size = lambda s: E.distance_km(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
+    centre = lambda c: total(F.transform(segments(F.col("pts")), lambda s: size(s) * (s["a"][c] + s["b"][c]) / 2)) / length_km(F.col("pts"))
+    return lines(spark, d).select("code", r6(centre("x")).alias("x"), r6(centre("y")).alias("y"))
+
+
+@query("GE6_snapped_points", f"WITH RECURSIVE {POINTS}, e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02::DOUBLE), w AS (SELECT id AS a, id AS b FROM p UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a), r AS (SELECT a AS id, min(b) AS root FROM w GROUP BY a) SELECT r.id, root, round_even(p.x, 3) AS x, round_even(p.y, 3) AS y FROM r JOIN p ON p.id = root")
+def ge6(spark, d):
+    """Points within 0.02 of each other, and those of their neighbours, become one: that of the smallest id, rounded."""
+    p, size = _points(spark, d), 0.02
+    # points of one place are one node of the search for pairs, however many there are
+    places = cut(p.groupBy("x", "y").agg(F.min("id").alias("node")))
+    own = places.select(F.col("node").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")).alias("cell"))
+    near = places.select(F.col("node").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(near_cells(F.col("x"), F.col("y"), size)).alias("cell"))
+    gap = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
+    close = cut(own.join(near, "cell").where((F.col("u") != F.col("v")) & (gap <= size)).select("u", "v").distinct())
+    root = G.components(close, places.select("node"))
+    at = places.select(F.col("node").alias("label"), F.bround("x", 3).alias("rx"), F.bround("y", 3).alias("ry"))
+    of_place = places.join(root, "node").join(at, "label").select("x", "y", F.col("label").alias("root"), "rx", "ry")
+    return p.join(of_place, ["x", "y"]).select("id", "root", F.col("rx").alias("x"), F.col("ry").alias("y"))
+
+
+CROSS = """, s AS (SELECT code, 1 AS k, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS by FROM g UNION ALL SELECT code, 2, x2, y2, x3, y3 FROM g),
+ c0 AS (SELECT s.code, s.k, t.code AS other, t.k AS other_k, s.ax, s.ay, s.bx, s.by, (s.bx - s.ax) * (t.by - t.ay) - (s.by - s.ay) * (t.bx - t.ax) AS den, (t.ax - s.ax) * (t.by - t.ay) - (t.ay - s.ay) * (t.bx - t.ax) AS num, (t.ax - s.ax) * (s.by - s.ay) - (t.ay - s.ay) * (s.bx - s.ax) AS mum FROM s JOIN s t ON s.code <> t.code),
+ c1 AS (SELECT *, num / den AS t, mum / den AS q FROM c0 WHERE abs(den) > 1e-12::DOUBLE), c2 AS (SELECT * FROM c1 WHERE t > 1e-6::DOUBLE AND t < 1 - 1e-6::DOUBLE AND q >= 0 AND q <= 1)"""
+
+
+def crossings(g: DataFrame, size: float = 0.5) -> DataFrame:
+    """code, k (segment), t (place on it) and the point where another line crosses; found by an equi-join on grid cells that both
+    segments' boxes touch. Parallel lines don't cross; a line's own ends don't count."""
+    s = g.select("code", F.posexplode(segments(F.col("pts"))).alias("k", "s")).select("code", (F.col("k") + 1).alias("k"), "s.a", "s.b")
+    span = lambda c: F.sequence(F.floor(F.least(F.col("a")[c], F.col("b")[c]) / size), F.floor(F.greatest(F.col("a")[c], F.col("b")[c]) / size))
+    cells = F.flatten(F.transform(span("x"), lambda i: F.transform(span("y"), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    cells = s.select("*", F.explode(cells).alias("cell"))
+    other = cells.select(F.col("code").alias("other"), F.col("k").alias("other_k"), F.col("a").alias("c"), F.col("b").alias("e"), "cell")
+    pairs = cells.join(other, "cell").where("code <> other").drop("cell").dropDuplicates(["code", "k", "other", "other_k"])
+    x, y = (lambda p, q: F.col(q)["x"] - F.col(p)["x"]), (lambda p, q: F.col(q)["y"] - F.col(p)["y"])
+    den = x("a", "b") * y("c", "e") - y("a", "b") * x("c", "e")
+    t = F.when(F.abs(den) > 1e-12, (x("a", "c") * y("c", "e") - y("a", "c") * x("c", "e")) / den)
+    q = F.when(F.abs(den) > 1e-12, (x("a", "c") * y("a", "b") - y("a", "c") * x("a", "b")) / den)
+    found = pairs.select("code", "k", "a", "b", t.alias("t"), q.alias("q")).where((F.col("t") > 1e-6) & (F.col("t") < 1 - 1e-6) & (F.col("q") >= 0) & (F.col("q") <= 1))
+    at = lambda c: F.col("a")[c] + F.col("t") * (F.col("b")[c] - F.col("a")[c])
+    return found.select("code", "k", F.round("t", 9).alias("t"), F.round(at("x"), 6).alias("x"), F.round(at("y"), 6).alias("y")).distinct()
+
+
+@query("GE7_crossings", BENDS + CROSS + " SELECT code, count(DISTINCT (k, round(t, 9))) + 1 AS pieces FROM c2 GROUP BY code")
+def ge7(spark, d):
+    """Lines split where another crosses them: the number of pieces of each that is split."""
+    found = crossings(lines(spark, d)).select("code", "k", "t").distinct()
+    return found.groupBy("code").agg((F.count(F.lit(1)) + 1).alias("pieces"))
+
+
+@query("GE7_split_length", BENDS + CROSS + ", u AS (SELECT DISTINCT code, k, round(t, 9) AS t FROM c2), l AS (SELECT s.code, s.k, sqrt(pow(s.bx - s.ax, 2) + pow(s."by" - s.ay, 2)) AS size FROM s) SELECT u.code, count(*) AS cuts, round(sum(u.t * size), 5) AS before FROM u JOIN l ON l.code = u.code AND l.k = u.k GROUP BY u.code")
+def ge7b(spark, d):
+    g = lines(spark, d)
+    size = g.select("code", F.posexplode(segments(F.col("pts"))).alias("k", "s")).select("code", (F.col("k") + 1).alias("k"), F.sqrt(F.pow(F.col("s.b.x") - F.col("s.a.x"), 2) + F.pow(F.col("s.b.y") - F.col("s.a.y"), 2)).alias("size"))
+    cuts = crossings(g).select("code", "k", "t").distinct()
+    return cuts.join(size, ["code", "k"]).groupBy("code").agg(F.count(F.lit(1)).alias("cuts"), F.round(F.sum(F.col("t") * F.col("size")), 5).alias("before"))
+
+
+@query("GE8_shared_vertices", BENDS + ", v AS (SELECT code, round_even(x1, 5) AS x, round_even(y1, 5) AS y FROM g UNION SELECT code, round_even(x2, 5), round_even(y2, 5) FROM g UNION SELECT code, round_even(x3, 5), round_even(y3, 5) FROM g) SELECT x, y, count(*) AS features FROM v GROUP BY x, y HAVING count(*) > 1")
+def ge8(spark, d):
+    """Vertices that more than one line has: where lines are split."""
+    v = lines(spark, d).select("code", F.explode("pts").alias("p")).select("code", F.bround("p.x", 5).alias("x"), F.bround("p.y", 5).alias("y")).distinct()
+    return v.groupBy("x", "y").agg(F.count(F.lit(1)).alias("features")).where("features > 1")
+
+
+@query("GE8_split_lengths", BENDS + f" SELECT code, 1 AS piece, round(len * {_km('1', '2')} / ({_km('1', '2')} + {_km('2', '3')}), 6) AS km FROM g UNION ALL SELECT code, 2, round(len * {_km('2', '3')} / ({_km('1', '2')} + {_km('2', '3')}), 6) FROM g")
+def ge8b(spark, d):
+    """A line split at its bend: the official length goes to the pieces in proportion to their geometry."""
+    pts = F.col("pts")
+    pieces = lines(spark, d).select("code", "len", length_km(pts).alias("all"), F.posexplode(F.array(F.slice(pts, 1, 2), F.slice(pts, 2, 2))).alias("n", "p"))
+    return pieces.select("code", (F.col("n") + 1).alias("piece"), r6(F.col("len") * length_km(F.col("p")) / F.col("all")).alias("km"))
+
+
+@query("GE9_nearest_edge", BENDS + f", q AS (SELECT zone, lon + 0.2::DOUBLE AS px, lat + 0.15::DOUBLE AS py FROM zones), n AS (SELECT zone, code, round(least({_seg_sql('px', 'py', '1', '2')}, {_seg_sql('px', 'py', '2', '3')}), 9) AS distance FROM q CROSS JOIN g) SELECT zone, min_by(code, {{'d': distance, 'c': code}}) AS code, round(min(distance), 6) AS distance FROM n GROUP BY zone")
+def ge9(spark, d):
+    """Each point's nearest line, ties to the smaller code. The points (25 zones) ride along with every line as one array, and a zone's
+    best is kept before the shuffle."""
+    q = N.zones(spark, d).agg(F.collect_list(F.struct("zone", (F.col("lon") + 0.2).alias("px"), (F.col("lat") + 0.15).alias("py"))).alias("q"))
+    rows = lines(spark, d).crossJoin(F.broadcast(q)).select("code", "pts", F.explode("q").alias("q"))
+    rows = rows.select("q.zone", "code", F.round(line_distance(F.col("q.px"), F.col("q.py"), F.col("pts")), 9).alias("distance"))
+    return rows.groupBy("zone").agg(F.min(F.struct("distance", "code")).alias("m")).select("zone", "m.code", r6("m.distance").alias("distance"))
+
+
+@query("GE9_projection", BENDS + ", q AS (SELECT code, x1 + 0.3::DOUBLE AS px, y1 + 0.1::DOUBLE AS py, x1, y1, x2, y2 FROM g), t AS (SELECT *, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM q) SELECT code, round(t, 6) AS t, round(x1 + t * (x2 - x1), 6) AS x, round(y1 + t * (y2 - y1), 6) AS y, t > 0 AND t < 1 AS splits FROM t")
+def ge9b(spark, d):
+    """The foot of a point on a segment; at an end of it nothing is split."""
+    a, b = F.element_at("pts", 1), F.element_at("pts", 2)
+    px, py, dx, dy = a["x"] + 0.3, a["y"] + 0.1, b["x"] - a["x"], b["y"] - a["y"]
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - a["x"]) * dx + (py - a["y"]) * dy) / (dx * dx + dy * dy)))
+    rows = lines(spark, d).select("code", a.alias("a"), dx.alias("dx"), dy.alias("dy"), t.alias("t"))
+    return rows.select("code", r6("t").alias("t"), r6(F.col("a.x") + F.col("t") * F.col("dx")).alias("x"), r6(F.col("a.y") + F.col("t") * F.col("dy")).alias("y"), ((F.col("t") > 0) & (F.col("t") < 1)).alias("splits"))
+
+
+def allocated(anchors: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Totals of anchors (district, x, y, total) dealt evenly to their k nearest nodes (node, x, y), by distance and node:
+    district, node, place, amount. Shares add up to the total."""
+    gap = F.round(F.sqrt(F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2)), 9)
+    a = anchors.select("district", F.col("x").alias("ax"), F.col("y").alias("ay"), "total")
+    rows = nodes.crossJoin(F.broadcast(a)).select("district", "node", "total", gap.alias("gap"))  # one row per district is broadcast
+    place = F.row_number().over(Window.partitionBy("district").orderBy("gap", "node"))
+    near = rows.withColumn("place", place).where(F.col("place") <= k)
+    n = near.groupBy("district").agg(F.count(F.lit(1)).alias("n"))
+    return near.join(n, "district").select("district", "node", "place", (F.col("total") / F.col("n")).alias("amount"))
+
+
+NEAREST = f"{N.with_sql('zones')}, {POINTS}, n AS (SELECT zone, id, population, row_number() OVER (PARTITION BY zone ORDER BY round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9), id) AS place FROM zones CROSS JOIN p), k AS (SELECT * FROM n WHERE place <= 24)"
+
+
+@query("T5_nearest_nodes", NEAREST + " SELECT zone AS district, id AS node, CAST(place AS INT) AS place FROM k")
+def t5(spark, d):
+    return _allocation(spark, d).select("district", "node", "place")
+
+
+def _allocation(spark, d):
+    z = N.zones(spark, d).select(F.col("zone").alias("district"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("population").cast("double").alias("total"))
+    return allocated(z, _points(spark, d).withColumnRenamed("id", "node"), 24)
+
+
+@query("GR19_allocation", NEAREST + ", s AS (SELECT id, zone, population / count(*) OVER (PARTITION BY zone) AS people FROM k) SELECT id AS node, round(sum(people), 6) AS people, string_agg(zone, '|' ORDER BY zone) AS districts FROM s GROUP BY id")
+def gr19(spark, d):
+    """District totals on their nearest nodes: what each node gets, and from which districts."""
+    rows = _allocation(spark, d)
+    return rows.groupBy("node").agg(r6(F.sum("amount")).alias("people"), F.array_join(F.transform(F.sort_array(F.collect_set("district")), lambda x: x.cast("string")), "|").alias("districts"))
+
+
+@query("GR19_conservation", N.with_sql("zones") + " SELECT zone AS district, population, TRUE AS ok FROM zones")
+def gr19b(spark, d):
+    """What a district's nodes got is what the district has, within 1e-10 of it."""
+    got = _allocation(spark, d).groupBy("district").agg(F.sum("amount").alias("got"))
+    z = N.zones(spark, d).select(F.col("zone").alias("district"), "population").join(got, "district", "left")
+    return z.select("district", "population", (F.abs(F.coalesce("got", F.lit(0.0)) - F.col("population")) <= 1e-10 * F.greatest(F.col("population"), F.lit(1))).alias("ok"))
+
+
+@query("GR22_place_names", N.with_sql("zones") + f", {POINTS} SELECT id, min_by(name, {{'d': round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9), 'z': zone}}) AS place FROM p, zones GROUP BY id")
+def gr22(spark, d):
+    z = N.zones(spark, d).agg(F.collect_list(F.struct("zone", "lon", "lat", "name")).alias("zones"))
+    gap = lambda t: F.round(F.sqrt(F.pow(F.col("x") - t["lon"], 2) + F.pow(F.col("y") - t["lat"], 2)), 9)
+    best = F.array_min(F.transform("zones", lambda t: F.struct(gap(t).alias("d"), t["zone"].alias("z"), t["name"].alias("n"))))
+    return _points(spark, d).crossJoin(F.broadcast(z)).select("id", best["n"].alias("place"))
+
+
+@query("V5_region_boxes", f"WITH {POINTS} SELECT CASE WHEN x < 82.5 THEN 'west' WHEN x < 85.7 THEN 'middle' ELSE 'east' END AS box, count(*) AS n FROM p WHERE y BETWEEN 26 AND 30.7 GROUP BY 1")
+def v5(spark, d):
+    return _points(spark, d).where("y between 26 and 30.7").groupBy(E.macro_region(F.col("x")).alias("box")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("V1_count_layer", N.with_sql("counts") + " SELECT regexp_replace(code, '[^A-Z0-9]', '', 'g') AS code, n, round(CASE WHEN n % 3 = 0 THEN 1e9 ELSE 0 END + n, 3) AS priority, n % 3 = 0 AS used FROM counts WHERE n > 0")
+def v1(spark, d):
+    """Positive counts with whether the fit used them, and the order in which labels are placed."""
+    used = F.col("n") % 3 == 0
+    return N.counts(spark, d).where("n > 0").select(E.link_code(F.col("code")).alias("code"), "n", (F.when(used, 1e9).otherwise(0.0) + F.col("n")).alias("priority"), used.alias("used"))
+
+
+@query("W4_network_codes", N.with_sql("nodes", "roads") + ", " + N.skim_sql() + ", c AS (SELECT o AS node, min(d) AS k FROM skim GROUP BY o), s AS (SELECT k, sum(len) AS km, avg(u) AS x FROM roads JOIN c ON node = u GROUP BY k) SELECT k AS component, km, 'NH' || row_number() OVER (ORDER BY km DESC, x) AS code FROM s")
+def w4(spark, d):
+    """Components by length, the longest first, then by place: NH1, NH2 and so on."""
+    e = N.edges(spark, d)
+    label = G.components(e, e.select(F.col("u").alias("node")).distinct())
+    s = N.roads(spark, d).join(label, F.col("u") == F.col("node")).groupBy(F.col("label").alias("component")).agg(F.sum("len").alias("km"), F.avg("u").alias("x"))
+    return s.select("component", "km", F.concat(F.lit("NH"), F.row_number().over(Window.orderBy(F.desc("km"), "x"))).alias("code"))
+
+
+@query("GR4_assignment_graph", N.with_sql("edges") + ", a AS (SELECT u, v, CASE WHEN (u + v) % 5 = 0 THEN 'air' WHEN (u + v) % 7 = 0 THEN 'access' ELSE 'road' END AS kind, len, design FROM roads) SELECT CASE WHEN CAST(u AS VARCHAR) <= CAST(v AS VARCHAR) THEN u || '_' || v ELSE v || '_' || u END AS key, kind, round(CASE kind WHEN 'air' THEN 4 + 10 * len / 400 ELSE len / greatest(0.4::DOUBLE * design, 1) END, 9) AS hours FROM a WHERE kind <> 'access' OR u % 2 = 0")
+def gr4(spark, d):
+    """Hours by kind of edge; access edges to assets that don't operate go; keys from the ends in the order of their texts."""
+    u, v = F.col("u").cast("string"), F.col("v").cast("string")
+    both = F.col("u") + F.col("v")
+    kind = F.when(both % 5 == 0, "air").when(both % 7 == 0, "access").otherwise("road")
+    rows = N.roads(spark, d).withColumn("kind", kind).where("kind <> 'access' or u % 2 = 0")
+    hours = F.when(F.col("kind") == "air", 4 + 10 * F.col("len") / 400).otherwise(F.col("len") / F.greatest(0.4 * F.col("design"), F.lit(1.0)))
+    return rows.select(F.when(u <= v, F.concat_ws("_", u, v)).otherwise(F.concat_ws("_", v, u)).alias("key"), "kind", F.round(hours, 9).alias("hours"))
+
+
+@query("GR1_oneway", N.with_sql("roads") + ", t AS (SELECT *, CASE u % 4 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' WHEN 2 THEN 'no' END AS oneway FROM roads WHERE u <> v AND len > 1e-6) SELECT u, v, code FROM t WHERE coalesce(oneway, '') <> '-1' UNION ALL SELECT v, u, code FROM t WHERE coalesce(oneway, '') <> 'yes'")
+def gr1(spark, d):
+    """Directions by the one-way tag: forward, backward, else both; loops and lines of no length go."""
+    tag = F.element_at(F.array(F.lit("yes"), F.lit("-1"), F.lit("no"), F.lit(None).cast("string")), (F.col("u") % 4 + 1).cast("int"))
+    rows = N.roads(spark, d).where("u <> v and len > 1e-6").withColumn("tag", F.coalesce(F.lower(tag), F.lit("")))
+    ahead = F.when(~F.col("tag").isin("-1", "reverse", "r"), F.struct(F.col("u").alias("a"), F.col("v").alias("b")))
+    back = F.when(~F.col("tag").isin("yes", "true", "1", "t", "f"), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
+    ways = F.filter(F.array(ahead, back), lambda x: x.isNotNull())
+    return rows.select("code", F.explode(ways).alias("w")).select(F.col("w.a").alias("u"), F.col("w.b").alias("v"), "code")
+
+
+@query("T4_distinct_top", None)
+def t4(spark, d):
+    """The ten lines that score highest and share at most 60 % of their cells with any that scores higher and is kept, five of a part
+    of the country at most. Choosing is greedy: one task goes down the list of links, a bounded table, by score."""
+    cells = lines(spark, d).select("code", "len", E.macro_region(F.element_at("pts", 1)["x"]).alias("region"), F.transform("pts", lambda p: F.concat_ws("_", F.floor(p["x"]), F.floor(p["y"]))).alias("cells"))
+
+    def choose(_, rows):
+        import pandas as pd
+
+        kept: list[tuple] = []
+        for code, size, region, own in rows.sort_values(["len", "code"], ascending=[False, True])[["code", "len", "region", "cells"]].itertuples(index=False):
+            own = set(own)
+            alike = any(len(own & other) / max(1, min(len(own), len(other))) > 0.6 for *_, other in kept)
+            if not alike and sum(1 for k in kept if k[2] == region) < 5 and len(kept) < 10:
+                kept.append((code, size, region, own))
+        return pd.DataFrame([(k + 1, *x[:3]) for k, x in enumerate(kept)], columns=["place", "code", "len", "region"])
+
+    return cells.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, "place int, code string, len double, region string")
+
+
+@query("T6_spread_sample", None)
+def t6(spark, d):
+    """Of each district's points eight that lie far from each other: the nearest to its place first, then always the farthest from those
+    taken, ties to the smaller id. A district's points are compared with the ones taken alone."""
+    z = N.zones(spark, d).select("zone", "lon", "lat")
+    best = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("zone"))
+    p = cut(_points(spark, d).join(best, "id").join(z, "zone"))
+    gap = lambda x, y: F.round(F.sqrt(F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)), 9)
+    first = p.groupBy("zone").agg(F.min_by(F.struct("id", "x", "y"), F.struct(gap(F.col("lon"), F.col("lat")), "id")).alias("t"))
+    taken = cut(first.select("zone", F.array("t").alias("taken")))
+    for _ in range(7):
+        far = p.join(taken, "zone").withColumn("gap", F.array_min(F.transform("taken", lambda t: gap(t["x"], t["y"])))).where("gap > 0")
+        more = far.groupBy("zone").agg(F.max_by(F.struct("id", "x", "y"), F.struct("gap", -F.col("id"))).alias("t"))
+        taken = cut(taken.join(more, "zone", "left").select("zone", F.when(F.col("t").isNotNull(), F.concat("taken", F.array("t"))).otherwise(F.col("taken")).alias("taken")))
+    return taken.select("zone", F.posexplode("taken").alias("place", "t")).select("zone", "place", "t.id")
