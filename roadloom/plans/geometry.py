@@ -129,8 +129,8 @@ def ge6(spark, d):
     return p.join(of_place, ["x", "y"]).select("id", "root", F.col("rx").alias("x"), F.col("ry").alias("y"))
 
 
-CROSS = """, s AS (SELECT code, 1 AS k, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS by FROM g UNION ALL SELECT code, 2, x2, y2, x3, y3 FROM g),
- c0 AS (SELECT s.code, s.k, t.code AS other, t.k AS other_k, s.ax, s.ay, s.bx, s.by, (s.bx - s.ax) * (t.by - t.ay) - (s.by - s.ay) * (t.bx - t.ax) AS den, (t.ax - s.ax) * (t.by - t.ay) - (t.ay - s.ay) * (t.bx - t.ax) AS num, (t.ax - s.ax) * (s.by - s.ay) - (t.ay - s.ay) * (s.bx - s.ax) AS mum FROM s JOIN s t ON s.code <> t.code),
+CROSS = """, s AS (SELECT code, 1 AS k, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS bw FROM g UNION ALL SELECT code, 2, x2, y2, x3, y3 FROM g),
+ c0 AS (SELECT s.code, s.k, t.code AS other, t.k AS other_k, s.ax, s.ay, s.bx, s.bw, (s.bx - s.ax) * (t.bw - t.ay) - (s.bw - s.ay) * (t.bx - t.ax) AS den, (t.ax - s.ax) * (t.bw - t.ay) - (t.ay - s.ay) * (t.bx - t.ax) AS num, (t.ax - s.ax) * (s.bw - s.ay) - (t.ay - s.ay) * (s.bx - s.ax) AS mum FROM s JOIN s t ON s.code <> t.code),
  c1 AS (SELECT *, num / den AS t, mum / den AS q FROM c0 WHERE abs(den) > 1e-12::DOUBLE), c2 AS (SELECT * FROM c1 WHERE t > 1e-6::DOUBLE AND t < 1 - 1e-6::DOUBLE AND q >= 0 AND q <= 1)"""
 
 
@@ -159,7 +159,7 @@ def ge7(spark, d):
     return found.groupBy("code").agg((F.count(F.lit(1)) + 1).alias("pieces"))
 
 
-@query("GE7_split_length", BENDS + CROSS + ", u AS (SELECT DISTINCT code, k, round(t, 9) AS t FROM c2), l AS (SELECT s.code, s.k, sqrt(pow(s.bx - s.ax, 2) + pow(s."by" - s.ay, 2)) AS size FROM s) SELECT u.code, count(*) AS cuts, round(sum(u.t * size), 5) AS before FROM u JOIN l ON l.code = u.code AND l.k = u.k GROUP BY u.code")
+@query("GE7_split_length", BENDS + CROSS + ", u AS (SELECT DISTINCT code, k, round(t, 9) AS t FROM c2), l AS (SELECT s.code, s.k, sqrt(pow(s.bx - s.ax, 2) + pow(s.bw - s.ay, 2)) AS size FROM s) SELECT u.code, count(*) AS cuts, round(sum(u.t * size), 5) AS before FROM u JOIN l ON l.code = u.code AND l.k = u.k GROUP BY u.code")
 def ge7b(spark, d):
     g = lines(spark, d)
     size = g.select("code", F.posexplode(segments(F.col("pts"))).alias("k", "s")).select("code", (F.col("k") + 1).alias("k"), F.sqrt(F.pow(F.col("s.b.x") - F.col("s.a.x"), 2) + F.pow(F.col("s.b.y") - F.col("s.a.y"), 2)).alias("size"))
