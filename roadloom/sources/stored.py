@@ -20,7 +20,6 @@ def shared_base(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         base = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
