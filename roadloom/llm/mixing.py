@@ -37,13 +37,13 @@ DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
 MAX_LABELLED = 8000
 FEATURES = 1 << 18
-RIDGE = 1e-3
+RIDGE = 1e-4
 #: Features get a weight from this number of labelled rows on, whatever their share, if the likelihood-ratio test of
 #: presence against some domain reaches MIN_G (a chance of 1e-4 for one feature).
 MIN_ROWS, MIN_G = 3, 15.0
 STEPS, TOLERANCE = 200, 1e-4
 #: Steps between two corrections of the targets for what the ridge holds back.
-PERIOD = 10
+PERIOD = 40
 SHARPNESS = 2.0
 CHUNK_BYTES = 1 << 18
 

@@ -94,7 +94,7 @@ def test_suffix_dedup_splits_hot_cores(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = sorted(removed_by_brute_force([t for _, t in rows], 400))
     for shard in (3000, 1 << 20):
-        out = suffixes.remove_repeats(df, 400, shard_bytes=shard)
+        out = suffixes.remove_repeats(df, 400, shard_bytes=shard, hot_bytes=shard)
         found = [(r.n_bytes, sum(x.end - x.start for x in r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()]
         assert sorted(found) == wanted
     seen = []
@@ -105,7 +105,7 @@ def test_suffix_dedup_splits_hot_cores(spark):
 
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(suffixes, "pieces_of", kept)
-        suffixes.remove_repeats(df, 400, shard_bytes=3000)
+        suffixes.remove_repeats(df, 400, shard_bytes=3000, hot_bytes=3000)
     sizes = seen[0][1].selectExpr("core", "at.stop - at.first AS size").groupBy("core").sum("size").collect()
     assert seen[0][3] and max(r[1] for r in sizes) <= 3000
 
