@@ -130,7 +130,7 @@ def test_links_are_ranked_over_four_dimensions(spark, removals):
     c1, c2, c3, a5 = (scaled({k: x[m] for k, x in wanted.items()}) for m in ("C1", "C2", "C3", "A5"))
     cut_off, added = (scaled({k: x["C4"][i] for k, x in wanted.items()}) for i in (0, 1))
     parts = {k: (c1[k], 0.4 * a5[k] + 0.6 * c2[k], c3[k], 0.35 * added[k] + 0.65 * cut_off[k]) for k in wanted}
-    rows = catalog.flagship(spark, DATA).collect()
+    rows = catalog.QUERIES["W1_link_rank"](spark, DATA).collect()
     assert sorted(r["rank"] for r in rows) == list(range(1, 38))
     for row in rows:
         assert (row.physical, row.social, row.economic, row.interconnected) == pytest.approx(parts[row.link], abs=1e-4)
