@@ -294,6 +294,34 @@ def test_top_k_by_brute_force(spark):
         assert [(-s, None if i == 2**63 - 1 else i) for s, i in best] == [(s, i) for _, s, i in mine]
 
 
+def test_top_k_opens_few_metric_shards(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 6)) * 10
+    # 20 clusters, and a third of all rows with one vector
+    x = np.concatenate((centres[np.arange(2000) % 20] + rng.normal(size=(2000, 6)) * 0.2, np.repeat(centres[:1], 1000, 0)))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    root = f"file://{tmp_path}/trees"
+    found = metric.top_k(rows, rows.where("vec_id % 100 = 0"), shard_rows=100, root=root).toPandas()
+    whole = np.floor(1024 * x).astype(np.int64)
+    for q in range(0, 3000, 100):
+        s = whole @ whole[q]
+        want = [k for k in np.lexsort((np.arange(3000), -s)).tolist() if k != q][:10]
+        mine = found[found.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == want and mine.score.tolist() == s[want].tolist()
+    shards = spark.read.parquet(f"{root}/pages").where("centre IS NOT NULL").count()
+    asked = spark.read.parquet(f"{root}/near").count() + spark.read.parquet(f"{root}/far").count()
+    assert spark.read.parquet(f"{root}/near").count() == 30 and shards > 25 and asked < 30 * shards / 3
+
+
+def test_top_k_of_mixed_lengths_and_small_shards(spark):
+    rows = [(k, [float((k * 7) % 11), float(k % 5), 1.0][: 1 + k % 3]) for k in range(400)] + [(900, []), (1000, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = metric.top_k(df, df.where("vec_id % 50 = 0"), k=3, shard_rows=20).collect()
+    for q, v in [x for x in rows if x[0] % 50 == 0]:
+        best = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))[:3]
+        assert best == sorted((-r.score, r.vec_id) for r in found if r.query_id == q)
+
+
 def test_mixing_meets_targets(spark, sample):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     out = mixing.weighted(clashing(sample), labels, {"clean": 0.8, "low": 0.15, "toxic": 0.05}).collect()
