@@ -11,27 +11,43 @@ NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null, empty and short texts are rejected; null ids and repeated rows are judged like others; an empty table stays
+    empty; further columns are kept, whatever their names."""
     return quality.judge(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: 5-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays, that with the smallest id: 5-word shingles, a similarity of 0.8
+    or more.
+
+    Texts without words are like nothing and stay; a null id counts as the largest; of repeated rows one stays; an empty
+    table stays empty; further columns are kept."""
     return near.deduplicated(docs, NEAR_PERCENT)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that occur more than once go."""
+    """Bytes of strings of `suffixes.PASSAGE` bytes that occur more than once go, and so do documents without text left.
+
+    Null and empty texts go; null ids and repeated rows are documents like others (their texts repeat each other); an
+    empty table stays empty; n_chars follows the text, further columns are kept."""
     return suffixes.cleaned(docs)
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
+    """Documents as often as their rates say, so that tokens of the domains have their target weights.
+
+    Texts without words have no tokens and the rate of an empty text; null ids and repeated rows are rows like others;
+    without labels of two domains all rates are 1; an empty table stays empty; further columns are kept."""
     return mixing.mixed(docs, common.table(spark, sf_dir, "labels"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences: the columns of `packing.pack`.
+
+    A null or empty text is the end id alone; null ids and repeated rows are pieces like others; an empty table packs to
+    an empty one; further columns don't reach the result."""
     return packing.pack(docs)
 
 

@@ -303,6 +303,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all. Null vectors and those with a null or non-finite component take no part; null
+    ids are candidates that lose every tie; an empty table gives an empty one."""
     rows = common.table(spark, sf_dir, "embeddings")
     return top_k(rows, rows.where("vec_id % 100 = 0"))
 

@@ -332,6 +332,8 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, root: str | None = Non
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component. Texts without words are alone; a null id comes last among equals and back as
+    null; repeated rows share a component; an empty table gives an empty one."""
     found = components_of(common.table(spark, sf_dir, "documents"))
     number = lambda c: F.nullif(F.col(c), F.lit(common.NULL_ID))
     return found.select(

@@ -109,7 +109,7 @@ def _length(classes: Column) -> Column:
     return sum((classes[k] for k in range(1, N_CLASSES)), classes[0])
 
 
-def references(counted: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
+def references(counted: DataFrame) -> "References":
     """Summed histograms (classes, common words) of each named language over all documents that are long
     enough, and under "" over those of other languages."""
     long_enough = (_length(F.col("_classes")) >= MIN_CHARS) & (F.col("_n_words") >= MIN_WORDS)
@@ -170,12 +170,24 @@ def _repeat_words(words: Column) -> Column:
 COUNTS = ["_classes", "_common", "_n_words", "_n_symbols", "_n_dup_lines", "_n_repeat_words"]
 
 
-def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
+#: By language, the histograms of classes and of common words; "" is for languages that are not named.
+References = dict[str, tuple[list[int], list[int]]]
+
+
+def fitted(docs: DataFrame) -> References:
+    """References of a corpus that is known to be good, to judge others by."""
+    return references(_counted(docs.select("text", "lang")))
+
+
+def measure(docs: DataFrame, keep: list[str], refs: References | None = None) -> DataFrame:
     """The columns to keep with the base measures (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed) and the two distances (class_distance, word_distance), under names that begin with an
-    underscore. Texts are read once: their counts are stored, and the references are sums of them."""
-    counted = common.store(_counted(docs).select(*keep, "_lang", *COUNTS))
-    refs = references(counted)
+    underscore. Texts are read once. Without references their counts are stored and summed to some; a language that
+    given references lack gives no verdict."""
+    counted = _counted(docs).select(*keep, "_lang", *COUNTS)
+    if refs is None:
+        counted = common.store(counted)
+        refs = references(counted)
     length = _length(F.col("_classes"))
     return counted.withColumns(
         {
@@ -196,13 +208,18 @@ def accepted() -> Column:
     )
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns as they came."""
+def judge(docs: DataFrame, refs: References | None = None) -> DataFrame:
+    """The documents that the rules keep, with their columns as they came; judged by the references given, else by those
+    of docs itself."""
     rows = common.folded(docs, "doc_id", "text", "lang")
-    return common.unfolded(measure(rows, rows.columns).where(accepted()), docs)
+    return common.unfolded(measure(rows, rows.columns, refs).where(accepted()), docs)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, distances and verdict of every document.
+
+    Null texts have no words and fail; null ids and repeated rows are rows like others; an empty table gives an empty
+    one; a distance is null where it gives no verdict."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return measure(docs, ["doc_id"]).select(
@@ -212,3 +229,81 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("_class_distance", 6).alias("class_distance"),
         F.round("_word_distance", 6).alias("word_distance"),
     )
+
+
+def _class_sql() -> str:
+    """Successive removals, and the code points that each takes."""
+    steps, left = [], "text"
+    for k, pattern in enumerate(CLASSES.values()):
+        steps.append(f"x{k} AS (SELECT *, regexp_replace({left}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS left{k} FROM {f'x{k - 1}' if k else 'd'})")
+        left = f"left{k}"
+    names = ["text", *(f"left{k}" for k in range(len(CLASSES)))]
+    counts = [f"length({a}) - length({b})" for a, b in zip(names, names[1:], strict=False)] + [f"length({names[-1]})"]
+    rows = " UNION ALL ".join(f"SELECT rid, lang, 0 AS kind, {j} AS j, {c} AS c FROM x{len(CLASSES) - 1}" for j, c in enumerate(counts))
+    return ",\n".join([*steps, f"classes AS ({rows})"])
+
+
+def _common_sql() -> str:
+    lists = {**COMMON_WORDS, "": COMMON_WORDS["en"]}
+    forms = [(lang, j, form) for lang, words in lists.items() for j, w in enumerate(words) for form in sorted({w, w.capitalize(), w.upper()})]
+    return ", ".join(f"('{lang}', {j}, '{form}')" for lang, j, form in forms)
+
+
+OP1_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+    CASE WHEN lang IN ({", ".join(f"'{x}'" for x in COMMON_WORDS)}) THEN lang ELSE '' END AS lang
+  FROM documents
+), {_class_sql()},
+w AS (SELECT rid, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, text FROM d),
+forms(lang, j, form) AS (VALUES {_common_sql()}),
+one AS (SELECT rid, lang, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+hits AS (
+  SELECT one.rid, one.lang, j, count(*) AS c FROM one JOIN forms ON forms.lang = one.lang AND form = regexp_replace(word, '[.,]$', '')
+  GROUP BY ALL
+), slots AS (SELECT rid, lang, unnest(range({N_WORDS - 1})) AS j, len(words) AS n FROM w),
+words16 AS (SELECT s.rid, s.lang, 1 AS kind, s.j, coalesce(h.c, 0) AS c, n FROM slots s LEFT JOIN hits h ON h.rid = s.rid AND h.j = s.j),
+common AS (
+  SELECT rid, lang, kind, j, c FROM words16
+  UNION ALL SELECT rid, lang, 1, {N_WORDS - 1}, any_value(n) - sum(c) FROM words16 GROUP BY rid, lang
+), hist AS (SELECT * FROM classes UNION ALL SELECT * FROM common),
+totals AS (SELECT rid, kind, sum(c) AS total FROM hist GROUP BY ALL),
+lengths AS (SELECT a.rid, a.total AS chars, b.total AS n_words FROM totals a JOIN totals b ON b.rid = a.rid AND a.kind = 0 AND b.kind = 1),
+refs AS (
+  SELECT lang, kind, j, sum(c) AS c FROM hist JOIN lengths USING (rid) WHERE chars >= {MIN_CHARS} AND n_words >= {MIN_WORDS} GROUP BY ALL
+), shares AS (
+  SELECT lang, kind, j, CAST(c AS DOUBLE) / CAST(sum(c) OVER (PARTITION BY lang, kind) AS DOUBLE) AS q FROM refs
+  QUALIFY sum(c) OVER (PARTITION BY lang, kind) >= {MIN_REFERENCE} * CASE kind WHEN 0 THEN {MIN_CHARS} ELSE {MIN_WORDS} END
+), pairs AS (
+  SELECT h.rid, h.kind, CAST(h.c AS DOUBLE) / CAST(t.total AS DOUBLE) AS p, s.q FROM hist h JOIN totals t ON t.rid = h.rid AND t.kind = h.kind
+  JOIN shares s ON s.lang = h.lang AND s.kind = h.kind AND s.j = h.j
+  WHERE t.total >= CASE h.kind WHEN 0 THEN {MIN_CHARS} ELSE {MIN_WORDS} END
+), distances AS (
+  SELECT rid, kind, sqrt(greatest(0.0, sum(
+    (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0.0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0.0 END) / 2
+  ))) AS x FROM pairs GROUP BY ALL
+), windows AS (
+  SELECT rid, p, list_aggregate(words[p : p + {WINDOW - 1}], 'string_agg', ' ') AS win
+  FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS p FROM w WHERE len(words) >= {WINDOW})
+), twice AS (SELECT rid, p FROM windows QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
+covered AS (
+  SELECT rid, sum(least({WINDOW}, coalesce(following - p, {WINDOW}))) AS n FROM (
+    SELECT rid, p, lead(p) OVER (PARTITION BY rid ORDER BY p) AS following FROM twice
+  ) GROUP BY rid
+), lines AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+), measured AS (
+  SELECT d.rid, d.doc_id, CAST(l.n_words AS BIGINT) AS n_words, CAST(l.chars - sp.c AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(d.text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+    a.x AS class_x, b.x AS word_x
+  FROM d JOIN lengths l USING (rid) JOIN classes sp ON sp.rid = d.rid AND sp.j = {list(CLASSES).index("space")}
+  LEFT JOIN lines ON lines.rid = d.rid LEFT JOIN covered ON covered.rid = d.rid
+  LEFT JOIN distances a ON a.rid = d.rid AND a.kind = 0 LEFT JOIN distances b ON b.rid = d.rid AND b.kind = 1
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(class_x <= {CLASS_LIMIT}, true) AND coalesce(word_x <= {WORD_LIMIT}, true) AS kept,
+  round(class_x, 6) AS class_distance, round(word_x, 6) AS word_distance
+FROM (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM measured)
+"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_near_dedup": near.op10_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
     "op9_exact_top_k": metric.OP9_SQL,
 }

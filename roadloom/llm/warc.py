@@ -247,7 +247,9 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, root: str | None = None)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive every page, read the archives back, and describe each record that was read."""
+    """Archive every page, read the archives back, and describe each record that was read.
+
+    Null pages have an empty payload; null ids come back as null; an empty table gives an empty one."""
     manifest = archive_pages(common.table(spark, sf_dir, "pages"))
     number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)")
     return read_archives(manifest, with_payload=False).select(

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -206,6 +207,37 @@ def test_quality_base_measures(docs):
     assert set(quality.judge(clashing(docs)).columns) == set(clashing(docs).columns)
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_quality_query_by_sql(spark, tmp_path, odd):
+    folder = DATA
+    if odd:
+        # most texts hold signs, capitals, digits and other scripts as well; rows repeat and hold nulls
+        folder = str(tmp_path)
+        signs = "Ärger, {0} Straße #1 ÉTÉ 東京 * <b> The of And, und. DER {1} a b c d e f g h "
+        extra = [(k, signs.format(k, "x y " * k) * (k + 4), [None, "fr", "xx", "de"][k % 4], None) for k in range(40)]
+        df = spark.createDataFrame(ODD + extra, SCHEMA)
+        df.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet{'/*.parquet' if odd else ''}'")
+    want = con.execute(quality.OP1_SQL).fetchall()
+    found = quality.op1_quality_rules(spark, folder)
+    assert found.columns == [c[0] for c in con.description]
+    plain = lambda rows: sorted(([*map(str, r[:8]), *(x if x is None else round(x, 5) for x in r[8:])] for r in rows), key=str)
+    assert plain(want) == plain(map(tuple, found.collect()))
+
+
+def test_quality_references_from_elsewhere(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    refs = quality.fitted(docs)
+    part = docs.where("doc_id < 40")
+    whole = {r["doc_id"]: r for r in quality.measure(docs.select("doc_id", "text", "lang"), ["doc_id"]).collect()}
+    alone = quality.measure(part.select("doc_id", "text", "lang"), ["doc_id"], refs).collect()
+    # with references given, a verdict doesn't depend on the other documents
+    assert alone and all(r == whole[r["doc_id"]] for r in alone)
+    none = quality.measure(part.select("doc_id", "text", "lang"), ["doc_id"], {}).collect()
+    assert all(r["_class_distance"] is None and r["_word_distance"] is None for r in none)
+
+
 def test_quality_distance(spark):
     row = spark.range(1).selectExpr("array(3L, 1L, 0L) AS c", "array(0.25D, 0.25D, 0.5D) AS q")
     p, q = [0.75, 0.25, 0.0], [0.25, 0.25, 0.5]
