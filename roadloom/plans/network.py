@@ -71,13 +71,8 @@ def _snapped(p):
     return own.join(near, "cell").where((F.col("a") < F.col("b")) & (gap <= size)).select("a", "b", r(gap).alias("distance"))
 
 
-@query("GE6_snap_pairs", f"WITH {POINTS}, c AS (SELECT * FROM p WHERE id <= 1500) SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM c a JOIN c b ON a.id < b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02::DOUBLE")
+@query("GE6_snap_pairs", f"WITH {POINTS} SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM p a JOIN p b ON a.id < b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02::DOUBLE")
 def ge6(spark, d):
-    return _snapped(_points(spark, d).where("id <= 1500"))
-
-
-@query("GE6_snap_pairs_all")
-def ge6_all(spark, d):
     return _snapped(_points(spark, d))
 
 
@@ -324,8 +319,8 @@ SCENARIOS = N.with_sql("nodes", "demand", "zones") + ", " + N.skim_sql()
 
 
 def _removed_sql(rounds: int = 5) -> str:
-    """Skims without each ring road out of a node that 6 divides."""
-    out = [", l AS (SELECT code AS link FROM roads WHERE u % 6 = 0 AND v = (u + 1) % 25)"]
+    """Skims without each road."""
+    out = [", l AS (SELECT code AS link FROM roads)"]
     out.append(", x0 AS (SELECT link, u AS o, v AS d, min(t) AS c FROM edges JOIN l ON link <> code GROUP BY 1, 2, 3 UNION ALL SELECT link, node, node, 0 FROM l, nodes)")
     for k in range(1, rounds + 1):
         name = "removed" if k == rounds else f"x{k}"
@@ -336,22 +331,20 @@ def _removed_sql(rounds: int = 5) -> str:
 REMOVED = SCENARIOS + _removed_sql()
 
 
-def _scenarios(spark, d, every: bool) -> tuple[DataFrame, DataFrame]:
-    """Weights between nodes as they are, and for each removed link (the five of the SQL, or every road):
-    (o, node, c) and (link, o, node, c).
+def _scenarios(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Weights between nodes as they are, and without each road in turn: (o, node, c) and (link, o, node, c).
 
     All scenarios are searched at once; state is dealt by scenario, origin and node."""
     e = N.edges(spark, d)
-    roads = N.roads(spark, d)
-    links = (roads if every else roads.where("u % 6 = 0 and v = (u + 1) % 25")).select(F.col("code").alias("link"))
+    links = N.roads(spark, d).select(F.col("code").alias("link"))
     nodes = e.select(F.col("u").alias("node")).distinct()
     seeds = nodes.crossJoin(F.broadcast(links)).select("link", F.col("node").alias("o"), "node", F.lit(0.0).alias("c"))
     return _skim(spark, d), G.shortest(e, seeds, group=["link", "o"], banned="link")
 
 
-def _changes(spark, d, every: bool = False) -> DataFrame:
+def _changes(spark, d) -> DataFrame:
     """link, o, d, before, after for every pair that is connected at first; after is null if it isn't any more."""
-    before, after = _scenarios(spark, d, every)
+    before, after = _scenarios(spark, d)
     links = after.select("link").distinct()
     pairs = before.select("o", F.col("node").alias("d"), F.col("c").alias("before")).crossJoin(F.broadcast(links))
     return cut(pairs.join(after.select("link", "o", F.col("node").alias("d"), F.col("c").alias("after")), ["link", "o", "d"], "left"))
@@ -371,11 +364,6 @@ def c1(spark, d):
     return _physical(spark, d, _changes(spark, d))
 
 
-@query("C1_physical_loss_all_links")
-def c1_all(spark, d):
-    return _physical(spark, d, _changes(spark, d, every=True))
-
-
 def _social(spark, d, changes):
     """Mean added hours to the nearest health facility, weighted by population."""
     h = changes.where("d % 4 = 0 and d < 25").groupBy("link", F.col("o").alias("zone")).agg(F.min("before").alias("b"), F.min("after").alias("a"))
@@ -388,11 +376,6 @@ def c2(spark, d):
     return _social(spark, d, _changes(spark, d))
 
 
-@query("C2_social_loss_all_links")
-def c2_all(spark, d):
-    return _social(spark, d, _changes(spark, d, every=True))
-
-
 def _economic(spark, d, changes):
     """Loss of exponential access to gateways, weighted by activity; one that is cut off gives none."""
     access = lambda c: F.sum(F.coalesce(F.exp(-F.col(c) / 2), F.lit(0.0)))
@@ -405,11 +388,6 @@ def c3(spark, d):
     return _economic(spark, d, _changes(spark, d))
 
 
-@query("C3_economic_loss_all_links")
-def c3_all(spark, d):
-    return _economic(spark, d, _changes(spark, d, every=True))
-
-
 def _airport(spark, d, changes):
     h = changes.where(f"d % {FACILITY} = 0 and d < 25").groupBy("link", F.col("o").alias("zone")).agg(F.min("before").alias("b"), F.min("after").alias("a"))
     people = F.col("population")
@@ -423,11 +401,6 @@ def c4(spark, d):
     return _airport(spark, d, _changes(spark, d))
 
 
-@query("C4_airport_cutoff_all_links")
-def c4_all(spark, d):
-    return _airport(spark, d, _changes(spark, d, every=True))
-
-
 def _isolated(spark, d, changes):
     left = changes.groupBy("link", F.col("o").alias("zone")).agg((F.count("after") - 1).alias("n"))
     return left.join(N.zones(spark, d), "zone").groupBy("link").agg(F.sum(F.when(F.col("n") == 0, F.col("population")).otherwise(0)).alias("isolated"))
@@ -438,32 +411,27 @@ def a5(spark, d):
     return _isolated(spark, d, _changes(spark, d))
 
 
-@query("A5_isolated_population_all_links")
-def a5_all(spark, d):
-    return _isolated(spark, d, _changes(spark, d, every=True))
-
-
-COMPOSITE = N.with_sql("demand", "counts", "zones") + """, s AS (SELECT zone AS link, coalesce((SELECT sum(q) FROM demand WHERE o = zone), 0) AS p, population AS s, activity AS e, coalesce((SELECT max(q) FROM demand WHERE o = zone), 0) AS i FROM zones),
-m AS (SELECT link, """ + ", ".join(f"CASE WHEN max({c}) OVER () - min({c}) OVER () > 1e-12 THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE 0 END AS {c}" for c in "psei") + " FROM s), t AS (SELECT link, 0.35::DOUBLE * p + 0.25::DOUBLE * s + 0.25::DOUBLE * e + 0.15::DOUBLE * i AS score FROM m)"
+COMPOSITE = N.with_sql("demand", "counts", "zones") + """, s AS (SELECT zone, coalesce((SELECT sum(q) FROM demand WHERE o = zones.zone), 0) AS p, population AS s, activity AS e, coalesce((SELECT max(q) FROM demand WHERE o = zones.zone), 0) AS i FROM zones),
+m AS (SELECT zone, """ + ", ".join(f"CASE WHEN max({c}) OVER () - min({c}) OVER () > 1e-12 THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE 0 END AS {c}" for c in "psei") + " FROM s), t AS (SELECT zone, 0.35::DOUBLE * p + 0.25::DOUBLE * s + 0.25::DOUBLE * e + 0.15::DOUBLE * i AS score FROM m)"
 WEIGHTS = {"p": 0.35, "s": 0.25, "e": 0.25, "i": 0.15}
 
 
-@query("W1_composite_rank", COMPOSITE + " SELECT link, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, link) AS INT) AS rank FROM t")
+@query("W1_composite_rank", COMPOSITE + " SELECT zone, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, zone) AS INT) AS rank FROM t")
 def flagship(spark, d):
-    """Four dimensions scaled to 0..1, weighted, summed and ranked: a row per zone."""
+    """Zones by four measures of demand, people and activity, scaled to 0..1, weighted, summed and ranked."""
     flows = N.demand(spark, d).groupBy("o").agg(F.sum("q").alias("p"), F.max("q").alias("i"))
     s = N.zones(spark, d).join(flows, F.col("zone") == F.col("o"), "left").select(
-        F.col("zone").alias("link"), F.coalesce("p", F.lit(0.0)).alias("p"), F.col("population").cast("double").alias("s"), F.col("activity").alias("e"), F.coalesce("i", F.lit(0.0)).alias("i")
+        "zone", F.coalesce("p", F.lit(0.0)).alias("p"), F.col("population").cast("double").alias("s"), F.col("activity").alias("e"), F.coalesce("i", F.lit(0.0)).alias("i")
     )
     ends = s.agg(*[f(c).alias(f"{n}_{c}") for c in WEIGHTS for n, f in (("lo", F.min), ("hi", F.max))])
     score = sum((w * E.min_max(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c, w in WEIGHTS.items()), F.lit(0.0))
-    scored = s.crossJoin(F.broadcast(ends)).select("link", score.alias("score"))
-    return scored.select("link", r("score").alias("score"), F.row_number().over(Window.orderBy(F.desc(r("score", 9)), "link")).alias("rank"))
+    scored = s.crossJoin(F.broadcast(ends)).select("zone", score.alias("score"))
+    return scored.select("zone", r("score").alias("score"), F.row_number().over(Window.orderBy(F.desc(r("score", 9)), "zone")).alias("rank"))
 
 
-@query("T3_top_links", COMPOSITE + " SELECT link, round(score, 6) AS score FROM t ORDER BY round(score, 9) DESC, link LIMIT 10")
+@query("T3_top_links", COMPOSITE + " SELECT zone, round(score, 6) AS score FROM t ORDER BY round(score, 9) DESC, zone LIMIT 10")
 def t3(spark, d):
-    return flagship(spark, d).orderBy("rank").limit(10).select("link", "score")
+    return flagship(spark, d).orderBy("rank").limit(10).select("zone", "score")
 
 
 DIMENSIONS = {"physical": 0.35, "social": 0.25, "economic": 0.25, "interconnected": 0.15}
@@ -476,7 +444,7 @@ MEASURES = {"physical": {"p1": 1.0}, "social": {"s1": 0.4, "s2": 0.6}, "economic
 def link_rank(spark, d):
     """Every road by its removal: each measure scaled to 0..1 over all links, those of a dimension weighted, the four
     dimensions weighted, summed and ranked."""
-    changes = _changes(spark, d, every=True)
+    changes = _changes(spark, d)
     s = _physical(spark, d, changes).withColumnRenamed("loss", "p1")
     s = s.join(_isolated(spark, d, changes).withColumnRenamed("isolated", "s1"), "link", "full")
     s = s.join(_social(spark, d, changes).withColumnRenamed("loss", "s2"), "link", "full")

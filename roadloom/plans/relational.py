@@ -121,13 +121,8 @@ def _unpivoted(od, columns):
     return wide.unpivot("o", [str(k) for k in columns], "d", "q").where("q > 0").select("o", F.col("d").cast("long").alias("d"), "q")
 
 
-@query("S5_matrix_unpivot", N.with_sql("od") + " SELECT o, d, q FROM od WHERE d IN (0, 1, 2, 3) AND q > 0")
+@query("S5_matrix_unpivot", N.with_sql("od") + " SELECT o, d, q FROM od WHERE q > 0")
 def s5(spark, d):
-    return _unpivoted(N.od(spark, d), [0, 1, 2, 3])
-
-
-@query("S5_matrix_unpivot_all")
-def s5_all(spark, d):
     od = cut(N.od(spark, d))
     return _unpivoted(od, [x.d for x in od.select("d").distinct().orderBy("d").collect()])
 
@@ -150,13 +145,8 @@ def j4(spark, d):
     return joined.select(F.col("n_nationkey").alias("zone"), F.coalesce("r_name", F.lit("(none)")).alias("head"), F.col("r_name").isNull().alias("unmatched"))
 
 
-@query("J5_alignment", "WITH m AS (SELECT c_custkey AS label, c_mktsegment AS k FROM customer WHERE c_custkey % 50 = 1), z AS (SELECT DISTINCT o_orderpriority AS name, c_mktsegment AS k FROM orders JOIN customer ON o_custkey = c_custkey) SELECT name, z.k, count(label) AS matches, CASE WHEN count(label) = 0 THEN 'missing' WHEN count(label) = 1 THEN 'matched' ELSE 'ambiguous' END AS status, min(label) AS label FROM z LEFT JOIN m ON z.k = m.k GROUP BY 1, 2")
+@query("J5_alignment", "WITH m AS (SELECT c_custkey AS label, c_mktsegment AS k FROM customer), z AS (SELECT DISTINCT o_orderpriority AS name, c_mktsegment AS k FROM orders JOIN customer ON o_custkey = c_custkey) SELECT name, z.k, count(label) AS matches, CASE WHEN count(label) = 0 THEN 'missing' WHEN count(label) = 1 THEN 'matched' ELSE 'ambiguous' END AS status, min(label) AS label FROM z LEFT JOIN m ON z.k = m.k GROUP BY 1, 2")
 def j5(spark, d):
-    return _aligned(spark, d, table(spark, d, "customer").where("c_custkey % 50 = 1"))
-
-
-@query("J5_alignment_all")
-def j5_all(spark, d):
     return _aligned(spark, d, table(spark, d, "customer"))
 
 
@@ -200,13 +190,8 @@ def st1(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).distinct().join(table(spark, d, "orders"), F.col("k") == F.col("o_custkey"), "left_anti")
 
 
-@query("ST2_set_overlap", "WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 97 AS p FROM lineitem WHERE l_suppkey <= 10), n AS (SELECT s, count(*) AS n FROM s GROUP BY 1) SELECT a.s AS a, b.s AS b, count(*) AS shared, round(count(*) / CAST(max(na.n) + max(nb.n) - count(*) AS DOUBLE), 6) AS jaccard FROM s a JOIN s b ON a.p = b.p AND a.s < b.s JOIN n na ON na.s = a.s JOIN n nb ON nb.s = b.s GROUP BY 1, 2")
+@query("ST2_set_overlap", "WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM s GROUP BY 1) SELECT a.s AS a, b.s AS b, count(*) AS shared, round(count(*) / CAST(max(na.n) + max(nb.n) - count(*) AS DOUBLE), 6) AS jaccard FROM s a JOIN s b ON a.p = b.p AND a.s < b.s JOIN n na ON na.s = a.s JOIN n nb ON nb.s = b.s GROUP BY 1, 2")
 def st2(spark, d):
-    return _overlaps(table(spark, d, "lineitem").where("l_suppkey <= 10").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 97).alias("p")).distinct())
-
-
-@query("ST2_set_overlap_all")
-def st2_all(spark, d):
     """All suppliers, by their parts' own keys."""
     return _overlaps(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct())
 

@@ -114,9 +114,9 @@ def test_every_link_is_removed(spark, removals):
     wanted = scored(removals)
     assert len(wanted) == 37
     for name, key in (("C1_physical_loss", "loss"), ("C2_social_loss", "loss"), ("C3_economic_loss", "loss"), ("A5_isolated_population", "isolated")):
-        found = {r.link: r[key] for r in catalog.QUERIES[f"{name}_all_links"](spark, DATA).collect()}
+        found = {r.link: r[key] for r in catalog.QUERIES[name](spark, DATA).collect()}
         assert found == pytest.approx({k: x[name[:2]] for k, x in wanted.items()}, abs=2e-4)
-    for row in catalog.QUERIES["C4_airport_cutoff_all_links"](spark, DATA).collect():
+    for row in catalog.QUERIES["C4_airport_cutoff"](spark, DATA).collect():
         assert (row.cut_off, row.added) == pytest.approx(wanted[row.link]["C4"], abs=2e-6)
 
 
@@ -142,21 +142,9 @@ def test_links_are_ranked_over_four_dimensions(spark, removals):
         assert [(-r.value, r.link) for r in sorted(tops, key=lambda r: r.place) if r.dimension == k] == own
 
 
-def test_whole_tables(spark, duck):
-    def same(name, sql):
-        df = catalog.QUERIES[name](spark, DATA)
-        columns, found = sorted(df.columns), duck.sql(sql)
-        assert rows_of(df.collect(), columns) == rows_of([dict(zip(found.columns, r, strict=True)) for r in found.fetchall()], columns)
-
-    same("GE6_snap_pairs_all", f"WITH {network.POINTS} SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM p a JOIN p b ON a.id < b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02::DOUBLE")
-    same("S5_matrix_unpivot_all", N.with_sql("od") + " SELECT o, d, q FROM od WHERE q > 0")
-    same("J5_alignment_all", catalog.ORACLE_SQL["J5_alignment"].replace(" WHERE c_custkey % 50 = 1", ""))
-    same("ST2_set_overlap_all", catalog.ORACLE_SQL["ST2_set_overlap"].replace("l_partkey % 97", "l_partkey").replace(" WHERE l_suppkey <= 10", ""))
-
-
 def test_snap_pairs_beyond_1500_customers(spark, tmp_path):
     spark.range(1, 4001).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
-    found = {(r.a, r.b) for r in catalog.QUERIES["GE6_snap_pairs_all"](spark, str(tmp_path)).collect()}
+    found = {(r.a, r.b) for r in catalog.QUERIES["GE6_snap_pairs"](spark, str(tmp_path)).collect()}
     x, y = (lambda k: 80 + (k * 37 % 1000) / 120), (lambda k: 26 + (k * 91 % 1000) / 250)
     near = [k for k in range(1, 4001) if k != 1700 and math.hypot(x(k) - x(1700), y(k) - y(1700)) <= 0.02]
     assert {sum(p) - 1700 for p in found if 1700 in p} == set(near) and max(near) > 1500
