@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 KM_PER_DEGREE = 111.0
-#: The spellings that count as true.
-TRUE_WORDS = ["yes", "y", "true", "t", "1", "on"]
 
 
 def positive_number(text: Column) -> Column:
@@ -17,10 +15,6 @@ def positive_number(text: Column) -> Column:
     return F.when(number > 0, number)
 
 
-def flag(text: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(text)).isin(TRUE_WORDS), F.lit(False))
-
-
 def link_code(text: Column) -> Column:
     return F.regexp_replace(F.upper(F.trim(text)), "[^A-Z0-9]+", "")
 
@@ -70,3 +64,17 @@ def geh(model: Column, count: Column) -> Column:
 def min_max(value: Column, least: Column, most: Column) -> Column:
     """Scaled to 0..1 and clipped; 0 without a range."""
     return F.when(most - least > 1e-12, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - least) / (most - least)))).otherwise(F.lit(0.0))
+
+
+def coordinate_pair(text: Column) -> Column:
+    """lon and lat of a text like "27° 41' 30\" N, 85.3 E", or null unless it has both; of several the last counts.
+
+    Fixed value: the pattern of a coordinate, degrees with optional minutes and seconds before a hemisphere."""
+    pattern = r"(?i)(\d{1,3})(?:[^0-9NSEW]+(\d+(?:\.\d+)?))?(?:[^0-9NSEW]+(\d+(?:\.\d+)?))?[^0-9NSEW]*([NSEW])"
+    number = lambda m, k: F.coalesce(F.regexp_extract(m, pattern, k).try_cast("double"), F.lit(0.0))
+    side = lambda m: F.upper(F.right(m, F.lit(1)))
+    found = F.regexp_extract_all(F.translate(text, "\u00a0", " "), F.lit(pattern), F.lit(0))
+    last = lambda a, b: F.try_element_at(F.filter(found, lambda m: side(m).isin(a, b)), F.lit(-1))
+    value = lambda m: sexagesimal(number(m, 1), number(m, 2), number(m, 3), side(m))
+    lon, lat = last("E", "W"), last("N", "S")
+    return F.when(lon.isNotNull() & lat.isNotNull(), F.struct(value(lon).alias("lon"), value(lat).alias("lat")))
