@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
 from roadloom.operators import contracts as C
+from roadloom.plans import routing as R
 from roadloom.sources import network as N
 from roadloom.sources.stored import cut, shared_base, table
 
@@ -360,3 +361,57 @@ def k9(spark, d):
         row = spark.read.parquet(path).agg(F.lit(name).alias("audit"), F.count(F.lit(1)).alias("n"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+#: What the measures are, for the sheet of formulas.
+FORMULAS = {
+    "p1": "demand times added hours over the pairs whose path uses the link", "p2": "demand whose path uses the link",
+    "s1": "people cut off from the largest part", "s2": "added hours to the nearest health facility per head",
+    "e1": "loss of activity", "e2": "trade exposed", "i1": "added hours to the nearest airport per head", "i2": "share of people cut off from all airports",
+}
+ASSUMPTIONS = {
+    "removal": "one link is removed at a time", "demand": "demand stays as it is", "routes": "the fastest path is taken",
+    "scaling": "each measure is scaled to 0..1 over all links; equal values give 0",
+}
+
+
+def workbook(rows, scores, inputs: dict) -> dict:
+    """The tables of a report by the name of their sheet: scores and measures by link (those columns that are there),
+    inputs, weights, formulas and assumptions as texts and numbers."""
+    spark = rows.sparkSession
+    measures = {m: w for own in R.WITHIN.values() for m, w in own.items()}
+    have = lambda df, names: df.select("link", *(c for c in names if c in df.columns))
+    return {
+        "scores": have(scores, [*R.DIMENSIONS, "score"]),
+        "components": have(rows, measures),
+        "inputs": spark.createDataFrame([(k, float(v)) for k, v in inputs.items()], "item string, value double"),
+        "weights": spark.createDataFrame([(k, float(w)) for k, w in {**R.DIMENSIONS, **measures}.items()], "item string, value double"),
+        "formulas": spark.createDataFrame([(k, m, FORMULAS[m]) for k, own in R.WITHIN.items() for m in own], "dimension string, term string, formula string"),
+        "assumptions": spark.createDataFrame(list(ASSUMPTIONS.items()), "item string, text string"),
+    }
+
+
+_MEASURES = [m for own in R.WITHIN.values() for m in own]
+_SHEETS = ", mm AS (SELECT * FROM ph1 LEFT JOIN so USING (link) LEFT JOIN ec USING (link) LEFT JOIN ic USING (link))" + " UNION ALL ".join(
+    [f" SELECT 'scores' AS sheet, link AS item, '{c}' AS name, round({c}, 4) AS value FROM total" for c in [*R.DIMENSIONS, "score"]]
+    + [f"SELECT 'components', link, '{m}', round(coalesce({m}, 0), 4) FROM mm" for m in _MEASURES]
+    + [f"SELECT 'weights', '{k}', 'value', {w}::DOUBLE" for k, w in [*R.DIMENSIONS.items(), *((m, w) for own in R.WITHIN.values() for m, w in own.items())]]
+    + [f"SELECT 'inputs', '{k}', 'value', {v}::DOUBLE" for k, v in (("penalty_h", R.PENALTY_H), ("penalty_times", R.PENALTY_TIMES), ("full_credit", R.FULL_CREDIT))]
+)
+
+
+@query("K7_workbook", R.COMPOSITE + _SHEETS)
+def k7(spark, d):
+    """The sheets of the report written as CSV, one folder each, and their numbers read back in long form."""
+    rows = cut(R.measures(spark, d))
+    sheets = workbook(rows, R.composite(rows), {"penalty_h": R.PENALTY_H, "penalty_times": R.PENALTY_TIMES, "full_credit": R.FULL_CREDIT})
+    out = None
+    for name, df in sheets.items():
+        path = _written(spark, lambda p, df=df: df.write.option("header", True).csv(p))
+        if name in ("formulas", "assumptions"):
+            continue
+        back = spark.read.schema(df.schema).option("header", True).csv(path)
+        key, *numbers = back.columns
+        long = back.unpivot(key, numbers, "name", "value").select(F.lit(name).alias("sheet"), F.col(key).alias("item"), "name", F.round("value", 4).alias("value"))
+        out = long if out is None else out.unionByName(long)
+    return out
