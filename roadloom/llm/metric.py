@@ -42,12 +42,12 @@ SCALE = 1024
 PAGES = "dim int, shard long, page int, leaf boolean, points binary, radii binary, distances binary, children binary, centre binary, radius double"
 
 
-def whole_vectors(rows: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """id (a null as the largest number), v (whole components), dim."""
+def whole_vectors(rows: DataFrame, id_col: str, vector: str, scale: int = SCALE, *carried: str) -> DataFrame:
+    """id (a null as the largest number), v (whole components), carried columns, dim."""
     x = F.transform(vector, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
     # a NaN compares as larger than infinity
     sound = F.col(vector).isNotNull() & F.coalesce(F.forall(vector, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < float("inf"))), F.lit(False))
-    kept = rows.where(sound).select(F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)).alias("id"), x.alias("v"))
+    kept = rows.where(sound).select(F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)).alias("id"), x.alias("v"), *carried)
     return kept.withColumn("dim", F.size("v"))
 
 

@@ -97,6 +97,6 @@ def test_tampering_is_found_and_levels_are_stored(spark):
     from pyspark.sql import functions as F
 
     built = merkle.manifest(df.select(merkle.group_name(F.col("lang")).alias("g"), F.col("doc_id").alias("id"), merkle.leaf([F.col(c) for c in merkle.COLUMNS]).alias("node")))
-    assert [level.count() for level in built.groups.levels] == [75, 10, 2, 1]
+    assert [level.count() for level in built.groups.levels] == [75, 10, 2, 1, 1]
     path = built.proofs().select("x.id", "x.node", "root", merkle.folded(F.col("x.node"), F.col("path")).alias("fold")).collect()
     assert len(path) == 600 and all(r.fold == r.root == out[r.id].root for r in path)
