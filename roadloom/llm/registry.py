@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, lloyd, merkle, metric, mixing, near, packing, quality, substrings, suffixes, tools, warc
+from . import html_text, lloyd, merkle, metric, mixing, near, packing, quality, substrings, suffixes, tools, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_top_k": metric.op9_exact_top_k,
     "op10_near_dedup": near.op10_near_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_vector_codes": lloyd.op13_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
