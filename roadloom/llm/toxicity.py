@@ -88,7 +88,8 @@ class Machine:
         summed = self.summed(row, at, n) if summed is None else summed
         own = np.bincount(row, (self.factors[at] ** 2).sum(1), minlength=n)
         z = self.bias + np.bincount(row, self.weights[at], minlength=n) + 0.5 * ((summed**2).sum(1) - own)
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -500.0, 500.0)))
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-z))
 
 
 def fit(row: np.ndarray, term: np.ndarray, y: np.ndarray, kept: np.ndarray, factors: int = FACTORS, steps: int = STEPS) -> Machine:
