@@ -12,8 +12,9 @@ far, so a step is one distributed sum of a few numbers over a stored table, and
 totals off the targets; what is missing is added to the targets every few steps, until they are met. Targets that no rates
 reach (every document's posterior of a domain above its share, say) are reported by a warning and by `mixture`.
 
-Posteriors are taken to the power SHARPNESS: a calibrated classifier gives every clean text some two percent of toxic, as
-many as have toxic labels without a telling word, and no rates could bring a mixture below that.
+Posteriors are the classifier's own, calibrated by a temperature that is chosen on labelled rows held out from a first fit.
+Where a target asks for less of a domain than the posteriors of the least suspect documents hold, no rates reach it; what is
+solved and told then is the nearest mixture that they reach.
 
 Defined results: null and empty texts have no tokens and the rate their posterior (the class shares) gives; null ids and
 repeated rows are rows like others; labels of unknown or null ids are ignored; without labels of two domains or
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, hashing
+from . import common, hashing, toxicity
 
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
 MAX_LABELLED = 8000
-FEATURES = 1 << 18
+FEATURES = toxicity.FEATURES
 RIDGE = 1e-4
 #: Features get a weight from this number of labelled rows on, whatever their share, if the likelihood-ratio test of
 #: presence against some domain reaches MIN_G (a chance of 1e-4 for one feature).
@@ -44,27 +45,18 @@ MIN_ROWS, MIN_G = 3, 15.0
 STEPS, TOLERANCE = 200, 1e-4
 #: Steps between two corrections of the targets for what the ridge holds back.
 PERIOD = 40
-SHARPNESS = 2.0
+#: Every so many labelled rows one is held out to calibrate the posteriors, among these temperatures.
+HOLD_OUT, TEMPERATURES = 5, np.geomspace(0.25, 4.0, 33)
 CHUNK_BYTES = 1 << 18
 
 
-#: Letters and digits; bytes beyond ASCII belong to letters.
-INNER = np.array([k >= 128 or chr(k).isalnum() for k in range(256)])
-
-
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a run of rows: (row, feature) of distinct hashed words and last bytes of words, sorted by row, and the
+    """Of a run of rows: (row, feature) of distinct hashed words, their beginnings and last bytes, sorted by row, and the
     number of words of each row."""
+    row, term = toxicity.terms(data, offsets)
     words = hashing.Words(data, offsets, fold=True)
-    last = hashing.mix(words.bytes[words.end - 1].astype(np.uint64), 9)
-    # edges without punctuation; words of punctuation alone stay
-    place, inner = np.arange(len(words.bytes)), INNER[words.bytes]
-    first = np.minimum.accumulate(np.where(inner, place, len(place))[::-1])[::-1][words.start]
-    end = np.maximum.accumulate(np.where(inner, place, -1))[words.end - 1] + 1
-    some = first < words.end
-    words.start, words.end = np.where(some, first, words.start), np.where(some, end, words.end)
-    hashes = np.concatenate((words.hashes(), last)) & np.uint64(FEATURES - 1)
-    key = np.unique(np.concatenate((words.row, words.row)) * FEATURES + hashes.astype(np.int64))
+    last = hashing.mix(words.bytes[words.end - 1].astype(np.uint64), 9) & np.uint64(FEATURES - 1)
+    key = np.unique(np.concatenate((row * FEATURES + term, words.row * FEATURES + last.astype(np.int64))))
     return key // FEATURES, key % FEATURES, np.diff(words.row_word)
 
 
@@ -92,6 +84,7 @@ class Model(Steps):
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, len(DOMAINS))))  # kept features x domains
     bias: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
     kept: np.ndarray = field(default_factory=lambda: np.zeros(0, int))  # the features that have weights, sorted
+    temperature: float = 1.0
 
     def posteriors(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         at = np.searchsorted(self.kept, feature)
@@ -99,13 +92,9 @@ class Model(Steps):
         known[known] = self.kept[at[known]] == feature[known]
         row, at = row[known], at[known]
         z = np.stack([np.bincount(row, self.weights[at, k], minlength=n) for k in range(len(self.bias))], axis=1) + self.bias
-        z = np.exp(z - z.max(1, keepdims=True))
+        z = np.exp((z - z.max(1, keepdims=True)) / self.temperature)
         return z / z.sum(1, keepdims=True)
 
-    def sharpened(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        p = self.posteriors(row, feature, n) ** SHARPNESS
-        return p / p.sum(1, keepdims=True)
-
 
 def association(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_classes: int) -> np.ndarray:
     """Of every feature the largest likelihood-ratio statistic of its presence against one class."""
@@ -172,7 +161,25 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Mode
     found.sort(key=lambda r: (r["domain"], r["features"]))  # the same sums for any order of arrival
     sizes = np.array([len(r["features"]) // 4 for r in found])
     cols = np.frombuffer(b"".join(r["features"] for r in found), dtype=np.int32)
-    return fit(np.repeat(np.arange(len(found)), sizes), cols, np.array([r["domain"] for r in found]), len(DOMAINS))
+    rows, y = np.repeat(np.arange(len(found)), sizes), np.array([r["domain"] for r in found])
+    model = fit(rows, cols, y, len(DOMAINS))
+    model.temperature = calibrated(rows, cols, y)
+    return model
+
+
+def calibrated(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> float:
+    """The temperature at which a model fitted on the other rows gives the held out ones the least log loss."""
+    out = np.arange(len(y)) % HOLD_OUT == 0
+    place = np.where(out, np.cumsum(out), np.cumsum(~out)) - 1
+    held = out[rows]
+    if len(np.unique(y[~out])) < 2:
+        return 1.0
+    model = fit(place[rows[~held]], cols[~held], y[~out], len(DOMAINS))
+    losses = []
+    for model.temperature in TEMPERATURES:
+        p = model.posteriors(place[rows[held]], cols[held], int(out.sum()))
+        losses.append(-np.log(p[np.arange(len(p)), y[out]] + 1e-12).sum())
+    return float(TEMPERATURES[int(np.argmin(losses))])
 
 
 def _scorer(shared, other: list[str]):
@@ -185,7 +192,7 @@ def _scorer(shared, other: list[str]):
             data, offsets = hashing.text_bytes(batch.column(names.index("text")))
             for lo, hi in hashing.row_runs(offsets, CHUNK_BYTES):
                 row, feature, n = features(data, offsets[lo : hi + 1])
-                p = model.sharpened(row, feature, hi - lo)
+                p = model.posteriors(row, feature, hi - lo)
                 part = batch.slice(lo, hi - lo)
                 columns = {k: part.column(names.index(k)) for k in other}
                 columns |= {"n_tokens": pa.array(n, pa.int64()), "rate": pa.array(model.rates(p))}
@@ -210,14 +217,14 @@ def _totals(shared):
 
 def solve(model: Model, scores: DataFrame, targets: dict[str, float], steps: int = STEPS) -> dict[str, float]:
     """Projected gradient over the stored n_tokens and posteriors; adds the steps to the model. Returns the domains'
-    totals at the end, as shares of all tokens; a warning tells if they aren't the targets."""
+    totals at the end, as shares of all tokens; a warning tells if they aren't the targets, which then no rates reach."""
     context = scores.sparkSession.sparkContext
     total = scores.agg(F.sum("n_tokens")).head()[0] or 0
     if not total:
         return {}
     goal = np.array([targets[k] for k in DOMAINS])
     columns = scores.select("n_tokens", *(f"p_{k}" for k in DOMAINS))
-    missing, now = np.zeros(len(goal)), goal
+    missing, now, last = np.zeros(len(goal)), goal, None
     for step in range(1, steps + 1):
         shared = context.broadcast(Steps(list(model.history)))
         parts = columns.mapInArrow(_totals(shared), ", ".join(f"t{k} double" for k in range(len(DOMAINS))))
@@ -226,10 +233,12 @@ def solve(model: Model, scores: DataFrame, targets: dict[str, float], steps: int
         if np.abs(now - goal).max() < TOLERANCE:
             break
         if step % PERIOD == 0:
-            missing += now - goal
+            if last is not None and np.abs(now - last).max() < TOLERANCE:
+                break  # no nearer to targets out of reach
+            missing, last = missing + now - goal, now
         model.history.append(np.round(now - goal + missing, 12))
     if np.abs(now - goal).max() > 10 * TOLERANCE:
-        warnings.warn(f"targets {targets} are not met: {dict(zip(DOMAINS, now.round(4).tolist(), strict=True))}", stacklevel=2)
+        warnings.warn(f"targets {targets} are out of reach; the nearest mixture is {dict(zip(DOMAINS, now.round(4).tolist(), strict=True))}", stacklevel=2)
     return dict(zip(DOMAINS, now.tolist(), strict=True))
 
 

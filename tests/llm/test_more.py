@@ -192,10 +192,26 @@ def test_mixing_meets_its_default_targets(spark, sf):
 
 def test_mixing_reports_targets_that_cannot_be_met(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
-    with pytest.warns(UserWarning, match="not met"):
+    with pytest.warns(UserWarning, match="out of reach"):
         mixing.weighted(docs, labels, {"clean": 0.0, "low": 0.0, "toxic": 1000.0})
 
 
+@pytest.mark.parametrize("targets", [(0.9, 0.08, 0.02), (0.5, 0.5, 0.0), (0.0, 0.0, 0.7)])
+def test_mixing_by_brute_force(spark, targets):
+    """No rates come nearer to the targets on the posteriors than those that are returned."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    goal = np.array(targets)
+    out = mixing.weighted(docs, labels, dict(zip(mixing.DOMAINS, targets, strict=True))).collect()
+    p = np.array([[r[f"p_{k}"] for k in mixing.DOMAINS] for r in out])
+    a = p * np.array([r.n_tokens for r in out])[:, None]
+    a /= sum(r.n_tokens for r in out)
+    rate = np.array([r.rate for r in out])
+    plain = np.ones(len(out))
+    for _ in range(20_000):  # steps of the plain gradient, without ridge
+        plain = np.maximum(0.0, plain - a @ (plain @ a - goal) / np.linalg.norm(a, 2) ** 2)
+    assert np.linalg.norm(rate @ a - goal) < np.linalg.norm(plain @ a - goal) + 2e-3
+
+
 ARTICLE = "<p>First paragraph, long enough, with some commas, to read as text.</p>"
 READ = "First paragraph, long enough, with some commas, to read as text."
 
