@@ -38,6 +38,8 @@ DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
 MAX_LABELLED = 8000
 FEATURES = toxicity.FEATURES
+#: Bytes of the beginnings of words that are features beside the words.
+STEMS = (4,)
 RIDGE = 1e-4
 #: Features get a weight from this number of labelled rows on, whatever their share, if the likelihood-ratio test of
 #: presence against some domain reaches MIN_G (a chance of 1e-4 for one feature).
@@ -50,13 +52,14 @@ HOLD_OUT, TEMPERATURES = 5, np.geomspace(0.25, 4.0, 33)
 CHUNK_BYTES = 1 << 18
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a run of rows: (row, feature) of distinct hashed words, their beginnings and last bytes, sorted by row, and the
-    number of words of each row."""
-    row, term = toxicity.terms(data, offsets)
+    number of words of each row; of all features or of those that the table `known` marks."""
+    row, term = toxicity.terms(data, offsets, known, STEMS)
     words = hashing.Words(data, offsets, fold=True)
-    last = hashing.mix(words.bytes[words.end - 1].astype(np.uint64), 9) & np.uint64(FEATURES - 1)
-    key = np.unique(np.concatenate((row * FEATURES + term, words.row * FEATURES + last.astype(np.int64))))
+    last = (hashing.mix(words.bytes[words.end - 1].astype(np.uint64), 9) & np.uint64(FEATURES - 1)).astype(np.int64)
+    some = slice(None) if known is None else known[last]
+    key = np.unique(np.concatenate((row * FEATURES + term, words.row[some] * FEATURES + last[some])))
     return key // FEATURES, key % FEATURES, np.diff(words.row_word)
 
 
@@ -182,26 +185,39 @@ def calibrated(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> float:
     return float(TEMPERATURES[int(np.argmin(losses))])
 
 
+P = [f"p_{k}" for k in DOMAINS]
+
+
 def _scorer(shared, other: list[str]):
-    """Adds n_tokens, posteriors and, with a history, rate."""
+    """Adds n_tokens and posteriors to other columns."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        known = toxicity.marked(model.kept)
         for batch in batches:
             names = batch.schema.names
             data, offsets = hashing.text_bytes(batch.column(names.index("text")))
             for lo, hi in hashing.row_runs(offsets, CHUNK_BYTES):
-                row, feature, n = features(data, offsets[lo : hi + 1])
+                row, feature, n = features(data, offsets[lo : hi + 1], known)
                 p = model.posteriors(row, feature, hi - lo)
                 part = batch.slice(lo, hi - lo)
-                columns = {k: part.column(names.index(k)) for k in other}
-                columns |= {"n_tokens": pa.array(n, pa.int64()), "rate": pa.array(model.rates(p))}
-                columns |= {f"p_{k}": pa.array(p[:, i]) for i, k in enumerate(DOMAINS)}
-                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+                columns = [*(part.column(names.index(k)) for k in other), pa.array(n, pa.int64()), *(pa.array(p[:, i]) for i in range(len(P)))]
+                yield pa.RecordBatch.from_arrays(columns, [*other, "n_tokens", *P])
 
     return score
 
 
+def _rater(shared):
+    """Adds the rate that the steps give to a row's posteriors."""
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.stack([batch.column(batch.schema.names.index(k)).to_numpy() for k in P], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.rates(p))], [*batch.schema.names, "rate"])
+
+    return rate
+
+
 def _totals(shared):
     """Domain totals of tokens times rate at the point of the next gradient, a row per task."""
 
@@ -215,8 +231,8 @@ def _totals(shared):
     return sums
 
 
-def solve(model: Model, scores: DataFrame, targets: dict[str, float], steps: int = STEPS) -> dict[str, float]:
-    """Projected gradient over the stored n_tokens and posteriors; adds the steps to the model. Returns the domains'
+def solve(model: Steps, scores: DataFrame, targets: dict[str, float], steps: int = STEPS) -> dict[str, float]:
+    """Projected gradient over the stored n_tokens and posteriors; adds the steps. Returns the domains'
     totals at the end, as shares of all tokens; a warning tells if they aren't the targets, which then no rates reach."""
     context = scores.sparkSession.sparkContext
     total = scores.agg(F.sum("n_tokens")).head()[0] or 0
@@ -249,19 +265,19 @@ def mixture(weighted_: DataFrame, targets: dict[str, float] | None = None) -> Da
     return sums.select(rows.alias("r")).select("r.*")
 
 
-def weighted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = MAX_LABELLED) -> DataFrame:
-    """The documents with n_tokens, p_clean, p_low, p_toxic and rate."""
+def weighted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = MAX_LABELLED, kept: list[str] | None = None) -> DataFrame:
+    """The documents (or some columns of them) with n_tokens, p_clean, p_low, p_toxic and rate. Texts are read once: posteriors are
+    stored beside the columns, and rates follow from them."""
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c.lower() not in ("n_tokens", "rate", *(f"p_{k}" for k in DOMAINS))]
-    docs = docs.select(*names)
+    names = [c for c in kept or docs.columns if c.lower() not in ("n_tokens", "rate", *P)]
     model = train(docs, labels, bound) or Model()
-    kinds = "n_tokens long, rate double, " + ", ".join(f"p_{k} double" for k in DOMAINS)
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", n_tokens long, " + ", ".join(f"{k} double" for k in P)
+    text = docs.select(*dict.fromkeys([*names, "text"]))
+    scores = common.store(text.mapInArrow(_scorer(spark.sparkContext.broadcast(model), names), fields), "scores")
+    steps = Steps()
     if np.any(model.weights):
-        shared = spark.sparkContext.broadcast(model)
-        scores = common.store(docs.select("text").mapInArrow(_scorer(shared, []), kinds).drop("rate"), "scores")
-        solve(model, scores, targets or TARGETS)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.mapInArrow(_scorer(spark.sparkContext.broadcast(model), names), f"{fields}, {kinds}")
+        solve(steps, scores.select("n_tokens", *P), targets or TARGETS)
+    return scores.mapInArrow(_rater(spark.sparkContext.broadcast(steps)), f"{fields}, rate double")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -276,5 +292,5 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts have no tokens; null ids and repeated rows are rows like others."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = weighted(docs, common.table(spark, sf_dir, "labels"))
+    out = weighted(docs, common.table(spark, sf_dir, "labels"), kept=["doc_id"])
     return out.select("doc_id", "n_tokens", *(F.round(f"p_{k}", 6).alias(f"p_{k}") for k in DOMAINS), F.round("rate", 6).alias("rate"))

@@ -46,8 +46,8 @@ CHUNK_BYTES = 1 << 18
 INNER = np.array([k >= 128 or chr(k).isalnum() for k in range(256)])
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a run of rows (row, term), distinct and sorted."""
+def terms(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
+    """Of a run of rows (row, term), distinct and sorted; of all terms or of those that the table `known` marks."""
     words = hashing.Words(data, offsets, fold=True)
     place, inner = np.arange(len(words.bytes)), INNER[words.bytes]
     first = np.minimum.accumulate(np.where(inner, place, len(place))[::-1])[::-1][words.start]
@@ -56,10 +56,11 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     words.start, words.end = np.where(some, first, words.start), np.where(some, end, words.end)
     whole = words.end
     keys = []
-    for stem in (0, *STEMS):
+    for stem in (0, *stems):
         words.end = np.minimum(whole, words.start + stem) if stem else whole
-        hashes = hashing.mix(words.hashes(), stem) & np.uint64(FEATURES - 1)
-        keys.append(words.row * FEATURES + hashes.astype(np.int64))
+        hashes = (hashing.mix(words.hashes(), stem) & np.uint64(FEATURES - 1)).astype(np.int64)
+        some = slice(None) if known is None else known[hashes]
+        keys.append(words.row[some] * FEATURES + hashes[some])
     key = np.unique(np.concatenate(keys))
     return key // FEATURES, key % FEATURES
 
@@ -92,6 +93,13 @@ class Machine:
             return 1.0 / (1.0 + np.exp(-z))
 
 
+def marked(kept: np.ndarray) -> np.ndarray:
+    """A table of all terms that marks some."""
+    out = np.zeros(FEATURES, dtype=bool)
+    out[kept] = True
+    return out
+
+
 def fit(row: np.ndarray, term: np.ndarray, y: np.ndarray, kept: np.ndarray, factors: int = FACTORS, steps: int = STEPS) -> Machine:
     """By Adam on the log loss of the whole sample."""
     share = (y.sum() + 0.5) / (len(y) + 1)
@@ -181,10 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, factors
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
+        known = marked(machine.kept)
         for batch in batches:
             data, offsets = hashing.text_bytes(batch.column(1))
             for lo, hi in hashing.row_runs(offsets, CHUNK_BYTES):
-                row, at = machine.known(*terms(data, offsets[lo : hi + 1]))
+                row, at = machine.known(*terms(data, offsets[lo : hi + 1], known))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(machine.scores(row, at, hi - lo))], ["doc_id", "score"])
 
     return score
