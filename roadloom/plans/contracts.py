@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
 from roadloom.operators import contracts as C
+from roadloom.operators.nearest import nearest
 from roadloom.plans import routing as R
 from roadloom.sources import network as N
 from roadloom.sources.stored import cut, shared_base, table
@@ -193,6 +194,10 @@ def p8(spark, d):
     return C.clean_matrix(N.od(spark, d).select(F.concat(F.col("o"), F.lit("  ")).alias("o"), F.col("d").cast("string").alias("d"), value.alias("value")), fail=False)
 
 
+def _heads(spark, d) -> DataFrame:
+    return N.zones(spark, d).select(F.col("zone").alias("site"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+
+
 @query("P6_target_selection", N.with_sql("zones") + """, p AS (SELECT c_custkey AS id, 80 + (c_custkey * 37 % 1000) / 120 AS x, 26 + (c_custkey * 91 % 1000) / 250 AS y, c_acctbal AS n FROM customer),
  g AS (SELECT id, n, least(abs(x - 82.55::DOUBLE), abs(x - 85.75::DOUBLE)) AS edge, (SELECT min(sqrt(pow(p.x - lon, 2) + pow(p.y - lat, 2))) FROM zones) AS head FROM p)
  SELECT id, CASE WHEN edge > 0.5 THEN 'interior' WHEN n < 1000 THEN 'low' WHEN head < 0.3 THEN 'adjacent' ELSE 'primary' END AS class, CAST(CASE WHEN edge > 0.5 THEN 0 ELSE 1 END AS DOUBLE) AS weight, CAST(CASE WHEN edge > 0.5 THEN 100 WHEN n < 1000 THEN 4 WHEN head < 0.3 THEN 2 ELSE 1 END AS DOUBLE) AS variance FROM g""")
@@ -200,11 +205,9 @@ def p6(spark, d):
     """Counts near a boundary, large, and far from a head place are primary; weights and variance factors by class."""
     k = F.col("c_custkey")
     p = table(spark, d, "customer").select(k.alias("id"), (80 + (k * 37 % 1000) / 120).alias("x"), (26 + (k * 91 % 1000) / 250).alias("y"), F.col("c_acctbal").alias("n"))
-    heads = N.zones(spark, d).agg(F.collect_list(F.struct("lon", "lat")).alias("heads"))  # one row per zone, 25 of them
     edges = [((82.55, 0.0), (82.55, 90.0)), ((85.75, 0.0), (85.75, 90.0))]
     edge = F.least(*(E.segment_distance(F.col("x"), F.col("y"), *(F.lit(v) for ab in s for v in ab)) for s in edges))
-    head = F.array_min(F.transform("heads", lambda h: F.sqrt(F.pow(F.col("x") - h["lon"], 2) + F.pow(F.col("y") - h["lat"], 2))))
-    g = p.crossJoin(F.broadcast(heads)).select("id", "n", edge.alias("edge"), head.alias("head"))
+    g = nearest(p, _heads(spark, d)).select("id", "n", edge.alias("edge"), F.col("distance").alias("head"))
     kind = F.when(F.col("edge") > 0.5, "interior").when(F.col("n") < 1000, "low").when(F.col("head") < 0.3, "adjacent").otherwise("primary")
     factor = F.create_map(*(F.lit(x) for kv in (("interior", 100.0), ("low", 4.0), ("adjacent", 2.0), ("primary", 1.0)) for x in kv))
     return g.select("id", kind.alias("class")).select("id", "class", F.when(F.col("class") == "interior", 0.0).otherwise(1.0).alias("weight"), factor[F.col("class")].alias("variance"))
@@ -261,8 +264,8 @@ def j12(spark, d):
     z = N.zones(spark, d).select("zone", "lon", "lat")
     gap = F.round(F.sqrt(F.pow(F.col("x") - F.col("lon"), 2) + F.pow(F.col("y") - F.col("lat"), 2)), 9)
     own = z.join(p, F.col("zone") == F.col("own")).groupBy("zone").agg(F.min_by("id", F.struct(gap, -F.col("pop"), "id")).alias("node"))
-    rest = z.join(own, "zone", "left_anti").agg(F.collect_list(F.struct("zone", "lon", "lat")).alias("zones"))  # zones without candidates, 25 at most
-    far = p.crossJoin(F.broadcast(rest)).select("id", "x", "y", F.explode("zones").alias("z")).select("id", "x", "y", "z.*").groupBy("zone").agg(F.min_by("id", F.struct(gap, "id")).alias("far"))
+    rest = z.join(own, "zone", "left_anti").select("zone", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    far = nearest(rest, p.select(F.col("id").alias("site"), "x", "y")).select("zone", F.col("site").alias("far"))
     return z.join(own, "zone", "left").join(far, "zone", "left").select("zone", F.coalesce("node", "far").alias("node"), F.when(F.col("node").isNotNull(), "candidate").otherwise("nearest").alias("method"))
 
 
@@ -288,9 +291,8 @@ def a12(spark, d):
 @query("A14_snap_quality", N.with_sql("zones") + ", g AS (SELECT c_custkey, (SELECT min(sqrt(pow(80 + (c_custkey * 37 % 1000) / 120 - lon, 2) + pow(26 + (c_custkey * 91 % 1000) / 250 - lat, 2))) FROM zones) AS gap FROM customer) SELECT round(max(gap), 6) AS most, round(avg(gap), 6) AS mean, count(*) FILTER (gap > 0.5) AS far FROM g")
 def a14(spark, d):
     k = F.col("c_custkey")
-    heads = N.zones(spark, d).agg(F.collect_list(F.struct("lon", "lat")).alias("heads"))
-    gap = F.array_min(F.transform("heads", lambda h: F.sqrt(F.pow(80 + (k * 37 % 1000) / 120 - h["lon"], 2) + F.pow(26 + (k * 91 % 1000) / 250 - h["lat"], 2))))
-    g = table(spark, d, "customer").crossJoin(F.broadcast(heads)).select(gap.alias("gap"))
+    p = table(spark, d, "customer").select((80 + (k * 37 % 1000) / 120).alias("x"), (26 + (k * 91 % 1000) / 250).alias("y"))
+    g = nearest(p, _heads(spark, d)).select(F.col("distance").alias("gap"))
     return g.agg(r6(F.max("gap")).alias("most"), r6(F.avg("gap")).alias("mean"), F.count_if(F.col("gap") > 0.5).alias("far"))
 
 

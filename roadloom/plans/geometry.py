@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
 from roadloom.operators import graph as G
+from roadloom.operators import splitting
+from roadloom.operators.nearest import nearest
 from roadloom.plans.network import POINTS, _points, near_cells
 from roadloom.sources import network as N
 from roadloom.sources.stored import cut, table
@@ -184,12 +186,50 @@ def ge8b(spark, d):
 
 @query("GE9_nearest_edge", BENDS + f", q AS (SELECT zone, lon + 0.2::DOUBLE AS px, lat + 0.15::DOUBLE AS py FROM zones), n AS (SELECT zone, code, round(least({_seg_sql('px', 'py', '1', '2')}, {_seg_sql('px', 'py', '2', '3')}), 9) AS distance FROM q CROSS JOIN g) SELECT zone, min_by(code, {{'d': distance, 'c': code}}) AS code, round(min(distance), 6) AS distance FROM n GROUP BY zone")
 def ge9(spark, d):
-    """Each point's nearest line, ties to the smaller code. The points (25 zones) ride along with every line as one array, and a zone's
-    best is kept before the shuffle."""
-    q = N.zones(spark, d).agg(F.collect_list(F.struct("zone", (F.col("lon") + 0.2).alias("px"), (F.col("lat") + 0.15).alias("py"))).alias("q"))
-    rows = lines(spark, d).crossJoin(F.broadcast(q)).select("code", "pts", F.explode("q").alias("q"))
-    rows = rows.select("q.zone", "code", F.round(line_distance(F.col("q.px"), F.col("q.py"), F.col("pts")), 9).alias("distance"))
-    return rows.groupBy("zone").agg(F.min(F.struct("distance", "code")).alias("m")).select("zone", "m.code", r6("m.distance").alias("distance"))
+    """Each point's nearest line, ties to the smaller code."""
+    q = N.zones(spark, d).select("zone", (F.col("lon") + 0.2).alias("x"), (F.col("lat") + 0.15).alias("y"))
+    return nearest(q, line_sites(lines(spark, d))).select("zone", "site.code", r6("distance").alias("distance"))
+
+
+def line_sites(g: DataFrame) -> DataFrame:
+    """Every segment as a site named by its line and its place there."""
+    s = g.select("code", F.posexplode(segments(F.col("pts"))).alias("k", "s"))
+    return s.select(F.struct("code", "k").alias("site"), F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+
+
+def _heads(spark, d) -> DataFrame:
+    """Suppliers as places beside the network: id, x, y; several fall on one place."""
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(k.alias("id"), (80 + (k * 37 % 100) / 14).alias("x"), (26 + (k * 91 % 100) / 21).alias("y"))
+
+
+SEGMENTS = """, sg AS (SELECT code, 0 AS k, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS b2, 0.0::DOUBLE AS f FROM g UNION ALL SELECT code, 1, x2, y2, x3, y3, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) FROM g),
+ s1 AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(b2 - ay, 2)) AS size FROM sg),
+ hp AS (SELECT s_suppkey AS id, 80 + (s_suppkey * 37 % 100) / 14 AS x, 26 + (s_suppkey * 91 % 100) / 21 AS y FROM supplier),
+ h1 AS (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (b2 - ay)) / (size * size))) AS t FROM hp CROSS JOIN s1),
+ h2 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (b2 - ay), 2)), 9), code, k) AS n FROM h1),
+ ends AS (SELECT code, sum(size) AS whole FROM s1 GROUP BY code),
+ nk AS (SELECT code, printf('%.3f %.3f', round_even(x1, 3), round_even(y1, 3)) AS u, printf('%.3f %.3f', round_even(x3, 3), round_even(y3, 3)) AS v FROM g),
+ h3 AS (SELECT h2.id, h2.code, round(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (b2 - ay), 2)), 9) AS distance, f + t * size AS pos, whole, u, v,
+   printf('%.3f %.3f', round_even(ax + t * (bx - ax), 3), round_even(ay + t * (b2 - ay), 3)) AS here FROM h2 JOIN ends USING (code) JOIN nk USING (code) WHERE n = 1),
+ on_line AS (SELECT *, CASE WHEN pos <= 0 THEN u WHEN pos >= whole THEN v ELSE here END AS node FROM h3),
+ firsts AS (SELECT code, node, min_by(pos, id) AS pos, min(id) AS first_id FROM on_line WHERE node <> u AND node <> v GROUP BY code, node)"""
+
+
+@query("GE9_points_on_lines", BENDS + SEGMENTS + " SELECT id, o.code, round(distance, 6) AS distance, o.node, coalesce(first_id = id, FALSE) AS is_new FROM on_line o LEFT JOIN firsts f ON f.code = o.code AND f.node = o.node")
+def ge9_points(spark, d):
+    """Every place put onto its nearest line: its node there, and whether it made that node or found it."""
+    nodes, _ = splitting.split(_heads(spark, d), lines(spark, d), digits=3)
+    return nodes.select("id", "code", r6("distance").alias("distance"), "node", "is_new")
+
+
+@query("GE9_split_edges", BENDS + SEGMENTS + """, stops AS (SELECT code, 0.0::DOUBLE AS pos, 0 AS kind, u AS node FROM nk UNION ALL SELECT code, whole, 2, v FROM ends JOIN nk USING (code) UNION ALL SELECT code, pos, 1, node FROM firsts),
+ pc AS (SELECT code, row_number() OVER w - 1 AS part, node AS u, lead(node) OVER w AS v, lead(pos) OVER w - pos AS length FROM stops WINDOW w AS (PARTITION BY code ORDER BY pos, kind, node))
+ SELECT u, v, code, part, round(length, 6) AS length FROM pc WHERE v IS NOT NULL UNION ALL SELECT v, u, code, part, round(length, 6) FROM pc WHERE v IS NOT NULL""")
+def ge9_edges(spark, d):
+    """What the places leave of the lines: pieces between nodes, both directions, with their lengths."""
+    _, pieces = splitting.split(_heads(spark, d), lines(spark, d), digits=3)
+    return pieces.select("u", "v", "code", "part", r6("length").alias("length"))
 
 
 @query("GE9_projection", BENDS + ", q AS (SELECT code, x1 + 0.3::DOUBLE AS px, y1 + 0.1::DOUBLE AS py, x1, y1, x2, y2 FROM g), t AS (SELECT *, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM q) SELECT code, round(t, 6) AS t, round(x1 + t * (x2 - x1), 6) AS x, round(y1 + t * (y2 - y1), 6) AS y, t > 0 AND t < 1 AS splits FROM t")
@@ -205,13 +245,9 @@ def ge9b(spark, d):
 def allocated(anchors: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Totals of anchors (district, x, y, total) dealt evenly to their k nearest nodes (node, x, y), by distance and node:
     district, node, place, amount. Shares add up to the total."""
-    gap = F.round(F.sqrt(F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2)), 9)
-    a = anchors.select("district", F.col("x").alias("ax"), F.col("y").alias("ay"), "total")
-    rows = nodes.crossJoin(F.broadcast(a)).select("district", "node", "total", gap.alias("gap"))  # one row per district is broadcast
-    place = F.row_number().over(Window.partitionBy("district").orderBy("gap", "node"))
-    near = rows.withColumn("place", place).where(F.col("place") <= k)
+    near = nearest(anchors, nodes.select(F.col("node").alias("site"), "x", "y"), k)
     n = near.groupBy("district").agg(F.count(F.lit(1)).alias("n"))
-    return near.join(n, "district").select("district", "node", "place", (F.col("total") / F.col("n")).alias("amount"))
+    return near.join(n, "district").select("district", F.col("site").alias("node"), "place", (F.col("total") / F.col("n")).alias("amount"))
 
 
 NEAREST = f"{N.with_sql('zones')}, {POINTS}, n AS (SELECT zone, id, population, row_number() OVER (PARTITION BY zone ORDER BY round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9), id) AS place FROM zones CROSS JOIN p), k AS (SELECT * FROM n WHERE place <= 24)"
@@ -244,10 +280,9 @@ def gr19b(spark, d):
 
 @query("GR22_place_names", N.with_sql("zones") + f", {POINTS} SELECT id, min_by(name, {{'d': round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9), 'z': zone}}) AS place FROM p, zones GROUP BY id")
 def gr22(spark, d):
-    z = N.zones(spark, d).agg(F.collect_list(F.struct("zone", "lon", "lat", "name")).alias("zones"))
-    gap = lambda t: F.round(F.sqrt(F.pow(F.col("x") - t["lon"], 2) + F.pow(F.col("y") - t["lat"], 2)), 9)
-    best = F.array_min(F.transform("zones", lambda t: F.struct(gap(t).alias("d"), t["zone"].alias("z"), t["name"].alias("n"))))
-    return _points(spark, d).crossJoin(F.broadcast(z)).select("id", best["n"].alias("place"))
+    """The name of the nearest place."""
+    z = N.zones(spark, d).select(F.struct("zone", "name").alias("site"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return nearest(_points(spark, d), z).select("id", F.col("site.name").alias("place"))
 
 
 @query("V5_region_boxes", f"WITH {POINTS} SELECT CASE WHEN x < 82.5 THEN 'west' WHEN x < 85.7 THEN 'middle' ELSE 'east' END AS box, count(*) AS n FROM p WHERE y BETWEEN 26 AND 30.7 GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import exprs as E
 from roadloom.operators import demand as D
 from roadloom.operators import graph as G
+from roadloom.operators.nearest import nearest
 from roadloom.sources import network as N
 from roadloom.sources.stored import cut, table
 
@@ -78,11 +79,9 @@ def ge6(spark, d):
 
 @query("J9_nearest_zone", f"{N.with_sql('zones')}, {POINTS} SELECT id, min_by(zone, {{'d': round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9), 'z': zone}}) AS zone FROM p, zones GROUP BY id")
 def j9(spark, d):
-    """The nearest of a fixed set of 25 zones, held as one array of known size: no pairs of rows are made."""
-    z = N.zones(spark, d).agg(F.sort_array(F.collect_list(F.struct("zone", "lon", "lat"))).alias("zones"))
-    gap = lambda t: F.round(F.sqrt(F.pow(F.col("x") - t["lon"], 2) + F.pow(F.col("y") - t["lat"], 2)), 9)
-    best = F.array_min(F.transform("zones", lambda t: F.struct(gap(t).alias("d"), t["zone"].alias("z"))))
-    return _points(spark, d).crossJoin(F.broadcast(z)).select("id", best["z"].alias("zone"))
+    """Each point's nearest zone, ties to the smaller one."""
+    z = N.zones(spark, d).select(F.col("zone").alias("site"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return nearest(_points(spark, d), z).select("id", F.col("site").alias("zone"))
 
 
 @query("J10_radius_count", f"{N.with_sql('zones')}, {POINTS} SELECT zone, count(id) AS n FROM zones LEFT JOIN p ON sqrt(pow(x - lon, 2) + pow(y - lat, 2)) <= 0.5::DOUBLE GROUP BY zone")

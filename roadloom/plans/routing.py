@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
+from roadloom.operators import forest
 from roadloom.operators import paths as P
 from roadloom.sources import network as N
 from roadloom.sources.stored import cut
@@ -111,9 +112,9 @@ def j14(spark, d):
     return _affected(spark, d).groupBy("link").agg(F.count(F.lit(1)).alias("pairs"), r(F.sum("q"), 4).alias("demand"), r(F.sum(F.col("q") * F.col("c")), 4).alias("hours"))
 
 
-def _affected(spark, d) -> DataFrame:
+def _affected(spark, d, found: DataFrame | None = None) -> DataFrame:
     """link, o, d, c, q of every connected pair with demand whose path uses the link."""
-    return incidence(routes(spark, d)).withColumnRenamed("code", "link").join(N.demand(spark, d).where("q > 0"), ["o", "d"])
+    return incidence(found or routes(spark, d)).withColumnRenamed("code", "link").join(N.demand(spark, d).where("q > 0"), ["o", "d"])
 
 
 @query("V3_major_flows_routed", ON_PATH + ", m AS (SELECT o, d, q FROM demand WHERE q > 0 ORDER BY q DESC, o, d LIMIT 50) SELECT code, count(*) AS cells, round(sum(q), 4) AS q FROM m JOIN onp USING (o, d) GROUP BY code")
@@ -197,7 +198,8 @@ def _without(spark, d, cases: DataFrame) -> DataFrame:
 def physical(spark, d) -> DataFrame:
     """link, flow, pairs, loss, lost, ratio, p1, p2 of every road's removal. Only pairs whose path uses the road are searched again, all
     destinations of an origin at once."""
-    hit = cut(_affected(spark, d))
+    known = cut(routes(spark, d))
+    hit = cut(_affected(spark, d, known))
     cases = hit.groupBy("link", "o").agg(F.collect_set("d").alias("targets"))
     cases = cases.select(F.to_json(F.struct("link", "o")).alias("case"), F.array("o").alias("seeds"), F.array("link").alias("banned"), "targets")
     found = P.searched(weighted(spark, d), cases).select(F.from_json("case", "link string, o long").alias("k"), F.col("node").alias("d"), F.col("c").alias("after"))
@@ -208,7 +210,7 @@ def physical(spark, d) -> DataFrame:
         F.sum(F.col("q") * F.greatest(F.lit(0.0), F.col("t1") - F.col("c"))).alias("loss"), F.sum(F.when(F.col("gone"), F.col("q")).otherwise(0.0)).alias("lost"),
         (F.sum(F.col("q") * F.col("t1")) / F.sum(F.col("q") * F.col("c"))).alias("ratio"), F.sum("q").alias("flow"), F.count(F.lit(1)).alias("pairs"),
     )
-    base = routes(spark, d).join(N.demand(spark, d), ["o", "d"]).agg(F.sum(F.col("q") * F.col("c")).alias("tstt"), F.sum("q").alias("total"))
+    base = known.join(N.demand(spark, d), ["o", "d"]).agg(F.sum(F.col("q") * F.col("c")).alias("tstt"), F.sum("q").alias("total"))
     zero = lambda c, v=0.0: F.coalesce(c, F.lit(v))
     s = weighted(spark, d).groupBy(F.col("code").alias("link")).agg(F.min("w").alias("w")).join(sums, "link", "left").crossJoin(F.broadcast(base))
     credit = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (zero("ratio", 1.0) - 1) / FULL_CREDIT))
@@ -246,15 +248,13 @@ ISOLATED = SCORED + """, b0 AS (SELECT o AS node, min(d) AS part FROM skim GROUP
 
 
 def isolated(spark, d) -> DataFrame:
-    """link, isolated: people outside the largest part of what was their component. A part is named by the smallest
-    node that reaches it."""
-    nodes = weighted(spark, d).select(F.col("u").alias("node")).distinct()
-    cases = nodes.select(F.col("node").cast("string").alias("kind"), F.array("node").alias("seeds"), F.lit(None).cast("array<long>").alias("targets"))
-    parts = cut(_without(spark, d, cases).groupBy("link", "node").agg(F.min(F.col("kind").cast("long")).alias("part")))
-    whole = parts.where("link is null").select("node", F.col("part").alias("whole"))
+    """link, isolated: people on the smaller side of what a road's removal parts; only bridges part anything. A code names one
+    road."""
+    roads = N.roads(spark, d).select("u", "v", F.col("code").alias("id"))
     people = N.zones(spark, d).select(F.col("zone").alias("node"), "population")
-    each = parts.where("link is not null").join(whole, "node").join(people, "node").groupBy("link", "whole", "part").agg(F.sum("population").alias("people"))
-    return each.groupBy("link", "whole").agg((F.sum("people") - F.max("people")).alias("off")).groupBy("link").agg(F.sum("off").alias("isolated"))
+    nodes = roads.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(people, "node", "left").select("node", F.coalesce("population", F.lit(0)).alias("weight"))
+    cut_off = forest.bridges(roads, nodes).select(F.col("id").alias("link"), F.least("inside", "outside").alias("off"))
+    return roads.select(F.col("id").alias("link")).join(cut_off, "link", "left").select("link", F.coalesce("off", F.lit(0)).alias("isolated"))
 
 
 @query("A5_isolated_people", ISOLATED + " SELECT link, isolated FROM iso")

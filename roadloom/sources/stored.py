@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,14 +39,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Rounds:
-    """Stored states of a loop; a round's predecessor goes once the round is written."""
+    """Stored states of a loop; a round's predecessor goes once the round is written. `open` is the number of rows of the last
+    state for which `watch` held, counted while it was written."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_base(spark)}/roadloom-loop-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.open = spark, f"{shared_base(spark)}/roadloom-loop-{uuid.uuid4().hex}", 0, 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, watch: Column | None = None) -> DataFrame:
         self.n += 1
+        if watch is not None:
+            seen = Observation()
+            df = df.observe(seen, F.count_if(watch).alias("open"))
         df.write.parquet(f"{self.root}/{self.n}")
+        if watch is not None:
+            self.open = seen.get["open"]
         if self.n > 1:
             discard(self.spark, f"{self.root}/{self.n - 1}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
