@@ -14,22 +14,29 @@ from roadloom.sources.stored import Rounds, cut
 from .prefix import numbered, running
 
 
-def list_ranks(links: DataFrame, total: str | None = None) -> DataFrame:
+def list_ranks(links: DataFrame, total: str | None = None, rings: bool = False) -> DataFrame:
     """item, last, steps of chains given as (item, next; null at an end): the end of each item's chain and the number of
-    links to it; with `total`, the sum of that column over the item and those before the end as well. Every item has at most one
-    next and one before it; chains don't close. A round quadruples how far an item sees."""
-    linked = F.col("next").isNotNull()
+    links to it; with `total`, the sum of that column over the item and those after it as well. Every item has at most one
+    next and one before it. A round quadruples how far an item sees.
+
+    With `rings` chains may close; the items of such have a null `last`, and `low` is the least item of their ring."""
+    linked, low = F.col("next").isNotNull(), rings
     rounds = Rounds(links.sparkSession)
-    state = links.select("item", "next", F.coalesce("next", "item").alias("last"), linked.cast("long").alias("steps"), (F.col(total) if total else F.lit(0)).alias("sum"))
+    state = links.select("item", "next", F.coalesce("next", "item").alias("last"), linked.cast("long").alias("steps"), (F.col(total) if total else F.lit(0)).alias("sum"), *([F.col("item").alias("low")] if low else []))
     state = rounds.keep(state, linked)
-    while rounds.open:
-        to = state.select(F.col("item").alias("next"), F.col("next").alias("after"), F.col("last").alias("end"), F.col("steps").alias("more"), F.col("sum").alias("plus"))
+    items, seen = rounds.open, 1
+    # an item that saw as many links as there are and no end is on a ring
+    while rounds.open and not (rings and seen > items):
+        to = state.select(F.col("item").alias("next"), F.col("next").alias("after"), F.col("last").alias("end"), F.col("steps").alias("more"), F.col("sum").alias("plus"), *([F.col("low").alias("less")] if low else []))
         going = state.where("next is not null")
         for _ in range(3):  # the same side each time: it is dealt once
             steps, sums = (F.col(c) + F.coalesce(plus, F.lit(0)) for c, plus in (("steps", "more"), ("sum", "plus")))
-            going = going.join(to, "next", "left").select("item", F.col("after").alias("next"), F.coalesce("end", "last").alias("last"), steps.alias("steps"), sums.alias("sum"))
+            least = [F.least("low", F.coalesce("less", "low")).alias("low")] if low else []
+            going = going.join(to, "next", "left").select("item", F.col("after").alias("next"), F.coalesce("end", "last").alias("last"), steps.alias("steps"), sums.alias("sum"), *least)
         state = rounds.keep(state.where("next is null").unionByName(going), linked)
-    return state.select("item", "last", "steps", *([F.col("sum").alias(total)] if total else []))
+        seen *= 4
+    last = F.when(~linked, F.col("last")).alias("last") if rings else F.col("last")
+    return state.select("item", last, "steps", *([F.col("sum").alias(total)] if total else []), *(["low"] if low else []))
 
 
 def spanning(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,13 +57,14 @@ def spanning(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         back = best.select(F.col("part").alias("to"), F.col("edge").alias("their"))
         root = (F.col("edge") == F.col("their")) & (F.col("part") < F.col("to"))
         names = best.join(back, "to", "left").select("part", F.when(root, F.col("part")).otherwise(F.col("to")).alias("to"))
-        jumps, moved = Rounds(spark), F.col("to") != F.col("before")
-        names = jumps.keep(names.withColumn("before", F.lit(-1).cast("long")))
-        jumps.open = 1
-        while jumps.open:
+        jumps = Rounds(spark)
+        while True:
             up = names.select(F.col("part").alias("to"), F.col("to").alias("next"))
             twice = names.select("part", "to").join(up, "to").select("part", F.col("next").alias("to"))
-            names = jumps.keep(twice.join(up, "to").select("part", F.col("next").alias("to"), F.col("to").alias("before")), moved)
+            thrice = twice.join(up, "to").select("part", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+            names = jumps.keep(thrice, F.col("moved"))
+            if not jumps.open:
+                break
         name = names.select("part", F.col("to").alias("name"))
         parts = parts.join(name, "part", "left").select("node", F.coalesce("name", "part").alias("part"))
         side = lambda c: name.select(F.col("part").alias(c), F.col("name").alias(f"new_{c}"))
@@ -110,3 +118,32 @@ def bridges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     cancel = lambda c: F.col(f"to_{c}s").bitwiseXOR(F.col(f"{c}s")).bitwiseXOR(F.col(c)) == 0
     inside = F.col("to_sum") - F.col("sum") + F.col("weight")
     return walk.where("down").join(end, ["part", "back"]).where(cancel("x") & cancel("y")).join(total, "part").select("id", inside.alias("inside"), (F.col("total") - inside).alias("outside"))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """link, place, u, v, id of every edge (u, v, id; undirected): chains of edges between junctions in order.
+
+    A node with other than two edges is a junction; a ring without one is broken at its smallest node. A link runs from the
+    smaller of its ends, at equal ends by the smaller neighbour, and links are numbered in that order from 1. Of edges between the same
+    nodes each counts; loops take no part."""
+    edges = edges.where("u <> v")
+    arcs = edges.select("id", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("a"))
+    arcs = cut(arcs.select(F.struct("a.u", "a.v", "id").alias("item")))
+    ends = arcs.groupBy(F.col("item.u").alias("at")).agg(F.count(F.lit(1)).alias("degree"), F.min("item").alias("one"), F.max("item").alias("two"))
+    # at a node of two edges the way goes on by the other one
+    passing = ends.where("degree = 2").select("at", "one", "two")
+    ways = arcs.join(passing, F.col("item.v") == F.col("at"), "left")
+    ways = cut(ways.select("item", F.when(F.col("one.id") == F.col("item.id"), F.col("two")).otherwise(F.col("one")).alias("next")))
+    ranked = cut(list_ranks(ways, rings=True))
+    open_, closed = ranked.where("last is not null").drop("low"), ranked.where("last is null")
+    # a ring ends at its smallest node
+    broken = closed.join(ways, "item").select("item", F.when(F.col("item.v") != F.col("low.u"), F.col("next")).alias("next"))
+    ranked = open_ if closed.isEmpty() else cut(open_.unionByName(list_ranks(broken)))
+    back = ranked.select(F.struct(F.col("item.v").alias("u"), F.col("item.u").alias("v"), F.col("item.id").alias("id")).alias("item"), F.col("last").alias("first"), F.col("steps").alias("place"))
+    both = ranked.join(back, "item")
+    start = F.struct(F.col("first.v").alias("at"), F.col("first.u").alias("to"), F.col("first.id").alias("id"))
+    end = F.struct(F.col("last.v").alias("at"), F.col("last.u").alias("to"), F.col("last.id").alias("id"))
+    # of the two ways along a link the one from the smaller end stays
+    forward = cut(both.withColumns({"start": start, "end": end}).where(F.col("start") < F.col("end")))
+    links = numbered(forward.select("start").distinct(), ["start"])
+    return forward.join(links.withColumnRenamed("place", "n"), "start").select((F.col("n") + 1).alias("link"), F.col("place").cast("int").alias("place"), F.col("item.u").alias("u"), F.col("item.v").alias("v"), F.col("item.id").alias("id"))

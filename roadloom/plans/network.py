@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
 from roadloom.operators import demand as D
+from roadloom.operators import forest
 from roadloom.operators import graph as G
 from roadloom.operators.nearest import nearest
 from roadloom.sources import network as N
@@ -202,6 +203,34 @@ def gr11b(spark, d):
     return label.select(F.col("node").alias("code"), F.col("label").alias("link"))
 
 
+CHAINS = N.with_sql("edges", "zones", "roads").replace("WITH ", "WITH RECURSIVE ", 1) + """, deg AS (SELECT u AS node, count(*) AS k FROM edges GROUP BY u),
+ w(s, f, u, v, code, len, place) AS (SELECT u, v, u, v, code, len, 0 FROM edges JOIN deg ON node = u AND k <> 2
+  UNION ALL SELECT s, f, w.v, e.v, e.code, e.len, place + 1 FROM w JOIN deg ON node = w.v AND k = 2 JOIN edges e ON e.u = w.v AND e.code <> w.code),
+ t AS (SELECT s, f, max_by(v, place) AS e, max_by(u, place) AS l FROM w GROUP BY s, f),
+ ln AS (SELECT s, f, e, row_number() OVER (ORDER BY s, f) AS link FROM t WHERE s < e OR (s = e AND f < l))"""
+
+
+@query("GR11_link_edges", CHAINS + " SELECT link, CAST(place AS INT) AS place, u, v, code FROM w JOIN ln USING (s, f)")
+def gr11_edges(spark, d):
+    """Roads between junctions in their order: link, place on it, and the road in the link's direction."""
+    return forest.contracted(N.roads(spark, d).select("u", "v", F.col("code").alias("id"))).withColumnRenamed("id", "code")
+
+
+@query("GR11_link_table", CHAINS + """, a AS (SELECT ln.link, any_value(s) AS u, any_value(e) AS v, sum(w.len) AS km, count(*) AS roads, sum(r.design * w.len) / sum(w.len) AS speed FROM w JOIN ln USING (s, f) JOIN roads r USING (code) GROUP BY ln.link),
+ dm AS (SELECT link, arg_max(design, {'k': km, 'd': design}) AS design FROM (SELECT link, design, sum(w.len) AS km FROM w JOIN ln USING (s, f) JOIN roads r USING (code) GROUP BY 1, 2) GROUP BY link)
+ SELECT printf('LNK%04d', a.link) AS code, a.u, a.v, coalesce(x.name, 'J' || a.u) || '-' || coalesce(y.name, 'J' || a.v) AS name, km, roads, round(speed, 6) AS speed, design FROM a JOIN dm USING (link) LEFT JOIN zones x ON x.zone = a.u LEFT JOIN zones y ON y.zone = a.v""")
+def gr11_table(spark, d):
+    """Links with their ends, names, length, mean design speed by length, and the design speed of the most of it."""
+    e = gr11_edges(spark, d).join(N.roads(spark, d).select("code", "len", "design"), "code")
+    ends = e.groupBy("link").agg(F.min_by("u", "place").alias("u"), F.max_by("v", "place").alias("v"), F.sum("len").alias("km"), F.count(F.lit(1)).alias("roads"), (F.sum(F.col("design") * F.col("len")) / F.sum("len")).alias("speed"))
+    most = e.groupBy("link", "design").agg(F.sum("len").alias("s")).groupBy("link").agg(F.max_by("design", F.struct("s", "design")).alias("design"))
+    names = N.zones(spark, d).select("zone", "name")
+    side = lambda c: names.toDF(c, f"{c}_name")
+    rows = ends.join(most, "link").join(side("u"), "u", "left").join(side("v"), "v", "left")
+    label = lambda c: F.coalesce(f"{c}_name", F.concat(F.lit("J"), F.col(c).cast("string")))
+    return rows.select(F.format_string("LNK%04d", "link").alias("code"), "u", "v", F.concat_ws("-", label("u"), label("v")).alias("name"), "km", "roads", r("speed").alias("speed"), "design")
+
+
 @query("GR21_activity", N.with_sql("zones", "counts") + " SELECT zone, round(pow(population, 0.45::DOUBLE) + pow(activity, 0.25::DOUBLE), 6) AS score FROM zones")
 def gr21(spark, d):
     return N.zones(spark, d).select("zone", r(F.pow(F.col("population").cast("double"), F.lit(0.45)) + F.pow("activity", F.lit(0.25))).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -279,12 +281,12 @@ def _facilities(spark, d) -> DataFrame:
     return cut(_without(spark, d, _kinds(spark, d).withColumn("targets", F.lit(None).cast("array<long>"))))
 
 
-def social(spark, d, found: DataFrame) -> DataFrame:
+def social(spark, d, found: DataFrame, off: DataFrame | None = None) -> DataFrame:
     people = N.zones(spark, d).select("zone", "population")
     total = people.agg(F.sum("population").alias("total"))
     gap = F.greatest(F.lit(0.0), F.coalesce("after", F.col("before") + PENALTY_H) - F.col("before"))
     s2 = _gaps(found, "health").join(people, "zone").groupBy("link").agg(F.sum(F.col("population") * gap).alias("s2"))
-    return isolated(spark, d).join(s2, "link").crossJoin(F.broadcast(total)).select("link", (F.col("isolated") / F.col("total")).alias("s1"), (F.col("s2") / F.col("total")).alias("s2"))
+    return (off or isolated(spark, d)).join(s2, "link").crossJoin(F.broadcast(total)).select("link", (F.col("isolated") / F.col("total")).alias("s1"), (F.col("s2") / F.col("total")).alias("s2"))
 
 
 @query("C2_social", SOCIAL + " SELECT link, round(s1, 6) AS s1, round(s2, 6) AS s2 FROM so")
@@ -382,10 +384,14 @@ COMPOSITE += ", total AS (SELECT link, physical, social, economic, interconnecte
 
 
 def measures(spark, d) -> DataFrame:
-    """All measures of all dimensions by link."""
-    phys, found = cut(physical(spark, d)), _facilities(spark, d)
+    """All measures of all dimensions by link. What doesn't need each other runs side by side."""
+    with ThreadPoolExecutor(3) as side:
+        phys, off = side.submit(lambda: cut(physical(spark, d))), side.submit(lambda: cut(isolated(spark, d)))
+        found = side.submit(lambda: _facilities(spark, d))
+        eco = side.submit(lambda: cut(economic(spark, d, phys.result())))
+        phys, off, found, eco = (x.result() for x in (phys, off, found, eco))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    s = phys.select("link", "p1", "p2").join(social(spark, d, found), "link", "left").join(economic(spark, d, phys), "link", "left").join(interconnected(spark, d, found), "link", "left")
+    s = phys.select("link", "p1", "p2").join(social(spark, d, found, off), "link", "left").join(eco, "link", "left").join(interconnected(spark, d, found), "link", "left")
     return s.select("link", *(zero(m) for own in WITHIN.values() for m in own))
 
 

@@ -97,3 +97,47 @@ def test_row_numbers_and_running_sums(spark):
         assert (r.place, r.n, r.sum) == (len(before) - 1, sum(x[0] == r.g for x in rows), sum(x[2] for x in before))
     alone = numbered(df, ["k"]).collect()
     assert sorted((r.k, r.place) for r in alone) == list(zip(sorted(x[1] for x in rows), range(500), strict=True))
+
+
+def links_by_walks(edges):
+    """Walks from junctions, in order: the reference of `contracted`, one at a time."""
+    at = {}
+    for u, v, i in edges:
+        if u != v:
+            at.setdefault(u, []).append((v, i))
+            at.setdefault(v, []).append((u, i))
+    ends = {n for n in at if len(at[n]) != 2}
+    parts = parts_of(at, [e for e in edges if e[0] != e[1]])
+    for p in set(parts.values()):
+        own = [n for n in at if parts[n] == p]
+        if not ends & set(own):
+            ends.add(min(own))
+    seen, walks = set(), []
+    for s in sorted(ends):
+        for v, i in sorted(at[s]):
+            if i in seen:
+                continue
+            walk, here = [(s, v, i)], v
+            seen.add(i)
+            while here not in ends:
+                nxt, j = next(x for x in at[here] if x[1] != walk[-1][2])
+                walk.append((here, nxt, j))
+                seen.add(j)
+                here = nxt
+            walks.append(walk)
+    return walks
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_between_junctions(spark, seed):
+    rnd = random.Random(seed)
+    chain = lambda nodes, name: [(a, b, f"{name}{k:03d}") if rnd.random() < 0.5 else (b, a, f"{name}{k:03d}") for k, (a, b) in enumerate(zip(nodes, nodes[1:], strict=False))]
+    ids = rnd.sample(range(1000), 300)
+    edges = chain(ids[:90], "a") + chain([ids[10], *ids[90:130], ids[60]], "b") + chain([ids[20], *ids[130:150], ids[20]], "c")  # a loop at a junction
+    edges += chain([*ids[150:220], ids[150]], "r") + chain([*ids[220:223], ids[220]], "s") + chain(ids[223:225], "t")  # rings, a road alone
+    edges += [(ids[5], ids[5], "loop"), (ids[230], ids[231], "p1"), (ids[231], ids[230], "p2"), (ids[230], ids[232], "p3")]
+    found = {}
+    for r in forest.contracted(spark.createDataFrame(edges, "u long, v long, id string")).orderBy("link", "place").collect():
+        found.setdefault(r.link, []).append((r.u, r.v, r.id))
+    walks = sorted(links_by_walks(edges), key=lambda w: (w[0][0], w[0][1], w[0][2]))
+    assert list(found.values()) == walks
