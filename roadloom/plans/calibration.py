@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
+from roadloom.operators import demand as D
 from roadloom.operators import graph as G
 from roadloom.plans import routing as R
 from roadloom.sources import network as N
@@ -151,6 +152,23 @@ def a3(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(miss * miss)), 4).alias("rmse"), F.round(F.avg(miss), 4).alias("mae"), F.count_if(miss <= 0.5 * F.col("y")).alias("within_50"))
 
 
+def estimated(spark, d) -> D.Fit:
+    """Demand of pairs from counts: the scaled seed as prior, counts of the links on their paths, deviations after three rounds."""
+    targets, scale = refined(_targets(spark, d))
+    pair = F.concat_ws("-", "a", "b").alias("pair")
+    prior = N.demand(spark, d).where("o < d and q > 0").select(F.col("o").alias("a"), F.col("d").alias("b"), (F.col("q") * scale).alias("q")).select(pair, "q")
+    inc = R.gr10_incidence(spark, d).select(pair, F.col("code").alias("target"), "p")
+    return D.entropy_least_squares(prior, inc, targets.select(F.col("code").alias("target"), "y", "sigma"))
+
+
+@query("M11_estimate")
+def m11(spark, d):
+    """Pairs with prior and estimate, and how near the fit is to its optimum: objective, projected gradient, whether it converged."""
+    fit = estimated(spark, d)
+    rows = fit.rows.select("pair", F.round("prior", 4).alias("prior"), F.round("estimate", 4).alias("estimate"))
+    return rows.withColumns({"objective": F.lit(round(fit.objective, 3)), "gradient": F.lit(fit.gradient), "iterations": F.lit(fit.iterations), "converged": F.lit(fit.converged)})
+
+
 @query("M6_pair_vector", N.with_sql("od") + " SELECT least(o, d) AS a, greatest(o, d) AS b, sum(q) / 2 AS x FROM od WHERE o <> d GROUP BY 1, 2")
 def m6(spark, d):
     """A matrix as one number for each unordered pair: half the sum of both directions."""

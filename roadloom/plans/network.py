@@ -338,7 +338,7 @@ def m11(spark, d):
     rows = prior.select(F.concat_ws("-", "o", "d").alias("pair"), F.explode(F.array(F.concat(F.lit("o"), "o"), F.concat(F.lit("d"), "d"))).alias("target"))
     goals = prior.groupBy(F.concat(F.lit("o"), "o").alias("target")).agg((1.1 * F.sum("q")).alias("y"), (0.1 * F.sum("q")).alias("sigma"))
     goals = goals.unionByName(prior.groupBy(F.concat(F.lit("d"), "d").alias("target")).agg((1.1 * F.sum("q")).alias("y"), (0.1 * F.sum("q")).alias("sigma")))
-    return D.entropy_least_squares(prior.select(F.concat_ws("-", "o", "d").alias("pair"), "q"), rows.withColumn("p", F.lit(1.0)), goals)
+    return D.entropy_least_squares(prior.select(F.concat_ws("-", "o", "d").alias("pair"), "q"), rows.withColumn("p", F.lit(1.0)), goals).rows
 
 
 # criticality
