@@ -93,9 +93,10 @@ class Compact:
 def compact(edges: DataFrame, weight: str = "w", most: int = MAX_EDGES):
     """A broadcast network, or None where it has more edges than the bound."""
     rows = edges.where(F.col(weight) > 0).select("u", "v", F.col(weight).alias("w"), "code")
-    if rows.count() > most:
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
         return None
-    return edges.sparkSession.sparkContext.broadcast(Compact([tuple(r) for r in rows.collect()]))
+    return edges.sparkSession.sparkContext.broadcast(Compact([tuple(r) for r in found]))
 
 
 def _by_heap(network, with_codes: bool):

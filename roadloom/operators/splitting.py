@@ -74,3 +74,42 @@ def split(points: DataFrame, lines: DataFrame, digits: int = 6, carried: list[st
     pieces = pieces.join(lines.select("code", *(carried or [])), "code")
     both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
     return nodes, pieces.select(both, "code", "part", "length", *(carried or [])).select("e.u", "e.v", "code", "part", "length", *(carried or []))
+
+
+def noded(lines: DataFrame, size: float, tolerance: float = 1e-6, carried: list[str] | None = None) -> DataFrame:
+    """code, part, pieces, length, pts and carried columns: lines (code, pts) split wherever another line meets them in a point.
+
+    Candidates are segments whose boxes touch a common cell of a grid. Nothing is cut nearer than the tolerance to a line's own
+    end, so ends that lines share stay as they are; two lines that run along each other for a way aren't split by one another."""
+    s = cut(measured(lines))
+    low, high = (lambda a, b: F.floor(F.least(a, b) / size)), (lambda a, b: F.floor(F.greatest(a, b) / size))
+    cells = F.flatten(F.transform(F.sequence(low("ax", "bx"), high("ax", "bx")), lambda i: F.transform(F.sequence(low("ay", "by"), high("ay", "by")), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    own = s.select("code", "k", "ax", "ay", "bx", "by", "from", "size", "whole", F.explode(cells).alias("cell"))
+    other = own.select("cell", *(F.col(c).alias(f"o_{c}") for c in ("code", "k", "ax", "ay", "bx", "by", "from", "size", "whole")))
+    pairs = own.join(other, "cell").where("code < o_code").drop("cell").dropDuplicates(["code", "k", "o_code", "o_k"])
+    dx, dy, ox, oy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("o_bx") - F.col("o_ax"), F.col("o_by") - F.col("o_ay")
+    gx, gy = F.col("o_ax") - F.col("ax"), F.col("o_ay") - F.col("ay")
+    den = dx * oy - dy * ox
+    near = 1e-12 * F.greatest(F.col("size") * F.col("o_size"), F.lit(1e-12))
+    along = lambda x, y: (x * dx + y * dy) / (F.col("size") * F.col("size"))
+    start, stop = along(gx, gy), along(gx + ox, gy + oy)
+    shared = F.least(F.greatest(start, stop), F.lit(1.0)) - F.greatest(F.least(start, stop), F.lit(0.0))
+    beside = (F.abs(den) <= near) & (F.abs(gx * dy - gy * dx) <= 1e-9 * F.col("size")) & (shared * F.col("size") > tolerance)
+    t, q = F.when(F.abs(den) > near, (gx * oy - gy * ox) / den), F.when(F.abs(den) > near, (gx * dy - gy * dx) / den)
+    inside = lambda c: (c >= -1e-9) & (c <= 1 + 1e-9)
+    pairs = cut(pairs.select("code", "o_code", "from", "size", "whole", "o_from", "o_size", "o_whole", "ax", "ay", t.alias("t"), q.alias("q"), beside.alias("beside"), dx.alias("dx"), dy.alias("dy")))
+    alike = pairs.where("beside").select("code", "o_code").distinct()
+    met = pairs.where(inside(F.col("t")) & inside(F.col("q"))).join(alike, ["code", "o_code"], "left_anti")
+    at = F.struct((F.col("ax") + F.col("t") * F.col("dx")).alias("x"), (F.col("ay") + F.col("t") * F.col("dy")).alias("y"))
+    sides = F.array(F.struct("code", (F.col("from") + F.col("t") * F.col("size")).alias("at"), "whole"), F.struct(F.col("o_code").alias("code"), (F.col("o_from") + F.col("q") * F.col("o_size")).alias("at"), F.col("o_whole").alias("whole")))
+    cuts = met.select(F.explode(sides).alias("s"), at.alias("p")).select("s.code", F.round("s.at", 6).alias("at"), "s.whole", "p")
+    cuts = cuts.where((F.col("at") > tolerance) & (F.col("at") < F.col("whole") - tolerance)).groupBy("code", "at").agg(F.min("p").alias("p"))
+    ends = s.where("k = 0").select("code", F.explode(F.array(F.struct(F.lit(0.0).alias("at"), F.col("u").alias("p")), F.struct(F.col("whole").alias("at"), F.col("v").alias("p")))).alias("e")).select("code", "e.*")
+    stops = cut(numbered(ends.unionByName(cuts), ["at"], ["code"], total="stops"))
+    to = stops.select("code", (F.col("place") - 1).alias("place"), F.col("at").alias("to_at"), F.col("p").alias("to_p"))
+    bends = s.where("k > 0").groupBy("code").agg(F.sort_array(F.collect_list(F.struct(F.col("from").alias("at"), F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("p")))).alias("bends"))
+    between = F.filter("bends", lambda b: (b["at"] > F.col("at") + tolerance) & (b["at"] < F.col("to_at") - tolerance))
+    pts = F.concat(F.array("p"), F.coalesce(F.transform(between, lambda b: b["p"]), F.array().cast("array<struct<x:double,y:double>>")), F.array("to_p"))
+    rows = stops.join(to, ["code", "place"]).join(bends, "code", "left")
+    rows = rows.select("code", F.col("place").alias("part"), (F.col("stops") - 1).alias("pieces"), (F.col("to_at") - F.col("at")).alias("length"), pts.alias("pts"))
+    return rows.join(lines.select("code", *carried), "code") if carried else rows

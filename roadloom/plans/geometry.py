@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
+from roadloom.functions.projection import metres_sql, to_degrees, to_metres
 from roadloom.operators import graph as G
 from roadloom.operators import splitting
 from roadloom.operators.nearest import nearest
@@ -115,6 +118,34 @@ def ge3(spark, d):
     return lines(spark, d).select("code", r6(centre("x")).alias("x"), r6(centre("y")).alias("y"))
 
 
+_X, _Y = metres_sql("lon", "lat", 45)
+
+
+@query("S1_projected", N.with_sql("zones") + f" SELECT zone, round({_X}, 3) AS x, round({_Y}, 3) AS y, round(lon, 8) AS lon, round(lat, 8) AS lat FROM zones")
+def s1(spark, d):
+    """Zones in metres, and back in degrees."""
+    at = N.zones(spark, d).select("zone", to_metres(F.col("lon"), F.col("lat"), 45).alias("m"))
+    back = at.select("zone", "m.x", "m.y", to_degrees(F.col("m.x"), F.col("m.y"), 45).alias("g"))
+    return back.select("zone", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("g.lon", 8).alias("lon"), F.round("g.lat", 8).alias("lat"))
+
+
+def _metres(k: int) -> str:
+    x, y = metres_sql(f"x{k}", f"y{k}", 45)
+    return f"{x} AS mx{k}, {y} AS my{k}"
+
+
+@query("GE3_centroid_metres", BENDS + f""", m AS (SELECT code, {_metres(1)}, {_metres(2)}, {_metres(3)} FROM g), w AS (SELECT *, sqrt(pow(mx2 - mx1, 2) + pow(my2 - my1, 2)) AS a, sqrt(pow(mx3 - mx2, 2) + pow(my3 - my2, 2)) AS b FROM m)
+ SELECT code, round((a * (mx1 + mx2) + b * (mx2 + mx3)) / (2 * (a + b)), 2) AS x, round((a * (my1 + my2) + b * (my2 + my3)) / (2 * (a + b)), 2) AS y, round(a + b, 2) AS length FROM w""")
+def ge3_metres(spark, d):
+    """The centre of a line and its length, in projected metres."""
+    g = lines(spark, d).select("code", F.transform("pts", lambda p: to_metres(p["x"], p["y"], 45)).alias("pts"))
+    size = lambda s: F.sqrt(F.pow(s["b"]["x"] - s["a"]["x"], 2) + F.pow(s["b"]["y"] - s["a"]["y"], 2))
+    parts = segments(F.col("pts"))
+    whole = total(F.transform(parts, size))
+    centre = lambda c: total(F.transform(parts, lambda s: size(s) * (s["a"][c] + s["b"][c]) / 2)) / whole
+    return g.select("code", F.round(centre("x"), 2).alias("x"), F.round(centre("y"), 2).alias("y"), F.round(whole, 2).alias("length"))
+
+
 @query("GE6_snapped_points", f"WITH RECURSIVE {POINTS}, e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02::DOUBLE), w AS (SELECT id AS a, id AS b FROM p UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a), r AS (SELECT a AS id, min(b) AS root FROM w GROUP BY a) SELECT r.id, root, round_even(p.x, 3) AS x, round_even(p.y, 3) AS y FROM r JOIN p ON p.id = root")
 def ge6(spark, d):
     """Points within 0.02 of each other, and those of their neighbours, become one: that of the smallest id, rounded."""
@@ -169,6 +200,21 @@ def ge7b(spark, d):
     return cuts.join(size, ["code", "k"]).groupBy("code").agg(F.count(F.lit(1)).alias("cuts"), F.round(F.sum(F.col("t") * F.col("size")), 5).alias("before"))
 
 
+NODED = """, sg AS (SELECT code, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS b2, 0.0::DOUBLE AS f FROM g UNION ALL SELECT code, x2, y2, x3, y3, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) FROM g),
+ s1 AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(b2 - ay, 2)) AS size FROM sg), ends AS (SELECT code, sum(size) AS whole FROM s1 GROUP BY code),
+ pr AS (SELECT a.code, b.code AS other, a.f, a.size, (a.bx - a.ax) * (b.b2 - b.ay) - (a.b2 - a.ay) * (b.bx - b.ax) AS den, (b.ax - a.ax) * (b.b2 - b.ay) - (b.ay - a.ay) * (b.bx - b.ax) AS num, (b.ax - a.ax) * (a.b2 - a.ay) - (b.ay - a.ay) * (a.bx - a.ax) AS mum FROM s1 a JOIN s1 b ON a.code <> b.code),
+ hit AS (SELECT code, f + num / den * size AS pos FROM pr WHERE abs(den) > 1e-12::DOUBLE AND num / den BETWEEN -1e-9::DOUBLE AND 1 + 1e-9::DOUBLE AND mum / den BETWEEN -1e-9::DOUBLE AND 1 + 1e-9::DOUBLE),
+ stops AS (SELECT DISTINCT code, round(pos, 6) AS pos FROM hit JOIN ends USING (code) WHERE pos > 1e-6::DOUBLE AND pos < whole - 1e-6::DOUBLE UNION ALL SELECT code, 0 FROM ends UNION ALL SELECT code, whole FROM ends),
+ pc AS (SELECT code, row_number() OVER w - 1 AS part, count(*) OVER (PARTITION BY code) - 1 AS pieces, lead(pos) OVER w - pos AS length FROM stops WINDOW w AS (PARTITION BY code ORDER BY pos))"""
+
+
+@query("GE7_split_lines", BENDS + NODED + " SELECT code, part, pieces, round(length, 6) AS length, len FROM pc JOIN g USING (code) WHERE length IS NOT NULL")
+def ge7_lines(spark, d):
+    """Every line in the pieces that the others leave of it, with its attributes."""
+    pieces = splitting.noded(lines(spark, d), size=0.5, carried=["len"])
+    return pieces.select("code", "part", "pieces", r6("length").alias("length"), "len")
+
+
 @query("GE8_shared_vertices", BENDS + ", v AS (SELECT code, round_even(x1, 5) AS x, round_even(y1, 5) AS y FROM g UNION SELECT code, round_even(x2, 5), round_even(y2, 5) FROM g UNION SELECT code, round_even(x3, 5), round_even(y3, 5) FROM g) SELECT x, y, count(*) AS features FROM v GROUP BY x, y HAVING count(*) > 1")
 def ge8(spark, d):
     """Vertices that more than one line has: where lines are split."""
@@ -328,24 +374,39 @@ def gr1(spark, d):
     return rows.select("code", F.explode(ways).alias("w")).select(F.col("w.a").alias("u"), F.col("w.b").alias("v"), "code")
 
 
+#: Of the lines that are chosen.
+MOST_ALIKE, PER_REGION, CHOSEN = 0.6, 5, 10
+
+
+def distinct_top(rows: DataFrame, chosen: int = CHOSEN, per_region: int = PER_REGION, alike: float = MOST_ALIKE) -> list[tuple]:
+    """(code, score, region) of the best rows (code, score, region, cells) in order: none shares more than `alike` of its cells (of the smaller
+    of two) with one before, and no region has more than `per_region`.
+
+    The best row that is still open is taken, and it closes those that are like it: as many passes as rows are chosen, whatever the
+    number of rows; a pass keeps one row a task."""
+    left, taken, regions = rows, [], Counter()
+    while len(taken) < chosen:
+        best = left.orderBy(F.desc("score"), "code").limit(1).collect()
+        if not best:
+            break
+        best = best[0]
+        taken.append((best.code, best.score, best.region))
+        regions[best.region] += 1
+        own = F.array_distinct(F.array(*map(F.lit, best.cells)).cast("array<string>"))
+        size = lambda c: F.size(F.array_distinct(c))
+        share = F.size(F.array_intersect("cells", own)) / F.greatest(F.lit(1), F.least(size(F.col("cells")), size(own)))
+        left = left.where((share <= alike) & (F.col("code") != best.code))
+        if regions[best.region] >= per_region:
+            left = left.where(~F.col("region").eqNullSafe(F.lit(best.region)))
+    return taken
+
+
 @query("T4_distinct_top", None)
 def t4(spark, d):
-    """The ten lines that score highest and share at most 60 % of their cells with any that scores higher and is kept, five of a part
-    of the country at most. Choosing is greedy: one task goes down the list of links, a bounded table, by score."""
-    cells = lines(spark, d).select("code", "len", E.macro_region(F.element_at("pts", 1)["x"]).alias("region"), F.transform("pts", lambda p: F.concat_ws("_", F.floor(p["x"]), F.floor(p["y"]))).alias("cells"))
-
-    def choose(_, rows):
-        import pandas as pd
-
-        kept: list[tuple] = []
-        for code, size, region, own in rows.sort_values(["len", "code"], ascending=[False, True])[["code", "len", "region", "cells"]].itertuples(index=False):
-            own = set(own)
-            alike = any(len(own & other) / max(1, min(len(own), len(other))) > 0.6 for *_, other in kept)
-            if not alike and sum(1 for k in kept if k[2] == region) < 5 and len(kept) < 10:
-                kept.append((code, size, region, own))
-        return pd.DataFrame([(k + 1, *x[:3]) for k, x in enumerate(kept)], columns=["place", "code", "len", "region"])
-
-    return cells.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(choose, "place int, code string, len double, region string")
+    """The ten longest lines that share at most 60 % of their cells with any that is longer and chosen, five of a part of the country at most."""
+    cells = F.transform("pts", lambda p: F.concat_ws("_", F.floor(p["x"]), F.floor(p["y"]))).alias("cells")
+    rows = lines(spark, d).select("code", F.col("len").alias("score"), E.macro_region(F.element_at("pts", 1)["x"]).alias("region"), cells)
+    return spark.createDataFrame([(k + 1, *x) for k, x in enumerate(distinct_top(cut(rows)))], "place int, code string, len double, region string")
 
 
 @query("T6_spread_sample", None)

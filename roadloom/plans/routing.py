@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
+from roadloom.operators import equilibrium as EQ
 from roadloom.operators import forest
 from roadloom.operators import paths as P
 from roadloom.sources import network as N
@@ -140,6 +141,19 @@ def gr9(spark, d):
     return found.select("o", "d", "rank", r("cost").alias("cost"), r("share").alias("share"), F.array_join("codes", "|").alias("codes"))
 
 
+def congested(spark, d) -> DataFrame:
+    """Roads with free time and a capacity by their design speed: one of 80 carries an eighth of all demand."""
+    total = N.demand(spark, d).agg((F.sum("q") / 8).alias("most"))
+    return N.roads(spark, d).crossJoin(F.broadcast(total)).select("u", "v", "code", F.col("t").alias("t0"), (F.col("design") / 80 * F.col("most")).alias("cap"))
+
+
+@query("GR17_equilibrium")
+def gr17(spark, d):
+    """Flows and times of roads in user equilibrium, and how near it is."""
+    found = EQ.user_equilibrium(congested(spark, d), N.demand(spark, d))
+    return found.links.select("code", r("flow", 2).alias("flow"), r("time").alias("time"), F.lit(found.gap).alias("gap"), F.lit(found.iterations).alias("iterations"), F.lit(found.converged).alias("converged"))
+
+
 @query("GR15_efficiency", WEIGHTED + " SELECT round(sum(CASE WHEN o <> d THEN 1 / c END) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 6) AS efficiency FROM skim")
 def gr15(spark, d):
     """The mean of one over the hours between nodes; a pair without path counts 0."""
