@@ -11,6 +11,7 @@ from roadloom.functions import exprs as E
 from roadloom.operators import equilibrium as EQ
 from roadloom.operators import forest
 from roadloom.operators import paths as P
+from roadloom.operators.betweenness import betweenness
 from roadloom.sources import network as N
 from roadloom.sources.stored import cut
 
@@ -162,6 +163,27 @@ def gr15(spark, d):
     return total.crossJoin(n).select(r(F.col("s") / (F.col("n") * (F.col("n") - 1))).alias("efficiency"))
 
 
+WAVES = 14  # steps of the longest shortest path, in the SQL
+BETWEEN = N.with_sql("nodes", "zones") + ", " + N.skim_sql() + """, src AS (SELECT zone AS s FROM zones ORDER BY activity DESC, zone LIMIT 10), dst AS (SELECT zone AS node FROM zones WHERE zone % 4 = 0),
+ tight AS (SELECT DISTINCT a.o AS s, e.u, e.v, e.code FROM src JOIN skim a ON a.o = s JOIN edges e ON e.u = a.d JOIN skim b ON b.o = a.o AND b.d = e.v WHERE abs(a.c + e.t - b.c) <= 1e-9::DOUBLE), f0 AS (SELECT s, s AS node, 1.0::DOUBLE AS n FROM src)"""
+for _k in range(WAVES):
+    BETWEEN += f", f{_k + 1} AS (SELECT f.s, v AS node, sum(n) AS n FROM f{_k} f JOIN tight t ON t.s = f.s AND t.u = f.node GROUP BY 1, 2)"
+BETWEEN += ", ways AS (SELECT s, node, sum(n) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM f{_k}" for _k in range(WAVES + 1)) + ") GROUP BY 1, 2), g0 AS (SELECT s, node, 1 / n AS n FROM ways JOIN dst USING (node) WHERE node <> s)"
+for _k in range(WAVES):
+    BETWEEN += f", g{_k + 1} AS (SELECT g.s, u AS node, sum(n) AS n FROM g{_k} g JOIN tight t ON t.s = g.s AND t.v = g.node GROUP BY 1, 2)"
+BETWEEN += ", asked AS (SELECT s, node, sum(n) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM g{_k}" for _k in range(WAVES + 1)) + ") GROUP BY 1, 2)"
+
+
+@query("GR15_betweenness", BETWEEN + " SELECT code, round(sum(w.n * a.n) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 9) AS betweenness FROM tight t JOIN ways w ON w.s = t.s AND w.node = t.u JOIN asked a ON a.s = t.s AND a.node = t.v GROUP BY code")
+def gr15_betweenness(spark, d):
+    """Shares of the shortest paths from the ten most active zones to health facilities that a road carries, over all pairs of nodes."""
+    z, e = N.zones(spark, d), N.edges(spark, d)
+    sources = z.orderBy(F.desc("activity"), "zone").limit(10).select(F.col("zone").alias("node"))
+    found = betweenness(e, sources, z.where("zone % 4 = 0").select(F.col("zone").alias("node")))
+    n = e.select("u").distinct().agg(F.count(F.lit(1)).alias("n"))
+    return found.crossJoin(F.broadcast(n)).select("code", r(F.col("share") / (F.col("n") * (F.col("n") - 1)), 9).alias("betweenness"))
+
+
 @query("GR12_named_sections", ON_PATH + ", s(section, o, d) AS (VALUES ('A', 0, 4), ('A', 4, 9), ('B', 12, 20), ('C', 3, 26)), g AS (SELECT section, code, len FROM s JOIN onp USING (o, d) GROUP BY ALL) SELECT section, sum(len) AS km, count(*) AS links FROM g GROUP BY section HAVING sum(len) <= 300")
 def gr12(spark, d):
     """Sections by places passed, chained from leg to leg; those above 300 km go."""
