@@ -10,7 +10,7 @@ from roadloom.operators import demand as D
 from roadloom.operators import graph as G
 from roadloom.plans import routing as R
 from roadloom.sources import network as N
-from roadloom.sources.stored import cut
+from roadloom.sources.stored import cut, table
 
 QUERIES, SQL = {}, {}
 
@@ -175,21 +175,38 @@ def m6(spark, d):
     return N.od(spark, d).where("o <> d").groupBy(F.least("o", "d").alias("a"), F.greatest("o", "d").alias("b")).agg((F.sum("q") / 2).alias("x"))
 
 
-@query("M14_impedance_choice", N.with_sql("nodes") + ", " + N.skim_sql() + " SELECT o, d, round(c, 6) AS c, 'skim' AS source FROM skim WHERE o < 25 AND d < 25")
-def m14(spark, d):
-    """The first impedance source that has cells: a given matrix, else the skim of the network."""
-    given = spark.createDataFrame([], "o long, d long, c double")
-    skim = R.N.edges(spark, d)
-    found = G.shortest(skim, skim.select(F.col("u").alias("o"), F.col("u").alias("node"), F.lit(0.0).alias("c")).distinct()).select("o", F.col("node").alias("d"), r6("c").alias("c"))
-    sources = [("given", given), ("skim", found.where("o < 25 and d < 25"))]
-    name, cells = next((n, df) for n, df in sources if not df.isEmpty())
-    return cells.withColumn("source", F.lit(name))
+GIVEN_SQL = """, given AS (SELECT CAST(c_nationkey AS BIGINT) AS o, CAST(s_nationkey AS BIGINT) AS d, avg(l_discount) AS c, o_orderstatus AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 4)"""
 
 
-@query("M13_degenerate", N.with_sql("demand") + " SELECT o, d, q FROM demand WHERE q > 0")
+@query("M14_impedance_choice", N.with_sql("nodes") + ", " + N.skim_sql() + GIVEN_SQL + " SELECT 'there' AS matrix, o, d, round(c, 6) AS c, 'given' AS source FROM given WHERE kind = 'F' UNION ALL SELECT 'empty', o, d, round(c, 6), 'skim' FROM skim WHERE o < 25 AND d < 25")
+def m14(spark, d):
+    """The first impedance source that has cells: a given matrix, else the skim of the network. Once with a matrix of the finished orders,
+    once with one of orders of a status that none has."""
+    e = R.N.edges(spark, d)
+    skim = G.shortest(e, e.select(F.col("u").alias("o"), F.col("u").alias("node"), F.lit(0.0).alias("c")).distinct()).select("o", F.col("node").alias("d"), r6("c").alias("c")).where("o < 25 and d < 25")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = lines.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    ends = [F.col("c_nationkey").cast("long").alias("o"), F.col("s_nationkey").cast("long").alias("d")]
+    given = cut(lines.groupBy(*ends, F.col("o_orderstatus").alias("kind")).agg(r6(F.avg("l_discount")).alias("c")))
+    out = None
+    for matrix, kind in (("there", "F"), ("empty", "none")):
+        sources = [("given", given.where(F.col("kind") == kind).drop("kind")), ("skim", skim)]
+        name, cells = next((n, df) for n, df in sources if not df.isEmpty())
+        rows = cells.select(F.lit(matrix).alias("matrix"), "o", "d", "c", F.lit(name).alias("source"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def without_or_with(spark, d, counted) -> DataFrame:
+    """o, d, q: the seed as it is where no link is counted, else scaled to the counts."""
+    targets = cut(_targets(spark, d).where(counted))
+    scale = 1.0 if targets.isEmpty() else refined(targets)[1]
+    return N.demand(spark, d).where("q > 0").select("o", "d", (F.col("q") * scale).alias("q"))
+
+
+@query("M13_degenerate", CHAIN + " SELECT 'none' AS counts, o, d, round(q, 4) AS q FROM demand WHERE q > 0 UNION ALL SELECT 'all', o, d, round(q * (SELECT scale FROM s2), 4) FROM demand WHERE q > 0")
 def m13(spark, d):
-    """Without counts the seed is the estimate."""
-    targets = _targets(spark, d).where("y < 0")
-    if targets.isEmpty():
-        return N.demand(spark, d).where("q > 0")
-    raise AssertionError("there are counts")
+    """Without counts the seed is the estimate: once without any count above a number that none reaches, once with all."""
+    none, every = without_or_with(spark, d, "y > 1e15"), without_or_with(spark, d, "y > 0")
+    q = F.round("q", 4).alias("q")
+    return none.select(F.lit("none").alias("counts"), "o", "d", q).unionByName(every.select(F.lit("all").alias("counts"), "o", "d", q))

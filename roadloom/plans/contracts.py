@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import exprs as E
 from roadloom.operators import contracts as C
 from roadloom.operators.nearest import nearest
+from roadloom.plans import calibration as K
 from roadloom.plans import routing as R
 from roadloom.sources import network as N
 from roadloom.sources.stored import cut, shared_base, table
@@ -89,15 +90,20 @@ def s3(spark, d):
     return out
 
 
-PARAMS = [("Beta", "1.5", "beta"), ("", "x", None), ("Parameter name", "Value", None), ("Sum check", "1", None), ("weight – P", "0.35", "w p"), ("Weight-S", " 0.25 ", None)]
-PARAMS_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in p) + ")" for p in PARAMS) + ") p(name, value, alias)"
+# a table of parameters: types of parts with dashes of both kinds, some under a second name, some headings and check sums between
+PARAMS_SQL = """SELECT CASE WHEN p_partkey % 11 = 0 THEN 'Parameter name' WHEN p_partkey % 13 = 0 THEN 'Sum check ' || p_size WHEN p_partkey % 17 = 0 THEN ' ' ELSE p_type || CASE WHEN p_partkey % 2 = 0 THEN ' – ' ELSE '-' END || p_size END AS name,
+ ' ' || p_partkey || ' ' AS value, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' - ' || p_partkey END AS alias FROM part"""
 NORM = "lower(trim(regexp_replace(replace({}, '–', '-'), '[ -]+', ' ', 'g')))"
 
 
-@query("S8_parameters", f"WITH r AS (SELECT {NORM.format('name')} AS key, trim(value) AS value, {NORM.format('alias')} AS other FROM {PARAMS_SQL} WHERE trim(name) <> '' AND NOT starts_with(lower(trim(name)), 'parameter') AND NOT starts_with(lower(trim(name)), 'sum check')) SELECT key, value FROM r UNION SELECT other, value FROM r WHERE other IS NOT NULL")
+@query("S8_parameters", f"WITH r AS (SELECT {NORM.format('name')} AS key, trim(value) AS value, {NORM.format('alias')} AS other FROM ({PARAMS_SQL}) WHERE trim(name) <> '' AND NOT starts_with(lower(trim(name)), 'parameter') AND NOT starts_with(lower(trim(name)), 'sum check')) SELECT key, value FROM r UNION SELECT other, value FROM r WHERE other IS NOT NULL")
 def s8(spark, d):
     """Name and value rows, under both names; headings and check sums don't count."""
-    rows = spark.createDataFrame(PARAMS, "name string, value string, alias string")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    dash = F.when(k % 2 == 0, " – ").otherwise("-")
+    text = F.when(k % 11 == 0, "Parameter name").when(k % 13 == 0, F.concat(F.lit("Sum check "), size)).when(k % 17 == 0, " ").otherwise(F.concat("p_type", dash, size))
+    alias = F.when(k % 3 == 0, F.concat("p_brand", F.lit(" - "), k.cast("string")))
+    rows = table(spark, d, "part").select(text.alias("name"), F.concat(F.lit(" "), k.cast("string"), F.lit(" ")).alias("value"), alias.alias("alias"))
     norm = lambda c: F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "–", "-"), "[ -]+", " ")))
     name = F.lower(F.trim("name"))
     rows = rows.where((F.trim("name") != "") & ~name.startswith("parameter") & ~name.startswith("sum check"))
@@ -105,28 +111,32 @@ def s8(spark, d):
     return keys.where("key is not null").distinct()
 
 
-SHEET = [(0, "Report", "", ""), (1, "zone_id", "Name", "Population"), (2, "1", "East", "10"), (3, "2", "West", "20"), (4, "", "", "")]
-
-
-@query("S9_promoted_header", "SELECT * FROM (VALUES ('1', 'East', '10'), ('2', 'West', '20')) t(zone_id, name, population)")
+@query("S9_promoted_header", "SELECT CAST(c_custkey AS VARCHAR) AS zone_id, c_name AS name, CAST(c_acctbal AS VARCHAR) AS population FROM customer WHERE c_custkey % 8 <> 0")
 def s9(spark, d):
-    """The row with the most known tokens is the header; rows before it, and nearly empty ones after it, go."""
-    rows = spark.createDataFrame(SHEET, "n int, a string, b string, c string")
+    """The row with the most known tokens is the header; rows before it, and empty ones after it, go. The sheet is the customers,
+    every eighth row empty, below a title and a heading."""
+    k = F.col("c_custkey")
+    cell = lambda c: F.when(k % 8 == 0, "").otherwise(F.col(c).cast("string"))
+    body = table(spark, d, "customer").select((k + 1).alias("n"), cell("c_custkey").alias("a"), cell("c_name").alias("b"), cell("c_acctbal").alias("c"))
+    rows = spark.createDataFrame([(0, "Report", "Name", ""), (1, "zone_id", "Name", "Population")], "n long, a string, b string, c string").unionByName(body)
     known = {"zoneid", "name", "population", "province"}
     score = sum((E.place_key(F.col(c)).isin(*known).cast("int") for c in "abc"), F.lit(0))
-    head = rows.select("n", "a", "b", "c", score.alias("score")).orderBy(F.desc("score"), "n").first()
+    head = rows.select("n", "a", "b", "c", score.alias("score")).orderBy(F.desc("score"), "n").first()  # the names of the columns
     names = [C.plain_name(head[c]) for c in "abc"]
     body = rows.where((F.col("n") > head["n"]) & (F.length(F.concat("a", "b", "c")) > 0)).select(*(F.col(c).alias(x) for c, x in zip("abc", names, strict=True)))
     return C.renamed(body, {"zone_id": ("zoneid",), "name": (), "population": ()})
 
 
-SECTIONS = [("A -> B -> C", None, None), ("D", "E", "F"), ("a->b->c", None, None), ("G", None, "H")]
-
-
-@query("S10_sections", "SELECT * FROM (VALUES ('a|b|c', 3), ('d|e|f', 3), ('g|h', 2)) t(section, places)")
+@query("S10_sections", """WITH s AS (SELECT c_custkey AS k, lower(n_name) AS n, lower(r_name) AS r, lower(c_mktsegment) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT CASE k % 4 WHEN 3 THEN r || '|' || m ELSE n || '|' || r || '|' || m END AS section, CAST(CASE k % 4 WHEN 3 THEN 2 ELSE 3 END AS INT) AS places FROM s WHERE k % 4 <> 2""")
 def s10(spark, d):
-    """Place sequences from a text with arrows or from origin, via and destination; the same in another case counts once."""
-    rows = spark.createDataFrame(SECTIONS, "origin string, via string, destination string")
+    """Place sequences from a text with arrows or from origin, via and destination; the same in another case counts once; one place is no section."""
+    kind = F.col("c_custkey") % 4
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select(
+        F.when(kind == 0, F.concat_ws(" -> ", "n_name", "r_name", "c_mktsegment")).when(kind == 1, F.lower("n_name")).when(kind == 2, F.col("n_name")).alias("origin"),
+        F.when((kind == 1) | (kind == 3), F.col("r_name")).alias("via"), F.when((kind == 1) | (kind == 3), F.col("c_mktsegment")).alias("destination"),
+    )
     text = F.concat_ws("->", "origin", "via", "destination")
     places = F.filter(F.transform(F.split(text, r"\s*->\s*"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
     return rows.select(F.array_join(places, "|").alias("section"), F.size(places).alias("places")).where("places >= 2").dropDuplicates(["section"])
@@ -156,9 +166,15 @@ def s15(spark, d):
     return rows.withColumn("station_no", F.row_number().over(Window.orderBy("code")).cast("long"))
 
 
-@query("S16_weights", "SELECT dimension, CAST(weight AS DOUBLE) AS weight FROM (VALUES ('physical', 0.5), ('social', 0.3), ('economic', 0.2), ('interconnected', 0.0)) t(dimension, weight)")
+RAW_WEIGHTS = "SELECT ['physical', 'social', 'economic', 'interconnected'][c_nationkey % 4 + 1] AS dimension, round(avg(c_acctbal) - 4000, 2) AS w FROM customer GROUP BY 1"
+
+
+@query("S16_weights", f"WITH w AS ({RAW_WEIGHTS}), t AS (SELECT sum(greatest(w, 0)) AS total FROM w) SELECT dimension, round(CASE WHEN total > 0 THEN greatest(w, 0) / total ELSE w END, 6) AS weight FROM w, t")
 def s16(spark, d):
-    rows = C.weights({"physical": 5, "social": 3, "economic": 2, "interconnected": -4})
+    """Weights of the four dimensions as shares of their sum, negatives counting as nothing."""
+    name = F.element_at(F.array(*map(F.lit, ("physical", "social", "economic", "interconnected"))), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    raw = table(spark, d, "customer").groupBy(name.alias("dimension")).agg(F.round(F.avg("c_acctbal") - 4000, 2).alias("w"))
+    rows = C.weights({r.dimension: r.w for r in raw.collect()})  # four rows
     return spark.createDataFrame(sorted(rows.items()), "dimension string, weight double").withColumn("weight", r6("weight"))
 
 
@@ -341,11 +357,19 @@ def k3(spark, d):
     return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("stat"), F.col(k).alias("value")) for k in ("roads", "km", "nodes", "hours")))).alias("x")).select("x.*")
 
 
-@query("K5_station_fit", N.with_sql("counts") + " SELECT code, n, round(1.1::DOUBLE * n - n, 6) AS error, CASE WHEN n = 0 THEN 'no count' WHEN n > 2400 THEN 'large' WHEN v IS NULL THEN 'no price' ELSE '' END AS warning FROM counts")
+@query("K5_station_fit", K.CHAIN + """, st AS (SELECT s_suppkey AS station, s_suppkey * 7 % 30 AS spot, s_acctbal AS own FROM supplier), mp AS (SELECT station, own, code FROM st LEFT JOIN roads ON u = spot AND v = (u + 1) % 25),
+ ft AS (SELECT v3.code, y, m * (SELECT scale FROM s2) AS f FROM v3)
+SELECT station, mp.code, round(y, 4) AS count, round(f, 4) AS model, round(f - y, 4) AS error, CASE WHEN mp.code IS NULL THEN 'no link' WHEN y IS NULL THEN 'no count' WHEN own <= 0 THEN 'no value' WHEN abs(f - y) > y / 2 THEN 'large error' ELSE '' END AS warning FROM mp LEFT JOIN ft ON ft.code = mp.code""")
 def k5(spark, d):
-    c = N.counts(spark, d)
-    warning = F.when(F.col("n") == 0, "no count").when(F.col("n") > 2400, "large").when(F.col("v").isNull(), "no price").otherwise("")
-    return c.select("code", "n", r6(1.1 * F.col("n") - F.col("n")).alias("error"), warning.alias("warning"))
+    """Stations with the link that they are mapped to, joined with the fit there, and what is amiss."""
+    rows, scale = K.refined(K._targets(spark, d))
+    fit = rows.select("code", F.col("y").alias("count"), (F.col("m") * scale).alias("model"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("station"), (F.col("s_suppkey") * 7 % 30).alias("u"), F.col("s_acctbal").alias("own"))
+    ring = N.roads(spark, d).where("v = (u + 1) % 25").select("u", "code")
+    at = s.join(ring, "u", "left").join(fit, "code", "left")
+    off = F.col("model") - F.col("count")
+    warning = F.when(F.col("code").isNull(), "no link").when(F.col("count").isNull(), "no count").when(F.col("own") <= 0, "no value").when(F.abs(off) > F.col("count") / 2, "large error").otherwise("")
+    return at.select("station", "code", F.round("count", 4).alias("count"), F.round("model", 4).alias("model"), F.round(off, 4).alias("error"), warning.alias("warning"))
 
 
 @query("K8_asset_list", N.with_sql("zones") + " SELECT zone, name, CASE WHEN zone % 12 = 0 THEN 'in operation' ELSE 'other' END AS status, row_number() OVER (ORDER BY CASE WHEN zone % 12 = 0 THEN 'in operation' ELSE 'other' END, name) AS place FROM zones WHERE zone % 6 = 0")

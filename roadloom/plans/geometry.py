@@ -278,6 +278,25 @@ def ge9_edges(spark, d):
     return pieces.select("u", "v", "code", "part", r6("length").alias("length"))
 
 
+REACH = 0.2
+
+
+@query("J13_matched_stations", BENDS + SEGMENTS + f""", st AS (SELECT o.code, s_acctbal AS n FROM on_line o JOIN supplier ON s_suppkey = id WHERE s_acctbal > 0 AND o.distance <= {REACH}::DOUBLE), m AS (SELECT code, median(n) AS n FROM st GROUP BY code),
+ f AS (SELECT substr(code, 1, 3) AS route, median(n) AS n FROM st GROUP BY 1) SELECT r.code, round(coalesce(m.n, f.n, (SELECT median(n) FROM st)), 4) AS count, CASE WHEN m.n IS NOT NULL THEN 'station' WHEN f.n IS NOT NULL THEN 'route' ELSE 'network' END AS source
+ FROM roads r LEFT JOIN m ON m.code = r.code LEFT JOIN f ON f.route = substr(r.code, 1, 3)""")
+def j13_matched(spark, d):
+    """Stations go to the nearest link within reach: a link's count is the median of its stations, else of its route's, else of all."""
+    value = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("n"))
+    at = nearest(_heads(spark, d).join(value, "id"), line_sites(lines(spark, d))).where(F.col("distance") <= REACH)
+    at = cut(at.select(F.col("site.code").alias("code"), "n"))
+    route = lambda c: F.substring(c, 1, 3)
+    own = at.groupBy("code").agg(F.median("n").alias("m"))
+    of_route = at.groupBy(route("code").alias("route")).agg(F.median("n").alias("f"))
+    every = N.roads(spark, d).select("code", route("code").alias("route")).join(own, "code", "left").join(of_route, "route", "left").crossJoin(F.broadcast(at.agg(F.median("n").alias("g"))))
+    source = F.when(F.col("m").isNotNull(), "station").when(F.col("f").isNotNull(), "route").otherwise("network")
+    return every.select("code", F.round(F.coalesce("m", "f", "g"), 4).alias("count"), source.alias("source"))
+
+
 @query("GE9_projection", BENDS + ", q AS (SELECT code, x1 + 0.3::DOUBLE AS px, y1 + 0.1::DOUBLE AS py, x1, y1, x2, y2 FROM g), t AS (SELECT *, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM q) SELECT code, round(t, 6) AS t, round(x1 + t * (x2 - x1), 6) AS x, round(y1 + t * (y2 - y1), 6) AS y, t > 0 AND t < 1 AS splits FROM t")
 def ge9b(spark, d):
     """The foot of a point on a segment; at an end of it nothing is split."""
