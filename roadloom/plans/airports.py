@@ -19,7 +19,7 @@ HEADINGS = [
 SECTIONS = {"In operation Airports": "In operation", "Not in operation Airports": "Not in operation"}
 PLAIN_WORDS = ["airport", "international", "domestic", "the"]
 REACH = 17  # lines after a name among which its coordinates are looked for
-MAX_CODES = 1000  # names of one registry
+MAX_CODES = 36**3  # codes of three characters that there are: no registry can have more names
 
 
 def query(name: str, sql: str | None = None):
@@ -90,14 +90,14 @@ def _codes(rows: pd.DataFrame) -> pd.DataFrame:
 def display_codes(names: DataFrame) -> DataFrame:
     """registry, name, code: codes of three characters, unique within a registry, given in order of place, then name.
 
-    names: registry, place, name. The codes of a registry depend on each other, so one task gives them; there
-    are at most 1000 (`MAX_CODES`) names in one, and more raise an error. Null names count as empty, and null
+    names: registry, place, name. The codes of a registry depend on each other, so one task gives them. A registry is bounded by
+    the number of codes of three characters (`MAX_CODES`): where no code is left for a name, an error is raised. Null names count as empty, and null
     places come last."""
     letters = F.regexp_replace(F.upper(F.coalesce("name", F.lit(""))), "[^A-Z0-9]+", "")
     base = F.rpad(F.substring(F.when(letters == "", "AIR").otherwise(letters), 1, 3), 3, "X")
     rows = names.select("registry", F.col("place").cast("double").alias("place"), F.coalesce("name", F.lit("")).alias("name"), base.alias("base"))
     if rows.groupBy("registry").count().where(f"count > {MAX_CODES}").head(1):
-        raise ValueError(f"a registry has more than {MAX_CODES} names")
+        raise ValueError(f"no code is left: a registry has more than {MAX_CODES} names")
     return rows.groupBy("registry").applyInPandas(_codes, "registry long, name string, code string")
 
 

@@ -11,6 +11,7 @@ from roadloom.functions import exprs as E
 from roadloom.functions.projection import metres_sql, to_degrees, to_metres
 from roadloom.operators import graph as G
 from roadloom.operators import splitting
+from roadloom.operators.matching import attached
 from roadloom.operators.nearest import nearest
 from roadloom.plans.network import POINTS, _points, near_cells
 from roadloom.sources import network as N
@@ -445,34 +446,6 @@ def t6(spark, d):
     return taken.select("zone", F.posexplode("taken").alias("place", "t")).select("zone", "place", "t.id")
 
 
-MAX_LABELS = 1000
-
-
-def attached(labels: DataFrame, areas: DataFrame) -> DataFrame:
-    """label, area, distance, shared: each label with an area of its own, as near as can be.
-
-    labels: label, x, y; areas: area, x, y. Labels choose in order of the distance to their nearest area (ties: label),
-    each the nearest area still free (ties: area), or its nearest one, shared, if none is free. The choices depend on
-    each other and are one fold, so both sides are bounded: more than 1000 (`MAX_LABELS`) raise an error. Rows with
-    a null take no part; without areas there are no rows."""
-    labels, areas = (df.select(k, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna() for k, df in (("label", labels), ("area", areas)))
-    if max(labels.count(), areas.count()) > MAX_LABELS:
-        raise ValueError(f"labels and areas may be {MAX_LABELS} at most")
-    sites = areas.agg(F.collect_list(F.struct("area", F.col("x").alias("ax"), F.col("y").alias("ay"))).alias("sites")).where(F.size("sites") > 0)
-    gap = lambda s: F.round(F.sqrt(F.pow(F.col("x") - s["ax"], 2) + F.pow(F.col("y") - s["ay"], 2)), 9)
-    near = F.array_sort(F.transform("sites", lambda s: F.struct(gap(s).alias("distance"), s["area"].alias("area"))))
-    queue = labels.crossJoin(F.broadcast(sites)).select("label", near.alias("near")).select(F.struct(F.col("near")[0]["distance"].alias("first"), "label", "near").alias("p"))
-    free = lambda done, p: F.filter(p["near"], lambda c: ~F.exists(done, lambda e: e["area"] == c["area"]))
-
-    def choice(done, p):
-        own = F.get(free(done, p), F.lit(0))
-        best = F.coalesce(own, p["near"][0])
-        return F.concat(done, F.array(F.struct(p["label"].alias("label"), best["area"].alias("area"), best["distance"].alias("distance"), own.isNull().alias("shared"))))
-
-    kind = f"array<struct<label:{labels.schema['label'].dataType.simpleString()},area:{areas.schema['area'].dataType.simpleString()},distance:double,shared:boolean>>"
-    return queue.agg(F.array_sort(F.collect_list("p")).alias("q")).select(F.explode(F.aggregate("q", F.array().cast(kind), choice)).alias("r")).select("r.*")
-
-
 @query("GE10_labels_attached")
 def ge10(spark, d):
     """Zones' labels, moved off their places, attached to the zones again."""

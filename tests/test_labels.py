@@ -6,7 +6,7 @@ import random
 import pytest
 
 from roadloom.plans import catalog
-from roadloom.plans.geometry import attached
+from roadloom.operators.matching import attached
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,6 +31,15 @@ def test_each_label_gets_its_own_area(spark, n, m):
     assert attached(frames[0], frames[1].limit(0)).collect() == attached(frames[0].limit(0), frames[1]).collect() == []
 
 
+def test_a_thousand_labels(spark):
+    """More than a thousand on both sides, a third of them in one spot."""
+    rnd = random.Random(3)
+    at = lambda k: (5.0, 5.0) if k % 3 == 0 and k < 60 else (rnd.uniform(0, 100), rnd.uniform(0, 100))
+    labels, areas = ([(k, *at(k)) for k in range(size)] for size in (1150, 1050))
+    frames = spark.createDataFrame(labels, "label long, x double, y double"), spark.createDataFrame(areas, "area long, x double, y double")
+    assert {tuple(r) for r in attached(*frames).collect()} == by_hand(labels, areas)
+
+
 def test_registered_labels(spark):
     rows = catalog.QUERIES["GE10_labels_attached"](spark, DATA).collect()
     assert sorted(r.area for r in rows) == sorted(r.label for r in rows) == list(range(25)) and not any(r.shared for r in rows)
