@@ -2,7 +2,8 @@
 
 A page becomes a tree (unclosed paragraphs, list items and cells end where the next begins). Parts that are
 never article text (navigation, page headers, footers, asides, forms, scripts, adverts, notices, reader
-comments) are cut off by element, role or class word. A wrapper, an element that class, role or being a form would
+comments) are cut off by element, role or class word; a part that holds paragraphs, or lies within an article, only by a name that
+says nothing else (sidebar, but not market-share), and hidden parts, dialogs and drawings only outside of one. A wrapper, an element that class, role or being a form would
 cut though it holds the article (on pages without one, over two thirds of the text), stays and only its controls go;
 reader comments go all the same unless the page's title lies within. In what is left every paragraph passes points for its
 length and its commas to its ancestors, the nearer the more; a container's points are discounted by the share
@@ -44,7 +45,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 ENDS |= {k: ({"td", "th"}, {"table"}) for k in ("td", "th")} | {"option": ({"option"}, {"select"})}
 ENDS |= {k: ({"tr", "td", "th"}, {"table"}) for k in ("tr", "tbody", "thead", "tfoot")}
 CUT = set(
-    "script style noscript template head nav footer aside form iframe object embed svg math canvas audio video button "
+    "script style noscript template head nav footer aside form iframe object embed svg canvas audio video button "
     "select textarea input dialog menu search map noembed noframes xmp title link meta".split()
 )
 CUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -59,6 +60,10 @@ QUALIFIERS = {"has", "have", "with", "no", "without", "hide", "not"}
 DISCUSSION = set("comment comments commentlist reply replies respond disqus discussion".split())
 #: Words that say nothing of what a part holds: with them alone a class word names the whole part.
 PLAIN_WORDS = set("list box block wrap wrapper container section area bar unit slot item items inner outer".split())
+#: Elements of text that an author may call a comment.
+OWN_WORDS = set("p pre blockquote figcaption dd td span em strong i b cite q small".split())
+#: Cut by element, but within an article their words are its own.
+PARTS_OF_TEXT = {"svg", "dialog"}
 #: Cut by element, yet a page's wrapper may be one.
 WRAPPERS = {"form"}
 WHOLE = {"article", "main", "body", "html", "#root"}
@@ -210,7 +215,7 @@ def _cut_words(names: str, within: bool) -> set[str]:
 
 def _is_cut(node: Node) -> bool:
     tag = node.tag
-    if tag in CUT - WRAPPERS:
+    if tag in CUT - WRAPPERS and not (node.within and tag in PARTS_OF_TEXT):
         return True
     if tag in WHOLE:
         return False
@@ -220,9 +225,12 @@ def _is_cut(node: Node) -> bool:
             up = up.parent
         return up is None
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attributes)} if node.attributes.strip() else {}
-    if _hidden(node, values):
+    if not node.within and _hidden(node, values):
         return True
-    words = _cut_words(f"{values.get('class', '')} {values.get('id', '')}", node.within)
+    # a part that holds paragraphs goes only by a name that says nothing else
+    words = _cut_words(f"{values.get('class', '')} {values.get('id', '')}", node.within or node.reads > 0)
+    if node.within and tag in OWN_WORDS:
+        words -= DISCUSSION
     if node.holds and (node.titled or DISCUSSION.isdisjoint(words)):
         return False
     return tag in WRAPPERS or values.get("role", "").lower() in CUT_ROLES or bool(words)
@@ -239,8 +247,12 @@ def _walk(root: Node) -> Iterator[Node]:
 
 def _prune(root: Node) -> None:
     # first what is cut wherever it lies, so that its text counts for no wrapper
+    inside: set[int] = set()
     for node in _walk(root):
-        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in CUT - WRAPPERS]
+        held = node.tag in ("article", "main") or id(node) in inside
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in CUT - WRAPPERS or held and c.tag in PARTS_OF_TEXT]
+        if held:
+            inside |= {id(c) for c in node.children if isinstance(c, Node)}
     nodes = list(_walk(root))
     for node in reversed(nodes):
         if _scores(node) and len(text := _own_text(node)) >= MIN_PARAGRAPH:

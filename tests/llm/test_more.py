@@ -315,3 +315,32 @@ def test_clashing_columns(spark):
     assert sorted((r.text, r.points) for r in html_text.extract(pages).collect()) == [("", 3), (READ, 3)]
     vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)], "vec_id long, embedding array<double>").selectExpr("*", "1 AS id", "2 AS v", "3 AS dim", "4 AS shard")
     assert metric.top_k(vectors, vectors.where("vec_id = 0"), k=2).count() == 2
+
+
+PARAGRAPH = "This paragraph is long enough to be read, with a comma, and with another one, so that it counts."
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        '<p>{p}</p><p>Euler found that <math><mi>e</mi><mo>=</mo><mn>0</mn></math> holds, as is well known by now.</p>',
+        '<p>{p}</p><svg><text>Figure words</text></svg><p>{p}</p>',
+        '<p>{p}</p><dialog open><p>Words of a dialog.</p></dialog>',
+        '<p>{p}</p><p aria-hidden="true">Words for eyes alone.</p>',
+        '<p>{p}</p><p style="display:none">Words that open later.</p>',
+        '<p>{p}</p><p class="comment">A comment of the author.</p>',
+    ],
+)
+def test_words_of_an_article_stay(inner):
+    inner = inner.format(p=PARAGRAPH)
+    found = html_text.main_text(f"<html><body><nav><a href='/'>Menu</a></nav><article><h1>Title</h1>{inner}</article><div class='comments'><p>{PARAGRAPH} Reader.</p></div></body></html>")
+    wanted = re.sub(r"\s+", "", re.sub("<[^>]*>", "", inner))
+    assert re.sub(r"\s+", "", found) == "Title" + wanted
+
+
+def test_names_that_say_more_than_a_class_word_stay():
+    market = f'<div class="market-share"><p>{PARAGRAPH} Market.</p></div>'
+    rest = f'<div class="story"><p>{PARAGRAPH} One.</p><p>{PARAGRAPH} Two.</p></div>'
+    page = f"<html><body><div id='content'>{rest}{market}<div class='share-bar'><a href='#'>Share</a></div></div><div class='comments'><p>Nice one, reader.</p></div></body></html>"
+    found = html_text.main_text(page)
+    assert "Market." in found and "One." in found and "Share" not in found and "reader" not in found
