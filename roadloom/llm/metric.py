@@ -36,7 +36,7 @@ from . import common
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 4096
 PIVOTS, PIVOT_BYTES = 256, 16 << 20
-ROLL_SHARDS = 512
+ROLL_SHARDS = 64
 LEAF, FAN = 256, 16
 SCALE = 1024
 PAGES = "dim int, shard long, page int, leaf boolean, points binary, radii binary, distances binary, children binary, centre binary, radius double"
@@ -235,11 +235,12 @@ def _router(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["dim", "id", "shard", "product"])
 
 
-def _routed(asked: DataFrame, rolls: DataFrame) -> DataFrame:
-    """dim, id, shard, product: the shards that each query is to be asked of. Queries meet the balls of shards in blocks;
-    both have a bounded size."""
+def _routed(asked: DataFrame, rolls: DataFrame, n_rolls: int) -> DataFrame:
+    """dim, id, shard, product: the shards that each query is to be asked of. Blocks of queries meet rolls of shards, both of a
+    bounded size; a block goes to every roll, and rolls are dealt to tasks."""
     blocks = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v", "floor", "first")).alias("queries"))
-    pairs = blocks.join(rolls, "dim").select("dim", "queries", "shards")
+    blocks = blocks.withColumn("roll", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rolls - 1).cast("long"))))
+    pairs = blocks.join(rolls, ["dim", "roll"]).select("dim", "queries", "shards")
     return pairs.mapInArrow(_router, "dim int, id long, shard long, product double")
 
 
@@ -282,19 +283,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
     balls = pages.where("centre IS NOT NULL").select("dim", "shard", "centre", "radius")
     n_rolls = max(1, -(-balls.count() // ROLL_SHARDS))
-    rolls = balls.groupBy("dim", F.pmod(F.xxhash64("shard"), F.lit(n_rolls)).alias("roll"))
+    rolls = balls.groupBy("dim", F.pmod(F.xxhash64("shard"), F.lit(n_rolls)).cast("long").alias("roll"))
     rolls = rolls.agg(F.collect_list(F.struct("shard", "centre", "radius")).alias("shards"))
 
     new = asked.withColumns({"floor": F.lit(float("nan")), "first": F.lit(None).cast("double")})
     best = F.max_by("shard", F.struct("product", "shard"))
-    first = common.store(_routed(new, rolls).groupBy("dim", "id").agg(best.alias("shard")), "first", root)
+    first = common.store(_routed(new, rolls, n_rolls).groupBy("dim", "id").agg(best.alias("shard")), "first", root)
     near = _answered(pages, new, first, k, root, "near")
 
     reached = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("_floor"))
     known = first.select("id", F.col("shard").cast("double").alias("first")).join(reached, F.col("id") == F.col("query_id"), "left")
     floored = known.select("id", "first", F.coalesce("_floor", F.lit(float("-inf"))).alias("floor"))
     floored = asked.join(floored, "id")
-    far = _answered(pages, floored, _routed(floored, rolls), k, root, "far")
+    far = _answered(pages, floored, _routed(floored, rolls, n_rolls), k, root, "far")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.union(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
