@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import exprs as E
 from roadloom.operators import demand as D
 from roadloom.operators import graph as G
+from roadloom.operators.rank import rank
 from roadloom.plans import routing as R
 from roadloom.sources import network as N
 from roadloom.sources.stored import cut, table
@@ -145,6 +146,14 @@ def m12(spark, d):
     return fit.select("code", F.coalesce("pairs", F.lit(0)).alias("pairs"), status.alias("status"), F.round(f - y, 4).alias("error"), r6((f - y) / y).alias("share"), r6(E.geh(f, y)).alias("geh"), r6((F.col("f") - y) / F.col("sigma")).alias("residual"))
 
 
+@query("M12_incidence_rank")
+def m12_rank(spark, d):
+    """How many of the counted links tell something that the others don't: rows, columns and rank of the incidence."""
+    inc = cut(R.gr10_incidence(spark, d).select("code", F.concat_ws("-", "a", "b").alias("pair"), F.col("p").cast("long").alias("value")))
+    found = rank(inc.select(F.col("code").alias("row"), F.col("pair").alias("col"), "value"))
+    return inc.agg(F.count_distinct("code").alias("targets"), F.count_distinct("pair").alias("pairs")).withColumn("rank", F.lit(found).cast("long"))
+
+
 @query("A3_fit_errors", CHAIN + " SELECT count(*) AS n, round(sqrt(avg(pow(m * (SELECT scale FROM s2) - y, 2))), 4) AS rmse, round(avg(abs(m * (SELECT scale FROM s2) - y)), 4) AS mae, count(*) FILTER (abs(m * (SELECT scale FROM s2) - y) <= 0.5::DOUBLE * y) AS within_50 FROM tgt")
 def a3(spark, d):
     rows, scale = refined(_targets(spark, d))
