@@ -150,8 +150,8 @@ def congested(spark, d) -> DataFrame:
 
 @query("GR17_equilibrium")
 def gr17(spark, d):
-    """Flows and times of roads in user equilibrium, and how near it is."""
-    found = EQ.user_equilibrium(congested(spark, d), N.demand(spark, d))
+    """Flows and times of roads in user equilibrium to a relative gap of 1e-3, and how near it is."""
+    found = EQ.user_equilibrium(congested(spark, d), N.demand(spark, d), gap=1e-3)
     return found.links.select("code", r("flow", 2).alias("flow"), r("time").alias("time"), F.lit(found.gap).alias("gap"), F.lit(found.iterations).alias("iterations"), F.lit(found.converged).alias("converged"))
 
 
