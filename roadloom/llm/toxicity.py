@@ -46,12 +46,41 @@ CHUNK_BYTES = 1 << 18
 INNER = np.array([k >= 128 or chr(k).isalnum() for k in range(256)])
 
 
+def pieces(data: np.ndarray, lo: int, hi: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of about `limit` bytes that end at white space; a longer word stays whole."""
+    while lo < hi:
+        end = min(lo + limit, hi)
+        while end < hi:
+            spaces = np.flatnonzero(hashing.IS_SPACE[data[end : min(end + limit, hi)]])
+            if len(spaces):
+                end += int(spaces[0])
+                break
+            end = min(end + limit, hi)
+        yield lo, end
+        lo = end
+
+
 def terms(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
-    """Of a run of rows (row, term), distinct and sorted; of all terms or of those that the table `known` marks."""
+    """Of a run of rows (row, term), distinct and sorted; of all terms or of those that the table `known` marks.
+
+    A long row is read a piece at a time: what is held grows with the number of its distinct terms, at most FEATURES."""
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    if len(offsets) != 2 or hi - lo <= CHUNK_BYTES:
+        key = _keys(data, offsets, known, stems)
+    else:
+        seen = np.zeros(FEATURES, dtype=bool)
+        for a, b in pieces(data, lo, hi, CHUNK_BYTES):
+            seen[_keys(data, np.array([a, b]), known, stems)] = True
+        key = np.flatnonzero(seen)
+    return key // FEATURES, key % FEATURES
+
+
+def _keys(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None, stems: tuple[int, ...]) -> np.ndarray:
+    """row * FEATURES + term, distinct and sorted."""
     words = hashing.Words(data, offsets, fold=True)
-    place, inner = np.arange(len(words.bytes)), INNER[words.bytes]
-    first = np.minimum.accumulate(np.where(inner, place, len(place))[::-1])[::-1][words.start]
-    end = np.maximum.accumulate(np.where(inner, place, -1))[words.end - 1] + 1
+    place, inner = np.arange(len(words.bytes), dtype=np.int32), INNER[words.bytes]
+    first = np.minimum.accumulate(np.where(inner, place, np.int32(len(place)))[::-1])[::-1][words.start]
+    end = np.maximum.accumulate(np.where(inner, place, np.int32(-1)))[words.end - 1] + 1
     some = first < words.end
     words.start, words.end = np.where(some, first, words.start), np.where(some, end, words.end)
     whole = words.end
@@ -61,8 +90,7 @@ def terms(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None
         hashes = (hashing.mix(words.hashes(), stem) & np.uint64(FEATURES - 1)).astype(np.int64)
         some = slice(None) if known is None else known[hashes]
         keys.append(words.row[some] * FEATURES + hashes[some])
-    key = np.unique(np.concatenate(keys))
-    return key // FEATURES, key % FEATURES
+    return np.unique(np.concatenate(keys))
 
 
 @dataclass

@@ -111,3 +111,18 @@ def test_terms_of_long_texts_in_chunks():
     short = np.frombuffer(b"idiot plain words", np.uint8)
     assert set(term.tolist()) == set(toxicity.terms(short, np.array([0, len(short)]))[1].tolist())
     assert [list(x) for x in hashing.row_runs(np.array([0, 5, len(data)]), 10)] == [[0, 1], [1, 2]]
+
+
+def test_pieces_of_a_long_text_have_its_terms(monkeypatch):
+    """White space at, before and after a cut; words longer than a piece; edges of punctuation."""
+    rng = np.random.default_rng(5)
+    words = ["a", "(bb)", "ccc,", "--", "x" * 300, "\u00e9t\u00e9", "Idiot!", "word"]
+    text = "".join(words[k] + " \n\t  "[j : j + 1 + k % 3] for k, j in zip(rng.integers(0, 8, 400), rng.integers(0, 4, 400), strict=True)) + "end"
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    whole = toxicity.terms(data, np.array([0, len(data)]))
+    for limit in (1, 7, 64, 299, 1000):
+        monkeypatch.setattr(toxicity, "CHUNK_BYTES", limit)
+        found = list(toxicity.pieces(data, 0, len(data), limit))
+        assert found[0][0] == 0 and found[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
+        row, term = toxicity.terms(data, np.array([0, len(data)]))
+        assert term.tolist() == whole[1].tolist() and set(row.tolist()) == {0}
