@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import exprs as E
 from roadloom.functions.projection import metres_sql, to_degrees, to_metres
 from roadloom.operators import graph as G
-from roadloom.operators import splitting
+from roadloom.operators import splitting, terrain
 from roadloom.operators.matching import attached
 from roadloom.operators.nearest import nearest
 from roadloom.plans.network import POINTS, _points, near_cells
@@ -453,3 +453,46 @@ def ge10(spark, d):
     k = F.col("zone")
     labels = z.select(k.alias("label"), (F.col("lon") + (k * 7 % 11) / 4 - 1).alias("x"), (F.col("lat") + (k * 3 % 7) / 3 - 1).alias("y"))
     return attached(labels, z.select(k.alias("area"), F.col("lon").alias("x"), F.col("lat").alias("y")))
+
+
+#: Levels in metres of the classes of terrain, the buffer in degrees, and the class without any level.
+BREAKS = {"Plain": (0.0, 400.0), "Rolling": (400.0, 900.0), "Mountainous": (900.0, 1500.0), "Steep": (1500.0, 9000.0)}
+BUFFER, NO_LEVEL = 0.03, "Rolling"
+CONTOURS = """, ct AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 > 0 THEN 40.0::DOUBLE * p_size END AS level, 80 + (p_partkey * 37 % 1009) / 300 AS qx, 26 + (p_partkey * 91 % 1013) / 250 AS qy FROM part),
+ cl AS (SELECT id, level, qx AS ax, qy AS ay, qx + 0.02::DOUBLE AS bx, qy + 0.01::DOUBLE AS b2, qx + 0.05::DOUBLE AS ex, qy - 0.01::DOUBLE AS ey FROM ct),
+ cs AS (SELECT id, level, ax AS cx, ay AS cy, bx AS dx, b2 AS dy FROM cl UNION ALL SELECT id, level, bx, b2, ex, ey FROM cl),
+ cc AS (SELECT id, level, (m1 * (ax + bx) / 2 + m2 * (bx + ex) / 2) / (m1 + m2) AS x, (m1 * (ay + b2) / 2 + m2 * (b2 + ey) / 2) / (m1 + m2) AS y FROM (SELECT *, sqrt(pow(bx - ax, 2) + pow(b2 - ay, 2)) AS m1, sqrt(pow(ex - bx, 2) + pow(ey - b2, 2)) AS m2 FROM cl)),
+ rs AS (SELECT code, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS b2 FROM g UNION ALL SELECT code, x2, y2, x3, y3 FROM g)"""
+
+
+def _ends_sql(px: str, py: str, a: str, c: str, b: str, e: str) -> str:
+    dx, dy = f"({b} - {a})", f"({e} - {c})"
+    t = f"greatest(0, least(1, (({px} - {a}) * {dx} + ({py} - {c}) * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
+    return f"sqrt(pow({px} - {a} - {t} * {dx}, 2) + pow({py} - {c} - {t} * {dy}, 2))"
+
+
+_R, _C = ("ax", "ay", "bx", "b2"), ("cx", "cy", "dx", "dy")
+_side = lambda s, x, y: f"(({s[2]} - {s[0]}) * ({y} - {s[1]}) - ({s[3]} - {s[1]}) * ({x} - {s[0]}))"
+_across = lambda s, t: f"{_side(s, t[0], t[1])} * {_side(s, t[2], t[3])} < 0"
+_APART = f"CASE WHEN {_across(_R, _C)} AND {_across(_C, _R)} THEN 0 ELSE least({', '.join(_ends_sql(s[k], s[k + 1], *t) for s, t in ((_R, _C), (_C, _R)) for k in (0, 2))}) END"
+TERRAIN = f""", direct AS (SELECT code, avg(level) AS level FROM (SELECT DISTINCT code, id, level FROM rs CROSS JOIN cs WHERE level IS NOT NULL AND {_APART} <= {BUFFER}::DOUBLE) GROUP BY code),
+ hw AS (SELECT code, CASE WHEN s1 >= s2 THEN x1 + (s1 + s2) / 2 / s1 * (x2 - x1) ELSE x2 + ((s1 + s2) / 2 - s1) / s2 * (x3 - x2) END AS hx, CASE WHEN s1 >= s2 THEN y1 + (s1 + s2) / 2 / s1 * (y2 - y1) ELSE y2 + ((s1 + s2) / 2 - s1) / s2 * (y3 - y2) END AS hy
+  FROM (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS s1, sqrt(pow(x3 - x2, 2) + pow(y3 - y2, 2)) AS s2 FROM g)),
+ near AS (SELECT code, level FROM (SELECT code, level, row_number() OVER (PARTITION BY code ORDER BY round(sqrt(pow(x - hx, 2) + pow(y - hy, 2)), 9), id) AS n FROM hw CROSS JOIN cc) WHERE n = 1),
+ src AS (SELECT code, CASE WHEN len % 9 = 0 THEN 'Mountainous' WHEN len % 9 = 4 THEN 'Plain' END AS known FROM roads),
+ lv AS (SELECT code, known, CASE WHEN known IS NULL THEN coalesce(d.level, n.level) END AS level, CASE WHEN known IS NOT NULL THEN 'source' WHEN d.level IS NOT NULL THEN 'direct' ELSE 'nearest' END AS how
+  FROM g JOIN src USING (code) LEFT JOIN direct d USING (code) JOIN near n USING (code))"""
+_CASES = " ".join(f"WHEN level >= {lo} AND level < {hi} THEN '{name}'" for name, (lo, hi) in BREAKS.items())
+
+
+@query("GE11_terrain", BENDS + CONTOURS + TERRAIN + f" SELECT code, round(level, 6) AS elevation_m, coalesce(known, CASE {_CASES} ELSE '{list(BREAKS)[-1]}' END) AS terrain, CASE WHEN known IS NULL THEN '{terrain.FROM_CONTOURS}' ELSE '{terrain.FROM_SOURCE}' END AS terrain_source, how FROM lv")
+def ge11(spark, d):
+    """Terrain of every road: its source's code, else from the contours near it, else from the nearest contour. Parts stand for contours, which
+    cover the west alone."""
+    k, point = F.col("p_partkey"), lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y = 80 + (k * 37 % 1009) / 300, 26 + (k * 91 % 1013) / 250
+    pts = F.array(point(x, y), point(x + 0.02, y + 0.01), point(x + 0.05, y - 0.01))
+    contours = table(spark, d, "part").select(k.alias("id"), pts.alias("pts"), F.when(k % 7 > 0, 40.0 * F.col("p_size")).alias("level"))
+    code = F.when(F.col("len") % 9 == 0, " m").when(F.col("len") % 9 == 4, "P").otherwise("x")
+    found = terrain.assigned(lines(spark, d).withColumn("source_code", code), contours, BUFFER, BREAKS, NO_LEVEL)
+    return found.select("code", r6("elevation_m").alias("elevation_m"), "terrain", "terrain_source", "how")
