@@ -101,3 +101,36 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1) -> DataFrame:
         best = each.withColumn("place", F.row_number().over(own.orderBy("m"))).where(F.col("place") <= k)
     found = best.select("x", "y", "m.site", "m.distance", "place")
     return points.join(found, [points["x"].cast("double") == found["x"], points["y"].cast("double") == found["y"]]).select(*(points[c] for c in points.columns), "site", "distance", "place")
+
+
+def nearest_km(points: DataFrame, sites: DataFrame, first: int = 4) -> DataFrame:
+    """The columns of points (with x, y, in degrees) with site and km: the nearest of sites (site, x, y) by `exprs.distance_km`, ties to
+    the smaller site.
+
+    The plane in which longitudes are shortened as at the latitude farthest from the equator never makes a distance longer. So the
+    nearest of k sites there is the nearest of all if the k-th is no nearer in the plane; points for which it isn't are asked again
+    with four times as many sites, until all are had."""
+    sites = cut(sites.select("site", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.min("site").alias("site")))
+    spots = cut(points.where("x is not null and y is not null").select(F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).distinct())
+    far = sites.select("y").unionByName(spots.select(F.col("py").alias("y"))).agg(F.max(F.abs("y")).alias("y"), F.count(F.lit(1))).head().y
+    whole, shrink = sites.count(), F.cos(F.radians(F.lit(far if far is not None else 0.0)))
+    if not whole:
+        return points.limit(0).crossJoin(sites.limit(0).select("site")).withColumn("km", F.lit(0.0))
+    flat = sites.select(F.struct("site", F.col("x").alias("sx"), F.col("y").alias("sy")).alias("site"), (F.col("x") * shrink).alias("x"), "y")
+    left, k, done = spots, min(first, whole), []
+    while True:
+        near = nearest(left.select("px", "py", (F.col("px") * shrink).alias("x"), F.col("py").alias("y")), flat, k)
+        km = F.round(E.distance_km(F.col("px"), F.col("py"), F.col("site.sx"), F.col("site.sy")), DIGITS)
+        best = near.groupBy("px", "py").agg(F.min(F.struct(km.alias("km"), F.col("site.site").alias("site"))).alias("m"), F.max("distance").alias("reach"))
+        # a little more than rounding, so that equal distances are asked again too
+        best = cut(best.withColumn("sure", F.lit(k >= whole) | (F.col("m.km") < E.KM_PER_DEGREE * F.col("reach") - 1e-6)))
+        done.append(best.where("sure"))
+        open_ = best.where("not sure")
+        if open_.isEmpty():
+            break
+        left, k = open_.select("px", "py"), min(4 * k, whole)
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    met = points.join(found, [points["x"].cast("double") == found["px"], points["y"].cast("double") == found["py"]])
+    return met.select(*(points[c] for c in points.columns), "m.site", "m.km")

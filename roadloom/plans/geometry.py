@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import exprs as E
 from roadloom.functions.projection import metres_sql, to_degrees, to_metres
 from roadloom.operators import graph as G
-from roadloom.operators import splitting, terrain
+from roadloom.operators import multimodal, splitting, terrain
 from roadloom.operators.matching import attached
 from roadloom.operators.nearest import nearest
 from roadloom.plans.network import POINTS, _points, near_cells
@@ -496,3 +496,27 @@ def ge11(spark, d):
     code = F.when(F.col("len") % 9 == 0, " m").when(F.col("len") % 9 == 4, "P").otherwise("x")
     found = terrain.assigned(lines(spark, d).withColumn("source_code", code), contours, BUFFER, BREAKS, NO_LEVEL)
     return found.select("code", r6("elevation_m").alias("elevation_m"), "terrain", "terrain_source", "how")
+
+
+LAYERS = """, v AS (SELECT code, 0 AS i, x1 AS x, y1 AS y FROM g UNION ALL SELECT code, 1, x2, y2 FROM g UNION ALL SELECT code, 2, x3, y3 FROM g),
+ k AS (SELECT *, round_even(x, 5) AS kx, round_even(y, 5) AS ky FROM v), shared AS (SELECT kx, ky FROM k GROUP BY 1, 2 HAVING count(DISTINCT code) > 1),
+ w AS (SELECT code, i, x, y, kx, ky, coalesce(111.0::DOUBLE * sqrt(pow((x - lag(x) OVER o) * cos(radians((y + lag(y) OVER o) / 2)), 2) + pow(y - lag(y) OVER o, 2)), 0) AS step FROM k WINDOW o AS (PARTITION BY code ORDER BY i)),
+ way AS (SELECT *, sum(step) OVER (PARTITION BY code ORDER BY i) AS way, sum(step) OVER (PARTITION BY code) AS whole FROM w),
+ stops AS (SELECT * FROM way WHERE i IN (0, 2) OR (kx, ky) IN (SELECT (kx, ky) FROM shared)),
+ pc AS (SELECT code, row_number() OVER o - 1 AS segment, x AS ax, y AS ay, kx AS akx, ky AS aky, lead(x) OVER o AS bx, lead(y) OVER o AS b2, lead(kx) OVER o AS bkx, lead(ky) OVER o AS bky, (lead(way) OVER o - way) / greatest(whole, 1e-9) * len AS km
+  FROM stops JOIN roads USING (code) WINDOW o AS (PARTITION BY code ORDER BY i)), p2 AS (SELECT * FROM pc WHERE km > 0),
+ firsts AS (SELECT kx, ky, min({'c': code, 's': segment, 'e': e, 'x': x, 'y': y}) AS m FROM (SELECT code, segment, 0 AS e, akx AS kx, aky AS ky, ax AS x, ay AS y FROM p2 UNION ALL SELECT code, segment, 1, bkx, bky, bx, b2 FROM p2) GROUP BY kx, ky),
+ nd AS (SELECT kx, ky, m.x AS x, m.y AS y, row_number() OVER (ORDER BY m) - 1 AS node FROM firsts),
+ ed AS (SELECT least(a.node, b.node) AS u, greatest(a.node, b.node) AS v, km, code, segment FROM p2 JOIN nd a ON akx = a.kx AND aky = a.ky JOIN nd b ON bkx = b.kx AND bky = b.ky WHERE a.node <> b.node),
+ e1 AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY km DESC, code, segment) AS n FROM ed),
+ ap AS (SELECT s_suppkey AS id, 80 + (s_suppkey * 37 % 100) / 14 AS x, 26 + (s_suppkey * 91 % 100) / 21 AS y FROM supplier),
+ an AS (SELECT *, row_number() OVER (ORDER BY x, y, id) AS n FROM ap),
+ tie AS (SELECT an.id, an.n, node, round(111.0::DOUBLE * sqrt(pow((an.x - nd.x) * cos(radians((an.y + nd.y) / 2)), 2) + pow(an.y - nd.y, 2)), 9) AS km FROM an CROSS JOIN nd),
+ t1 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, node) AS place FROM tie)"""
+
+
+@query("GR2_multimodal_edges", BENDS + LAYERS + " SELECT 'road' AS kind, CAST(u AS VARCHAR) AS u, CAST(v AS VARCHAR) AS v, round(km, 6) AS km, code AS id, CAST(segment AS INT) AS segment FROM e1 WHERE n = 1 UNION ALL SELECT 'airport_access', CAST(node AS VARCHAR), printf('AP%03d', n), round(km, 6), CAST(id AS VARCHAR), 0 FROM t1 WHERE place = 1")
+def gr2(spark, d):
+    """Roads noded where they meet and suppliers tied to them as airfields: one table of typed edges."""
+    roads = lines(spark, d).select(F.col("code").alias("id"), "pts", F.col("len").alias("km"))
+    return multimodal.multimodal(roads, _heads(spark, d)).withColumn("km", r6("km"))
