@@ -13,7 +13,7 @@ from roadloom.operators import graph as G
 from roadloom.operators import multimodal, splitting, terrain
 from roadloom.operators.matching import attached
 from roadloom.operators.nearest import nearest
-from roadloom.plans.network import POINTS, _points, near_cells
+from roadloom.plans.network import POINTS, _points, close_pairs
 from roadloom.sources import network as N
 from roadloom.sources.stored import cut, table
 
@@ -153,10 +153,8 @@ def ge6(spark, d):
     p, size = _points(spark, d), 0.02
     # points of one place are one node of the search for pairs, however many there are
     places = cut(p.groupBy("x", "y").agg(F.min("id").alias("node")))
-    own = places.select(F.col("node").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")).alias("cell"))
-    near = places.select(F.col("node").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(near_cells(F.col("x"), F.col("y"), size)).alias("cell"))
-    gap = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    close = cut(own.join(near, "cell").where((F.col("u") != F.col("v")) & (gap <= size)).select("u", "v").distinct())
+    both = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    close = cut(close_pairs(places.select(F.col("node").alias("id"), "x", "y"), size).select(both.alias("e")).select("e.u", "e.v"))
     root = G.components(close, places.select("node"))
     at = places.select(F.col("node").alias("label"), F.bround("x", 3).alias("rx"), F.bround("y", 3).alias("ry"))
     of_place = places.join(root, "node").join(at, "label").select("x", "y", F.col("label").alias("root"), "rx", "ry")

@@ -11,7 +11,7 @@ from roadloom.operators import forest
 from roadloom.operators import graph as G
 from roadloom.operators.nearest import nearest
 from roadloom.sources import network as N
-from roadloom.sources.stored import cut, table
+from roadloom.sources.stored import cut, table, tasks
 
 QUERIES, SQL = {}, {}
 FACILITY = 6  # every 6th zone has an airport, every 4th a health facility, every 5th is a gateway
@@ -64,18 +64,32 @@ def near_cells(x, y, size: float, reach: int = 1):
     return F.flatten(F.transform(span(x), lambda a: F.transform(span(y), lambda b: F.struct(a.alias("i"), b.alias("j")))))
 
 
-def _snapped(p):
-    """Close pairs by an equi-join on grid cells: a point's own cell against the neighbours' cells."""
-    size = 0.02
-    own = p.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")).alias("cell"))
+#: Points of a cell that a task holds at once; the points around a fuller cell meet it a block at a time.
+CROWD = 4096
+
+
+def close_pairs(p, size: float, crowd: int = CROWD):
+    """a, b, gap: the pairs of points (id, x, y) with a < b that are at most size apart, by an equi-join on grid cells: a point's own
+    cell against the neighbours' cells.
+
+    The join is never a broadcast: the neighbours' cells are nine rows a point, which no estimate of the scan shows. Its tasks
+    follow the number of pairs within a cell."""
+    cell = [F.floor(F.col(c) / size).alias(k) for c, k in (("x", "i"), ("y", "j"))]
+    own = p.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), *cell)
     near = p.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(near_cells(F.col("x"), F.col("y"), size)).alias("cell"))
+    near = near.select("b", "bx", "by", "cell.i", "cell.j")
+    counts = own.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+    dealt = [tasks(p.sparkSession, counts.agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).head().pairs), "i", "j", "block"]
+    crowds = counts.select("i", "j", F.ceil(F.col("n") / crowd).alias("blocks"))
+    own = own.join(crowds.hint("merge"), ["i", "j"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).drop("blocks")
+    near = near.join(crowds.hint("merge"), ["i", "j"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     gap = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    return own.join(near, "cell").where((F.col("a") < F.col("b")) & (gap <= size)).select("a", "b", r(gap).alias("distance"))
+    return near.repartition(*dealt).join(own.repartition(*dealt).hint("merge"), ["i", "j", "block"]).where((F.col("a") < F.col("b")) & (gap <= size)).select("a", "b", gap.alias("gap"))
 
 
 @query("GE6_snap_pairs", f"WITH {POINTS} SELECT a.id AS a, b.id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS distance FROM p a JOIN p b ON a.id < b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.02::DOUBLE")
 def ge6(spark, d):
-    return _snapped(_points(spark, d))
+    return close_pairs(_points(spark, d), 0.02).select("a", "b", r("gap").alias("distance"))
 
 
 @query("J9_nearest_zone", f"{N.with_sql('zones')}, {POINTS} SELECT id, min_by(zone, {{'d': round(sqrt(pow(x - lon, 2) + pow(y - lat, 2)), 9), 'z': zone}}) AS zone FROM p, zones GROUP BY id")

@@ -24,6 +24,12 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def tasks(spark: SparkSession, rows: int | None, each: int = 1 << 22) -> int:
+    """A number of partitions of about `each` rows, not below the session's: for joins whose rows are many more than the bytes
+    read by them tell, by which Spark puts partitions together."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // each))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,7 @@
 import heapq
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -150,6 +151,19 @@ def test_snap_pairs_beyond_1500_customers(spark, tmp_path):
     assert {sum(p) - 1700 for p in found if 1700 in p} == set(near) and max(near) > 1500
 
 
+def test_close_pairs_are_not_broadcast(spark, tmp_path):
+    """Nine rows a point outgrow what the scan's size tells, so no side may go through the driver; a full cell is met by blocks."""
+    rnd = random.Random(5)
+    spots = [(rnd.uniform(0, 0.2), rnd.uniform(-0.1, 0.1)) for _ in range(200)] + [(0.05, 0.05)] * 60
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(spots)], "id long, x double, y double")
+    wanted = {(a, b) for a, p in enumerate(spots) for b, q in enumerate(spots) if a < b and math.dist(p, q) <= 0.02}
+    for crowd in (7, 4096):
+        found = [(r.a, r.b) for r in network.close_pairs(points, 0.02, crowd=crowd).collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted
+    spark.range(1, 101).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert "Broadcast" not in catalog.QUERIES["GE6_snap_pairs"](spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
 def test_fitting_converges(spark, duck):
     goal = dict(duck.sql(N.with_sql("zones") + " SELECT zone, activity FROM zones").fetchall())
     rows = catalog.QUERIES["M4_ipf_converged"](spark, DATA).collect()
