@@ -269,12 +269,16 @@ TOP = "printf('%d->%d q=%.2f, dt=%.3fh', CAST(o AS INT), CAST(d AS INT), q, t1 -
 
 @query("T2_top_pairs_text", AFFECTED + f", k AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY round(q * (t1 - t0), 9) DESC, q DESC, o, d) AS n FROM aff) SELECT link, string_agg({TOP}, ' ; ' ORDER BY n) AS top FROM k WHERE n <= 5 GROUP BY link")
 def t2_text(spark, d):
-    """The five pairs that lose most by a link's removal, in one line."""
-    hit = cut(_affected(spark, d))
+    """The five pairs that lose most by a link's removal, in one line.
+
+    A pair loses the same both ways, and demand is large enough to show the last digit of its hours: weights are added by halves, as
+    in the SQL, and the loss is the difference of the hours after and before, as there."""
+    e, known = weighted(spark, d), cut(routes(spark, d))
+    hit = cut(_affected(spark, d, P.halved(known, e, ["o", "d"]).join(known.select("o", "d", "codes"), ["o", "d"])))
     cases = hit.groupBy("link", "o").agg(F.collect_set("d").alias("targets")).select(F.to_json(F.struct("link", "o")).alias("case"), F.array("o").alias("seeds"), F.array("link").alias("banned"), "targets")
-    found = P.searched(weighted(spark, d), cases).select(F.from_json("case", "link string, o long").alias("k"), F.col("node").alias("d"), F.col("c").alias("after"))
+    found = P.halved(P.searched(e, cases, with_codes=True), e, ["case", "node"]).select(F.from_json("case", "link string, o long").alias("k"), F.col("node").alias("d"), F.col("c").alias("after"))
     rows = hit.join(found.select("k.link", "k.o", "d", "after"), ["link", "o", "d"], "left")
-    gap = F.coalesce(F.col("after") - F.col("c"), F.greatest(F.lit(PENALTY_H), PENALTY_TIMES * F.col("c")))
+    gap = F.coalesce("after", F.col("c") + F.greatest(F.lit(PENALTY_H), PENALTY_TIMES * F.col("c"))) - F.col("c")
     w = Window.partitionBy("link").orderBy(F.desc(r(F.col("q") * gap, 9)), F.desc("q"), "o", "d")
     rows = rows.select("link", F.row_number().over(w).alias("n"), F.format_string("%d->%d q=%.2f, dt=%.3fh", "o", "d", "q", gap).alias("line")).where("n <= 5")
     return rows.groupBy("link").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ; ").alias("top"))

@@ -27,6 +27,21 @@ def test_rounds_find_what_the_heap_finds(spark):
     assert ("d", 26, 26) in [(c, n, n) for c, n, *_ in heap] and not [r for r in heap if r[0] == "d" and r[1] == 0]
 
 
+def test_weights_by_halves_are_those_of_squaring():
+    """On a chain, to the last digit; the same there and back; longer chains than squaring reaches are summed exactly."""
+    rng = random.Random(2)
+    for n in (1, 2, 5, 13, 31, 32):
+        w = [rng.uniform(0.1, 3) for _ in range(n)]
+        at = {(k, k): 0.0 for k in range(n + 1)} | {e: x for k, x in enumerate(w) for e in ((k, k + 1), (k + 1, k))}
+        for _ in range(5):
+            new = {}
+            for (a, m), (b, c) in ((p, q) for p in at for q in at if p[1] == q[0]):
+                new[a, c] = min(new.get((a, c), math.inf), at[a, m] + at[b, c])
+            at = new
+        assert P.by_halves(w) == at[0, n] == P.by_halves(w[::-1])
+    assert P.by_halves([0.1] * 50) == math.fsum([0.1] * 50)
+
+
 def test_alternatives_by_brute_force(spark):
     rng = random.Random(3)
     for trial in range(25):

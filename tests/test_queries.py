@@ -164,6 +164,17 @@ def test_close_pairs_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in catalog.QUERIES["GE6_snap_pairs"](spark, str(tmp_path))._jdf.queryExecution().toString()
 
 
+def test_top_pairs_of_large_demand(spark, tmp_path):
+    """Where demand shows the last digit of the hours, the pairs of both directions still tie, as in SQL."""
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        own = " REPLACE (l_quantity * 7919 AS l_quantity)" if f == "lineitem.parquet" else ""
+        con.sql(f"COPY (SELECT *{own} FROM '{DATA}/{f}') TO '{tmp_path}/{f}'")
+        con.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{tmp_path}/{f}'")
+    wanted = dict(con.sql(catalog.ORACLE_SQL["T2_top_pairs_text"]).fetchall())
+    assert {r.link: r.top for r in catalog.QUERIES["T2_top_pairs_text"](spark, str(tmp_path)).collect()} == wanted
+
+
 def test_fitting_converges(spark, duck):
     goal = dict(duck.sql(N.with_sql("zones") + " SELECT zone, activity FROM zones").fetchall())
     rows = catalog.QUERIES["M4_ipf_converged"](spark, DATA).collect()
