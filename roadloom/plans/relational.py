@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import exprs as E
 from roadloom.sources import network as N
-from roadloom.sources.stored import cut, table
+from roadloom.sources.stored import cut, table, tasks
 
 QUERIES, SQL = {}, {}
 
@@ -193,16 +193,33 @@ def st1(spark, d):
 @query("ST2_set_overlap", "WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM s GROUP BY 1) SELECT a.s AS a, b.s AS b, count(*) AS shared, round(count(*) / CAST(max(na.n) + max(nb.n) - count(*) AS DOUBLE), 6) AS jaccard FROM s a JOIN s b ON a.p = b.p AND a.s < b.s JOIN n na ON na.s = a.s JOIN n nb ON nb.s = b.s GROUP BY 1, 2")
 def st2(spark, d):
     """All suppliers, by their parts' own keys."""
-    return _overlaps(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct())
-
-
-def _overlaps(s):
-    """Jaccard of pairs that share support, from an equi-join on the elements."""
-    n = s.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    own = s.join(n, "s")
-    a, b = own.select(F.col("s").alias("a"), "p", F.col("n").alias("na")), own.select(F.col("s").alias("b"), "p", F.col("n").alias("nb"))
-    shared = a.join(b, "p").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.select("a", "b", "shared", r6(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    # dealt before, as hardly a row repeats: a scan's task would hold all rows of its file split otherwise
+    return _overlaps(rows.repartition(tasks(spark, rows.count()), "s", "p").distinct())
+
+
+#: Sets of one element that one list holds; a set meets an element's lists one by one.
+LISTED = 1024
+
+
+def _overlaps(s, listed: int = LISTED):
+    """Jaccard of pairs of sets (s, p, distinct) that share support: each set meets the lists of the sets that hold its elements, and
+    counts them.
+
+    The lists are dealt by set, so that a task holds a count for each pair of its own sets only; tasks follow the number of pairs that meet."""
+    s = cut(s)
+    n = cut(s.groupBy("s").agg(F.count(F.lit(1)).alias("n")))
+    holders = s.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
+    parts = tasks(s.sparkSession, holders.agg((F.sum(F.col("m") * F.col("m")) / 2).cast("long").alias("pairs")).head().pairs)
+    lists = holders.select("p", F.ceil(F.col("m") / listed).alias("lists"))
+    held = s.repartition(parts, "p").join(lists.repartition(parts, "p").hint("merge"), "p")
+    own = held.select(F.col("s").alias("a"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1)).alias("list"))
+    others = held.groupBy("p", F.pmod(F.xxhash64("s"), "lists").alias("list")).agg(F.collect_list("s").alias("others"))
+    met = own.repartition(parts, "p", "list").join(others.repartition(parts, "p", "list").hint("merge"), ["p", "list"])
+    met = met.select("a", F.filter("others", lambda b: b > F.col("a")).alias("others")).where(F.size("others") > 0)
+    shared = met.repartition(parts, "a").select("a", F.explode("others").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    sized = shared.join(n.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.select("a", "b", "shared", r6(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
 FIT = "SELECT l_orderkey, sum(l_quantity) AS y, sum(l_extendedprice) / 1500 AS m, 1 + count(*) % 3 AS w FROM lineitem GROUP BY 1"

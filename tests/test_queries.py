@@ -4,11 +4,12 @@ import heapq
 import math
 import os
 import random
+import re
 
 import duckdb
 import pytest
 
-from roadloom.plans import catalog, network
+from roadloom.plans import catalog, network, relational
 from roadloom.sources import network as N
 
 DATA = "/root/testdata/sf0.001"
@@ -175,6 +176,20 @@ def test_top_pairs_of_large_demand(spark, tmp_path):
     assert {r.link: r.top for r in catalog.QUERIES["T2_top_pairs_text"](spark, str(tmp_path)).collect()} == wanted
 
 
+def test_overlaps_are_counted_where_their_set_is(spark):
+    """An element of many sets is met by several lists, and no task gathers counts of sets that other tasks count too."""
+    rnd = random.Random(6)
+    sets = {k: {rnd.randrange(40) for _ in range(rnd.randrange(1, 9))} | ({99} if k % 4 else set()) for k in range(70)}
+    rows = spark.createDataFrame([(k, p) for k, ps in sets.items() for p in ps] + [(None, 99), (3, None)], "s long, p long")
+    sizes = {k: len(ps) + (k == 3) for k, ps in sets.items()}
+    wanted = {(a, b, n, round(n / (sizes[a] + sizes[b] - n), 6)) for a in sets for b in sets if a < b and (n := len(sets[a] & sets[b]))}
+    for listed in (5, 1024):
+        found = [tuple(r) for r in relational._overlaps(rows, listed=listed).collect()]
+        assert len(found) == len(wanted) and set(found) == wanted
+    plan = catalog.QUERIES["ST2_set_overlap"](spark, DATA)._jdf.queryExecution().toString()
+    assert re.search(r"hashpartitioning\(a#", plan) and not re.search(r"hashpartitioning\(a#\w+, b#", plan)
+
+
 def test_fitting_converges(spark, duck):
     goal = dict(duck.sql(N.with_sql("zones") + " SELECT zone, activity FROM zones").fetchall())
     rows = catalog.QUERIES["M4_ipf_converged"](spark, DATA).collect()
