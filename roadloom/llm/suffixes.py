@@ -37,6 +37,8 @@ CORE = 64
 CHUNK_BYTES = 1 << 18
 #: Bytes of texts that a shard is aimed at, and those that one core may have there before it is split.
 SHARD_BYTES, HOT_BYTES = 1 << 20, 6 << 20
+#: Ranges of a core's place by which a shard tells texts that match nothing before it sorts the others.
+RANGES = 4
 KEYS = ["_id", "_hash"]
 PLACES = ["first", "last", "place", "stop"]
 RECORD = "core long, around long, _id long, _hash long, first int, last int, place int, stop int"
@@ -81,6 +83,22 @@ def _emitter(length: int, longest: int, core: int):
     return emit
 
 
+def _cells(data, begin, key, first, last, place, stop, length: int, longest: int, core: int, width: int) -> tuple[np.ndarray, ...]:
+    """Pieces of texts that begin at `begin` by ranges of `width` of the core's place within a string: the text's number, the
+    first and last start, the end, a finer key and a hash of the piece."""
+    low, high = (place - last) // width, (place - first) // width
+    k = np.repeat(np.arange(len(begin)), high - low + 1)
+    cell = np.arange(len(k)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[k]
+    a, b = cell * width, np.minimum(cell * width + width - 1, length - core)
+    lo, hi = np.maximum(first[k], place[k] - b), np.minimum(last[k], place[k] - a)
+    end = np.minimum(hi + longest, stop[k])
+    sums, at = hashing.prefix_sums(hashing.BYTE_VALUES[data]), begin[k] - first[k]
+    shared = hashing.windows(sums, at + place[k] - a, at + place[k] - b + length)
+    fine = hashing.mix(hashing.mix(key[k].view(np.uint64) ^ shared, 5) ^ cell.astype(np.uint64), 7)
+    around = hashing.windows(sums, at + lo, at + end) ^ (place[k] - lo).astype(np.uint64)
+    return k, lo, hi, end, fine, around
+
+
 def _splitter(length: int, longest: int, core: int, width: int):
     """Pieces by ranges of `width` of the core's place within a string."""
 
@@ -89,16 +107,7 @@ def _splitter(length: int, longest: int, core: int, width: int):
         core0, around0, first0, n, own, first, last, place, stop, key = table.T
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         begin = np.concatenate(([0], np.cumsum([len(x) for x in texts], dtype=np.int64)))[:-1]
-        low, high = (place - last) // width, (place - first) // width
-        k = np.repeat(np.arange(len(rows)), high - low + 1)
-        cell = np.arange(len(k)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[k]
-        a, b = cell * width, np.minimum(cell * width + width - 1, length - core)
-        lo, hi = np.maximum(first[k], place[k] - b), np.minimum(last[k], place[k] - a)
-        end = np.minimum(hi + longest, stop[k])
-        sums, at = hashing.prefix_sums(hashing.BYTE_VALUES[data]), begin[k] - first[k]
-        shared = hashing.windows(sums, at + place[k] - a, at + place[k] - b + length)
-        fine = hashing.mix(hashing.mix(key[k].view(np.uint64) ^ shared, 5) ^ cell.astype(np.uint64), 7)
-        around = hashing.windows(sums, at + lo, at + end) ^ (place[k] - lo).astype(np.uint64)
+        k, lo, hi, end, fine, around = _cells(data, begin, key, first, last, place, stop, length, longest, core, width)
         columns = [core0[k], around0[k], first0[k].astype(np.int32), n[k], hashing.signed(fine), hashing.signed(around), own[k]]
         columns += [x.astype(np.int32) for x in (lo, hi, place[k], end)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core0", "around0", "first0", "n", "core", "around", "own", *PLACES])
@@ -176,7 +185,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, wanted in enumerate(batch.column(1).to_pylist()):
             for w in wanted:
                 around = data[int(offsets[k]) + w["first"] : int(offsets[k]) + w["stop"]].tobytes()
-                rows.append((w["core"], w["around"], w["n"], w["last"] - w["first"], around))
+                rows.append((w["core"], w["around"], w["n"], w["last"] - w["first"], w["place"] - w["first"], around))
                 size += len(around)
                 if size > 8 << 20:
                     yield _snippets(rows)
@@ -184,13 +193,13 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _snippets(rows)
 
 
-SNIPPET = "core long, around long, n long, most int, bytes binary"
+SNIPPET = "core long, around long, n long, most int, place int, bytes binary"
 
 
 def _snippets(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "around", "n", "most", "bytes"])
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["core", "around", "n", "most", "place", "bytes"])
 
 
 def repeated_starts(
@@ -214,33 +223,114 @@ def repeated_starts(
     return out
 
 
+def _runs_of(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of runs; breaks: whether a run ends between a place and the next."""
+    ends = np.flatnonzero(breaks)
+    return np.concatenate(([0], ends + 1)), np.append(ends, len(breaks))
+
+
+class _Shard:
+    """The texts around cores of a shard, cut into pieces by ranges of the core's place.
+
+    A piece whose finer key no other piece has matches nothing; equal ones are sorted once; where all pieces of a key are
+    equal nothing is sorted. The others are, adjacent ones of a text in one."""
+
+    def __init__(self, lengths: tuple[int, ...], core: int, memory_bytes: int):
+        self.lengths, self.core, self.memory_bytes = lengths, core, memory_bytes
+        self.width = -(-(lengths[0] - core + 1) // RANGES)
+        self.spool, self.numbers, self.cells, self.rows, self.size = induced.Spool(memory_bytes), [], [], 0, 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        key, around, n, most, place = (batch.column(k).to_numpy() for k in range(5))
+        column = batch.column(5).cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        data, offsets = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+        for a, b in hashing.row_runs(offsets, CHUNK_BYTES):
+            begin, sizes = offsets[a:b] - offsets[a], np.diff(offsets[a : b + 1])
+            last, at = most[a:b].astype(np.int64), place[a:b].astype(np.int64)
+            k, lo, hi, end, fine, alike = _cells(
+                data[offsets[a] : offsets[b]], begin, key[a:b], np.zeros_like(last), last, at, sizes, self.lengths[0], self.lengths[-1], self.core, self.width
+            )
+            self.cells.append([k + self.rows + a, lo.astype(np.int32), hi.astype(np.int32), end.astype(np.int32), fine, alike ^ ((hi - lo).astype(np.uint64) << np.uint64(32))])
+        self.numbers.append([key, around, n, offsets[:-1] + self.size])
+        self.spool.add(data)
+        self.rows, self.size = self.rows + len(key), self.size + len(data)
+
+    def _text(self, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The pieces, each followed by a 0."""
+        whole, made = self.spool.array(), induced.Spool(self.memory_bytes)
+        for a, b in hashing.row_runs(np.concatenate(([0], np.cumsum(sizes))), CHUNK_BYTES):
+            size = sizes[a:b]
+            before = np.cumsum(size) - size
+            at, own = np.arange(int(size.sum())), np.repeat(np.arange(b - a), size)
+            part = np.zeros(len(at) + b - a, dtype=np.uint8)
+            part[at + own] = whole[at + (start[a:b] - before)[own]] + 1  # UTF-8 stays below 255
+            made.add(part)
+        return made.array()
+
+    def runs(self) -> Iterator[pa.RecordBatch]:
+        core, around, n, begin = (np.concatenate(x) for x in zip(*self.numbers, strict=True))
+        own, lo, hi, end, fine, alike = (np.concatenate(x) for x in zip(*self.cells, strict=True))
+        self.cells = []
+        order = np.lexsort((alike, fine))
+        new_key = np.diff(fine[order], prepend=~fine[order[:1]]) != 0
+        new = new_key | (np.diff(alike[order], prepend=~alike[order[:1]]) != 0)
+        first = np.flatnonzero(new)  # groups of equal pieces
+        size = np.diff(np.append(first, len(order)))
+        count, key = np.add.reduceat(n[own[order]], first), (np.cumsum(new_key) - 1)[first]
+        several = np.bincount(key)[key] > 1
+        made = [self._members(order, first, size, np.flatnonzero(~several & (count > 1)), own, lo, hi, end, far) for far in range(len(self.lengths))]
+        group = np.flatnonzero(several)
+        if len(group):
+            cell = order[first[group]]
+            by_place = np.lexsort((lo[cell], own[cell]))
+            group, cell = group[by_place], cell[by_place]
+            a, b = _runs_of((own[cell[1:]] != own[cell[:-1]]) | (lo[cell[1:]] != hi[cell[:-1]] + 1) | (count[group[1:]] != count[group[:-1]]))
+            text, left, sizes = own[cell[a]], lo[cell[a]], (end[cell[b]] - lo[cell[a]]).astype(np.int64)
+            joint = self._text(begin[text] + left, sizes)
+            found = repeated_starts(joint, sizes + 1, hi[cell[b]] - left, count[group[a]], self.lengths, self.memory_bytes)
+            places = (own[cell] << 32) + lo[cell]
+            for far, (piece, start) in enumerate(found):
+                if not len(piece):
+                    continue
+                at = start + left[piece]
+                mine = np.searchsorted(places, (text[piece] << 32) + at, side="right") - 1
+                x, y = _runs_of((mine[1:] != mine[:-1]) | (at[1:] != at[:-1] + 1))
+                of = mine[x]
+                times = size[group[of]]
+                k = np.repeat(np.arange(len(of)), times)
+                member = order[first[group[of]][k] + np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times)]
+                shift = lo[member] - lo[cell[of]][k]
+                made.append((own[member], at[x][k] + shift, at[y][k] + shift, np.full(len(k), bool(far))))
+        text, lo, hi, far = (np.concatenate(x) for x in zip(*made, strict=True))
+        if len(text):
+            order = np.lexsort((lo, text, far))
+            text, lo, hi, far = text[order], lo[order], hi[order], far[order]
+            a, b = _runs_of((text[1:] != text[:-1]) | (far[1:] != far[:-1]) | (lo[1:] != hi[:-1] + 1))
+            columns = [core[text[a]], around[text[a]], lo[a].astype(np.int32), hi[b].astype(np.int32), far[a]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "around", "lo", "hi", "far"])
+
+    def _members(self, order, first, size, groups, own, lo, hi, end, far: int) -> tuple[np.ndarray, ...]:
+        """Runs of all pieces of groups, from end to end."""
+        inside = np.zeros(len(first), dtype=bool)
+        inside[groups] = True
+        cell = order[np.repeat(inside, size)]
+        last = np.minimum(hi[cell], end[cell] - self.lengths[far]) if far else hi[cell]
+        some = last >= lo[cell]
+        return own[cell][some], lo[cell][some], last[some], np.full(int(some.sum()), bool(far))
+
+
 RUN = "core long, around long, lo int, hi int, far boolean"
 
 
-def _sorter(lengths: tuple[int, ...], memory_bytes: int):
+def _sorter(lengths: tuple[int, ...], core: int, memory_bytes: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spool, numbers = induced.Spool(memory_bytes), []
+        shard = _Shard(lengths, core, memory_bytes)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(4).cast(pa.large_binary())
-            offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-            data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-            part, size = np.zeros(len(data) + len(column), dtype=np.uint8), np.diff(offsets)
-            part[np.arange(len(data)) + np.repeat(np.arange(len(column)), size)] = data + 1  # UTF-8 stays below 255
-            spool.add(part)
-            numbers.append([*(batch.column(k).to_numpy() for k in range(4)), size + 1])
-        if not numbers:
-            return
-        core, around, n, most, sizes = (np.concatenate(x) for x in zip(*numbers, strict=True))
-        for far, (owner, start) in enumerate(repeated_starts(spool.array(), sizes, most, n, lengths, memory_bytes)):
-            new = np.ones(len(owner), dtype=bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(owner)) - 1
-            own = owner[first]
-            columns = [core[own], around[own], start[first].astype(np.int32), start[last].astype(np.int32), np.full(len(own), bool(far))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "around", "lo", "hi", "far"])
+            if batch.num_rows:
+                shard.add(batch)
+        if shard.rows:
+            yield from shard.runs()
 
     return sort
 
@@ -266,6 +356,7 @@ def repeated(
     # what is joined is stored first, so that Spark can split a core with very many rows
     often = common.store(records.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core"), "often", root)
     found = common.store(records.join(often, "core", "left_semi"), "found", root)
+    common.forget(spark, root, "records", "often")
     distinct = common.store(_distinct(found, F.count(F.lit(1))), "distinct", root)
     several = common.store(distinct.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), "several", root)
     mixed = common.store(distinct.join(several, "core", "left_semi"), "mixed", root)
@@ -275,7 +366,7 @@ def repeated(
     # the same columns as where the texts are cut, so that they are shuffled once for both
     one_each = texts.join(wanted, KEYS).select("text", "wanted", *(c for c in docs.columns if c != "text"))
     shards = one_each.mapInArrow(_cutter, SNIPPET).repartition(max(1, -(-int(total) // shard_bytes)), "core")
-    runs = shards.mapInArrow(_sorter(lengths, memory_bytes), RUN)
+    runs = shards.mapInArrow(_sorter(lengths, core, memory_bytes), RUN)
     if split:
         moved = (F.col("first") - F.col("first0")).alias("moved")
         back = pieces.select("core", "around", "core0", "around0", moved).join(common.store(runs.dropDuplicates(), "sorted", root), ["core", "around"])
@@ -325,7 +416,7 @@ def _column(kept: tuple[np.ndarray, np.ndarray], kind: pa.DataType) -> pa.Array:
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _remover(length: int, short: int | None, decoded: bool):
+def _remover(length: int, short: int | None, decoded: bool, given: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
@@ -345,25 +436,25 @@ def _remover(length: int, short: int | None, decoded: bool):
             }
             if short is not None:
                 made["rest"] = _column(_kept(data, offsets, spans_of(row[~far], lo[~far], hi[~far], short), True), pa.string())
-            columns = {k: c for k, c in zip(names, batch.columns, strict=True) if k not in ("text", "runs")} | made
+            columns = {k: c for k, c in zip(names, batch.columns, strict=True) if k != "runs" and (given or k != "text")} | made
             yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, root: str | None = None, decoded: bool = False, short: int | None = None, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, root: str | None = None, decoded: bool = False, short: int | None = None, given: bool = False, **options) -> DataFrame:
     """The documents' other columns with n_bytes, spans (array of start, end) and kept (the remaining bytes).
 
     Decoded, kept is text without the characters of which a byte is gone. With a shorter length as well, `rest` is the
-    text that is left, decoded, without strings of that length. A column named n_bytes, spans, kept or rest is dropped for
-    the new one."""
+    text that is left, decoded, without strings of that length. `given`: text stays as well. A column named n_bytes, spans,
+    kept or rest is dropped for the new one."""
     names = [c for c in docs.columns if c.lower() not in ("n_bytes", "spans", "kept", "rest", "text", "runs", "wanted", "_id", "_hash")]
     docs = docs.select(*names, "text")
     runs = repeated(docs, short or length, root=root, longest=length, **options)
     joined = keyed(docs).join(runs, KEYS, "left").select(*names, "text", "runs")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in names]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in names or (given and f.name == "text")]
     kinds = [*fields, "n_bytes long, spans array<struct<start: long, end: long>>", "kept string" if decoded else "kept binary", *(["rest string"] if short else [])]
-    return joined.mapInArrow(_remover(length, short, decoded), ", ".join(kinds))
+    return joined.mapInArrow(_remover(length, short, decoded, given), ", ".join(kinds))
 
 
 def cleaned(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
@@ -377,12 +468,15 @@ def cleaned(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes; and what is left of a document as `text` (a character of which a byte is gone is U+FFFD).
+    """Strings of 400 bytes; what is left of a document as `text` (a character of which a byte is gone is U+FFFD); and, as
+    `rest`, what is left of that without the strings of PASSAGE bytes that still occur more than once in it.
 
     Null texts have no bytes; null ids and repeated rows are documents like others; an empty table gives an empty one."""
-    out = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    root = common.shared_dir(spark)
+    out = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"), root=root)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     text = F.make_valid_utf8(F.col("kept").cast("string"))
-    return out.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text.alias("text")
-    )
+    own = [F.col("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    left = common.store(out.select("doc_id", F.struct(*own).alias("own"), text.alias("text")), "left", root)
+    common.forget(spark, root, "found", "distinct", "several", "mixed", "runs")
+    return remove_repeats(left, PASSAGE, decoded=True, given=True).select("doc_id", "own.*", "text", F.col("kept").alias("rest"))
