@@ -396,15 +396,19 @@ def _kept(data: np.ndarray, offsets: np.ndarray, spans: tuple, whole: bool) -> t
     """What is left of a batch's bytes, and its offsets; whole: without characters of which a byte is gone."""
     row, start, end = spans
     base = int(offsets[0])
+    if whole:  # a span grows to the ends of characters, which have four bytes at most
+        start, end, stop = offsets[row] + start, offsets[row] + end, offsets[row + 1]
+        for _ in range(3):
+            start = start - ((data[start] & 0xC0) == 0x80)
+            end = end + ((end < stop) & ((data[np.minimum(end, stop - 1)] & 0xC0) == 0x80))
+        start, end = start - offsets[row], end - offsets[row]
     edge = np.zeros(int(offsets[-1]) - base + 1, dtype=np.int8)
-    edge[offsets[row] - base + start] += 1  # spans of a row don't touch
+    edge[offsets[row] - base + start] += 1  # no two spans share a start or an end
     edge[offsets[row] - base + end] -= 1
     gone = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
     part = data[base : int(offsets[-1])]
-    if whole and gone.any():
-        head = np.flatnonzero((part & 0xC0) != 0x80)  # first bytes of characters
-        gone = np.repeat(np.logical_or.reduceat(gone, head), np.diff(np.append(head, len(part))))
-    return part[~gone], np.concatenate(([0], np.cumsum(~gone, dtype=np.int64)))[offsets - base]
+    left = np.cumsum(~gone, dtype=np.int32 if len(part) < 1 << 31 else np.int64)
+    return part[~gone], np.where(offsets > base, left[np.maximum(offsets - base - 1, 0)] if len(left) else 0, 0)
 
 
 def _column(kept: tuple[np.ndarray, np.ndarray], kind: pa.DataType) -> pa.Array:
